@@ -31,14 +31,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, flat, gathered, spread, texts
+from .common import PieceIds, flat, gathered, replaced, texts
 
 #: Fixed values of the vocabulary file's format.
 END = "</w>"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts of these characters only are split here: ASCII without control characters but tab and line ends, Latin letters that are composed already, common punctuation.
-PLAIN = r"[^\t\n\r\x20-\x7e¡-įĲ-ſ–—‘-”•…€]"
-CACHE = 300_000
+#: What sends a text to the library's splitter. Plain are ASCII without control characters but tab and line ends, Latin letters that are composed already, common punctuation.
+PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{132}-\x{17f}\x{2013}\x{2014}\x{2018}-\x{201d}\x{2022}\x{2026}\x{20ac}]"
+CACHE = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -67,7 +67,8 @@ class Automaton:
             self.arcs[closed(a + b)] = vocab[a + b]
         self.longest: dict[str, int] = {}
         for t in self.arcs:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 1), len(t))
+            if len(t) > 2:
+                self.longest[t[:3]] = max(self.longest.get(t[:3], 3), len(t))
         self.known: dict[int, bool] = {}
 
     def gadget(self, u: int, v: int, w: int, time: int) -> None:
@@ -114,7 +115,7 @@ class Automaton:
         path: list[int] = []
         at, starts, dead, most = 0, [], set(), n
         while at < n:
-            size, last = min(most, longest.get(s[at : at + 2], 1), n - at), path[-1] if path else -1
+            size, last = min(most, longest.get(s[at : at + 3], 2), n - at), path[-1] if path else -1
             while size:
                 arc = arcs.get(s[at : at + size])
                 if arc is not None and at + size not in dead and (last < 0 or follows(last, arc)):
@@ -154,11 +155,11 @@ class Codec:
         self.library.no_truncation()
         self.library.no_padding()
         self.find = regex.compile(SPLIT).findall
-        self.odd = regex.compile(PLAIN).search
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.symbols = byte_symbols()
         self.word_ids: dict[str, list[int]] = {}
-        self.piece_ids: dict[str, tuple[bytes, str]] = {}
+        self.pieces = PieceIds(self._pieces)
+        self.emitted = pa.array([self.names.get(i) for i in range(max(self.names, default=0) + 1)], pa.string())
 
     def word(self, word: str) -> list[int]:
         """Ids of a word in byte symbols."""
@@ -179,52 +180,29 @@ class Codec:
         for m in [*self.marks.finditer(text), None]:
             part = text[at : m.start() if m else len(text)]
             if part:
-                if self.odd(part):
-                    split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
-                    for w, _ in split:
-                        out += self.word(w)
-                else:
-                    for w in self.find(part.lower()):
-                        out += self.word(self.shown(w))
+                for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                    out += self.word(w)
             if m:
                 out.append(self.special[m.group()])
                 at = m.end()
         return out
 
-    def piece(self, piece: str) -> tuple[bytes, str]:
-        """Ids as bytes and emitted labels of a piece without spaces."""
-        if (got := self.piece_ids.get(piece)) is None:
-            if len(self.piece_ids) >= CACHE:
-                self.piece_ids.clear()
-            ids = self.ids(piece)
-            got = np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids])
-            if len(piece) < 64:
-                self.piece_ids[piece] = got
-        return got
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of PLAIN without white space or special tokens."""
+        got = [[i for w in self.find(p.lower()) for i in self.word(self.shown(w))] for p in pieces.to_pylist()]
+        return np.fromiter(map(len, got), np.int64, len(got)), np.array([i for ids in got for i in ids], np.uint32)
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Of texts: where each one's ids start (and the end of all), the ids, the decoded texts."""
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts without nulls: where each one's ids start (and the end of all), and the ids."""
         column = column.cast(pa.large_string())
-        whole = pc.or_(pc.match_substring_regex(column, r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{132}-\x{17f}\x{2013}\x{2014}\x{2018}-\x{201d}\x{2022}\x{2026}\x{20ac}]"), pc.match_substring(column, "<|"))
-        apart = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-        offsets, codes, dictionary = coded(pc.ascii_split_whitespace(pc.if_else(whole, pa.scalar("", pa.large_string()), column)))
-        got = [self.piece(p) for p in dictionary.to_pylist()]
-        lens = np.array([len(b) // 4 for b, _ in got], np.int64)
-        flat_ids = np.frombuffer(b"".join([b for b, _ in got]), "<u4")
-        full = lens[codes] > 0
-        if not full.all():
-            offsets, codes = np.concatenate([[0], np.cumsum(full)])[offsets], codes[full]
-        ids = flat_ids[spread((np.cumsum(lens) - lens)[codes], lens[codes])]
-        starts = np.concatenate([[0], np.cumsum(lens[codes])])[offsets]
-        labels = pa.array([s for _, s in got], pa.large_string()).take(pa.array(codes))
-        decoded = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), labels), " ")
-        if len(apart):
-            own = {int(r): self.ids(column[int(r)].as_py()) for r in apart}
-            parts = [np.array(own[r], "<u4") if r in own else ids[starts[r] : starts[r + 1]] for r in range(len(column))]
-            starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            ids = np.concatenate(parts) if parts else ids
-            decoded = pa.array([self.decode(own[r]) if r in own else s for r, s in enumerate(decoded.to_pylist())], pa.large_string())
-        return starts, ids, decoded
+        whole = pc.or_(pc.match_substring_regex(column, PLAIN), pc.match_substring(column, "<|"))
+        starts, ids = self.pieces.texts(pc.ascii_split_whitespace(pc.if_else(whole, pa.scalar("", pa.large_string()), column)))
+        return replaced(starts, ids, {int(r): np.array(self.ids(column[int(r)].as_py()), np.uint32) for r in np.flatnonzero(whole.to_numpy(zero_copy_only=False))})
+
+    def emit(self, starts: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The decoded texts: the labels that the arcs emit, one space between two."""
+        labels = self.emitted.take(pa.array(ids))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), labels), " ")
 
     def decode(self, ids) -> str:
         """The labels emitted by the arcs, one space between two."""
@@ -239,16 +217,17 @@ def codec(path: str) -> Codec:
 def _encode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for t in gathered(batches, limit=8 << 20):
-        starts, ids, decoded = c.encode(flat(t["text"]))
+        starts, ids = c.encode(flat(t["text"]))
+        decoded = c.emit(starts, ids)
         lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([flat(t["doc_id"]), lists, decoded.cast(pa.string())], ["doc_id", "ids", "decoded"])
+        yield pa.RecordBatch.from_arrays([flat(t["doc_id"]), lists, decoded], ["doc_id", "ids", "decoded"])
 
 
 def _digest(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for t in gathered(batches, limit=8 << 20):
-        starts, ids, decoded = c.encode(flat(t["text"]))
-        raw, names = memoryview(ids.tobytes()), [hashlib.sha256(s.encode()).hexdigest() for s in decoded.to_pylist()]
+        starts, ids = c.encode(flat(t["text"]))
+        raw, names = memoryview(ids.tobytes()), [hashlib.sha256(s.encode()).hexdigest() for s in c.emit(starts, ids).to_pylist()]
         sums = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([flat(t["doc_id"]), pa.array(np.diff(starts), pa.int64()), pa.array(sums, pa.string()), pa.array(names, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

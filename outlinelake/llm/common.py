@@ -104,3 +104,53 @@ def words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     """Words [^\\x20\\x09-\\x0D]+ of each text, A-Z lower-cased if asked: offsets, codes, dictionary."""
     column = column.cast(pa.large_string())
     return coded(pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column))
+
+
+class PieceIds:
+    """Ids of pieces met before, held as Arrow and numpy arrays of bounded size; new pieces are given to `encode` at once."""
+
+    def __init__(self, encode, limit: int = 1_500_000):
+        self.encode, self.limit = encode, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = pa.array([], pa.large_string())
+        self.starts, self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def of(self, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece: where its ids start in self.ids, and how many they are."""
+        at = pc.index_in(dictionary, value_set=self.keys)
+        fresh = dictionary.filter(pc.is_null(at))
+        if len(fresh):
+            if len(self.keys) and len(self.keys) + len(fresh) > self.limit:
+                self.clear()
+                return self.of(dictionary)
+            lens, ids = self.encode(fresh)
+            new = np.cumsum(lens) - lens + len(self.ids)
+            slots = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            slots[pc.is_null(at).to_numpy(zero_copy_only=False)] = np.arange(len(self.keys), len(self.keys) + len(fresh))
+            self.keys = pa.concat_arrays([self.keys, fresh])
+            self.starts, self.lens, self.ids = np.concatenate([self.starts, new]), np.concatenate([self.lens, lens]), np.concatenate([self.ids, ids])
+        else:
+            slots = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.starts[slots], self.lens[slots]
+
+    def texts(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of lists of pieces: where each list's ids start (and the end of all), and the ids."""
+        offsets, codes, dictionary = coded(lists)
+        starts, lens = self.of(dictionary)
+        per = lens[codes]
+        return np.concatenate([[0], np.cumsum(per)])[offsets].astype(np.int64), self.ids[spread(starts[codes], per)]
+
+
+def replaced(starts: np.ndarray, ids: np.ndarray, own: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The same lists of ids, those of the rows in `own` exchanged."""
+    if not own:
+        return starts, ids
+    parts = [own[r] if r in own else ids[starts[r] : starts[r + 1]] for r in range(len(starts) - 1)]
+    return np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.concatenate(parts)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs and a row number `rid`, unique and the same on every reading as long as docs is a scan of stored files, whose order and splits are fixed. Give other inputs to materialise() first."""
+    return docs.withColumn("rid", F.monotonically_increasing_id())
