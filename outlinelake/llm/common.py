@@ -154,3 +154,43 @@ def replaced(starts: np.ndarray, ids: np.ndarray, own: dict[int, np.ndarray]) ->
 def numbered(docs: DataFrame) -> DataFrame:
     """docs and a row number `rid`, unique and the same on every reading as long as docs is a scan of stored files, whose order and splits are fixed. Give other inputs to materialise() first."""
     return docs.withColumn("rid", F.monotonically_increasing_id())
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of uint64 that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(n: int, base: np.uint64 = _ODD) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def hashed(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string's bytes."""
+    strings = strings.cast(pa.large_binary())
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    lens = np.diff(offsets)
+    inside = np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], lens)
+    terms = (raw.astype(np.uint64) + np.uint64(1)) * powers(int(lens.max(initial=0)))[inside]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    at = offsets - offsets[0]
+    return mixed(sums[at[1:]] - sums[at[:-1]] + lens.astype(np.uint64) * _ODD)
+
+
+def tallied(offsets: np.ndarray, codes: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of codes: list number, code and count of each distinct code in each list."""
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    keys, counts = np.unique(rows * max(1, n_codes) + codes, return_counts=True)
+    return keys // max(1, n_codes), keys % max(1, n_codes), counts
