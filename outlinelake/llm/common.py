@@ -87,8 +87,8 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts.astype(np.int64) - (ends - lens), lens) + np.arange(total, dtype=np.int64)
 
 
-def coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of a list-of-strings array: offsets of each list, dictionary codes of all strings, the dictionary. Empty strings are left out."""
+def coded(lists: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of a list-of-strings array: offsets of each list, dictionary codes of all strings, the dictionary. Empty strings are left out; A-Z are lower-cased if asked."""
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     values = lists.values[int(offsets[0]) : int(offsets[-1])]
     offsets = offsets - offsets[0]
@@ -96,14 +96,16 @@ def coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     if not keep.all():
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         values = values.filter(pa.array(keep))
+    if lower:
+        # ascii_lower gives wrong strings for a slice of an array, so it gets one that starts at 0
+        values = pc.ascii_lower(values if not values.offset else values.take(pa.array(np.arange(len(values)))))
     d = values.dictionary_encode()
     return offsets, d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
 
 
 def words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words [^\\x20\\x09-\\x0D]+ of each text, A-Z lower-cased if asked: offsets, codes, dictionary."""
-    column = column.cast(pa.large_string())
-    return coded(pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column))
+    return coded(pc.ascii_split_whitespace(column.cast(pa.large_string())), lower)
 
 
 class PieceIds:
