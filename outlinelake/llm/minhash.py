@@ -6,11 +6,11 @@ at least MATCHES of the K coordinates (but for about one pair in a million at 0.
 class only a prefix of its postings, rarest first, has to be joined: values that no other class has come first and
 need no posting, and a class with fewer than MATCHES shared values has no partner at all.
 
-A posting list isn't expanded into all pairs. In rounds, each list compares some of its members (hubs: one, then four,
-sixteen, ...) with those members that are in other components so far; a list is done when its members that weren't
-hubs yet are in one component. So a group of copies costs a pair a member, and every pair of different components that
-shares a posting is compared. Compared pairs have their collisions counted, and those above the threshold are
-confirmed on their full sets.
+A posting list isn't expanded into all pairs. First each list's smallest member (its hub) is compared with the other
+members: collisions of the two signatures are counted, and pairs above the threshold are confirmed on their full sets.
+So a group of copies costs a pair or a few a member. Lists whose members then are in several components still are
+joined into clusters; a cluster is dealt into blocks of bounded size, every pair of blocks is compared on full sets in
+one place, and only links that join components leave it.
 
 Defined results: null and empty texts and texts without words have no shingles, link with nothing and are their own
 component; a text of fewer than five words has one shingle, the whole sequence. A component is named by its smallest
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, gathered, hashed, materialise, mixed, numbered, powers, words
+from .common import flat, gathered, hashed, materialise, mixed, numbered, powers, scan_parts, words
 from .components import components
 
-K, MATCHES, WORDS, PERCENT = 64, 40, 5, 85
+K, MATCHES, WORDS, PERCENT, BLOCK = 64, 40, 5, 85, 256
 _rng = np.random.default_rng(9)
 MULTIPLIERS = _rng.integers(0, 1 << 31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 OFFSETS = _rng.integers(0, 1 << 32, K, dtype=np.uint32)
@@ -127,28 +127,79 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
-def _candidates(lists: DataFrame, comps: DataFrame | None, hubs_done: DataFrame | None, tried: DataFrame | None, salts: int) -> tuple[DataFrame, DataFrame] | None:
-    """The next pairs to compare and the hubs they come from; None if all lists are done."""
-    now = lists.withColumn("comp", F.col("cid")) if comps is None else materialise(lists.join(comps, lists.cid == comps.node, "left").select("key", "cid", F.coalesce("root", "cid").alias("comp")), "members")
-    fresh = now if hubs_done is None else now.join(hubs_done, ["key", "cid"], "left_anti")
-    open_lists = fresh.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("open_key"))
-    open_lists = materialise(open_lists, "open")
-    if open_lists.isEmpty():
-        return None
-    mine = materialise(now.join(open_lists, F.col("key") == F.col("open_key"), "left_semi"), "open-members")
-    left = mine if hubs_done is None else mine.join(hubs_done, ["key", "cid"], "left_anti")
-    hubs = left.groupBy("key", F.pmod(F.xxhash64("cid"), F.lit(salts)).alias("salt")).agg(F.min(F.struct("cid", "comp")).alias("hub"))
-    hubs = materialise(hubs.select("key", F.col("hub.cid").alias("cid"), F.col("hub.comp").alias("comp")), "hubs")
-    side = hubs.select(F.col("key").alias("hub_key"), F.col("cid").alias("hub"), F.col("comp").alias("hub_comp"))
-    pairs = mine.join(side, (F.col("key") == F.col("hub_key")) & (F.col("comp") != F.col("hub_comp")))
-    pairs = pairs.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    return materialise(pairs, "pairs"), hubs.select("key", "cid")
+def _spanning(rows: list[tuple[int, int, str]], few: int = 8192) -> list[tuple[int, int]]:
+    """Links between (cid, component, text) of different components, as many as join them: all pairs are compared on full sets by products of incidence matrices, and the links that join nothing new are left out."""
+    up = {c: c for _, c, _ in rows}
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    if len(up) < 2:
+        return []
+    sets = shingle_sets(pa.array([t for _, _, t in rows], pa.string()))
+    sizes = np.array([len(s) for s in sets])
+    values, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    dense = np.cumsum(df > 1) - 1
+    owner, column = owner[df[column] > 1], dense[column[df[column] > 1]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(dense[-1]) + 1 if len(dense) else 0, few):
+        lo, hi = np.searchsorted(column, [at, at + few])
+        m = np.zeros((len(sets), few), np.float32)
+        m[owner[lo:hi], column[lo:hi] - at] = 1
+        both += m @ m.T
+    shared = both.astype(np.int64)
+    linked = np.triu(100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared), 1)
+    out = []
+    for i, j in np.argwhere(linked).tolist():
+        x, y = top(rows[i][1]), top(rows[j][1])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((rows[i][0], rows[j][0]))
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (root, lo, hi): each run of equal ones is compared as a whole."""
+    now, held, out = None, [], []
+    for b in batches:
+        for root, lo, hi, cid, comp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (root, lo, hi) != now:
+                out += _spanning(held)
+                now, held = (root, lo, hi), []
+            held.append((cid, comp, text))
+    out += _spanning(held)
+    yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _hubs(lists: DataFrame) -> DataFrame:
+    """a, b: each list's smallest member with each other member, distinct."""
+    hubs = lists.groupBy("key").agg(F.min("cid").alias("hub")).select(F.col("key").alias("hub_key"), "hub")
+    return lists.join(materialise(hubs, "hubs"), F.col("key") == F.col("hub_key")).where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+
+
+def _rest(lists: DataFrame, comps: DataFrame, texts_: DataFrame) -> DataFrame:
+    """a, b: links that the hubs didn't show, from the lists whose members are in several components still. Lists that share members are one cluster; a cluster is dealt into blocks, and each pair of blocks is compared in one place."""
+    now = materialise(lists.join(comps, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("comp")), "members")
+    open_lists = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("open_key"))
+    mine = materialise(now.join(materialise(open_lists, "open"), F.col("key") == F.col("open_key"), "left_semi"), "open-members")
+    clusters = materialise(components(_hubs(mine)), "clusters")
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")).withColumnRenamed("root", "of")
+    member = mine.select("cid", "comp").distinct().join(clusters, F.col("cid") == F.col("node")).join(sizes, F.col("root") == F.col("of"))
+    member = member.select("root", "cid", "comp", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"))
+    placed = member.select("root", "cid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = materialise(placed.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cid", "comp"), "placed")
+    rows = placed.join(texts_, "cid").select("root", "lo", "hi", "cid", "comp", "text")
+    dealt = rows.repartition(scan_parts(texts_) * 4, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "cid")
+    return dealt.mapInArrow(_compare, "a long, b long")
 
 
 def links(classes: DataFrame, text_of: DataFrame) -> DataFrame | None:
-    """node, root of classes (cid, signature) that have links; text_of has cid and text. None: no links."""
+    """node, root of classes (cid, signature) that have links; text_of has cid and text. None: no class can have any."""
     postings = materialise(classes.mapInArrow(_postings, "key long, cid long"), "postings")
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
     shared = materialise(postings.join(materialise(shared, "shared"), F.col("key") == F.col("k")).select("key", "cid", "n"), "shared-postings")
@@ -157,26 +208,19 @@ def links(classes: DataFrame, text_of: DataFrame) -> DataFrame | None:
     prefix = of_class.select("cid", F.explode(F.expr(f"slice(all, 1, size(all) - {MATCHES} + 1)")).alias("p")).select(F.col("p.key").alias("key"), "cid")
     prefix = materialise(prefix, "prefix")
     several = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"))
-    lists = materialise(prefix.join(several, F.col("key") == F.col("k"), "left_semi"), "lists")
+    lists = materialise(prefix.join(materialise(several, "several"), F.col("key") == F.col("k"), "left_semi"), "lists")
     if lists.isEmpty():
         return None
-    members = lists.select("cid").distinct()
-    texts_ = materialise(text_of.join(members, "cid", "left_semi"), "texts")
-    comps = hubs_done = tried = None
-    salts = 1
-    while (found := _candidates(lists, comps, hubs_done, tried, salts)) is not None:
-        pairs, hubs = found
-        one = pairs.join(texts_.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-        two = one.join(texts_.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").sortWithinPartitions("a")
-        checked = materialise(two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean"), "checked")
-        edges = checked.where("linked").select("a", "b")
-        if comps is not None:
-            edges = edges.unionAll(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
-        comps = materialise(components(edges), "components")
-        tried = pairs if tried is None else materialise(tried.unionAll(pairs), "tried")
-        hubs_done = hubs if hubs_done is None else materialise(hubs_done.unionAll(hubs), "hubs-done")
-        salts *= 4
-    return comps
+    texts_ = materialise(text_of.join(materialise(lists.select("cid").distinct(), "listed"), "cid", "left_semi"), "texts")
+    pairs = materialise(_hubs(lists), "pairs")
+    one = pairs.join(texts_.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(texts_.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").sortWithinPartitions("a")
+    checked = two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean")
+    comps = materialise(components(checked.where("linked").select("a", "b")), "components")
+    more = materialise(_rest(lists, comps, texts_), "more-links")
+    if more.isEmpty():
+        return comps
+    return materialise(components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
