@@ -196,3 +196,9 @@ def tallied(offsets: np.ndarray, codes: np.ndarray, n_codes: int) -> tuple[np.nd
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     keys, counts = np.unique(rows * max(1, n_codes) + codes, return_counts=True)
     return keys // max(1, n_codes), keys % max(1, n_codes), counts
+
+
+def having(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose number (see numbered()) is among `rids`."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return rows.join(rids.select(F.col("rid").alias("wanted")), F.col("rid") == F.col("wanted"), "left_semi").select("row.*")

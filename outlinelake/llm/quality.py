@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, gathered, hashed, tallied, texts, words
+from .common import flat, gathered, hashed, sliced, tallied, texts, words
 
 BUCKETS, FACTORS, THRESHOLD = 1 << 15, 8, 0.3
 STATS = ["upper", "lower", "digits", "spaces", "marks", "symbols", "bars", "bangs", "line_ends", "distinct", "commonest", "word_length", "lone", "long_words", "log_words", "log_stored"]
@@ -183,3 +183,18 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, learnt from labels outside the held-out fold."""
     machine = train(docs, labels.where(~held_out()))
     return score(docs, machine).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def _keep(model, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    machine = Machine(*model.value)
+    for b in sliced(batches, limit=8 << 20):
+        text = pc.fill_null(b.column("text"), "")
+        stored = pc.fill_null(b.column("n_chars").cast(pa.int64()), 0).to_numpy(zero_copy_only=False).astype(float) if "n_chars" in b.schema.names else np.zeros(b.num_rows)
+        good = machine.score(*features(text, np.maximum(stored, 0))) >= least if b.num_rows else []
+        yield b.filter(pa.array(good, pa.bool_()))
+
+
+def keep(docs: DataFrame, machine: Machine, least: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is `least` at least, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v, machine.mean, machine.spread))  # about 1.2 MB
+    return docs.mapInArrow(partial(_keep, model, least), docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, exact_dedup, minhash, packing, quality, suffix_dedup, token_files, warc
+from . import bpe_automaton, exact_dedup, hamming, minhash, packing, pitman_yor, quality, suffix_dedup, token_files, warc
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op1_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(documents(spark, sf_dir), held=pitman_yor.held_out())
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end=0))
 
@@ -41,6 +45,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % 20 == 0, k=10)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -69,4 +77,10 @@ def oracle_sql() -> dict[str, str]:
             WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, doc_id = first(doc_id) OVER w AS kept, text_sha256
             FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)""",
+        "op7_hamming": """
+            WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x, 0) > 0) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+            p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::BIGINT AS distance
+                FROM c AS q, c WHERE q.vec_id % 20 = 0),
+            r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, vec_id, distance FROM p)
+            SELECT * FROM r WHERE rank <= 10""",
     }

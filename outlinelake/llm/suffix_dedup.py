@@ -237,7 +237,7 @@ def _windows(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.zeros(len(w), np.int64)), pa.array(rids[doc[owner]]), pa.array(inside, pa.int32()), pa.array(np.ones(len(w), np.int32))], schema=ENTRY)
 
 
-def _remove(folder: str, more: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     side = Side(folder)
     for t in gathered(batches, limit=8 << 20):
         rids = t["rid"].to_numpy()
@@ -256,17 +256,37 @@ def _remove(folder: str, more: tuple, batches: Iterator[pa.RecordBatch]) -> Iter
         ends = offsets - removed[offsets]
         column = pa.Array.from_buffers(pa.binary(), len(rids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(kept)])
         sizes = [pa.array(np.diff(x), pa.int64()) for x in (offsets, removed[offsets], spans[offsets])]
-        yield pa.RecordBatch.from_arrays([flat(t["rid"]), flat(t["doc_id"]), *(flat(t[c]) for c in more), *sizes, column], ["rid", "doc_id", *more, "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([flat(t["rid"]), flat(t["doc_id"]), *sizes, column], ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def dedup(docs: DataFrame, *more: str) -> DataFrame:
-    """rid, doc_id, the columns named, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row."""
-    rows = numbered(docs).select("rid", F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *more)
-    found = materialise(rows.select("rid", "text").mapInArrow(_entries, "h long, cls long, rid long, start int, n int"), "entries")
+def find(docs: DataFrame) -> str:
+    """Write the spans to remove, for each input partition of docs; their folder."""
+    rows = numbered(docs).select("rid", F.coalesce("text", F.lit("")).alias("text"))
+    found = materialise(rows.mapInArrow(_entries, "h long, cls long, rid long, start int, n int"), "entries")
     full, apart = sorted_ranges(found)
-    windows = materialise(rows.select("rid", "text").mapInArrow(partial(_windows, side_files(materialise(apart, "apart"), "apart-files")), "h long, cls long, rid long, start int, n int"), "windows")
+    windows = materialise(rows.mapInArrow(partial(_windows, side_files(materialise(apart, "apart"), "apart-files")), "h long, cls long, rid long, start int, n int"), "windows")
     repeated, _ = sorted_ranges(windows)
-    spans = side_files(materialise(full.unionAll(repeated), "spans"), "span-files")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(["rid long, doc_id long", *(f"`{c}` {kinds[c]}" for c in more), "n_bytes long, n_removed long, n_spans long, kept binary"])
-    return rows.mapInArrow(partial(_remove, spans, more), schema)
+    return side_files(materialise(full.unionAll(repeated), "spans"), "span-files")
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row."""
+    rows = numbered(docs).select("rid", F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(partial(_remove, find(docs)), "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def _clean(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        plain = t.select(["rid", "text"]).append_column("doc_id", pa.nulls(len(t), pa.int64()))
+        kept = [x for out in _remove(folder, iter(plain.to_batches())) for x in out.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), b.column("row")], ["text", "row"])
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """docs with the spans removed from text and n_chars as it then is; of a character that a span cuts, the rest goes too."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    out = rows.mapInArrow(partial(_clean, find(docs)), f"text string, row {kind}")
+    now = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
+    return out.select(*(now.get(c, F.col(f"row.`{c}`")) for c in docs.columns))
