@@ -8,8 +8,9 @@ suffixes). An entry's leading token is its anchor's fingerprint, its second key
 Entries are dealt by ranges of (leading token, bytes, place) with sampled splitters, each bucket is sorted locally by a
 multikey quicksort and neighbours are compared; first and last entries of buckets are compared across boundaries.
 Entries with equal bytes are repeated as a whole. Where one leading token stands before different bytes, one entry of
-each kind is taken apart into its windows, whose own fingerprints are sorted in the same way. No group of equal keys
-has to fit into a bucket, as ties are dealt by place.
+each kind is taken apart into its windows, whose own fingerprints are compared in buckets by value, equal ones
+of a batch having become one row before. No group of equal keys has to fit into a bucket: ties of entries are dealt by
+place, and a window's value has a row per batch at most.
 
 What is found is written per input partition to the shared folder and met again by the partition's own scan, so texts
 are not shuffled. Fingerprints have 64 bits; docs must be a scan of stored files (see numbered()).
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, gathered, materialise, mixed, numbered, powers, scan_parts, scratch
+from .common import discard, flat, gathered, materialise, mixed, numbered, powers, scan_parts, scratch
 from .token_files import put
 
 LENGTH, GRAM = 200, 32
@@ -146,8 +147,8 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), kind), pa.int32()), pa.array(np.full(len(r), part), pa.int32()), *(pa.array(x[r]) for x in (h, cls, rid, start, n))], ["kind", "part", "h", "cls", "rid", "start", "n"])
 
 
-def sorted_ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of stored entries: those whose bytes are repeated, and one of each kind of bytes behind a leading token that stands before several."""
+def sorted_ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of stored entries: those whose bytes are repeated, and one of each kind of bytes behind a leading token that stands before several; and the table that both read."""
     ranges = 2 * scan_parts(rows)
     out = materialise(rows.repartitionByRange(ranges, "h", "cls", "rid", "start").mapInArrow(_bucket, KINDS), "buckets")
     edge = out.where(F.col("kind") == EDGE)
@@ -156,17 +157,32 @@ def sorted_ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = ["rid", "start", "n"]
     full = out.where(F.col("kind") == FULL).select(*place).unionAll(edge.join(same, (F.col("h") == F.col("at_h")) & (F.col("cls") == F.col("at_cls"))).select(*place))
     apart = out.where(F.col("kind") == APART).select(*place).unionAll(edge.join(crossing.where("c0 < c1"), F.col("h") == F.col("at_h")).select(*place))
-    return full, apart.distinct()
+    return full, apart.distinct(), out
 
 
-def _put(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(t: pa.Table) -> pa.Table:
+    """Spans of windows sorted by text and start, with those that meet or overlap made one."""
+    rid, start, n = (t[c].to_numpy() for c in ("rid", "start", "n"))
+    end = start + n - 1 + LENGTH
+    step = np.int64(1 << 33)  # no text has so many bytes: the running maximum starts anew with each text
+    text = np.cumsum(np.concatenate([[0], (rid[1:] != rid[:-1]).astype(np.int64)]))
+    reach = np.maximum.accumulate(end + text * step)
+    first = np.concatenate([[True], (start + text * step)[1:] > reach[:-1]])
+    at = np.flatnonzero(first)
+    last = np.concatenate([at[1:], [len(rid)]]) - 1
+    size = reach[last] - text[at] * step - start[at]
+    return pa.table({"p": t["p"].to_numpy()[at], "rid": rid[at], "start": start[at].astype(np.int32), "n": (size - LENGTH + 1).astype(np.int32)})
+
+
+def _put(folder: str, merge: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by p: a file for each p."""
     held: list[pa.RecordBatch] = []
 
     def write() -> int:
         t = pa.Table.from_batches(held)
+        t = _merged(t) if merge else t
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema) as w:
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(t)
         p = t["p"][0].as_py()
         put(folder, f"{p}.arrow", sink.getvalue())
@@ -187,15 +203,28 @@ def _put(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["p"])
 
 
-def side_files(rows: DataFrame, label: str) -> str:
-    """Write rows (rid, start, n) to one file for each input partition that rids come from; the folder."""
-    folder = scratch(rows.sparkSession, label)
+def side_files(rows: DataFrame, label: str, parts: int, merge: bool = False) -> str:
+    """Write rows (rid, start, n) to one file for each input partition that rids come from; the folder. merge: spans that meet become one."""
     keyed = rows.select(F.shiftright("rid", 33).alias("p"), "rid", F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))
-    dealt = keyed.repartition(max(1, scan_parts(rows)), "p").sortWithinPartitions("p", "rid", "start")
-    dealt.mapInArrow(partial(_put, folder), "p long").agg(F.count(F.lit(1))).first()
+    return keyed_files(keyed, ["rid", "start"], label, parts, merge)
+
+
+def keyed_files(rows: DataFrame, order: list[str], label: str, parts: int, merge: bool = False) -> str:
+    """Write rows to one Arrow file for each value of p, sorted; the folder."""
+    folder = scratch(rows.sparkSession, label)
+    dealt = rows.repartition(parts, "p").sortWithinPartitions("p", *order)
+    dealt.mapInArrow(partial(_put, folder, merge), "p long").agg(F.count(F.lit(1))).first()
     return folder
 
 
+def keyed_file(folder: str, p: int) -> pa.Table | None:
+    """The rows of keyed_files() with this p; None if there are none."""
+    store, base = pafs.FileSystem.from_uri(folder)
+    with contextlib.suppress(FileNotFoundError), store.open_input_file(f"{base}/{p}.arrow") as f:
+        return pa.ipc.open_stream(f.read()).read_all()
+    return None
+
+
 class Side:
     """The rows of side_files() for the texts of a scan."""
 
@@ -207,10 +236,8 @@ class Side:
         found = []
         for p in np.unique(rids >> 33).tolist():
             if p != self.p:
-                self.p, self.t = p, None
-                store, base = pafs.FileSystem.from_uri(self.folder)
-                with contextlib.suppress(FileNotFoundError), store.open_input_file(f"{base}/{p}.arrow") as f:  # no file: nothing found in that partition
-                    self.t = [x.to_numpy() for x in pa.ipc.open_stream(f.read()).read_all().select(["rid", "start", "n"]).columns]
+                t = keyed_file(self.folder, p)
+                self.p, self.t = p, t and [x.to_numpy() for x in t.select(["rid", "start", "n"]).columns]
             if self.t:
                 rid, start, n = self.t
                 lo, hi = np.searchsorted(rid, [rids.min(), rids.max() + 1])
@@ -234,7 +261,28 @@ def _windows(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             inside = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             at = offsets[doc[owner]] + inside
             w = mixed(p.of(at, at + LENGTH)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.zeros(len(w), np.int64)), pa.array(rids[doc[owner]]), pa.array(inside, pa.int32()), pa.array(np.ones(len(w), np.int32))], schema=ENTRY)
+            # equal windows of a batch are known to be repeated; one of them stands for all in the shuffle
+            _, first, back, count = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
+            known = count[back] > 1
+            known[first] = False
+            twice = (count[back] > 1).astype(np.int32)
+            for again in (False, True):  # those that stand for a value travel by it, the others by their place
+                mine = np.flatnonzero(known == again)
+                key = mixed(at[mine].astype(np.uint64)).view(np.int64) if again else w[mine]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rids[doc[owner[mine]]]), pa.array(inside[mine], pa.int32()), pa.array(twice[mine] + again, pa.int32())], ["w", "rid", "start", "known"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows whose value stands in several rows, and those known before."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        w, rid, start, known = (pa.Table.from_batches(held)[c].to_numpy() for c in ("w", "rid", "start", "known"))
+        own = known < 2
+        order = np.flatnonzero(own)[multikey([w[own]])]
+        run = np.cumsum(np.concatenate([[True], w[order][1:] != w[order][:-1]])) - 1
+        several = order[(np.bincount(run)[run] > 1) | (known[order] > 0)] if len(order) else order
+        rows = np.concatenate([several, np.flatnonzero(~own)])
+        yield from pa.table({"rid": rid[rows], "start": start[rows], "n": np.ones(len(rows), np.int32)}).to_batches(max_chunksize=50_000)
 
 
 def _remove(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,11 +310,16 @@ def _remove(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def find(docs: DataFrame) -> str:
     """Write the spans to remove, for each input partition of docs; their folder."""
     rows = numbered(docs).select("rid", F.coalesce("text", F.lit("")).alias("text"))
+    parts = scan_parts(rows)
     found = materialise(rows.mapInArrow(_entries, "h long, cls long, rid long, start int, n int"), "entries")
-    full, apart = sorted_ranges(found)
-    windows = materialise(rows.mapInArrow(partial(_windows, side_files(materialise(apart, "apart"), "apart-files")), "h long, cls long, rid long, start int, n int"), "windows")
-    repeated, _ = sorted_ranges(windows)
-    return side_files(materialise(full.unionAll(repeated), "spans"), "span-files")
+    full, apart, buckets = sorted_ranges(found)
+    discard(found)
+    taken = side_files(apart, "apart-files", parts)
+    windows = rows.mapInArrow(partial(_windows, taken), "w long, rid long, start int, known int")
+    repeated = materialise(windows.repartition(4 * parts, "w").mapInArrow(_repeated, "rid long, start int, n int"), "windows")
+    spans = side_files(full.unionAll(repeated), "span-files", parts, merge=True)
+    discard(buckets, repeated)
+    return spans
 
 
 def dedup(docs: DataFrame) -> DataFrame:
