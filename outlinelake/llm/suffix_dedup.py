@@ -101,7 +101,7 @@ def entries(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in gathered(batches, limit=2 << 20):
+    for t in gathered(batches, limit=1 << 20):
         h, cls, doc, start, n = entries(*texts_of(t))
         rids = t["rid"].to_numpy()[doc]
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(cls), pa.array(rids), pa.array(start, pa.int32()), pa.array(n, pa.int32())], schema=ENTRY)
@@ -251,7 +251,7 @@ class Side:
 
 def _windows(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     side = Side(folder)
-    for t in gathered(batches, limit=2 << 20):
+    for t in gathered(batches, limit=1 << 20):
         rids = t["rid"].to_numpy()
         doc, start, n = side.of(rids)
         if len(doc):
@@ -287,7 +287,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     side = Side(folder)
-    for t in gathered(batches, limit=8 << 20):
+    for t in gathered(batches, limit=1 << 20):
         rids = t["rid"].to_numpy()
         doc, start, n = side.of(rids)
         raw, offsets = texts_of(t)
