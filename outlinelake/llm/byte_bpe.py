@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import PieceIds, replaced
+from .common import PieceIds, replaced, spread
 
 #: What sends a text to the library whole: white space before white space, or characters of other than plain ranges.
 WHOLE = r"[\s][ ]|[ ][\s]|[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{17f}\x{2013}\x{2014}\x{2018}-\x{201d}\x{2022}\x{2026}\x{20ac}]"
@@ -36,7 +36,7 @@ class Encoder:
 
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, each with its leading space if it has one. Those that keep apart in one text are encoded many at a time."""
-        lens, parts = np.zeros(len(pieces), np.int64), {}
+        lens, found = np.zeros(len(pieces), np.int64), []
         apart = pc.match_substring_regex(pieces, r"^ (?s:.*)\S$").to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(apart)
         for at in range(0, len(rows), 2000):
@@ -45,14 +45,16 @@ class Encoder:
             e = self.library.encode("".join(some.to_pylist()), add_special_tokens=False)
             ends = np.cumsum(pc.utf8_length(some).to_numpy(zero_copy_only=False))
             owner = np.searchsorted(ends, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right")
-            n = np.bincount(owner, minlength=len(mine))
-            lens[mine] = n
-            ids = np.array(e.ids, np.uint32)
-            parts.update(zip(mine.tolist(), np.split(ids, np.cumsum(n)[:-1]), strict=True))
-        for r in np.flatnonzero(~apart).tolist():
-            parts[r] = self.whole(pieces[r].as_py())
-            lens[r] = len(parts[r])
-        return lens, np.concatenate([parts[r] for r in range(len(pieces))])
+            lens[mine] = np.bincount(owner, minlength=len(mine))
+            found.append(np.array(e.ids, np.uint32))
+        others = np.flatnonzero(~apart)
+        for r in others.tolist():
+            found.append(self.whole(pieces[r].as_py()))
+            lens[r] = len(found[-1])
+        order = np.concatenate([rows, others])
+        starts = np.empty(len(pieces), np.int64)
+        starts[order] = np.cumsum(lens[order]) - lens[order]
+        return lens, np.concatenate(found)[spread(starts, lens)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of texts without nulls: where each one's ids start (and the end of all), and the ids as uint32."""
