@@ -20,6 +20,9 @@ from .common import PieceIds, replaced, spread
 #: What sends a text to the library whole: white space before white space, or characters of other than plain ranges.
 WHOLE = r"[\s][ ]|[ ][\s]|[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{17f}\x{2013}\x{2014}\x{2018}-\x{201d}\x{2022}\x{2026}\x{20ac}]"
 
+#: Pieces that the library encodes in one text.
+TOGETHER = 500
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -30,6 +33,10 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.pieces = PieceIds(self._pieces)
+        # the vocabulary is spelt with a character for each byte, so a token's length is the bytes it stands for
+        vocabulary = self.library.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -39,14 +46,15 @@ class Encoder:
         lens, found = np.zeros(len(pieces), np.int64), []
         apart = pc.match_substring_regex(pieces, r"^ (?s:.*)\S$").to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(apart)
-        for at in range(0, len(rows), 2000):
-            mine = rows[at : at + 2000]
+        for at in range(0, len(rows), TOGETHER):
+            mine = rows[at : at + TOGETHER]
             some = pieces.take(pa.array(mine))
-            e = self.library.encode("".join(some.to_pylist()), add_special_tokens=False)
-            ends = np.cumsum(pc.utf8_length(some).to_numpy(zero_copy_only=False))
-            owner = np.searchsorted(ends, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right")
-            lens[mine] = np.bincount(owner, minlength=len(mine))
-            found.append(np.array(e.ids, np.uint32))
+            (e,) = self.library.encode_batch_fast(["".join(some.to_pylist())], add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            # a piece ends where a token does, so ids are counted by the bytes they stand for
+            ends = np.cumsum(self.n_bytes[ids])
+            lens[mine] = np.diff(np.searchsorted(ends, np.cumsum(pc.binary_length(some).to_numpy(zero_copy_only=False)), "right"), prepend=0)
+            found.append(ids)
         others = np.flatnonzero(~apart)
         for r in others.tolist():
             found.append(self.whole(pieces[r].as_py()))
