@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import flat, gathered, scratch, texts
+from .common import flat, gathered, materialise, scratch, texts
 
 LONGEST = 2048
 SCHEMA = "doc_id long, start long, length int, doc_tokens long, part int, place long, ids binary"
@@ -69,5 +69,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, longest: int = LONGEST)
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("length", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col("length").alias("b_length"), F.col("part").alias("b_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # stored, so that the join is planned by the size of its files: pieces are shuffled only where that is too much to broadcast
+    bases = materialise(bases, "piece-bases")
     joined = pieces.join(bases, (F.col("length") == F.col("b_length")) & (F.col("part") == F.col("b_part")))
     return joined.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", (F.col("base") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
