@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PieceIds, flat, gathered, replaced, texts
+from .common import PieceIds, flat, gathered, replaced, texts, tidied
 
 #: Fixed values of the vocabulary file's format.
 END = "</w>"
@@ -214,6 +214,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@tidied
 def _encode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for t in gathered(batches, limit=8 << 20):
@@ -223,6 +224,7 @@ def _encode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([flat(t["doc_id"]), lists, decoded], ["doc_id", "ids", "decoded"])
 
 
+@tidied
 def _digest(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for t in gathered(batches, limit=8 << 20):
@@ -237,6 +239,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     return texts(docs).mapInArrow(partial(_encode, tokenizer), "doc_id long, ids array<int>, decoded string")
 
 
+@tidied
 def _decode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for b in batches:

@@ -32,7 +32,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pieces = PieceIds(self._pieces)
+        self.pieces = PieceIds(self._pieces, 400_000)
         # the vocabulary is spelt with a character for each byte, so a token's length is the bytes it stands for
         vocabulary = self.library.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +60,33 @@ def scan_parts(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+@contextmanager
+def small_batches(spark: SparkSession, n_bytes: int = 4 << 20) -> Iterator[None]:
+    """Within it, what goes to Python is cut into batches of n_bytes, not by rows alone: for jobs that run at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def tidied(task: Callable) -> Callable:
+    """A function for mapInArrow that gives the memory it freed back at its end: Python workers live on, so what allocators keep would add to what the next stages need."""
+
+    @wraps(task)
+    def run(*args):
+        try:
+            yield from task(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows, in batches of about `limit` bytes of `column` (one row at least)."""
     for b in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scan_parts, scratch, spread
+from .common import materialise, scan_parts, scratch, spread, tidied
 from .token_files import get, put
 
 SEGMENT, SHARD, BLOCK = 16, 1 << 16, 256
@@ -83,6 +83,7 @@ class Index:
         raise AssertionError("all codes are within the last radius")
 
 
+@tidied
 def _search(k: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     uri, index = None, None
     for b in batches:

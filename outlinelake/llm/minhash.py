@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, gathered, hashed, materialise, mixed, numbered, powers, scan_parts, words
+from .common import flat, gathered, hashed, materialise, mixed, numbered, powers, scan_parts, tidied, words
 from .components import components
 
 K, MATCHES, WORDS, PERCENT, BLOCK = 64, 40, 5, 85, 256
@@ -69,6 +69,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
+@tidied
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for t in gathered(batches, limit=8 << 20):
@@ -81,6 +82,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([flat(t["rid"]), flat(t["doc_id"]), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(signs, pa.binary())], ["rid", "doc_id", "n_shingles", "set_name", "signature"])
 
 
+@tidied
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         at = (np.arange(K, dtype=np.uint64) << np.uint64(32))[None, :]
@@ -111,6 +113,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+@tidied
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         hub, held, held_sign = None, None, None
@@ -163,6 +166,7 @@ def _spanning(rows: list[tuple[int, int, str]], few: int = 8192) -> list[tuple[i
     return out
 
 
+@tidied
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (root, lo, hi): each run of equal ones is compared as a whole."""
     now, held, out = None, [], []

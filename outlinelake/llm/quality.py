@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, gathered, hashed, sliced, tallied, texts, words
+from .common import flat, gathered, hashed, sliced, tallied, texts, tidied, words
 
 BUCKETS, FACTORS, THRESHOLD = 1 << 15, 8, 0.3
 STATS = ["upper", "lower", "digits", "spaces", "marks", "symbols", "bars", "bangs", "line_ends", "distinct", "commonest", "word_length", "lone", "long_words", "log_words", "log_stored"]
@@ -133,6 +133,7 @@ def _stored(t: pa.Table) -> np.ndarray:
     return np.maximum(pc.fill_null(t["n_chars"], 0).to_numpy().astype(float), 0)
 
 
+@tidied
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in gathered(batches, limit=8 << 20):
         rows, index, values, stats = features(flat(t["text"]), _stored(t))
@@ -159,6 +160,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
     return texts(docs, (F.col("n_chars") if "n_chars" in docs.columns else F.lit(0)).cast("long").alias("n_chars"))
 
 
+@tidied
 def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     machine = Machine(*model.value)
     for t in gathered(batches, limit=8 << 20):
@@ -185,6 +187,7 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, machine).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@tidied
 def _keep(model, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     machine = Machine(*model.value)
     for b in sliced(batches, limit=8 << 20):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, flat, gathered, materialise, mixed, numbered, powers, scan_parts, scratch
+from .common import discard, flat, gathered, materialise, mixed, numbered, powers, scan_parts, scratch, tidied
 from .token_files import put
 
 LENGTH, GRAM = 200, 32
@@ -100,6 +100,7 @@ def entries(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return grams[a].view(np.int64), cls.view(np.int64), doc[s], s - offsets[doc[s]], n
 
 
+@tidied
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in gathered(batches, limit=1 << 20):
         h, cls, doc, start, n = entries(*texts_of(t))
@@ -127,6 +128,7 @@ KINDS = "kind int, part int, h long, cls long, rid long, start int, n int"
 FULL, APART, EDGE = 0, 1, 2
 
 
+@tidied
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]  # one range of the entries
     if not held:
@@ -174,6 +176,7 @@ def _merged(t: pa.Table) -> pa.Table:
     return pa.table({"p": t["p"].to_numpy()[at], "rid": rid[at], "start": start[at].astype(np.int32), "n": (size - LENGTH + 1).astype(np.int32)})
 
 
+@tidied
 def _put(folder: str, merge: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by p: a file for each p."""
     held: list[pa.RecordBatch] = []
@@ -249,6 +252,7 @@ class Side:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+@tidied
 def _windows(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     side = Side(folder)
     for t in gathered(batches, limit=1 << 20):
@@ -272,6 +276,7 @@ def _windows(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rids[doc[owner[mine]]]), pa.array(inside[mine], pa.int32()), pa.array(twice[mine] + again, pa.int32())], ["w", "rid", "start", "known"])
 
 
+@tidied
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows whose value stands in several rows, and those known before."""
     held = [b for b in batches if b.num_rows]
@@ -285,6 +290,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table({"rid": rid[rows], "start": start[rows], "n": np.ones(len(rows), np.int32)}).to_batches(max_chunksize=50_000)
 
 
+@tidied
 def _remove(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     side = Side(folder)
     for t in gathered(batches, limit=1 << 20):
@@ -328,6 +334,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(partial(_remove, find(docs)), "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+@tidied
 def _clean(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         t = pa.Table.from_batches([b])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import flat, gathered, materialise, scan_parts, scratch, texts
+from .common import flat, gathered, materialise, scan_parts, scratch, texts, tidied
 
 BLOCK, PERCENTILE, SEGMENT_IDS, MAGIC = 512, 95, 4 << 20, b"PFORSEG1"
 INDEX = np.dtype([("start", "<u8"), ("min", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
@@ -153,6 +153,7 @@ def get(uri: str) -> bytes:
         return f.read()
 
 
+@tidied
 def _write(tokenizer: str, folder: str, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e, task = encoder(tokenizer), TaskContext.get()
     held, docs, lens, total, k = [], [], [], 0, 0
@@ -189,6 +190,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     return materialise(ordered.mapInArrow(partial(_write, tokenizer, folder, end), "part int, segment int, uri string, n_docs long, n_ids long"), "token-manifest")
 
 
+@tidied
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for uri, base in zip(b.column("uri").to_pylist(), b.column("start").to_pylist(), strict=True):

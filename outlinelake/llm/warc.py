@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, scan_parts, scratch
+from .common import materialise, numbered, scan_parts, scratch, tidied
 from .token_files import put
 
 ARCHIVE_BYTES = 64 << 20
@@ -77,6 +77,7 @@ def parse(raw: bytes) -> dict:
     return {"headers": headers, "kind": headers["warc-type"], "payload": payload, "stated": stated}
 
 
+@tidied
 def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, k, held, size, entries = TaskContext.get().partitionId(), 0, [], 0, []
 
@@ -158,6 +159,7 @@ class LoserTree:
             self.replay(w)
 
 
+@tidied
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(batches)  # one range of the index; its size is set by the number of ranges
     if not held:
@@ -180,6 +182,7 @@ def merge(runs: DataFrame, ranges: int | None = None) -> DataFrame:
     return materialise(dealt.mapInArrow(_merge, RUN_SCHEMA + ", part int, at long"), "captures")
 
 
+@tidied
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     uri, f = None, None
     for b in batches:
