@@ -105,6 +105,18 @@ def test_language_model(spark, stored, none, real):
     assert all(r.n_known == 0 and r.base_score == 0 for r in pitman_yor.score(stored, F.lit(True)).collect())
 
 
+def test_contexts_of_the_language_model(spark, tmp_path):
+    import inspect
+
+    pairs = [("end.", "comma,"), ("seven7", "zoo-"), ("back", "zoo-"), ("war", "dog")]  # each pair's last bytes have classes of their own
+    rows = [(i, f"{a} x{k}" if i % 2 else f"{b} y{k}") for i in range(200) for k, (a, b) in enumerate(pairs)]
+    asked = [(1000 + 2 * k + j, f"{a} {'xy'[j]}{k}") for k, (a, _) in enumerate(pairs) for j in range(2)]
+    spark.createDataFrame(rows + asked, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.read.parquet(str(tmp_path / "d")), F.col("doc_id") >= 1000).where("doc_id >= 1000").collect()}
+    assert [k for k in range(len(pairs)) if got[1000 + 2 * k] < got[1001 + 2 * k] + 0.5] == []
+    assert inspect.signature(pitman_yor.score).parameters["burn"].default == 2
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     c = rng.integers(0, 9, (50, pitman_yor.CLASSES)) + (np.arange(50) == 0)[:, None] * 500
