@@ -1,10 +1,11 @@
 """MinHash near-duplicates by an inverted join of signature coordinates (operator 9).
 
 Every text becomes its set of distinct 5-word shingles (64-bit hashes) and a signature of K minima. Equal sets are one
-class. A class is posted under its (coordinate, value) pairs. A pair of sets with Jaccard similarity >= 0.85 agrees in
-at least MATCHES of the K coordinates (but for about one pair in a million at 0.85 exactly, fewer above), so of each
-class only a prefix of its postings, rarest first, has to be joined: values that no other class has come first and
-need no posting, and a class with fewer than MATCHES shared values has no partner at all.
+class. A class is posted under its (coordinate, value) pairs. A pair of sets with Jaccard similarity of `percent` or
+more agrees in at least `matches` of the K coordinates (but for two pairs in a million at 85 and 40, and one at 80
+and 35, if the similarity is no higher than that, fewer above), so of each class only a prefix of its postings, rarest first, has to be joined: values
+that no other class has come first and need no posting, and a class with fewer than `matches` shared values has no
+partner at all.
 
 A posting list isn't expanded into all pairs. First each list's smallest member (its hub) is compared with the other
 members: collisions of the two signatures are counted, and pairs above the threshold are confirmed on their full sets.
@@ -21,6 +22,7 @@ gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -94,27 +96,27 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from pa.Table.from_arrays([pa.array(keys.reshape(-1)), pa.array(cids)], ["key", "cid"]).to_batches(max_chunksize=50_000)
 
 
-def agreeing(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two signatures agree in MATCHES coordinates at least; what can't reach that is left after a part."""
+def agreeing(a: np.ndarray, b: np.ndarray, matches: int = MATCHES) -> bool:
+    """Whether two signatures agree in `matches` coordinates at least; what can't reach that is left after a part."""
     found = 0
     for at in range(0, K, 16):
         found += int((a[at : at + 16] == b[at : at + 16]).sum())
-        if found + K - at - 16 < MATCHES:
+        if found + K - at - 16 < matches:
             return False
-    return found >= MATCHES
+    return found >= matches
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if not len(small) or 100 * len(small) < PERCENT * len(large):
+    if not len(small) or 100 * len(small) < percent * len(large):
         return False
     at = np.searchsorted(large, small)
     both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 @tidied
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(percent: int, matches: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         hub, held, held_sign = None, None, None
         for b in batches:
@@ -126,11 +128,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if a != hub:
                         hub, held = a, shingle_sets(part.column("text_a").slice(i, 1))[0]
                         held_sign = signature(held)
-                    linked.append(agreeing(held_sign, signature(sets[i])) and similar(held, sets[i]))
+                    linked.append(agreeing(held_sign, signature(sets[i]), matches) and similar(held, sets[i], percent))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
-def _spanning(rows: list[tuple[int, int, str]], few: int = 8192) -> list[tuple[int, int]]:
+def _spanning(rows: list[tuple[int, int, str]], percent: int = PERCENT, few: int = 8192) -> list[tuple[int, int]]:
     """Links between (cid, component, text) of different components, as many as join them: all pairs are compared on full sets by products of incidence matrices, and the links that join nothing new are left out."""
     up = {c: c for _, c, _ in rows}
 
@@ -156,7 +158,7 @@ def _spanning(rows: list[tuple[int, int, str]], few: int = 8192) -> list[tuple[i
         m[owner[lo:hi], column[lo:hi] - at] = 1
         both += m @ m.T
     shared = both.astype(np.int64)
-    linked = np.triu(100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared), 1)
+    linked = np.triu(100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared), 1)
     out = []
     for i, j in np.argwhere(linked).tolist():
         x, y = top(rows[i][1]), top(rows[j][1])
@@ -167,16 +169,16 @@ def _spanning(rows: list[tuple[int, int, str]], few: int = 8192) -> list[tuple[i
 
 
 @tidied
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (root, lo, hi): each run of equal ones is compared as a whole."""
     now, held, out = None, [], []
     for b in batches:
         for root, lo, hi, cid, comp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (root, lo, hi) != now:
-                out += _spanning(held)
+                out += _spanning(held, percent)
                 now, held = (root, lo, hi), []
             held.append((cid, comp, text))
-    out += _spanning(held)
+    out += _spanning(held, percent)
     yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
@@ -186,7 +188,7 @@ def _hubs(lists: DataFrame) -> DataFrame:
     return lists.join(materialise(hubs, "hubs"), F.col("key") == F.col("hub_key")).where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
 
 
-def _rest(lists: DataFrame, comps: DataFrame, texts_: DataFrame) -> DataFrame:
+def _rest(lists: DataFrame, comps: DataFrame, texts_: DataFrame, percent: int) -> DataFrame:
     """a, b: links that the hubs didn't show, from the lists whose members are in several components still. Lists that share members are one cluster; a cluster is dealt into blocks, and each pair of blocks is compared in one place."""
     now = materialise(lists.join(comps, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("comp")), "members")
     open_lists = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("open_key"))
@@ -199,17 +201,17 @@ def _rest(lists: DataFrame, comps: DataFrame, texts_: DataFrame) -> DataFrame:
     placed = materialise(placed.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cid", "comp"), "placed")
     rows = placed.join(texts_, "cid").select("root", "lo", "hi", "cid", "comp", "text")
     dealt = rows.repartition(scan_parts(texts_) * 4, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "cid")
-    return dealt.mapInArrow(_compare, "a long, b long")
+    return dealt.mapInArrow(partial(_compare, percent), "a long, b long")
 
 
-def links(classes: DataFrame, text_of: DataFrame) -> DataFrame | None:
+def links(classes: DataFrame, text_of: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame | None:
     """node, root of classes (cid, signature) that have links; text_of has cid and text. None: no class can have any."""
     postings = materialise(classes.mapInArrow(_postings, "key long, cid long"), "postings")
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
     shared = materialise(postings.join(materialise(shared, "shared"), F.col("key") == F.col("k")).select("key", "cid", "n"), "shared-postings")
     # a class's postings, at most K, rarest first; values of its own stand before them all
-    of_class = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all")).where(F.size("all") >= MATCHES)
-    prefix = of_class.select("cid", F.explode(F.expr(f"slice(all, 1, size(all) - {MATCHES} + 1)")).alias("p")).select(F.col("p.key").alias("key"), "cid")
+    of_class = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all")).where(F.size("all") >= matches)
+    prefix = of_class.select("cid", F.explode(F.expr(f"slice(all, 1, size(all) - {matches} + 1)")).alias("p")).select(F.col("p.key").alias("key"), "cid")
     prefix = materialise(prefix, "prefix")
     several = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"))
     lists = materialise(prefix.join(materialise(several, "several"), F.col("key") == F.col("k"), "left_semi"), "lists")
@@ -219,21 +221,21 @@ def links(classes: DataFrame, text_of: DataFrame) -> DataFrame | None:
     pairs = materialise(_hubs(lists), "pairs")
     one = pairs.join(texts_.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts_.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").sortWithinPartitions("a")
-    checked = two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean")
+    checked = two.select("a", "b", "text_a", "text_b").mapInArrow(partial(_confirm, percent, matches), "a long, b long, linked boolean")
     comps = materialise(components(checked.where("linked").select("a", "b")), "components")
-    more = materialise(_rest(lists, comps, texts_), "more-links")
+    more = materialise(_rest(lists, comps, texts_, percent), "more-links")
     if more.isEmpty():
         return comps
     return materialise(components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "components")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id, kept of each row; kept is true of one row of each component (rid: see numbered())."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id, kept of each row; kept is true of one row of each component (rid: see numbered()). Sets of `percent` or more similarity are linked."""
     rows = numbered(docs).select("rid", F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     signed = materialise(rows.mapInArrow(_signatures, "rid long, doc_id long, n_shingles long, set_name binary, signature binary"), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid"))
     classes = materialise(signed.where("n_shingles > 0").groupBy("set_name").agg(best.alias("best"), F.min("rid").alias("cid"), F.any_value("signature").alias("signature")), "classes")
-    comps = links(classes.select("cid", "signature"), rows.select(F.col("rid").alias("cid"), "text"))
+    comps = links(classes.select("cid", "signature"), rows.select(F.col("rid").alias("cid"), "text"), percent, matches)
     named = classes.select("set_name", "cid", "best")
     if comps is None:
         named = named.select("set_name", F.col("best").alias("top"))

@@ -341,6 +341,28 @@ def test_near_copies(spark, stored, none, real, tmp_path):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_stage_of_near_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    rng, rows = np.random.default_rng(4), []
+    for g in range(60):  # pairs of 0.81 (four of 200 words changed), then families around 0.8
+        w = [f"g{g}w{k}" for k in range(200)]
+        rows += [(10 * g, " ".join(w)), (10 * g + 1, " ".join("x" if k in (30, 70, 110, 150) else x for k, x in enumerate(w)))]
+        for i in range(2, 8 if g >= 40 else 2):
+            changed = set(rng.choice(200, int(rng.integers(2, 8)), replace=False).tolist())
+            rows.append((10 * g + i, " ".join(f"y{i}" if k in changed else x for k, x in enumerate(w))))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "n"))
+    kept = {r.doc_id for r in corpus_pipeline.apart(spark, spark.read.parquet(str(tmp_path / "n")), SF).collect()}
+    assert kept == {i for i, r in root.items() if i == r} and not kept & {10 * g + 1 for g in range(60)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (41, 50), (60, 61)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
