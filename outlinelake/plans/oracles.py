@@ -149,6 +149,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE length(coalesce(text, '')) > greatest(doc_id % 50, doc_id * 7 % 90)""",
         "line_breaks": _CHARS + """, b AS (SELECT doc, idx, ch, coalesce(abs(top - lag(top) OVER w) > 15 OR abs(lft - lag(lft) OVER w) > 60, false) AS breaks FROM placed WINDOW w AS (PARTITION BY doc ORDER BY idx)),
             t AS (SELECT doc, string_agg(CASE WHEN breaks THEN chr(10) ELSE '' END || ch, '' ORDER BY idx) AS text FROM b GROUP BY doc) SELECT doc, md5(text) AS text_md5, length(text) AS n_chars FROM t""",
+        "char_quads": _CHARS + "SELECT doc, idx, lft AS x0, top AS y0, lft + 6 AS x2, top - 10 AS y2, 0.0::DOUBLE AS rotation FROM placed",
         "selection_quads": _CHARS + "SELECT doc, idx, lft AS x0, top AS y0, lft + 6 AS x2, top - 10 AS y2, 0.0::DOUBLE AS rotation FROM placed WHERE idx < doc % 50 + 1",
         "char_hit": _CHARS + """, p AS (SELECT doc_id AS doc, (doc_id * 13) % 500 + 0.25::DOUBLE AS x, -1.0::DOUBLE * ((doc_id * 5) % 60) - 0.5 AS y FROM documents),
             d AS (SELECT doc, idx, greatest(lft - x, x - lft - 6, 0) AS dx, greatest(top - 10 - y, y - top, 0) AS dy FROM placed JOIN p USING (doc))

@@ -267,12 +267,19 @@ def line_breaks(spark, sf):
     return t.select("doc", F.md5("text").alias("text_md5"), F.char_length("text").cast("long").alias("n_chars"))
 
 
-def selection_quads(spark, sf):
-    q = text.quads(_chars(spark, sf).where(F.col("idx") < F.col("doc") % 50 + 1))
+def _corners(q):
     c = lambda k, f: F.col("quad")[k][f]
     return q.select("doc", "idx", c(0, "x").alias("x0"), c(0, "y").alias("y0"), c(2, "x").alias("x2"), c(2, "y").alias("y2"), "rotation")
 
 
+def char_quads(spark, sf):
+    return _corners(text.quads(_chars(spark, sf)))
+
+
+def selection_quads(spark, sf):
+    return _corners(text.quads(_chars(spark, sf).where(F.col("idx") < F.col("doc") % 50 + 1)))
+
+
 def char_hit(spark, sf):
     points = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("probe"), ((F.col("doc_id") * 13) % 500 + 0.25).cast("double").alias("x"), (-1.0 * ((F.col("doc_id") * 5) % 60) - 0.5).cast("double").alias("y"))
     return text.hit_test(_chars(spark, sf), points)

@@ -28,3 +28,9 @@ def test_entry_has_no_llm_needs(spark):
 
     assert set(oracles.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["doc", "rn", "eff", "clamped"]
+
+
+def test_every_character_has_a_quad(spark, con):
+    n, last = con.execute("SELECT sum(length(text)), max(length(text)) - 1 FROM documents").fetchone()
+    q = queries.queries()["char_quads"](spark, SF)
+    assert (q.count(), q.agg({"idx": "max"}).first()[0]) == (n, last) and last >= 50
