@@ -7,7 +7,7 @@ segment s at radius r every code within m * r + s (m segments, s from 0) has bee
 k-th verified distance is no larger. Shards' results are merged by distance and id.
 
 Defined results: null vectors have no code: they are in no result and, as queries, have none. Null elements count as
-0; elements after the first `bits` are ignored and missing ones count as 0. A query finds itself too. Ties go to the
+0; elements after the first `bits` are ignored (width() is that of all) and missing ones count as 0. A query finds itself too. Ties go to the
 smallest id; fewer than k codes give fewer rows. Repeated rows are found as often as they are there.
 """
 
@@ -28,15 +28,25 @@ from .token_files import get, put
 SEGMENT, SHARD, BLOCK = 16, 1 << 16, 256
 
 
+def width(vectors: DataFrame) -> int:
+    """Elements of the longest vector."""
+    return max(1, vectors.agg(F.max(F.size("embedding"))).first()[0] or 0)
+
+
 def code(vector: Column, bits: int = 64) -> Column:
-    """Signs of the first `bits` (64 at most) elements as a long; null for null vectors."""
-    signs = F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    """Signs of the first `bits` elements, 64 a long; null for null vectors."""
+    return F.when(vector.isNotNull(), F.array(*(_long(F.slice(vector, at + 1, min(64, bits - at))) for at in range(0, bits, 64))))
+
+
+def _long(vector: Column) -> Column:
+    signs = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(signs, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
 def _shard(folder: str, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["id", "code"])
-    uri = put(folder, f"{key[0]}.codes", rows["id"].to_numpy("<i8").tobytes() + rows["code"].to_numpy("<i8").tobytes())
+    ids, codes = rows["id"].to_numpy("<i8"), np.stack(rows["code"].to_list()).astype("<i8")
+    order = np.lexsort([*codes.T[::-1], ids])
+    uri = put(folder, f"{key[0]}.codes", ids[order].tobytes() + codes[order].tobytes())
     return pd.DataFrame({"shard": [key[0]], "uri": [uri]})
 
 
@@ -52,27 +62,28 @@ class Index:
     """The segment tables of one shard."""
 
     def __init__(self, raw: bytes, bits: int):
-        n = len(raw) // 16
-        self.ids, self.codes = np.frombuffer(raw[: 8 * n], "<i8"), np.frombuffer(raw[8 * n :], "<u8")
+        longs = -(-bits // 64)
+        n = len(raw) // (8 + 8 * longs)
+        self.ids, self.codes = np.frombuffer(raw[: 8 * n], "<i8"), np.frombuffer(raw[8 * n :], "<u8").reshape(n, longs)
         self.m = -(-bits // SEGMENT)
         self.tables = []
         for s in range(self.m):
-            part = ((self.codes >> np.uint64(SEGMENT * s)) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)
+            part = ((self.codes[:, SEGMENT * s // 64] >> np.uint64(SEGMENT * s % 64)) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             self.tables.append((np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << SEGMENT))]), order))
 
-    def search(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest codes, by distance and id."""
-        q, seen = np.uint64(query & 0xFFFFFFFFFFFFFFFF), np.zeros(len(self.codes), bool)
+        q, seen = np.array(query, np.int64).view(np.uint64), np.zeros(len(self.codes), bool)
         rows, distances, k = [], [], min(k, len(self.codes))
-        within = np.zeros(64 * 2 + 1, np.int64)
+        within = np.zeros(64 * len(q) + 1, np.int64)
         for r in range(SEGMENT + 1):
             for s, (offsets, order) in enumerate(self.tables):
-                probes = masks()[r] ^ int((q >> np.uint64(SEGMENT * s)) & np.uint64((1 << SEGMENT) - 1))
+                probes = masks()[r] ^ int((q[SEGMENT * s // 64] >> np.uint64(SEGMENT * s % 64)) & np.uint64((1 << SEGMENT) - 1))
                 found = order[spread(offsets[probes], offsets[probes + 1] - offsets[probes])]
                 found = found[~seen[found]]
                 seen[found] = True
-                d = np.bitwise_count(self.codes[found] ^ q).astype(np.int64)
+                d = np.bitwise_count(self.codes[found] ^ q).sum(axis=1, dtype=np.int64)
                 rows.append(found)
                 distances.append(d)
                 within += np.bincount(d, minlength=len(within))

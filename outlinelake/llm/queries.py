@@ -46,7 +46,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % 20 == 0, k=10)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hamming.top_k(vectors, queries=F.col("vec_id") % 20 == 0, k=10, bits=hamming.width(vectors))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,6 +282,16 @@ def test_search(spark, tmp_path):
     assert hamming.top_k(v.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_search_of_wide_vectors(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    rows = [(i, [1.0] * 64 + [float(x) for x in rng.choice([-1, 1], 86)]) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for x in queries.op7_hamming(spark, str(tmp_path)).orderBy("rank").collect():
+        got.setdefault(x.query_id, []).append((x.distance, x.vec_id))
+    assert got == {i: sorted((sum(x != y for x, y in zip(a, b)), j) for j, b in rows)[:10] for i, a in rows if i % 20 == 0}
+
+
 def test_classifier(spark, stored, none):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.predict(docs, labels).join(labels, "doc_id").where("held_out").collect()
