@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PieceIds, flat, gathered, replaced, texts, tidied
+from .common import PieceIds, byte_symbols, flat, gathered, replaced, texts, tidied
 
 #: Fixed values of the vocabulary file's format.
 END = "</w>"
@@ -41,13 +41,6 @@ PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{132}-\x{17f}\x{2013}\x{2014}\x{2018}
 CACHE = 200_000
 
 
-def byte_symbols() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-
-
 class Automaton:
     """The compiled merges of one vocabulary. encode() follows arcs, label() is what an arc emits."""
 

@@ -150,41 +150,123 @@ def words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return coded(pc.ascii_split_whitespace(column.cast(pa.large_string())), lower)
 
 
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class PieceIds:
-    """Ids of pieces met before, held as Arrow and numpy arrays of bounded size; new pieces are given to `encode` at once."""
+    """Ids of pieces met before; new pieces are given to `encode` at once. An open-addressed table of 64-bit hashes leads to a piece's place, and its bytes are compared before its ids count. At `limit` pieces the half that was used least lately goes."""
 
     def __init__(self, encode, limit: int = 1_500_000):
         self.encode, self.limit = encode, limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = pa.array([], pa.large_string())
-        self.starts, self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def of(self, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Of each piece: where its ids start in self.ids, and how many they are."""
-        at = pc.index_in(dictionary, value_set=self.keys)
-        fresh = dictionary.filter(pc.is_null(at))
-        if len(fresh):
-            if len(self.keys) and len(self.keys) + len(fresh) > self.limit:
-                self.clear()
-                return self.of(dictionary)
-            lens, ids = self.encode(fresh)
-            new = np.cumsum(lens) - lens + len(self.ids)
-            slots = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            slots[pc.is_null(at).to_numpy(zero_copy_only=False)] = np.arange(len(self.keys), len(self.keys) + len(fresh))
-            self.keys = pa.concat_arrays([self.keys, fresh])
-            self.starts, self.lens, self.ids = np.concatenate([self.starts, new]), np.concatenate([self.lens, lens]), np.concatenate([self.ids, ids])
-        else:
-            slots = at.to_numpy(zero_copy_only=False).astype(np.int64)
-        return self.starts[slots], self.lens[slots]
+        self.mask = np.uint64((1 << max(8, (2 * limit).bit_length())) - 1)
+        self.now = 0
+        self._hold(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def _hold(self, hashes, raw, sizes, ids, lens, used) -> None:
+        """Hold these pieces only."""
+        self.table = np.full(int(self.mask) + 1, -1, np.int32)
+        self.n = 0
+        self.hashes, self.used = np.zeros(1024, np.uint64), np.zeros(1024, np.int32)
+        self.at, self.starts = np.zeros(1025, np.int64), np.zeros(1025, np.int64)
+        self.raw, self.ids = np.zeros(1 << 14, np.uint8), np.zeros(1 << 14, np.uint32)
+        self._add(hashes, raw, sizes, ids, lens, used)
+
+    @staticmethod
+    def _grown(a: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(a):
+            return a
+        out = np.zeros(max(n, len(a) + len(a) // 2), a.dtype)
+        out[: len(a)] = a
+        return out
+
+    def _add(self, hashes, raw, sizes, ids, lens, used) -> None:
+        """Pieces that aren't held: their hashes (all different), bytes, sizes, ids, numbers of ids and last use."""
+        n, m = self.n, self.n + len(hashes)
+        self.hashes, self.used = self._grown(self.hashes, m), self._grown(self.used, m)
+        self.at, self.starts = self._grown(self.at, m + 1), self._grown(self.starts, m + 1)
+        self.hashes[n:m], self.used[n:m] = hashes, used
+        self.at[n + 1 : m + 1], self.starts[n + 1 : m + 1] = self.at[n] + np.cumsum(sizes), self.starts[n] + np.cumsum(lens)
+        self.raw, self.ids = self._grown(self.raw, int(self.at[m])), self._grown(self.ids, int(self.starts[m]))
+        self.raw[self.at[n] : self.at[m]], self.ids[self.starts[n] : self.starts[m]] = raw, ids
+        self.n = m
+        left = np.arange(n, m)
+        slot = (hashes & self.mask).astype(np.int64)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            lost = self.table[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & int(self.mask)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it isn't held."""
+        out = np.full(len(hashes), -1, np.int64)
+        left, slot = np.arange(len(hashes)), (hashes & self.mask).astype(np.int64)
+        while len(left):
+            place = self.table[slot]
+            hit = (place >= 0) & (self.hashes[place] == hashes[left])
+            out[left[hit]] = place[hit]
+            on = (place >= 0) & ~hit
+            left, slot = left[on], (slot[on] + 1) & int(self.mask)
+        return out
+
+    def of(self, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece: where its ids start, how many they are; and the ids."""
+        self.now += 1
+        raw, offsets = raw_bytes(dictionary)
+        sizes, hashes = np.diff(offsets), hashed(dictionary)
+        place = self._find(hashes)
+        held = np.flatnonzero(place >= 0)
+        # a hash that stands for other bytes is no hit
+        here, there = raw[spread(offsets[held], sizes[held])], self.at[place[held]]
+        same = self.at[place[held] + 1] - there == sizes[held]
+        if not same.all():
+            place[held[~same]], held, there = -2, held[same], there[same]
+            here = raw[spread(offsets[held], sizes[held])]
+        differ = np.concatenate([[0], np.cumsum(here != self.raw[spread(there, sizes[held])])])
+        ends = np.cumsum(sizes[held])
+        place[held[differ[ends] > differ[ends - sizes[held]]]] = -2
+        self.used[place[place >= 0]] = self.now
+        fresh = np.flatnonzero(place < 0)
+        if not len(fresh):
+            return self.starts[place], self.starts[place + 1] - self.starts[place], self.ids
+        lens, ids = self.encode(dictionary.take(pa.array(fresh)))
+        starts = np.cumsum(lens) - lens
+        # two new pieces of one hash: the first is held
+        own = np.unique(hashes[fresh], return_index=True)[1]
+        own = own[place[fresh[own]] == -1]
+        new = fresh[own]
+        if self.n + len(new) > self.limit:
+            kept = np.sort(np.argsort(self.used[: self.n], kind="stable")[self.n - max(0, min(self.n // 2, self.limit - len(new))) :])
+            back = np.full(self.n, -1, np.int64)
+            back[kept] = np.arange(len(kept))
+            known = place >= 0
+            gone = known & (back[place] < 0)
+            if gone.any():  # pieces of this batch are used now, so only a batch of more than half the limit gets here
+                more, sums = self.starts[place[gone]], self.starts[place[gone] + 1] - self.starts[place[gone]]
+                lens, ids = np.concatenate([lens, sums]), np.concatenate([ids, self.ids[spread(more, sums)]])
+                starts = np.cumsum(lens) - lens
+                fresh = np.concatenate([fresh, np.flatnonzero(gone)])
+            sizes_, lens_ = self.at[kept + 1] - self.at[kept], self.starts[kept + 1] - self.starts[kept]
+            self._hold(self.hashes[kept], self.raw[spread(self.at[kept], sizes_)], sizes_, self.ids[spread(self.starts[kept], lens_)], lens_, self.used[kept])
+            place = np.where(known, back[place], -1)
+        room = min(len(new), self.limit - self.n)
+        new, own = new[:room], own[:room]
+        self._add(hashes[new], raw[spread(offsets[new], sizes[new])], sizes[new], ids[spread(starts[own], lens[own])], lens[own], np.full(room, self.now))
+        out = np.concatenate([self.ids[: self.starts[self.n]], ids])
+        at, n = self.starts[place], self.starts[place + 1] - self.starts[place]
+        at[fresh], n[fresh] = self.starts[self.n] + starts, lens
+        return at, n, out
 
     def texts(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of lists of pieces: where each list's ids start (and the end of all), and the ids."""
         offsets, codes, dictionary = coded(lists)
-        starts, lens = self.of(dictionary)
+        starts, lens, ids = self.of(dictionary)
         per = lens[codes]
-        return np.concatenate([[0], np.cumsum(per)])[offsets].astype(np.int64), self.ids[spread(starts[codes], per)]
+        return np.concatenate([[0], np.cumsum(per)])[offsets].astype(np.int64), ids[spread(starts[codes], per)]
 
 
 def replaced(starts: np.ndarray, ids: np.ndarray, own: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,18 +300,23 @@ def powers(n: int, base: np.uint64 = _ODD) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def hashed(strings: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string's bytes."""
+def raw_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings one after the other, and where each starts (and the end of all)."""
     strings = strings.cast(pa.large_binary())
     if not len(strings):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
     raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    lens = np.diff(offsets)
-    inside = np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], lens)
+    return raw, offsets - offsets[0]
+
+
+def hashed(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string's bytes."""
+    raw, at = raw_bytes(strings)
+    lens = np.diff(at)
+    inside = np.arange(len(raw)) - np.repeat(at[:-1], lens)
     terms = (raw.astype(np.uint64) + np.uint64(1)) * powers(int(lens.max(initial=0)))[inside]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-    at = offsets - offsets[0]
     return mixed(sums[at[1:]] - sums[at[:-1]] + lens.astype(np.uint64) * _ODD)
 
 

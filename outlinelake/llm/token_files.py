@@ -10,7 +10,7 @@ Files get their name by a move after they are complete, and only files of commit
 task that runs again leaves nothing half-written to be read.
 
 Defined results: null and empty texts have the end id only. Null doc_ids sort first; rows with equal doc_id are
-ordered by their text. Extra columns are ignored. An empty table gives no documents. A document is never split over
+in input order. Extra columns are ignored. An empty table gives no documents. A document is never split over
 segments, whatever its length.
 """
 
@@ -34,6 +34,8 @@ from .byte_bpe import encoder
 from .common import flat, gathered, materialise, scan_parts, scratch, texts, tidied
 
 BLOCK, PERCENTILE, SEGMENT_IDS, MAGIC = 512, 95, 4 << 20, b"PFORSEG1"
+#: Files that a reading task opens, one after the other.
+SEGMENTS = 4
 INDEX = np.dtype([("start", "<u8"), ("min", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
 
@@ -137,13 +139,18 @@ def read_block(raw: bytes, k: int) -> np.ndarray:
 
 
 def put(folder: str, name: str, raw: bytes) -> str:
-    """Write a file under a passing name, then move it to its own."""
+    """Write a file under a passing name, then move it to its own. A file of that name is of an earlier attempt of the same task, with the same content: where the store refuses to replace it, it stays."""
     store, base = pafs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     part = f"{base}/.{name}-{uuid.uuid4().hex}"
     with store.open_output_stream(part) as f:
         f.write(raw)
-    store.move(part, f"{base}/{name}")
+    try:
+        store.move(part, f"{base}/{name}")
+    except OSError:
+        if store.get_file_info(f"{base}/{name}").type != pafs.FileType.File:
+            raise
+        store.delete_file(part)
     return f"{folder}/{name}"
 
 
@@ -184,9 +191,10 @@ MANIFEST = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("uri", pa.
 
 def write(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     """Encode and write all documents in ascending doc_id order; the manifest of files: part, segment, uri, n_docs, n_ids."""
-    rows = texts(docs)
+    rows = texts(docs, F.monotonically_increasing_id().alias("rid"))
     n, folder = scan_parts(rows), scratch(docs.sparkSession, "token-files")
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the row number splits a doc_id of many rows, and null, over ranges
+    ordered = rows.repartitionByRange(n, "doc_id", "rid").sortWithinPartitions("doc_id", "rid")
     return materialise(ordered.mapInArrow(partial(_write, tokenizer, folder, end), "part int, segment int, uri string, n_docs long, n_ids long"), "token-manifest")
 
 
@@ -203,7 +211,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    order = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).cast("long"))
-    n = max(1, manifest.count())
-    return files.select("uri", "start").repartition(n).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    # sums over the parts, one row a part, and over the segments inside each
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn("base", F.coalesce(F.sum("ids").over(before("part")), F.lit(0)))
+    inside = manifest.withColumn("inside", F.coalesce(F.sum("n_ids").over(before("part", "segment")), F.lit(0)))
+    files = inside.join(parts.select("part", "base"), "part").select("uri", (F.col("base") + F.col("inside")).cast("long").alias("start"))
+    return files.repartition(max(1, -(-manifest.count() // SEGMENTS))).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
