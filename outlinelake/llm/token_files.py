@@ -34,6 +34,8 @@ from .byte_bpe import encoder
 from .common import flat, gathered, materialise, scan_parts, scratch, texts, tidied
 
 BLOCK, PERCENTILE, SEGMENT_IDS, MAGIC = 512, 95, 4 << 20, b"PFORSEG1"
+#: Blocks that are packed or unpacked at once, which bounds the memory that takes.
+RUN = 1_024
 #: Files that a reading task opens, one after the other.
 SEGMENTS = 4
 INDEX = np.dtype([("start", "<u8"), ("min", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
@@ -66,8 +68,17 @@ def unpack(words: np.ndarray, width: int) -> np.ndarray:
 
 def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Payload and block index of uint32 ids; the last block is filled up with its first id."""
-    if not len(ids):
-        return b"", np.zeros(0, INDEX)
+    payloads, indexes, start = [b""], [np.zeros(0, INDEX)], 0
+    for at in range(0, len(ids), RUN * BLOCK):
+        payload, index = _encode_run(ids[at : at + RUN * BLOCK])
+        index["start"] += start
+        start += len(payload)
+        payloads.append(payload)
+        indexes.append(index)
+    return b"".join(payloads), np.concatenate(indexes)
+
+
+def _encode_run(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     n = -(-len(ids) // BLOCK)
     full = np.empty(n * BLOCK, np.uint32)
     full[: len(ids)] = ids
@@ -94,15 +105,18 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 def decode_blocks(payload: memoryview, index: np.ndarray, n_ids: int) -> np.ndarray:
     out = np.zeros((len(index), BLOCK), np.uint32)
-    for w in np.unique(index["width"]).tolist():
-        mine = np.flatnonzero(index["width"] == w)
-        if w:
-            size, starts = BLOCK // 8 * w, index["start"][mine].tolist()
-            out[mine] = unpack(np.frombuffer(b"".join([payload[a : a + size] for a in starts]), "<u8").reshape(len(mine), -1), w)
+    for first in range(0, len(index), RUN):
+        rows = index[first : first + RUN]
+        for w in np.unique(rows["width"]).tolist():
+            mine = np.flatnonzero(rows["width"] == w)
+            if w:
+                size, starts = BLOCK // 8 * w, rows["start"][mine].tolist()
+                out[first + mine] = unpack(np.frombuffer(b"".join([payload[a : a + size] for a in starts]), "<u8").reshape(len(mine), -1), w)
     for i in np.flatnonzero(index["exceptions"]).tolist():
         n, at = int(index["exceptions"][i]), int(index["start"][i]) + BLOCK // 8 * int(index["width"][i])
         out[i, np.frombuffer(payload[at : at + 2 * n], "<u2")] = np.frombuffer(payload[at + 2 * n : at + 6 * n], "<u4")
-    return (out + index["min"][:, None]).reshape(-1)[:n_ids]
+    out += index["min"][:, None]
+    return out.reshape(-1)[:n_ids]
 
 
 def segment(ids: np.ndarray, doc_ids: list[int | None], lens: np.ndarray) -> bytes:
@@ -172,7 +186,7 @@ def _write(tokenizer: str, folder: str, end: int, batches: Iterator[pa.RecordBat
         held, docs, lens, total, k = [], [], [], 0, k + 1
         return row
 
-    for t in gathered(batches, limit=8 << 20):
+    for t in gathered(batches, limit=4 << 20):
         starts, ids = e.encode(flat(t["text"]))
         n = np.diff(starts)
         ended = np.insert(ids, starts[1:], np.uint32(end))
