@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,29 +20,46 @@ CHUNK_BYTES = 16 << 20
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir; a local temporary one only where that is unset and all runs on this machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints/outlinelake"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def few_shuffle_files(spark: SparkSession):
+    """Within it, a job's shuffle files go when the job has ended."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    with few_shuffle_files(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*stored: DataFrame) -> None:
-    """Delete what materialise() wrote, once all that is made of it is stored; shuffle files no plan refers to go with it."""
-    for df in stored:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+def discard(*stored: DataFrame | str) -> None:
+    """Delete what materialise() wrote, or folders, once all that is made of it is stored."""
+    for x in stored:
+        spark = SparkSession.getActiveSession() if isinstance(x, str) else x.sparkSession
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        for folder in [x] if isinstance(x, str) else {f.rpartition("/")[0] for f in x.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    stored[0].sparkSession._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +76,9 @@ def scan_parts(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-@contextmanager
-def small_batches(spark: SparkSession, n_bytes: int = 4 << 20) -> Iterator[None]:
+def small_batches(spark: SparkSession, n_bytes: int = 4 << 20):
     """Within it, what goes to Python is cut into batches of n_bytes, not by rows alone: for jobs that run at once."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n_bytes))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
 
 
 def tidied(task: Callable) -> Callable:
@@ -325,9 +334,3 @@ def tallied(offsets: np.ndarray, codes: np.ndarray, n_codes: int) -> tuple[np.nd
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     keys, counts = np.unique(rows * max(1, n_codes) + codes, return_counts=True)
     return keys // max(1, n_codes), keys % max(1, n_codes), counts
-
-
-def having(docs: DataFrame, rids: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose number (see numbered()) is among `rids`."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    return rows.join(rids.select(F.col("rid").alias("wanted")), F.col("rid") == F.col("wanted"), "left_semi").select("row.*")

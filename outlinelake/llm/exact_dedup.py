@@ -1,7 +1,7 @@
 """Exact deduplication with a minimal perfect hash over historical digests (operator 6).
 
 Digests, lengths and pre-aggregates are made by the JVM. The historical distinct digests are dealt into shards of
-bounded size by the digest's leading bits; each shard gets a minimal perfect hash (displacements found bucket by
+bounded size by a hash of the digest; each shard gets a minimal perfect hash (displacements found bucket by
 bucket, largest first), whose slots hold the full digest, the winner's locator (code points, doc_id) and the group's
 size. The index is a table of shards. Distinct digests of the batch are looked up in their shard: a slot counts only
 if its full digest is equal byte for byte. Members join the group of their slot; nonmembers form groups of their own.
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered
+from .common import discard, few_shuffle_files, materialise, numbered
 
 SHARD = 32_768
 BUCKET = 4
@@ -162,10 +162,13 @@ def dedup(docs: DataFrame, history: Column) -> DataFrame:
     """rid, doc_id, digest, keep_id, group_size, kept of each row (rid: see numbered()). `history` says over which rows the index is built; the others are the batch that is looked up. That choice doesn't change the result."""
     rows = materialise(digested(docs, history), "digests")
     old = materialise(winners(rows.where("old")), "history")
-    shards = max(1, -(-old.count() // SHARD))
+    with few_shuffle_files(docs.sparkSession):
+        shards = max(1, -(-old.count() // SHARD))
     index = materialise(build_index(old, shards), "index")
     found = materialise(lookup(winners(rows.where("not old")), index, shards), "found")
     only_old = old.join(found.where("member").select("digest"), "digest", "left_anti")
     decided = materialise(found.select("digest", "doc_id", "rid", "n").unionByName(only_old.select("digest", "doc_id", "rid", "n")), "decided")
-    decided = decided.select("digest", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.col("n").alias("group_size"))
-    return rows.join(decided, "digest").select("rid", "doc_id", "digest", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"))
+    to = decided.select("digest", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.col("n").alias("group_size"))
+    out = materialise(rows.join(to, "digest").select("rid", "doc_id", "digest", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept")), "exact-duplicates")
+    discard(rows, old, index, found, decided)
+    return out

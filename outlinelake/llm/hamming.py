@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, scan_parts, scratch, spread, tidied
-from .token_files import get, put
+from .side_files import get, put
 
 SEGMENT, SHARD, BLOCK = 16, 1 << 16, 256
 

@@ -8,15 +8,17 @@ that no other class has come first and need no posting, and a class with fewer t
 partner at all.
 
 A posting list isn't expanded into all pairs. First each list's smallest member (its hub) is compared with the other
-members: collisions of the two signatures are counted, and pairs above the threshold are confirmed on their full sets.
-So a group of copies costs a pair or a few a member. Lists whose members then are in several components still are
-joined into clusters; a cluster is dealt into blocks of bounded size, every pair of blocks is compared on full sets in
-one place, and only links that join components leave it.
+members: collisions are counted on the stored signatures, and texts are read only of pairs above the match threshold,
+to be confirmed on full sets; a hub of many members is sent once for each CHUNK of them. So a group of copies costs a
+pair or a few a member. Lists whose members then are in several components are dealt into pairs of blocks of bounded
+size; there the postings of both blocks are merged, values that only one has being skipped, and the collisions of each
+pair of different components counted. Texts follow only of members with a pair above the threshold; such pairs are
+confirmed where the blocks are, and only links that join components leave them.
 
 Defined results: null and empty texts and texts without words have no shingles, link with nothing and are their own
-component; a text of fewer than five words has one shingle, the whole sequence. A component is named by its smallest
-doc_id (null only if it has no other); repeated rows are of one class. Extra columns are ignored; an empty table
-gives no rows.
+component; a text of fewer than five words has one shingle, the whole sequence. Texts of any length are taken whole.
+A component is named by its smallest doc_id (null only if it has no other); repeated rows are of one class. Extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, gathered, hashed, materialise, mixed, numbered, powers, scan_parts, tidied, words
+from . import side_files
+from .common import discard, flat, gathered, hashed, materialise, mixed, numbered, powers, scan_parts, tidied, words
 from .components import components
+from .side_files import Side
 
-K, MATCHES, WORDS, PERCENT, BLOCK = 64, 40, 5, 85, 256
+K, MATCHES, WORDS, PERCENT, BLOCK, CHUNK = 64, 40, 5, 85, 256, 256
 _rng = np.random.default_rng(9)
-MULTIPLIERS = _rng.integers(0, 1 << 31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-OFFSETS = _rng.integers(0, 1 << 32, K, dtype=np.uint32)
+MULTIPLIERS = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -63,18 +67,22 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    low = np.full(K, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(hashes), 4096):
-        x = ((hashes[at : at + 4096] >> np.uint64(32)).astype(np.uint32)[:, None] ^ OFFSETS) * MULTIPLIERS
-        x ^= x >> np.uint32(15)
-        np.minimum(low, x.min(axis=0), out=low)
-    return low
+    """Of each coordinate 32 bits that stand for the least hash: whole hashes are compared, so that chance agreements stay rare however many texts there are."""
+    low = np.full(K, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(low, ((hashes[at : at + 1024, None] ^ OFFSETS) * MULTIPLIERS).min(axis=0), out=low)
+    return (mixed(low) >> np.uint64(32)).astype(np.uint32)
+
+
+def signs_of(column: pa.Array) -> np.ndarray:
+    """Stored signatures as rows of K numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, K)
 
 
 @tidied
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for t in gathered(batches, limit=8 << 20):
+        for t in gathered(batches, limit=4 << 20):
             sets = shingle_sets(flat(t["text"]))
             names, signs = [], []
             for s in sets:
@@ -84,26 +92,27 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([flat(t["rid"]), flat(t["doc_id"]), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(signs, pa.binary())], ["rid", "doc_id", "n_shingles", "set_name", "signature"])
 
 
+def keys_of(signs: np.ndarray) -> np.ndarray:
+    """The name of each (coordinate, value) pair of signatures."""
+    return mixed(signs.astype(np.uint64) | (np.arange(K, dtype=np.uint64) << np.uint64(32))[None, :]).view(np.int64)
+
+
 @tidied
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        at = (np.arange(K, dtype=np.uint64) << np.uint64(32))[None, :]
         for b in batches:
-            if b.num_rows:
-                values = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, K)
-                keys = mixed(values.astype(np.uint64) | at).view(np.int64)
-                cids = np.repeat(b.column("cid").to_numpy(), K)
-                yield from pa.Table.from_arrays([pa.array(keys.reshape(-1)), pa.array(cids)], ["key", "cid"]).to_batches(max_chunksize=50_000)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(signs_of(part.column("signature"))).reshape(-1)), pa.array(np.repeat(part.column("cid").to_numpy(), K))], ["key", "cid"])
 
 
-def agreeing(a: np.ndarray, b: np.ndarray, matches: int = MATCHES) -> bool:
-    """Whether two signatures agree in `matches` coordinates at least; what can't reach that is left after a part."""
-    found = 0
-    for at in range(0, K, 16):
-        found += int((a[at : at + 16] == b[at : at + 16]).sum())
-        if found + K - at - 16 < matches:
-            return False
-    return found >= matches
+@tidied
+def _agreeing(matches: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures agree in `matches` coordinates at least."""
+    for b in batches:
+        if b.num_rows:
+            good = (signs_of(b.column("sign_a")) == signs_of(b.column("sign_b"))).sum(axis=1) >= matches
+            yield b.select(["a", "b"]).filter(pa.array(good))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -116,133 +125,217 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 @tidied
-def _confirm(percent: int, matches: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        hub, held, held_sign = None, None, None
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, min(512, b.num_rows - at))
-                sets, linked = shingle_sets(part.column("text_b")), []
-                hubs = part.column("a").to_pylist()
-                for i, a in enumerate(hubs):
-                    if a != hub:
-                        hub, held = a, shingle_sets(part.column("text_a").slice(i, 1))[0]
-                        held_sign = signature(held)
-                    linked.append(agreeing(held_sign, signature(sets[i]), matches) and similar(held, sets[i], percent))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-
-def _spanning(rows: list[tuple[int, int, str]], percent: int = PERCENT, few: int = 8192) -> list[tuple[int, int]]:
-    """Links between (cid, component, text) of different components, as many as join them: all pairs are compared on full sets by products of incidence matrices, and the links that join nothing new are left out."""
-    up = {c: c for _, c, _ in rows}
-
-    def top(c: int) -> int:
-        while up[c] != c:
-            up[c] = c = up[up[c]]
-        return c
-
-    if len(up) < 2:
-        return []
-    sets = shingle_sets(pa.array([t for _, _, t in rows], pa.string()))
-    sizes = np.array([len(s) for s in sets])
-    values, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    dense = np.cumsum(df > 1) - 1
-    owner, column = owner[df[column] > 1], dense[column[df[column] > 1]]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for at in range(0, int(dense[-1]) + 1 if len(dense) else 0, few):
-        lo, hi = np.searchsorted(column, [at, at + few])
-        m = np.zeros((len(sets), few), np.float32)
-        m[owner[lo:hi], column[lo:hi] - at] = 1
-        both += m @ m.T
-    shared = both.astype(np.int64)
-    linked = np.triu(100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared), 1)
-    out = []
-    for i, j in np.argwhere(linked).tolist():
-        x, y = top(rows[i][1]), top(rows[j][1])
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((rows[i][0], rows[j][0]))
-    return out
+def _sent(columns: list[str], folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a scan's texts those that are asked for, once for each place they go to."""
+    side = Side(folder)
+    for b in batches:
+        if b.num_rows:
+            doc, *to = side.of(b.column("rid").to_numpy(), *columns)
+            for at in range(0, len(doc), 500):
+                mine = slice(at, at + 500)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[mine]) for x in to), pa.array(b.column("rid").to_numpy()[doc[mine]]), b.column("text").take(pa.array(doc[mine]))], [*columns, "cid", "text"])
+
+
+def sent(texts_: DataFrame, to: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows of `to` (longs, with the row number of a text as rid) with that text, and the folder that they are read from; no other text leaves its partition."""
+    columns = [c for c in to.columns if c != "rid"]
+    folder = side_files.write(to, texts_, label)
+    return texts_.mapInArrow(partial(_sent, columns, folder), ", ".join(f"{c} long" for c in columns) + ", cid long, text string"), folder
 
 
 @tidied
-def _compare(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (root, lo, hi): each run of equal ones is compared as a whole."""
-    now, held, out = None, [], []
+def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (a, chunk), the hub before its members: the pairs that are similar on full sets."""
+    with np.errstate(over="ignore"):
+        now, held = None, None
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets, linked = shingle_sets(part.column("text")), []
+                for i, (a, chunk, cid) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "chunk", "cid")), strict=True)):
+                    if (a, chunk) != now:
+                        now, held = (a, chunk), sets[i]
+                        if a != cid:
+                            raise RuntimeError("a hub's text is missing")
+                    linked.append(a != cid and similar(held, sets[i], percent))
+                out = part.filter(pa.array(linked, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([out.column("a"), out.column("cid")], ["a", "b"])
+
+
+def collisions(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """(len(one), len(two)) numbers of equal coordinates of two blocks of signatures: their postings, in order of key, are merged, and keys of one block only are skipped."""
+    counts = np.zeros(len(one) * len(two), np.int32)
+    keys, members = [], []
+    for block in (one, two):
+        k = keys_of(block).reshape(-1)
+        order = np.argsort(k, kind="stable")
+        keys.append(k[order])
+        members.append(order // K)
+    names, start, n = np.unique(keys[0], return_index=True, return_counts=True)
+    lo, hi = np.searchsorted(keys[1], names), np.searchsorted(keys[1], names, "right")
+    met = np.flatnonzero(hi > lo)
+    for at in range(0, len(met), 64):  # a key gives at most a block's square of pairs
+        some = met[at : at + 64]
+        per = hi[some] - lo[some]
+        left = np.concatenate([members[0][s : s + k] for s, k in zip(start[some].tolist(), n[some].tolist(), strict=True)])
+        width = np.repeat(per, n[some])
+        first = np.repeat(lo[some], n[some])
+        within = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+        pairs = np.repeat(left, width) * len(two) + members[1][np.repeat(first, width) + within]
+        counts += np.bincount(pairs, minlength=len(counts)).astype(np.int32)
+    return counts.reshape(len(one), len(two))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows of equal (key, lo, hi)."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for b in batches:
-        for root, lo, hi, cid, comp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (root, lo, hi) != now:
-                out += _spanning(held, percent)
-                now, held = (root, lo, hi), []
-            held.append((cid, comp, text))
-    out += _spanning(held, percent)
-    yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        if not b.num_rows:
+            continue
+        names = np.stack([b.column(c).to_numpy() for c in ("key", "lo", "hi")], axis=1)
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            name = tuple(names[a].tolist())
+            if held and name != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = name
+            held.append(b.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs(t: pa.Table, signs: np.ndarray, matches: int) -> np.ndarray:
+    """Pairs of rows of a group that lie in its two blocks, in different components, and agree in `matches` coordinates."""
+    block, lo, hi, comp = (t[c].to_numpy() for c in ("block", "lo", "hi", "comp"))
+    one, two = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+    good = (collisions(signs[one], signs[two]) >= matches) & (comp[one][:, None] != comp[two][None, :])
+    if lo[0] == hi[0]:
+        good = np.triu(good, 1)
+    i, j = np.nonzero(good)
+    return np.stack([one[i], two[j]], axis=1)
 
 
-def _hubs(lists: DataFrame) -> DataFrame:
-    """a, b: each list's smallest member with each other member, distinct."""
-    hubs = lists.groupBy("key").agg(F.min("cid").alias("hub")).select(F.col("key").alias("hub_key"), "hub")
-    return lists.join(materialise(hubs, "hubs"), F.col("key") == F.col("hub_key")).where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+@tidied
+def _suspects(matches: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of groups that have a pair to confirm."""
+    with np.errstate(over="ignore"):
+        for t in _groups(batches):
+            rows = np.unique(_pairs(t, signs_of(flat(t["signature"])), matches))
+            if len(rows):
+                yield t.select(["key", "lo", "hi", "block", "comp", "cid"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
 
 
-def _rest(lists: DataFrame, comps: DataFrame, texts_: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that the hubs didn't show, from the lists whose members are in several components still. Lists that share members are one cluster; a cluster is dealt into blocks, and each pair of blocks is compared in one place."""
+@tidied
+def _spanning(percent: int, matches: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group the links between components, as many as join them: pairs above the threshold are confirmed on full sets unless they are joined already."""
+    with np.errstate(over="ignore"):
+        for t in _groups(batches):
+            sets = shingle_sets(flat(t["text"]))
+            cid, comp = t["cid"].to_pylist(), t["comp"].to_pylist()
+            up = {c: c for c in comp}
+
+            def top(c: int, up=up) -> int:
+                while up[c] != c:
+                    up[c] = c = up[up[c]]
+                return c
+
+            out = []
+            for i, j in _pairs(t, np.stack([signature(s) for s in sets]), matches).tolist():
+                x, y = top(comp[i]), top(comp[j])
+                if x != y and similar(sets[i], sets[j], percent):
+                    up[max(x, y)] = min(x, y)
+                    out.append((cid[i], cid[j]))
+            yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _rest(lists: DataFrame, comps: DataFrame, signs: DataFrame, texts_: DataFrame, percent: int, matches: int) -> DataFrame | None:
+    """a, b: links that the hubs didn't show, from the lists whose members are in several components still; None: there are no such lists. Lists of the same members count once. A list is dealt into blocks, and each pair of blocks is compared in one place."""
+    parts = 4 * scan_parts(texts_)
     now = materialise(lists.join(comps, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("comp")), "members")
-    open_lists = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("open_key"))
-    mine = materialise(now.join(materialise(open_lists, "open"), F.col("key") == F.col("open_key"), "left_semi"), "open-members")
-    clusters = materialise(components(_hubs(mine)), "clusters")
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")).withColumnRenamed("root", "of")
-    member = mine.select("cid", "comp").distinct().join(clusters, F.col("cid") == F.col("node")).join(sizes, F.col("root") == F.col("of"))
-    member = member.select("root", "cid", "comp", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"))
-    placed = member.select("root", "cid", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = materialise(placed.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cid", "comp"), "placed")
-    rows = placed.join(texts_, "cid").select("root", "lo", "hi", "cid", "comp", "text")
-    dealt = rows.repartition(scan_parts(texts_) * 4, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "cid")
-    return dealt.mapInArrow(partial(_compare, percent), "a long, b long")
-
-
-def links(classes: DataFrame, text_of: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame | None:
-    """node, root of classes (cid, signature) that have links; text_of has cid and text. None: no class can have any."""
-    postings = materialise(classes.mapInArrow(_postings, "key long, cid long"), "postings")
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
-    shared = materialise(postings.join(materialise(shared, "shared"), F.col("key") == F.col("k")).select("key", "cid", "n"), "shared-postings")
+    of_list = now.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("name"))
+    open_lists = materialise(of_list.where("first < last").groupBy("n", "name").agg(F.min("key").alias("open_key")), "open")
+    if open_lists.isEmpty():
+        discard(now, open_lists)
+        return None
+    member = now.join(open_lists, F.col("key") == F.col("open_key")).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
+    member = member.select("key", "cid", "comp", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"))
+    placed = member.select("key", "cid", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    placed = materialise(placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "comp", "cid"), "placed")
+    signed = placed.join(signs, "cid").select("key", "lo", "hi", "block", "comp", "cid", "signature")
+    dealt = signed.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
+    suspects = materialise(dealt.mapInArrow(partial(_suspects, matches), "key long, lo long, hi long, block long, comp long, cid long"), "suspects")
+    discard(now, open_lists, placed)
+    told, folder = sent(texts_, suspects.withColumnRenamed("cid", "rid"), "suspect-files")
+    dealt = told.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
+    more = materialise(dealt.mapInArrow(partial(_spanning, percent, matches), "a long, b long"), "more-links")
+    discard(suspects, folder)
+    return more
+
+
+def links(classes: DataFrame, texts_: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame | None:
+    """node, root of classes (cid, signature) that have links; texts_ is the scan of texts by rid. None: no class can have any."""
+    signs = classes.select("cid", "signature")
+    postings = materialise(signs.mapInArrow(_postings, "key long, cid long"), "postings")
+    several = materialise(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "n"), "several")
+    shared = materialise(postings.join(several, F.col("key") == F.col("k")).select("key", "cid", "n"), "shared-postings")
+    discard(postings, several)
     # a class's postings, at most K, rarest first; values of its own stand before them all
     of_class = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all")).where(F.size("all") >= matches)
     prefix = of_class.select("cid", F.explode(F.expr(f"slice(all, 1, size(all) - {matches} + 1)")).alias("p")).select(F.col("p.key").alias("key"), "cid")
     prefix = materialise(prefix, "prefix")
-    several = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"))
-    lists = materialise(prefix.join(materialise(several, "several"), F.col("key") == F.col("k"), "left_semi"), "lists")
+    hubs = materialise(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("hub")).where("n > 1").select(F.col("key").alias("k"), "hub"), "hubs")
+    lists = materialise(prefix.join(hubs, F.col("key") == F.col("k")).select("key", "hub", "cid"), "lists")
+    discard(shared, prefix, hubs)
     if lists.isEmpty():
+        discard(lists)
         return None
-    texts_ = materialise(text_of.join(materialise(lists.select("cid").distinct(), "listed"), "cid", "left_semi"), "texts")
-    pairs = materialise(_hubs(lists), "pairs")
-    one = pairs.join(texts_.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts_.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").sortWithinPartitions("a")
-    checked = two.select("a", "b", "text_a", "text_b").mapInArrow(partial(_confirm, percent, matches), "a long, b long, linked boolean")
-    comps = materialise(components(checked.where("linked").select("a", "b")), "components")
-    more = materialise(_rest(lists, comps, texts_, percent), "more-links")
-    if more.isEmpty():
+    pairs = materialise(lists.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    of = lambda x: signs.select(F.col("cid").alias(f"of_{x}"), F.col("signature").alias(f"sign_{x}"))
+    both = pairs.join(of("b"), F.col("b") == F.col("of_b")).select("a", "b", "sign_b")
+    both = both.join(of("a"), F.col("a") == F.col("of_a")).select("a", "b", "sign_a", "sign_b")
+    near = materialise(both.mapInArrow(partial(_agreeing, matches), "a long, b long"), "near")
+    hubs = materialise(near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("chunks")).withColumnRenamed("a", "hub"), "near-hubs")
+    chunk = F.pmod(F.xxhash64("b"), F.col("chunks"))
+    to = near.join(hubs, F.col("a") == F.col("hub")).select("a", chunk.alias("chunk"), F.col("b").alias("rid"))
+    to = to.unionByName(hubs.select(F.col("hub").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("rid")))
+    told, folder = sent(texts_, to, "pair-files")
+    order = told.repartition(4 * scan_parts(texts_), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("a") != F.col("cid"), "cid")
+    linked = materialise(order.mapInArrow(partial(_confirm, percent), "a long, b long"), "links")
+    discard(pairs, near, hubs, folder)
+    comps = components(linked)
+    more = _rest(lists.drop("hub"), comps, signs, texts_, percent, matches)
+    discard(linked, lists)
+    if more is None:
         return comps
-    return materialise(components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "components")
+    if not more.isEmpty():
+        first, comps = comps, components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+        discard(first)
+    discard(more)
+    return comps
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id, kept of each row; kept is true of one row of each component (rid: see numbered()). Sets of `percent` or more similarity are linked."""
+    """rid, doc_id, n_shingles, component_id, kept, first of each row. Sets of `percent` or more similarity are linked. kept: the row has its component's doc_id; first: true of one row of each component, whatever doc_ids repeat (rid: see numbered())."""
     rows = numbered(docs).select("rid", F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    texts_ = rows.select("rid", "text")
     signed = materialise(rows.mapInArrow(_signatures, "rid long, doc_id long, n_shingles long, set_name binary, signature binary"), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid"))
     classes = materialise(signed.where("n_shingles > 0").groupBy("set_name").agg(best.alias("best"), F.min("rid").alias("cid"), F.any_value("signature").alias("signature")), "classes")
-    comps = links(classes.select("cid", "signature"), rows.select(F.col("rid").alias("cid"), "text"), percent, matches)
-    named = classes.select("set_name", "cid", "best")
+    comps = links(classes.select("cid", "signature"), texts_, percent, matches)
+    named, stored = classes.select("set_name", "cid", "best"), [signed, classes]
     if comps is None:
         named = named.select("set_name", F.col("best").alias("top"))
     else:
-        tops = named.join(comps, F.col("cid") == F.col("node")).groupBy("root").agg(F.min("best").alias("top"))
-        roots = materialise(comps.join(tops, "root").select("node", "top"), "tops")
+        tops = materialise(named.join(comps, F.col("cid") == F.col("node")).groupBy("root").agg(F.min("best").alias("top")).withColumnRenamed("root", "r"), "tops")
+        roots = materialise(comps.join(tops, F.col("root") == F.col("r")).select("node", "top"), "roots")
         named = named.join(roots, F.col("cid") == F.col("node"), "left").select("set_name", F.coalesce("top", "best").alias("top"))
+        stored += [comps, tops, roots]
     named = materialise(named, "named")
-    out = signed.join(named, "set_name", "left")
-    return out.select("rid", "doc_id", "n_shingles", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"), F.coalesce(F.col("rid") == F.col("top.rid"), F.lit(True)).alias("kept"))
+    out = signed.select("rid", "doc_id", "n_shingles", "set_name").join(named, "set_name", "left")
+    out = out.withColumn("component_id", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")))
+    out = out.select("rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce(F.col("rid") == F.col("top.rid"), F.lit(True)).alias("first"))
+    out = materialise(out, "near-duplicates")
+    discard(named, *stored)
+    return out

@@ -21,19 +21,18 @@ overlapping ones count; repeated rows repeat each other. Extra columns are ignor
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, flat, gathered, materialise, mixed, numbered, powers, scan_parts, scratch, tidied
-from .token_files import put
+from . import side_files
+from .common import discard, flat, gathered, materialise, mixed, numbered, powers, scan_parts, tidied
+from .side_files import Side, quoted
 
 LENGTH, GRAM = 200, 32
 BASE = np.uint64(0x9FB21C651E98DF25)
@@ -173,83 +172,7 @@ def _merged(t: pa.Table) -> pa.Table:
     at = np.flatnonzero(first)
     last = np.concatenate([at[1:], [len(rid)]]) - 1
     size = reach[last] - text[at] * step - start[at]
-    return pa.table({"p": t["p"].to_numpy()[at], "rid": rid[at], "start": start[at].astype(np.int32), "n": (size - LENGTH + 1).astype(np.int32)})
-
-
-@tidied
-def _put(folder: str, merge: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by p: a file for each p."""
-    held: list[pa.RecordBatch] = []
-
-    def write() -> int:
-        t = pa.Table.from_batches(held)
-        t = _merged(t) if merge else t
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(t)
-        p = t["p"][0].as_py()
-        put(folder, f"{p}.arrow", sink.getvalue())
-        held.clear()
-        return p
-
-    done = []
-    for b in batches:
-        p = b.column("p").to_numpy()
-        cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if a < z:
-                if held and held[-1].column("p")[0].as_py() != p[a]:
-                    done.append(write())
-                held.append(b.slice(a, z - a))
-    if held:
-        done.append(write())
-    yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["p"])
-
-
-def side_files(rows: DataFrame, label: str, parts: int, merge: bool = False) -> str:
-    """Write rows (rid, start, n) to one file for each input partition that rids come from; the folder. merge: spans that meet become one."""
-    keyed = rows.select(F.shiftright("rid", 33).alias("p"), "rid", F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))
-    return keyed_files(keyed, ["rid", "start"], label, parts, merge)
-
-
-def keyed_files(rows: DataFrame, order: list[str], label: str, parts: int, merge: bool = False) -> str:
-    """Write rows to one Arrow file for each value of p, sorted; the folder."""
-    folder = scratch(rows.sparkSession, label)
-    dealt = rows.repartition(parts, "p").sortWithinPartitions("p", *order)
-    dealt.mapInArrow(partial(_put, folder, merge), "p long").agg(F.count(F.lit(1))).first()
-    return folder
-
-
-def keyed_file(folder: str, p: int) -> pa.Table | None:
-    """The rows of keyed_files() with this p; None if there are none."""
-    store, base = pafs.FileSystem.from_uri(folder)
-    with contextlib.suppress(FileNotFoundError), store.open_input_file(f"{base}/{p}.arrow") as f:
-        return pa.ipc.open_stream(f.read()).read_all()
-    return None
-
-
-class Side:
-    """The rows of side_files() for the texts of a scan."""
-
-    def __init__(self, folder: str):
-        self.folder, self.p = folder, None
-
-    def of(self, rids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, start and n of the rows of these texts, in order."""
-        found = []
-        for p in np.unique(rids >> 33).tolist():
-            if p != self.p:
-                t = keyed_file(self.folder, p)
-                self.p, self.t = p, t and [x.to_numpy() for x in t.select(["rid", "start", "n"]).columns]
-            if self.t:
-                rid, start, n = self.t
-                lo, hi = np.searchsorted(rid, [rids.min(), rids.max() + 1])
-                doc = np.searchsorted(rids, rid[lo:hi])
-                ok = rids[np.minimum(doc, len(rids) - 1)] == rid[lo:hi]
-                found.append((doc[ok], start[lo:hi][ok].astype(np.int64), n[lo:hi][ok].astype(np.int64)))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"rid": rid[at], "start": start[at].astype(np.int32), "n": (size - LENGTH + 1).astype(np.int32)})
 
 
 @tidied
@@ -257,7 +180,7 @@ def _windows(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     side = Side(folder)
     for t in gathered(batches, limit=1 << 20):
         rids = t["rid"].to_numpy()
-        doc, start, n = side.of(rids)
+        doc, start, n = side.of(rids, "start", "n")
         if len(doc):
             raw, offsets = texts_of(t)
             p = Prints(raw)
@@ -270,10 +193,14 @@ def _windows(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             known = count[back] > 1
             known[first] = False
             twice = (count[back] > 1).astype(np.int32)
-            for again in (False, True):  # those that stand for a value travel by it, the others by their place
-                mine = np.flatnonzero(known == again)
-                key = mixed(at[mine].astype(np.uint64)).view(np.int64) if again else w[mine]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rids[doc[owner[mine]]]), pa.array(inside[mine], pa.int32()), pa.array(twice[mine] + again, pa.int32())], ["w", "rid", "start", "known"])
+            own, rid = np.flatnonzero(~known), rids[doc[owner]]
+            yield from pa.table({"w": w[own], "rid": rid[own], "start": inside[own].astype(np.int32), "n": np.ones(len(own), np.int32), "known": twice[own]}).to_batches(max_chunksize=50_000)
+            # the others need no comparison; they go by their place, neighbours as one row
+            again = np.flatnonzero(known)
+            at, rid, start = at[again], rid[again], inside[again]
+            first = np.flatnonzero(np.concatenate([[True], (rid[1:] != rid[:-1]) | (start[1:] != start[:-1] + 1)])) if len(again) else again
+            n = np.diff(np.append(first, len(again)))
+            yield from pa.table({"w": mixed(at[first].astype(np.uint64)).view(np.int64), "rid": rid[first], "start": start[first].astype(np.int32), "n": n.astype(np.int32), "known": np.full(len(first), 2, np.int32)}).to_batches(max_chunksize=50_000)
 
 
 @tidied
@@ -281,13 +208,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows whose value stands in several rows, and those known before."""
     held = [b for b in batches if b.num_rows]
     if held:
-        w, rid, start, known = (pa.Table.from_batches(held)[c].to_numpy() for c in ("w", "rid", "start", "known"))
+        w, rid, start, n, known = (pa.Table.from_batches(held)[c].to_numpy() for c in ("w", "rid", "start", "n", "known"))
         own = known < 2
         order = np.flatnonzero(own)[multikey([w[own]])]
         run = np.cumsum(np.concatenate([[True], w[order][1:] != w[order][:-1]])) - 1
         several = order[(np.bincount(run)[run] > 1) | (known[order] > 0)] if len(order) else order
         rows = np.concatenate([several, np.flatnonzero(~own)])
-        yield from pa.table({"rid": rid[rows], "start": start[rows], "n": np.ones(len(rows), np.int32)}).to_batches(max_chunksize=50_000)
+        yield from pa.table({"rid": rid[rows], "start": start[rows], "n": n[rows]}).to_batches(max_chunksize=50_000)
 
 
 @tidied
@@ -295,7 +222,7 @@ def _remove(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     side = Side(folder)
     for t in gathered(batches, limit=1 << 20):
         rids = t["rid"].to_numpy()
-        doc, start, n = side.of(rids)
+        doc, start, n = side.of(rids, "start", "n")
         raw, offsets = texts_of(t)
         mark = np.zeros(len(raw) + 1, np.int32)
         np.add.at(mark, offsets[doc] + start, 1)
@@ -320,11 +247,11 @@ def find(docs: DataFrame) -> str:
     found = materialise(rows.mapInArrow(_entries, "h long, cls long, rid long, start int, n int"), "entries")
     full, apart, buckets = sorted_ranges(found)
     discard(found)
-    taken = side_files(apart, "apart-files", parts)
-    windows = rows.mapInArrow(partial(_windows, taken), "w long, rid long, start int, known int")
+    taken = side_files.write(apart.select("rid", "start", "n"), docs, "apart-files", "start")
+    windows = rows.mapInArrow(partial(_windows, taken), "w long, rid long, start int, n int, known int")
     repeated = materialise(windows.repartition(4 * parts, "w").mapInArrow(_repeated, "rid long, start int, n int"), "windows")
-    spans = side_files(full.unionAll(repeated), "span-files", parts, merge=True)
-    discard(buckets, repeated)
+    spans = side_files.write(full.unionAll(repeated), docs, "span-files", "start", change=_merged)
+    discard(buckets, repeated, taken)
     return spans
 
 
@@ -345,8 +272,8 @@ def _clean(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs with the spans removed from text and n_chars as it then is; of a character that a span cuts, the rest goes too."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(quoted(c)) for c in docs.columns if c != "text")).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(partial(_clean, find(docs)), f"text string, row {kind}")
     now = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
-    return out.select(*(now.get(c, F.col(f"row.`{c}`")) for c in docs.columns))
+    return out.select(*(now.get(c, F.col(f"row.{quoted(c)}")) for c in docs.columns))

@@ -25,13 +25,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
 from .common import flat, gathered, materialise, scan_parts, scratch, texts, tidied
+from .side_files import get, put
 
 BLOCK, PERCENTILE, SEGMENT_IDS, MAGIC = 512, 95, 4 << 20, b"PFORSEG1"
 #: Blocks that are packed or unpacked at once, which bounds the memory that takes.
@@ -152,28 +152,6 @@ def read_block(raw: bytes, k: int) -> np.ndarray:
     return decode_blocks(view[: f["payload"]], index[k : k + 1], min(BLOCK, f["ids"] - k * BLOCK))
 
 
-def put(folder: str, name: str, raw: bytes) -> str:
-    """Write a file under a passing name, then move it to its own. A file of that name is of an earlier attempt of the same task, with the same content: where the store refuses to replace it, it stays."""
-    store, base = pafs.FileSystem.from_uri(folder)
-    store.create_dir(base, recursive=True)
-    part = f"{base}/.{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as f:
-        f.write(raw)
-    try:
-        store.move(part, f"{base}/{name}")
-    except OSError:
-        if store.get_file_info(f"{base}/{name}").type != pafs.FileType.File:
-            raise
-        store.delete_file(part)
-    return f"{folder}/{name}"
-
-
-def get(uri: str) -> bytes:
-    store, path = pafs.FileSystem.from_uri(uri)
-    with store.open_input_file(path) as f:
-        return f.read()
-
-
 @tidied
 def _write(tokenizer: str, folder: str, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e, task = encoder(tokenizer), TaskContext.get()
