@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PieceIds, byte_symbols, flat, gathered, replaced, texts, tidied
+from .common import PieceIds, bounded, byte_symbols, flat, gathered, replaced, texts, tidied
 
 #: Fixed values of the vocabulary file's format.
 END = "</w>"
@@ -229,7 +229,7 @@ def _digest(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string: each text's ids, and the text that they decode to."""
-    return texts(docs).mapInArrow(partial(_encode, tokenizer), "doc_id long, ids array<int>, decoded string")
+    return texts(bounded(docs)).mapInArrow(partial(_encode, tokenizer), "doc_id long, ids array<int>, decoded string")
 
 
 @tidied
@@ -247,4 +247,4 @@ def decode(ids: DataFrame, tokenizer: str) -> DataFrame:
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode()'s ids and decoded texts, without sending those to the JVM."""
-    return texts(docs).mapInArrow(partial(_digest, tokenizer), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(bounded(docs)).mapInArrow(partial(_digest, tokenizer), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -39,7 +39,7 @@ class Encoder:
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.symbols = np.array([list(c.encode()) + [0] * (2 - len(c.encode())) for c in byte_symbols()], np.uint8)
-        self.pieces, self.words = PieceIds(self._pieces, 500_000), PieceIds(self._words, 500_000)
+        self.pieces, self.words = PieceIds(self._pieces, 300_000), PieceIds(self._words, 300_000)
         # the vocabulary is spelt with a character for each byte, so a token's length is the bytes it stands for
         vocabulary = self.library.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)

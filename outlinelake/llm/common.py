@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a task holds as one unit of vectorised work.
-CHUNK_BYTES = 16 << 20
+#: Text bytes that a task holds as one unit of vectorised work, and after which it gives freed memory back.
+CHUNK_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -76,9 +77,19 @@ def scan_parts(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-def small_batches(spark: SparkSession, n_bytes: int = 4 << 20):
-    """Within it, what goes to Python is cut into batches of n_bytes, not by rows alone: for jobs that run at once."""
-    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
+def bounded(df: DataFrame, n_bytes: int = 4 << 20) -> DataFrame:
+    """df; from now on its session sends rows to Python in batches of n_bytes at most (one row at least). Batches are counted by rows otherwise, and long texts then fill the memory of the JVM and of Python; results that are computed later need the setting too, so it stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D", "", conf.get(name)) or 0) <= n_bytes or not conf.get(name).isdigit():
+        conf.set(name, str(n_bytes))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory that allocators keep to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def tidied(task: Callable) -> Callable:
@@ -89,9 +100,7 @@ def tidied(task: Callable) -> Callable:
         try:
             yield from task(*args)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 
@@ -112,12 +121,16 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Like sliced(), but small batches are joined to come near `limit`."""
-    held, size = [], 0
+    held, size, done = [], 0, 0
     for b in sliced(batches, column, limit):
         n = pc.sum(pc.binary_length(b.column(column))).as_py() or 0
         if held and size + n > limit:
             yield pa.Table.from_batches(held).combine_chunks()
+            done += size
             held, size = [], 0
+            if done > CHUNK_BYTES:
+                give_back()
+                done = 0
         held.append(b)
         size += n
     if held:
@@ -228,16 +241,15 @@ class PieceIds:
         raw, offsets = raw_bytes(dictionary)
         sizes, hashes = np.diff(offsets), hashed(dictionary)
         place = self._find(hashes)
-        held = np.flatnonzero(place >= 0)
         # a hash that stands for other bytes is no hit
-        here, there = raw[spread(offsets[held], sizes[held])], self.at[place[held]]
-        same = self.at[place[held] + 1] - there == sizes[held]
-        if not same.all():
-            place[held[~same]], held, there = -2, held[same], there[same]
-            here = raw[spread(offsets[held], sizes[held])]
-        differ = np.concatenate([[0], np.cumsum(here != self.raw[spread(there, sizes[held])])])
-        ends = np.cumsum(sizes[held])
-        place[held[differ[ends] > differ[ends - sizes[held]]]] = -2
+        held = np.flatnonzero(place >= 0)
+        differ = self.at[place[held] + 1] - self.at[place[held]] != sizes[held]
+        place[held[differ]], held = -2, held[~differ]
+        for k in range(0, len(held), 50_000):
+            some = held[k : k + 50_000]
+            wrong = raw[spread(offsets[some], sizes[some])] != self.raw[spread(self.at[place[some]], sizes[some])]
+            if wrong.any():
+                place[np.unique(np.repeat(some, sizes[some])[wrong])] = -2
         self.used[place[place >= 0]] = self.now
         fresh = np.flatnonzero(place < 0)
         if not len(fresh):
@@ -259,8 +271,10 @@ class PieceIds:
                 lens, ids = np.concatenate([lens, sums]), np.concatenate([ids, self.ids[spread(more, sums)]])
                 starts = np.cumsum(lens) - lens
                 fresh = np.concatenate([fresh, np.flatnonzero(gone)])
-            sizes_, lens_ = self.at[kept + 1] - self.at[kept], self.starts[kept + 1] - self.starts[kept]
-            self._hold(self.hashes[kept], self.raw[spread(self.at[kept], sizes_)], sizes_, self.ids[spread(self.starts[kept], lens_)], lens_, self.used[kept])
+            stay = back >= 0
+            sizes_, lens_ = np.diff(self.at[: self.n + 1]), np.diff(self.starts[: self.n + 1])
+            raw_, ids_ = self.raw[: self.at[self.n]][np.repeat(stay, sizes_)], self.ids[: self.starts[self.n]][np.repeat(stay, lens_)]
+            self._hold(self.hashes[kept], raw_, sizes_[kept], ids_, lens_[kept], self.used[kept])
             place = np.where(known, back[place], -1)
         room = min(len(new), self.limit - self.n)
         new, own = new[:room], own[:room]
@@ -319,8 +333,10 @@ def raw_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def hashed(strings: pa.Array) -> np.ndarray:
+def hashed(strings: pa.Array, at_once: int = 50_000) -> np.ndarray:
     """A 64-bit hash of each string's bytes."""
+    if len(strings) > at_once:
+        return np.concatenate([hashed(strings.slice(k, at_once)) for k in range(0, len(strings), at_once)])
     raw, at = raw_bytes(strings)
     lens = np.diff(at)
     inside = np.arange(len(raw)) - np.repeat(at[:-1], lens)

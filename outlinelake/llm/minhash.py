@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import side_files
-from .common import discard, flat, gathered, hashed, materialise, mixed, numbered, powers, scan_parts, tidied, words
+from .common import bounded, discard, flat, gathered, hashed, materialise, mixed, numbered, powers, scan_parts, tidied, words
 from .components import components
 from .side_files import Side
 
@@ -82,7 +82,7 @@ def signs_of(column: pa.Array) -> np.ndarray:
 @tidied
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for t in gathered(batches, limit=4 << 20):
+        for t in gathered(batches, limit=2 << 20):
             sets = shingle_sets(flat(t["text"]))
             names, signs = [], []
             for s in sets:
@@ -318,7 +318,7 @@ def links(classes: DataFrame, texts_: DataFrame, percent: int = PERCENT, matches
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """rid, doc_id, n_shingles, component_id, kept, first of each row. Sets of `percent` or more similarity are linked. kept: the row has its component's doc_id; first: true of one row of each component, whatever doc_ids repeat (rid: see numbered())."""
-    rows = numbered(docs).select("rid", F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = numbered(bounded(docs)).select("rid", F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     texts_ = rows.select("rid", "text")
     signed = materialise(rows.mapInArrow(_signatures, "rid long, doc_id long, n_shingles long, set_name binary, signature binary"), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid"))

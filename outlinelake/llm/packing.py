@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import flat, gathered, materialise, scratch, small_batches, texts, tidied
+from .common import bounded, flat, gathered, materialise, scratch, texts, tidied
 
 LONGEST = 2048
 SCHEMA = "doc_id long, start long, length int, doc_tokens long, part int, place long, ids binary"
@@ -42,7 +42,7 @@ def lengths(n: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarr
 @tidied
 def _pieces(tokenizer: str, end: int, longest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {}
-    for t in gathered(batches, limit=2 << 20):
+    for t in gathered(batches, limit=1 << 20):
         starts, ids = e.encode(flat(t["text"]))
         ids = np.insert(ids, starts[1:], np.uint32(end))
         n = np.diff(starts) + 1
@@ -64,9 +64,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, longest: int = LONGEST)
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "packed")
-    made = texts(docs).mapInArrow(partial(_pieces, tokenizer, end, longest), SCHEMA)
-    with small_batches(spark):
-        made.write.partitionBy("length").parquet(path)
+    made = texts(bounded(docs)).mapInArrow(partial(_pieces, tokenizer, end, longest), SCHEMA)
+    made.write.partitionBy("length").parquet(path)
     pieces = spark.read.schema(made.schema).parquet(path)
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("length", "part").rowsBetween(Window.unboundedPreceding, -1)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, gathered, hashed, sliced, tallied, texts, tidied, words
+from .common import bounded, flat, gathered, hashed, sliced, tallied, texts, tidied, words
 
 BUCKETS, FACTORS, THRESHOLD = 1 << 15, 8, 0.3
 STATS = ["upper", "lower", "digits", "spaces", "marks", "symbols", "bars", "bangs", "line_ends", "distinct", "commonest", "word_length", "lone", "long_words", "log_words", "log_stored"]
@@ -135,7 +135,7 @@ def _stored(t: pa.Table) -> np.ndarray:
 
 @tidied
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in gathered(batches, limit=8 << 20):
+    for t in gathered(batches, limit=3 << 20):
         rows, index, values, stats = features(flat(t["text"]), _stored(t))
         ends = pa.array(np.searchsorted(rows, np.arange(len(stats) + 1)), pa.int32())
         lists = [pa.ListArray.from_arrays(ends, pa.array(index, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(values, pa.float32()))]
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8_000, epochs: int = 6
     """A machine fitted to `labels` (doc_id, quality) of documents: at most `most` of them."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.max("quality") > 0).cast("int").alias("quality"))
     sample = F.broadcast(known.orderBy(F.xxhash64("label_id"), "label_id").limit(most))  # at most `most` rows of 12 bytes
-    got = _with_length(docs).join(sample, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "n_chars", "quality")
+    got = _with_length(bounded(docs)).join(sample, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "n_chars", "quality")
     rows = got.mapInArrow(_features, "quality int, index array<int>, x array<float>, stats array<float>").toArrow()
     y = rows["quality"].to_numpy().astype(np.float32) if rows.num_rows else np.zeros(0, np.float32)
     stats = np.array(rows["stats"].to_pylist(), np.float32).reshape(-1, len(STATS))
@@ -163,14 +163,14 @@ def _with_length(docs: DataFrame) -> DataFrame:
 @tidied
 def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     machine = Machine(*model.value)
-    for t in gathered(batches, limit=8 << 20):
+    for t in gathered(batches, limit=3 << 20):
         scores = machine.score(*features(flat(t["text"]), _stored(t)))
         yield pa.RecordBatch.from_arrays([flat(t[c]) for c in t.column_names if c not in ("text", "n_chars")] + [pa.array(scores, pa.float64())], [c for c in t.column_names if c not in ("text", "n_chars")] + ["score"])
 
 
 def score(docs: DataFrame, machine: Machine, *more: str) -> DataFrame:
     """doc_id, the columns named, and score of every document."""
-    rows = texts(docs, *more, *([] if "n_chars" in more else [(F.col("n_chars") if "n_chars" in docs.columns else F.lit(0)).cast("long").alias("n_chars")]))
+    rows = texts(bounded(docs), *more, *([] if "n_chars" in more else [(F.col("n_chars") if "n_chars" in docs.columns else F.lit(0)).cast("long").alias("n_chars")]))
     model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v, machine.mean, machine.spread))  # about 1.2 MB, whatever the input
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("text", "n_chars")) + ", score double"
     return rows.mapInArrow(partial(_score, model), schema)
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 @tidied
 def _keep(model, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     machine = Machine(*model.value)
-    for b in sliced(batches, limit=8 << 20):
+    for b in sliced(batches, limit=3 << 20):
         text = pc.fill_null(b.column("text"), "")
         stored = pc.fill_null(b.column("n_chars").cast(pa.int64()), 0).to_numpy(zero_copy_only=False).astype(float) if "n_chars" in b.schema.names else np.zeros(b.num_rows)
         good = machine.score(*features(text, np.maximum(stored, 0))) >= least if b.num_rows else []
@@ -200,4 +200,4 @@ def _keep(model, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 def keep(docs: DataFrame, machine: Machine, least: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is `least` at least, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v, machine.mean, machine.spread))  # about 1.2 MB
-    return docs.mapInArrow(partial(_keep, model, least), docs.schema)
+    return bounded(docs).mapInArrow(partial(_keep, model, least), docs.schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_shuffle_files, scan_parts, scratch, tidied
+from .common import bounded, few_shuffle_files, scan_parts, scratch, tidied
 
 
 def put(folder: str, name: str, raw: bytes) -> str:
@@ -105,7 +105,7 @@ def _having(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def having(docs: DataFrame, rids: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose number (see numbered()) is among `rids`. Rows stay where they are read; no columns, no rows."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
-    kept = write(rids.select("rid"), docs, "kept")
+    kept = write(rids.select("rid"), bounded(docs), "kept")
     return rows.mapInArrow(partial(_having, kept), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
 
 

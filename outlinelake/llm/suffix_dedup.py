@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import side_files
-from .common import discard, flat, gathered, materialise, mixed, numbered, powers, scan_parts, tidied
+from .common import bounded, discard, flat, gathered, materialise, mixed, numbered, powers, scan_parts, tidied
 from .side_files import Side, quoted
 
 LENGTH, GRAM = 200, 32
@@ -101,7 +101,7 @@ def entries(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 @tidied
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in gathered(batches, limit=1 << 20):
+    for t in gathered(batches, limit=1 << 19):
         h, cls, doc, start, n = entries(*texts_of(t))
         rids = t["rid"].to_numpy()[doc]
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(cls), pa.array(rids), pa.array(start, pa.int32()), pa.array(n, pa.int32())], schema=ENTRY)
@@ -178,7 +178,7 @@ def _merged(t: pa.Table) -> pa.Table:
 @tidied
 def _windows(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     side = Side(folder)
-    for t in gathered(batches, limit=1 << 20):
+    for t in gathered(batches, limit=1 << 19):
         rids = t["rid"].to_numpy()
         doc, start, n = side.of(rids, "start", "n")
         if len(doc):
@@ -220,7 +220,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @tidied
 def _remove(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     side = Side(folder)
-    for t in gathered(batches, limit=1 << 20):
+    for t in gathered(batches, limit=1 << 19):
         rids = t["rid"].to_numpy()
         doc, start, n = side.of(rids, "start", "n")
         raw, offsets = texts_of(t)
@@ -242,7 +242,7 @@ def _remove(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def find(docs: DataFrame) -> str:
     """Write the spans to remove, for each input partition of docs; their folder."""
-    rows = numbered(docs).select("rid", F.coalesce("text", F.lit("")).alias("text"))
+    rows = numbered(bounded(docs)).select("rid", F.coalesce("text", F.lit("")).alias("text"))
     parts = scan_parts(rows)
     found = materialise(rows.mapInArrow(_entries, "h long, cls long, rid long, start int, n int"), "entries")
     full, apart, buckets = sorted_ranges(found)

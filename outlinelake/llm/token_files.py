@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import flat, gathered, materialise, scan_parts, scratch, texts, tidied
+from .common import bounded, flat, gathered, materialise, scan_parts, scratch, texts, tidied
 from .side_files import get, put
 
 BLOCK, PERCENTILE, SEGMENT_IDS, MAGIC = 512, 95, 4 << 20, b"PFORSEG1"
@@ -164,7 +164,7 @@ def _write(tokenizer: str, folder: str, end: int, batches: Iterator[pa.RecordBat
         held, docs, lens, total, k = [], [], [], 0, k + 1
         return row
 
-    for t in gathered(batches, limit=4 << 20):
+    for t in gathered(batches, limit=1 << 20):
         starts, ids = e.encode(flat(t["text"]))
         n = np.diff(starts)
         ended = np.insert(ids, starts[1:], np.uint32(end))
@@ -183,7 +183,7 @@ MANIFEST = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("uri", pa.
 
 def write(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     """Encode and write all documents in ascending doc_id order; the manifest of files: part, segment, uri, n_docs, n_ids."""
-    rows = texts(docs, F.monotonically_increasing_id().alias("rid"))
+    rows = texts(bounded(docs), F.monotonically_increasing_id().alias("rid"))
     n, folder = scan_parts(rows), scratch(docs.sparkSession, "token-files")
     # the row number splits a doc_id of many rows, and null, over ranges
     ordered = rows.repartitionByRange(n, "doc_id", "rid").sortWithinPartitions("doc_id", "rid")

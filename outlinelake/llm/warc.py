@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, scan_parts, scratch, tidied
+from .common import bounded, materialise, numbered, scan_parts, scratch, tidied
 from .side_files import put
 
 ARCHIVE_BYTES = 64 << 20
@@ -112,7 +112,7 @@ def captured() -> Column:
 def write(pages: DataFrame, least: int = 100, seconds: Column | None = None) -> DataFrame:
     """Write the archives; their capture runs, each sorted by key and timestamp."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = numbered(pages).select("rid", F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"), (captured() if seconds is None else seconds).cast("long").alias("seconds"))
+    rows = numbered(bounded(pages)).select("rid", F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"), (captured() if seconds is None else seconds).cast("long").alias("seconds"))
     keys = materialise(rows.where(F.octet_length("html") >= least).select("rid", "page_id", "digest"), "payloads")
     first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), F.col("page_id").alias("of_page"), F.col("rid").alias("of_rid")))
     firsts = materialise(keys.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first.of_page", "first.of_rid"), "originals")
