@@ -12,8 +12,9 @@ members: collisions are counted on the stored signatures, and texts are read onl
 to be confirmed on full sets; a hub of many members is sent once for each CHUNK of them. So a group of copies costs a
 pair or a few a member. Lists whose members then are in several components are dealt into pairs of blocks of bounded
 size; there the postings of both blocks are merged, values that only one has being skipped, and the collisions of each
-pair of different components counted. Texts follow only of members with a pair above the threshold; such pairs are
-confirmed where the blocks are, and only links that join components leave them.
+pair of different components counted; a pair with several lists in common counts in that of the smallest key. Texts
+follow only of members with a pair above the threshold; such pairs are confirmed where the blocks are, and only links
+that join components leave them.
 
 Defined results: null and empty texts and texts without words have no shingles, link with nothing and are their own
 component; a text of fewer than five words has one shingle, the whole sequence. Texts of any length are taken whole.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import side_files
-from .common import bounded, discard, flat, gathered, hashed, materialise, mixed, numbered, powers, scan_parts, tidied, words
+from .common import bounded, discard, flat, gathered, hashed, materialise, mixed, numbered, powers, scan_parts, spread, tidied, words
 from .components import components
 from .side_files import Side
 
@@ -137,10 +138,11 @@ def _sent(columns: list[str], folder: str, batches: Iterator[pa.RecordBatch]) ->
 
 
 def sent(texts_: DataFrame, to: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """The rows of `to` (longs, with the row number of a text as rid) with that text, and the folder that they are read from; no other text leaves its partition."""
-    columns = [c for c in to.columns if c != "rid"]
+    """The rows of `to` (longs and bytes, with the row number of a text as rid) with that text, and the folder that they are read from; no other text leaves its partition."""
+    columns = [f for f in to.schema.fields if f.name != "rid"]
     folder = side_files.write(to, texts_, label)
-    return texts_.mapInArrow(partial(_sent, columns, folder), ", ".join(f"{c} long" for c in columns) + ", cid long, text string"), folder
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
+    return texts_.mapInArrow(partial(_sent, [f.name for f in columns], folder), f"{kinds}, cid long, text string"), folder
 
 
 @tidied
@@ -162,28 +164,24 @@ def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([out.column("a"), out.column("cid")], ["a", "b"])
 
 
-def collisions(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """(len(one), len(two)) numbers of equal coordinates of two blocks of signatures: their postings, in order of key, are merged, and keys of one block only are skipped."""
-    counts = np.zeros(len(one) * len(two), np.int32)
-    keys, members = [], []
-    for block in (one, two):
-        k = keys_of(block).reshape(-1)
-        order = np.argsort(k, kind="stable")
-        keys.append(k[order])
-        members.append(order // K)
-    names, start, n = np.unique(keys[0], return_index=True, return_counts=True)
-    lo, hi = np.searchsorted(keys[1], names), np.searchsorted(keys[1], names, "right")
+def listed(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The postings of a block of signatures: keys, and the row of each."""
+    return keys_of(signs).reshape(-1), np.repeat(np.arange(len(signs)), K)
+
+
+def collisions(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """How many keys each row of one block shares with each row of the other: their postings (keys, rows) are merged in order of key, and keys of one block only are skipped."""
+    counts = np.zeros(shape[0] * shape[1], np.int32)
+    (left_keys, left), (right_keys, right) = ((k[order], rows[order]) for k, rows in (one, two) for order in [np.argsort(k, kind="stable")])
+    names, start, n = np.unique(left_keys, return_index=True, return_counts=True)
+    lo, hi = np.searchsorted(right_keys, names), np.searchsorted(right_keys, names, "right")
     met = np.flatnonzero(hi > lo)
     for at in range(0, len(met), 64):  # a key gives at most a block's square of pairs
         some = met[at : at + 64]
-        per = hi[some] - lo[some]
-        left = np.concatenate([members[0][s : s + k] for s, k in zip(start[some].tolist(), n[some].tolist(), strict=True)])
-        width = np.repeat(per, n[some])
-        first = np.repeat(lo[some], n[some])
-        within = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
-        pairs = np.repeat(left, width) * len(two) + members[1][np.repeat(first, width) + within]
-        counts += np.bincount(pairs, minlength=len(counts)).astype(np.int32)
-    return counts.reshape(len(one), len(two))
+        mine = spread(start[some], n[some])
+        width, first = np.repeat(hi[some] - lo[some], n[some]), np.repeat(lo[some], n[some])
+        counts += np.bincount(np.repeat(left[mine], width) * shape[1] + right[spread(first, width)], minlength=len(counts)).astype(np.int32)
+    return counts.reshape(shape)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -206,30 +204,48 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs(t: pa.Table, signs: np.ndarray, matches: int) -> np.ndarray:
-    """Pairs of rows of a group that lie in its two blocks, in different components, and agree in `matches` coordinates."""
-    block, lo, hi, comp = (t[c].to_numpy() for c in ("block", "lo", "hi", "comp"))
+def _pairs(t: pa.Table, matches: int) -> np.ndarray:
+    """Pairs of rows of a group that lie in its two blocks, in different components, agree in `matches` coordinates, and have no list of a smaller key in common, where they would be compared too."""
+    block, lo, hi, comp, key = (t[c].to_numpy() for c in ("block", "lo", "hi", "comp", "key"))
+    signs, lists = signs_of(flat(t["signature"])), flat(t["keys"])
+    owner, keys = np.repeat(np.arange(len(t)), np.diff(np.asarray(lists.offsets))), lists.flatten().to_numpy()
+    owner, keys = owner[keys < key[0]], keys[keys < key[0]]
     one, two = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
-    good = (collisions(signs[one], signs[two]) >= matches) & (comp[one][:, None] != comp[two][None, :])
+    place = np.zeros(len(t), np.int64)
+    smaller = []
+    for rows in (one, two):
+        place[rows] = np.arange(len(rows))
+        inside = np.isin(owner, rows)
+        smaller.append((keys[inside], place[owner[inside]]))
+    shape = (len(one), len(two))
+    good = (collisions(listed(signs[one]), listed(signs[two]), shape) >= matches) & (comp[one][:, None] != comp[two][None, :])
     if lo[0] == hi[0]:
         good = np.triu(good, 1)
+    if good.any():
+        good &= collisions(*smaller, shape) == 0
     i, j = np.nonzero(good)
     return np.stack([one[i], two[j]], axis=1)
 
 
 @tidied
 def _suspects(matches: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of groups that have a pair to confirm."""
+    """The members of groups that have a pair to confirm, with the places (16 bits, in order of cid) of their partners among them."""
     with np.errstate(over="ignore"):
         for t in _groups(batches):
-            rows = np.unique(_pairs(t, signs_of(flat(t["signature"])), matches))
-            if len(rows):
-                yield t.select(["key", "lo", "hi", "block", "comp", "cid"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
+            pairs = _pairs(t, matches)
+            if len(pairs):
+                rows, at = np.unique(pairs, return_inverse=True)
+                at = at.reshape(pairs.shape)
+                order = np.argsort(at[:, 0], kind="stable")
+                ends = np.searchsorted(at[order, 0], np.arange(len(rows) + 1))
+                partners = [at[order[a:z], 1].astype("<u2").tobytes() for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                out = t.select(["key", "lo", "hi", "comp", "cid"]).take(pa.array(rows)).append_column("partners", pa.array(partners, pa.binary()))
+                yield out.combine_chunks().to_batches()[0]
 
 
 @tidied
-def _spanning(percent: int, matches: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group the links between components, as many as join them: pairs above the threshold are confirmed on full sets unless they are joined already."""
+def _spanning(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group the links between components, as many as join them: its pairs are confirmed on full sets unless they are joined already."""
     with np.errstate(over="ignore"):
         for t in _groups(batches):
             sets = shingle_sets(flat(t["text"]))
@@ -242,17 +258,18 @@ def _spanning(percent: int, matches: int, batches: Iterator[pa.RecordBatch]) ->
                 return c
 
             out = []
-            for i, j in _pairs(t, np.stack([signature(s) for s in sets]), matches).tolist():
-                x, y = top(comp[i]), top(comp[j])
-                if x != y and similar(sets[i], sets[j], percent):
-                    up[max(x, y)] = min(x, y)
-                    out.append((cid[i], cid[j]))
+            for i, partners in enumerate(t["partners"].to_pylist()):
+                for j in np.frombuffer(partners, "<u2").tolist():
+                    x, y = top(comp[i]), top(comp[j])
+                    if x != y and similar(sets[i], sets[j], percent):
+                        up[max(x, y)] = min(x, y)
+                        out.append((cid[i], cid[j]))
             yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _rest(lists: DataFrame, comps: DataFrame, signs: DataFrame, texts_: DataFrame, percent: int, matches: int) -> DataFrame | None:
     """a, b: links that the hubs didn't show, from the lists whose members are in several components still; None: there are no such lists. Lists of the same members count once. A list is dealt into blocks, and each pair of blocks is compared in one place."""
-    parts = 4 * scan_parts(texts_)
+    parts = scan_parts(texts_)
     now = materialise(lists.join(comps, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("comp")), "members")
     of_list = now.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("name"))
     open_lists = materialise(of_list.where("first < last").groupBy("n", "name").agg(F.min("key").alias("open_key")), "open")
@@ -263,13 +280,14 @@ def _rest(lists: DataFrame, comps: DataFrame, signs: DataFrame, texts_: DataFram
     member = member.select("key", "cid", "comp", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"))
     placed = member.select("key", "cid", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     placed = materialise(placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "comp", "cid"), "placed")
-    signed = placed.join(signs, "cid").select("key", "lo", "hi", "block", "comp", "cid", "signature")
+    own = placed.select("cid", "key").distinct().groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most K of a class
+    signed = placed.join(own, "cid").join(signs, "cid").select("key", "lo", "hi", "block", "comp", "cid", "signature", "keys")
     dealt = signed.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
-    suspects = materialise(dealt.mapInArrow(partial(_suspects, matches), "key long, lo long, hi long, block long, comp long, cid long"), "suspects")
+    suspects = materialise(dealt.mapInArrow(partial(_suspects, matches), "key long, lo long, hi long, comp long, cid long, partners binary"), "suspects")
     discard(now, open_lists, placed)
     told, folder = sent(texts_, suspects.withColumnRenamed("cid", "rid"), "suspect-files")
     dealt = told.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
-    more = materialise(dealt.mapInArrow(partial(_spanning, percent, matches), "a long, b long"), "more-links")
+    more = materialise(dealt.mapInArrow(partial(_spanning, percent), "a long, b long"), "more-links")
     discard(suspects, folder)
     return more
 
@@ -301,7 +319,7 @@ def links(classes: DataFrame, texts_: DataFrame, percent: int = PERCENT, matches
     to = near.join(hubs, F.col("a") == F.col("hub")).select("a", chunk.alias("chunk"), F.col("b").alias("rid"))
     to = to.unionByName(hubs.select(F.col("hub").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("rid")))
     told, folder = sent(texts_, to, "pair-files")
-    order = told.repartition(4 * scan_parts(texts_), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("a") != F.col("cid"), "cid")
+    order = told.repartition(scan_parts(texts_), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("a") != F.col("cid"), "cid")
     linked = materialise(order.mapInArrow(partial(_confirm, percent), "a long, b long"), "links")
     discard(pairs, near, hubs, folder)
     comps = components(linked)

@@ -86,7 +86,7 @@ class Side:
                 lo, hi = np.searchsorted(rid, [rids.min(), rids.max() + 1])
                 doc = np.searchsorted(rids, rid[lo:hi])
                 ok = rids[np.minimum(doc, len(rids) - 1)] == rid[lo:hi]
-                found.append([doc[ok], *(self.t[c][lo:hi][ok].astype(np.int64) for c in columns)])
+                found.append([doc[ok], *(x if x.dtype == object else x.astype(np.int64) for x in (self.t[c][lo:hi][ok] for c in columns))])
         if not found:
             return [np.zeros(0, np.int64)] * (1 + len(columns))
         return [np.concatenate(x) for x in zip(*found, strict=True)]
