@@ -57,12 +57,21 @@ def _put(folder: str, change: Callable | None, batches: Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_pydict({"p": [p]})
 
 
+def _put_none(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _ in batches:
+        pass
+    yield from _put(folder, None, iter(()))
+
+
 def write(rows: DataFrame, docs: DataFrame, label: str, *order: str, change: Callable | None = None) -> str:
     """Write rows, which have the row number `rid` of a row of docs, to a file for each input partition of docs, sorted by rid and `order`; the folder. change: what is done to a partition's rows (an Arrow table) before."""
     folder, parts = scratch(rows.sparkSession, label), scan_parts(docs)
     keyed = rows.select(F.shiftright("rid", 33).cast("int").alias("p"), "*").repartitionById(parts, "p")
     with few_shuffle_files(rows.sparkSession):
         found = keyed.sortWithinPartitions("rid", *order).mapInArrow(partial(_put, folder, change), "p long").agg(F.count_distinct("p")).first()[0]
+    if not found:  # of a table without rows Spark runs no task
+        empty = rows.sparkSession.range(0, parts, 1, parts)
+        found = empty.mapInArrow(partial(_put_none, folder), "p long").agg(F.count_distinct("p")).first()[0]
     if found != parts:
         raise RuntimeError(f"{found} files were written for {parts} input partitions")
     return folder
