@@ -64,6 +64,11 @@ def offsets(pages: DataFrame, width: float) -> DataFrame:
     return p.withColumn("bottom", F.col("top") + F.col("height"))
 
 
+def _views(views: DataFrame) -> list[str]:
+    """What a view or probe is known by: its id if it has one, else its document."""
+    return [c for c in ("doc", "view") if c in views.columns]
+
+
 def page_at(laid: DataFrame, probes: DataFrame) -> DataFrame:
     """doc, y, page at a height; null in gaps. probes: doc, y."""
     hit = laid.join(probes, "doc").groupBy("doc", "y").agg(F.min(F.when((F.col("top") <= F.col("y")) & (F.col("y") <= F.col("bottom")), F.col("page"))).alias("page"))
@@ -71,17 +76,18 @@ def page_at(laid: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def visible(laid: DataFrame, views: DataFrame, width: float) -> DataFrame:
-    """doc, first, last: pages in view, a buffer of a page's width (200 at least) around it. views: doc, view_top, view_bottom."""
+    """doc, view if views have it, first, last: pages in view, a buffer of a page's width (200 at least) around it. views: doc, view, view_top, view_bottom."""
     buffer = max(width, 200.0)
     seen = (F.col("bottom") >= F.greatest(F.col("view_top") - buffer, F.lit(0.0))) & (F.col("top") <= F.col("view_bottom") + buffer)
-    return laid.join(views, "doc").groupBy("doc").agg(F.coalesce(F.min(F.when(seen, F.col("page"))), F.min("page")).alias("first"), F.coalesce(F.max(F.when(seen, F.col("page"))), F.min("page")).alias("last"))
+    return laid.join(views, "doc").groupBy(*_views(views)).agg(F.coalesce(F.min(F.when(seen, F.col("page"))), F.min("page")).alias("first"), F.coalesce(F.max(F.when(seen, F.col("page"))), F.min("page")).alias("last"))
 
 
 def tracked(laid: DataFrame, views: DataFrame, width: float) -> DataFrame:
     """doc, page: of the pages in view the one whose middle is nearest to the view's, the first of equals."""
-    j = laid.join(views, "doc").join(visible(laid, views, width), "doc").where(F.col("page").between(F.col("first"), F.col("last")))
+    keys = _views(views)
+    j = laid.join(views, "doc").join(visible(laid, views, width), keys).where(F.col("page").between(F.col("first"), F.col("last")))
     distance = F.abs(F.col("top") + F.col("height") / 2 - (F.col("view_top") + F.col("view_bottom")) / 2)
-    return j.groupBy("doc").agg(F.min(F.struct(distance.alias("d"), "page")).alias("m")).select("doc", F.col("m.page").alias("page"))
+    return j.groupBy(*keys).agg(F.min(F.struct(distance.alias("d"), "page")).alias("m")).select(*keys, F.col("m.page").alias("page"))
 
 
 def retained(page: Column, first: Column, last: Column) -> Column:

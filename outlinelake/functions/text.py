@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What counts as white space when a title or a number is trimmed: Unicode's White_Space.
+_BLANK = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def trimmed(text: Column) -> Column:
+    """text without white space at either end."""
+    return F.regexp_replace(F.regexp_replace(text, f"^{_BLANK}", ""), f"{_BLANK}$", "")
+
+
+def _place(chars: DataFrame) -> list[str]:
+    """What an index counts in: the page if there are pages, else the document."""
+    return [c for c in ("doc", "page") if c in chars.columns]
+
+
 def search(pages: DataFrame, query: str) -> DataFrame:
     """doc, page, match_no, idx of every occurrence of the query in page order, whatever its case; nothing for a blank query. pages: doc, page, text."""
     needle = query.strip().lower()
@@ -37,25 +51,26 @@ def normalised_range(a: Column, b: Column) -> tuple[Column, Column, Column]:
 
 
 def extract(chars: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc, text of inclusive ranges (doc, first, last); no row where an index is missing. chars: doc, idx, ch."""
-    inside = chars.join(ranges, "doc").where(F.col("idx").between(F.col("first"), F.col("last")))
-    got = inside.groupBy("doc", "first", "last").agg(F.sort_array(F.collect_list(F.struct("idx", F.coalesce("ch", F.lit("")).alias("ch")))).alias("all"))
+    """doc (and page, if chars have it), text of inclusive ranges (doc, page, first, last); no row where an index is missing. chars: doc, page, idx, ch."""
+    keys = _place(chars)
+    inside = chars.join(ranges, keys).where(F.col("idx").between(F.col("first"), F.col("last")))
+    got = inside.groupBy(*keys, "first", "last").agg(F.sort_array(F.collect_list(F.struct("idx", F.coalesce("ch", F.lit("")).alias("ch")))).alias("all"))
     whole = got.where(F.size("all") == F.col("last") - F.col("first") + 1)
-    return whole.select("doc", F.array_join(F.transform("all", lambda x: x["ch"]), "").alias("text"))
+    return whole.select(*keys, F.array_join(F.transform("all", lambda x: x["ch"]), "").alias("text"))
 
 
 def line_breaks(chars: DataFrame) -> DataFrame:
-    """chars with breaks: whether a new line starts before the character, by the distance from the one before it. A character without bounds breaks nothing and neither does the next. chars: doc, idx, ch, left, top, bottom."""
-    w = Window.partitionBy("doc").orderBy("idx")
+    """chars with breaks: whether a new line starts before the character, by the distance from the one before it. A character without bounds breaks nothing and neither does the next. chars: doc, page if there are pages, idx, ch, left, top, bottom."""
+    w = Window.partitionBy(*_place(chars)).orderBy("idx")
     size = F.greatest(F.abs(F.col("top") - F.col("bottom")), F.lit(1.0))
     far = (F.abs(F.col("top") - F.lag("top").over(w)) > size * 1.5) | (F.abs(F.col("left") - F.lag("left").over(w)) > size * 6.0)
     return chars.withColumn("breaks", F.coalesce(far, F.lit(False)))
 
 
 def broken_text(chars: DataFrame) -> DataFrame:
-    """doc, text with the inferred line breaks."""
+    """doc (and page, if chars have it), text with the inferred line breaks."""
     piece = F.concat(F.when(F.col("breaks"), "\n").otherwise(""), F.coalesce("ch", F.lit("")))
-    return line_breaks(chars).groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", piece.alias("s")))), lambda x: x["s"]), "").alias("text"))
+    return line_breaks(chars).groupBy(*_place(chars)).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", piece.alias("s")))), lambda x: x["s"]), "").alias("text"))
 
 
 def quads(chars: DataFrame) -> DataFrame:
@@ -65,10 +80,10 @@ def quads(chars: DataFrame) -> DataFrame:
 
 
 def hit_test(chars: DataFrame, points: DataFrame, tolerance: float = 6.0) -> DataFrame:
-    """doc, probe, idx of the character whose box, widened by the tolerance, is nearest to a point. points: doc, probe, x, y."""
+    """doc, probe, idx of the character whose box, widened by the tolerance, is nearest to a point. points: doc, page if chars have it, probe, x, y."""
     dx = F.greatest(F.col("left") - F.col("x"), F.col("x") - F.col("right"), F.lit(0.0))
     dy = F.greatest(F.col("bottom") - F.col("y"), F.col("y") - F.col("top"), F.lit(0.0))
-    near = chars.join(points, "doc").withColumn("dx", dx).withColumn("dy", dy).where((F.col("dx") <= tolerance) & (F.col("dy") <= tolerance))
+    near = chars.join(points, _place(chars)).withColumn("dx", dx).withColumn("dy", dy).where((F.col("dx") <= tolerance) & (F.col("dy") <= tolerance))
     return near.groupBy("doc", "probe").agg(F.min(F.struct((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d"), "idx")).alias("m")).select("doc", "probe", F.col("m.idx").alias("idx"))
 
 
@@ -86,7 +101,7 @@ def link_target(kind: Column, uri: Column, action_page0: Column, dest_page0: Col
 
 def u32(text: Column) -> Column:
     """A trimmed unsigned 32-bit number, else null."""
-    s = F.trim(text)
+    s = trimmed(text)
     n = F.expr("null").cast("long")
     value = F.when(s.rlike(r"^\+?[0-9]{1,18}$"), F.regexp_replace(s, r"^\+", "").cast("long")).otherwise(n)
     return F.when(value <= 4294967295, value)

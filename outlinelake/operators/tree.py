@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 #: A fixed value: the title of a row that is put in without one.
 NEW_TITLE = "새 북마크"
 
@@ -67,10 +69,25 @@ def flatten(tree: DataFrame) -> DataFrame:
 
 def prepare_import(rows: DataFrame, name: Column, *tie: str) -> DataFrame:
     """Rows whose filename is `name` byte for byte, in stable order; skipped counts the others of the document."""
-    all_ = rows.withColumn("skipped", F.count_if(~(F.col("filename") == name)).over(Window.partitionBy("doc")))
+    all_ = rows.withColumn("skipped", F.count_if(~F.coalesce(F.col("filename") == name, F.lit(False))).over(Window.partitionBy("doc")))
     return numbered(all_.where(F.col("filename") == name), *tie)
 
 
+def import_counts(rows: DataFrame, name: Column) -> DataFrame:
+    """doc, kept, skipped: how many rows of a document have the filename `name` and how many don't, documents of which none is kept included; a null filename is another name."""
+    own = F.coalesce(F.col("filename") == name, F.lit(False))
+    return rows.groupBy("doc").agg(F.count_if(own).alias("kept"), F.count_if(~own).alias("skipped"))
+
+
+def apply_import(tree: DataFrame, rows: DataFrame, name: Column, *tie: str, levels: int | None = None) -> DataFrame:
+    """The outlines after an import: a document's tree is replaced by that of its rows with the filename `name`, and stays as it is where no row is kept."""
+    kept = prepare_import(rows, name, *tie)
+    new = paths(effective_depth(kept), levels).select("doc", "rn", "eff", "title", "page", "path")
+    # documents with a row that is kept, one row each
+    taken = new.where("rn = 0").select("doc")
+    return tree.select(*new.columns).join(taken, "doc", "left_anti").unionByName(new)
+
+
 def _renumber(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc").orderBy("k1", "k2", "rn")
     return rows.select("doc", (F.row_number().over(order) - 1).cast("long").alias("rn"), "eff", "title", "page")
@@ -172,8 +189,8 @@ def drop_position(ratio: Column) -> Column:
 
 def rename(old: Column, new: Column) -> Column:
     """A trimmed new title, or the old one if nothing is left."""
-    trimmed = F.trim(new)
-    return F.when(F.length(trimmed) > 0, trimmed).otherwise(old)
+    title = trimmed(new)
+    return F.when(F.length(title) > 0, title).otherwise(old)
 
 
 def resolve_pages(tree: DataFrame, pages: DataFrame) -> DataFrame:

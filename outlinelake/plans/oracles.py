@@ -67,6 +67,8 @@ def _move(position: str) -> str:
         {_NUMBER} u""")
 
 
+_FILES = """, named AS (SELECT *, coalesce(doc % 3 <> 0 AND l_partkey % 3 <> 0 AND l_partkey % 7 <> 1, false) AS own FROM base)"""
+
 _SEEN = """, seen AS (SELECT t.* FROM tree t LEFT JOIN asked a USING (doc) WHERE a.doc IS NULL OR NOT list_has_any(list_slice(t.path, 1, len(t.path) - 1), [a.par, a.moving]))"""
 
 _BATCH = """WITH src AS (SELECT n_nationkey, path, row_number() OVER (ORDER BY NOT lower(path) LIKE '%.xlsx', string_split(path, '/')) AS rank FROM
@@ -115,6 +117,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'geo' || k0 AS doc, row_number() OVER (PARTITION BY k0 ORDER BY k1, k2) AS ord, depth::BIGINT AS depth, title, (k1 + 2)::BIGINT AS page FROM r""",
         "import_filter_sort": _tree("""SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY ord, l_partkey, l_suppkey, l_extendedprice) - 1 AS rn, ord, title, page,
             (SELECT count(*) FROM base b WHERE b.doc = base.doc AND b.l_partkey % 3 = 0) AS skipped FROM base WHERE l_partkey % 3 <> 0"""),
+        "import_counts": _tree(f"{_FILES} SELECT doc, count(*) FILTER (WHERE own) AS kept, count(*) FILTER (WHERE NOT own) AS skipped FROM named GROUP BY doc"),
+        "apply_import": _tree(f"""{_FILES}, mine AS (SELECT doc, depth, title, page, row_number() OVER (PARTITION BY doc ORDER BY ord, l_partkey, l_suppkey, l_extendedprice) - 1 AS rn FROM named WHERE own)
+            SELECT doc, rn, rn + least(0, min(depth - rn) OVER (PARTITION BY doc ORDER BY rn ROWS UNBOUNDED PRECEDING)) AS eff, title, page FROM mine
+            UNION ALL SELECT doc, rn, eff, title, page FROM tree WHERE doc NOT IN (SELECT doc FROM mine)"""),
         "insert_child": _insert("par", False),
         "insert_by_page_parent": _insert("par", True),
         "insert_by_page_anchor": _insert("NULL::BIGINT", True),
@@ -130,6 +136,10 @@ def oracle_sql() -> dict[str, str]:
         "visible_neighbours": _tree(f"{_SEEN} SELECT doc, rn, lag(rn) OVER w AS above, lead(rn) OVER w AS below FROM seen WINDOW w AS (PARTITION BY doc ORDER BY rn)"),
         "fold_target": _tree(", k AS (SELECT *, coalesce(lead(eff) OVER (PARTITION BY doc ORDER BY rn) > eff, false) AS has_children FROM up) SELECT doc, rn, has_children, CASE WHEN has_children THEN rn ELSE parent END AS fold FROM k"),
         "drop_position": "WITH r AS (SELECT conv_id, turn, (conv_id * 7 + turn) % 100 / 100.0::DOUBLE AS ratio FROM conversations) SELECT conv_id, turn, CASE WHEN ratio < 0.25 THEN 'Before' WHEN ratio > 0.75 THEN 'After' ELSE 'Inside' END AS position FROM r",
+        "rename_blanks": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS title, doc_id AS page FROM documents",
+        "page_texts": """WITH l AS (SELECT conv_id AS doc, turn + 1 AS page, regexp_extract_all(text, '(?s).') AS l FROM conversations),
+            c AS (SELECT doc, page, unnest(l) AS ch, generate_subscripts(l, 1) - 1 AS idx FROM l)
+            SELECT doc, page, string_agg(CASE WHEN idx > 0 AND idx % 20 = 0 THEN chr(10) ELSE '' END || ch, '' ORDER BY idx) AS text FROM c GROUP BY doc, page""",
         "rename_commit": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS title FROM documents",
         "write_page_fallback": _tree(""", pg AS (SELECT s_suppkey % 5 AS doc, s_suppkey AS page FROM supplier WHERE s_suppkey % 3 <> 0)
             SELECT t.doc AS outline, t.rn, t.page, coalesce(pg.page, (SELECT min(page) FROM pg f WHERE f.doc = t.doc % 6), 0) AS target FROM tree t LEFT JOIN pg ON pg.doc = t.doc % 6 AND pg.page = t.page"""),
@@ -161,6 +171,10 @@ def oracle_sql() -> dict[str, str]:
         "page_layout": _LAID + "SELECT doc, page, round(height, 4) AS height, round(top, 4) AS top, round(bottom, 4) AS bottom FROM laid",
         "page_at_y": _LAID + "SELECT doc, view_top + 3 AS y, min(page) FILTER (WHERE top <= view_top + 3 AND view_top + 3 <= bottom) AS page FROM laid JOIN views USING (doc) GROUP BY ALL",
         "visible_pages": _LAID + "SELECT * FROM seen",
+        "views_tracked": _LAID + """, two AS (SELECT doc, 0 AS view, view_top, view_bottom FROM views UNION ALL SELECT doc, 1, view_top + 4000, view_bottom + 4000 FROM views),
+            many AS (SELECT doc, view, coalesce(min(page) FILTER (WHERE bottom >= greatest(view_top - 600, 0) AND top <= view_bottom + 600), min(page)) AS first,
+                coalesce(max(page) FILTER (WHERE bottom >= greatest(view_top - 600, 0) AND top <= view_bottom + 600), min(page)) AS last FROM laid JOIN two USING (doc) GROUP BY doc, view)
+            SELECT doc, view, first, last, arg_min(page, (abs(top + height / 2 - (view_top + view_bottom) / 2), page)) AS page FROM laid JOIN two USING (doc) JOIN many USING (doc, view) WHERE page BETWEEN first AND last GROUP BY ALL""",
         "tracked_page": _LAID + "SELECT doc, arg_min(page, (abs(top + height / 2 - (view_top + view_bottom) / 2), page)) AS page FROM laid JOIN views USING (doc) JOIN seen USING (doc) WHERE page BETWEEN first AND last GROUP BY doc",
         "render_width": """WITH p AS (SELECT p_partkey, (p_partkey * 37 % 900)::DOUBLE AS w, (p_partkey * 53 % 1200 + 1)::DOUBLE AS h, (p_partkey * 91 % 40000)::DOUBLE AS t FROM part),
             a AS (SELECT *, CASE WHEN w > 0 THEN h / w ELSE 1.0 END AS aspect FROM p)

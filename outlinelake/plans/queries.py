@@ -84,6 +84,19 @@ def import_filter_sort(spark, sf):
     return tree.prepare_import(rows, F.lit("own.pdf"), *TIE).select("doc", "rn", "ord", "title", "page", "skipped")
 
 
+def _files_of(spark, sf):
+    """lineitem as rows for several files; of a third of the documents no row is for their own."""
+    return rows_of(spark, sf).withColumn("filename", F.when((F.col("doc") % 3 == 0) | (F.col("l_partkey") % 3 == 0), "other.pdf").when(F.col("l_partkey") % 7 != 1, "own.pdf"))
+
+
+def import_counts(spark, sf):
+    return tree.import_counts(_files_of(spark, sf), F.lit("own.pdf"))
+
+
+def apply_import(spark, sf):
+    return tree.apply_import(tree_of(spark, sf), _files_of(spark, sf), F.lit("own.pdf"), *TIE, levels=LEVELS).select(*_T)
+
+
 _T = ["doc", "rn", "eff", "title", "page"]
 
 
@@ -153,6 +166,12 @@ def drop_position(spark, sf):
     return c.select("conv_id", "turn", tree.drop_position((F.col("conv_id") * 7 + F.col("turn")) % 100 / 100.0).alias("position"))
 
 
+def rename_blanks(spark, sf):
+    d = table(spark, sf, "documents")
+    blank = F.lit("\t\u00a0\u3000 \n")
+    return d.select("doc_id", tree.rename(F.col("source"), F.when(F.col("doc_id") % 3 == 0, blank).otherwise(F.concat(blank, F.col("lang"), F.lit("\n")))).alias("title"), text.u32(F.concat(F.lit("\t"), F.col("doc_id").cast("string"), F.lit("\n"))).alias("page"))
+
+
 def rename_commit(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", tree.rename(F.col("source"), F.when(F.col("doc_id") % 3 == 0, "   ").otherwise(F.concat(F.lit("  "), F.col("lang"), F.lit(" ")))).alias("title"))
@@ -267,6 +286,14 @@ def line_breaks(spark, sf):
     return t.select("doc", F.md5("text").alias("text_md5"), F.char_length("text").cast("long").alias("n_chars"))
 
 
+def page_texts(spark, sf):
+    """Characters of conversations' turns as pages: breaks start anew on each page."""
+    c = _pages(spark, sf).select("doc", "page", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("idx", "ch"))
+    left, top = (F.col("idx") % 20) * 6.0, -12.0 * F.floor(F.col("idx") / 20)
+    placed = c.select("doc", "page", F.col("idx").cast("long").alias("idx"), "ch", left.alias("left"), top.cast("double").alias("top"), (top - 10).cast("double").alias("bottom"))
+    return text.broken_text(placed)
+
+
 def _corners(q):
     c = lambda k, f: F.col("quad")[k][f]
     return q.select("doc", "idx", c(0, "x").alias("x0"), c(0, "y").alias("y0"), c(2, "x").alias("x2"), c(2, "y").alias("y2"), "rotation")
@@ -333,6 +360,18 @@ def visible_pages(spark, sf):
     return layout.visible(_laid(spark, sf), _views(spark, sf), WIDTH)
 
 
+def _several_views(spark, sf):
+    """Two views of each document, far apart."""
+    v = _views(spark, sf)
+    far = v.select("doc", (F.col("view_top") + 4000.0).alias("view_top"), (F.col("view_bottom") + 4000.0).alias("view_bottom"))
+    return v.withColumn("view", F.lit(0)).unionByName(far.withColumn("view", F.lit(1)))
+
+
+def views_tracked(spark, sf):
+    laid, views = _laid(spark, sf), _several_views(spark, sf)
+    return layout.visible(laid, views, WIDTH).join(layout.tracked(laid, views, WIDTH), ["doc", "view"])
+
+
 def tracked_page(spark, sf):
     return layout.tracked(_laid(spark, sf), _views(spark, sf), WIDTH)
 

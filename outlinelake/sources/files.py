@@ -198,7 +198,7 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def staged_save(df: DataFrame, path: str) -> int:
-    """Write to a folder beside the target, read it again and compare the counts, then exchange the folders; on a difference the old one stays."""
+    """Write to a folder beside the target, read it again and compare the counts, then exchange the folders; on a difference or an error the old one stays or comes back."""
     part, old = f"{path}.part-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     try:
         df.write.parquet(part)
@@ -207,7 +207,12 @@ def staged_save(df: DataFrame, path: str) -> int:
             raise OSError("what was written isn't what was read again")
         if os.path.exists(path):
             os.rename(path, old)
-        os.rename(part, path)
+        try:
+            os.rename(part, path)
+        except OSError:
+            if os.path.exists(old):
+                os.rename(old, path)
+            raise
     finally:
         shutil.rmtree(part, ignore_errors=True)
     shutil.rmtree(old, ignore_errors=True)
