@@ -16,7 +16,7 @@ What is found is written per input partition to the shared folder and met again
 are not shuffled. Fingerprints have 64 bits; docs must be a scan of stored files (see numbered()).
 
 Defined results: null counts as empty text; texts under LENGTH bytes are kept whole; repeats inside one text and
-overlapping ones count; repeated rows repeat each other. Extra columns are ignored; an empty table gives no rows.
+overlapping ones count; texts of any length are taken whole; repeated rows repeat each other. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -73,8 +73,16 @@ def texts_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def entries(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Leading token, bytes' print, text number, start in the text and number of windows of each entry."""
+def entries(raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 26) -> tuple[np.ndarray, ...]:
+    """Leading token, bytes' print, text number, start in the text and number of windows of each entry. More than `most` bytes are taken in parts that overlap by a window; an entry that is cut there is one of another kind of bytes, whose windows are compared one by one."""
+    if len(raw) > most:
+        found = []
+        for at in range(0, len(raw), most):
+            to = min(at + most + LENGTH - 1, len(raw))
+            here = np.clip(offsets, at, to)
+            h, cls, doc, start, n = entries(raw[at:to], here - at, most + LENGTH)
+            found.append((h, cls, doc, start + here[doc] - offsets[doc], n))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     if len(raw) < LENGTH:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     p = Prints(raw)

@@ -248,6 +248,17 @@ def test_suffixes(spark, stored, none, real, tmp_path):
     assert clean.columns == stored.columns and clean.count() == stored.count() and suffix_dedup.clean(none).count() == 0
 
 
+def test_entries_in_parts():
+    rng = np.random.default_rng(3)
+    raw, offsets = rng.integers(97, 100, 5000, dtype=np.uint8), np.array([0, 0, 250, 3333, 3333, 5000])
+    windows = lambda found: sorted((d, s + k) for _, _, d, s, n in zip(*(x.tolist() for x in found)) for k in range(n))
+    whole = suffix_dedup.entries(raw, offsets)
+    for most in (301, 1000, 4999):
+        parts = suffix_dedup.entries(raw, offsets, most)
+        assert windows(parts) == windows(whole) and (most == 4999 or len(parts[0]) > len(whole[0]))
+    assert windows(whole) == [(d, s) for d in range(5) for s in range(offsets[d + 1] - offsets[d] - 199)]
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(6)
     keys = [rng.integers(0, 4, 300) for _ in range(4)]
