@@ -1,12 +1,18 @@
 """BPE encoding and decoding by an automaton (operator 1).
 
 The merge list is compiled once: starting from the one-state automaton over the base symbols, every merge
-(u, v) -> w puts in a gadget. It cuts the arc v out of the state that u leads to (a copy of that state without
-v), and adds the arc w, leading where v led. As all arcs of one label lead to one state, a state is a label and
-the arcs cut from it, so the automaton is kept as a chain of deltas: `made[w] = (u, v, time)` and, per label
-pair, the time of the cut. `Automaton.follows(a, b)` is the transition table: whether the state after arc a has
-an arc b; it is filled as it is used and bounded. A word has exactly one path of arcs through the automaton, and
-those arcs are its tokens.
+(u, v) -> w puts in a gadget. It cuts the arc v out of the state that u leads to and adds the arc w, beside every arc u
+that is left, to a copy of the state that v leads to. All arcs of one label lead to one state, so states are labels.
+
+Written out, the transition table has a row of 49,000 arcs for each of 49,000 states. It is kept as rows with
+default links, complete once compiled: arcs are numbered so that a cut of v takes one run of numbers (v, and the labels
+that came to begin with v at or after the cut), and a state's own row lists the runs cut from it with the time of the cut.
+A label w = (u, v) has its own row and a link to the row of v, which counts up to the time of w, as the state was
+copied then. `Automaton.next(a, b)` looks one transition up.
+
+Encoding reads a word from left to right, once. Each prefix of a word is spelt by exactly one path of arcs, so each
+position has one state, the last arc of that path: the one arc ending there that goes on from the state where it begins.
+It is set once and never taken back. The word's tokens are the arcs that lead to its end.
 
 Encoding runs on the distinct space-delimited pieces of an Arrow batch; results are gathered by dictionary code.
 A text with characters outside the plain ranges of PLAIN takes its normalisation and word split from the
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -33,12 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import PieceIds, bounded, byte_symbols, flat, gathered, replaced, texts, tidied
 
-#: Fixed values of the vocabulary file's format.
+#: Fixed value of the vocabulary file's format.
 END = "</w>"
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What sends a text to the library's splitter. Plain are ASCII without control characters but tab and line ends, Latin letters that are composed already, common punctuation.
 PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{132}-\x{17f}\x{2013}\x{2014}\x{2018}-\x{201d}\x{2022}\x{2026}\x{20ac}]"
 CACHE = 200_000
+NEVER = 1 << 60
 
 
 class Automaton:
@@ -46,23 +53,25 @@ class Automaton:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = END):
         self.labels = {i: t for t, i in vocab.items()}
-        self.size = max(self.labels, default=0) + 1
+        self.end = "\0" if end else ""
         self.made: dict[int, tuple[int, int, int]] = {}
-        self.cut: dict[int, int] = {}
         self.arcs: dict[str, int] = {}
         closed = lambda t: t[: -len(end)] + "\0" if end and t.endswith(end) else t
-        products = {u + v for u, v in merges}
         for t, i in vocab.items():
-            if t not in products:
+            if len(closed(t).rstrip("\0")) == 1:
                 self.arcs[closed(t)] = i
+        begun: dict[int, list[int]] = {}  # the labels made of each label and something after it, in time
         for time, (a, b) in enumerate(merges):
-            self.gadget(vocab[a], vocab[b], vocab[a + b], time)
-            self.arcs[closed(a + b)] = vocab[a + b]
+            w = vocab[a + b]
+            self.gadget(vocab[a], vocab[b], w, time)
+            self.arcs[closed(a + b)] = w
+            begun.setdefault(vocab[a], []).append(w)
         self.longest: dict[str, int] = {}
         for t in self.arcs:
             if len(t) > 2:
-                self.longest[t[:3]] = max(self.longest.get(t[:3], 3), len(t))
-        self.known: dict[int, bool] = {}
+                self.longest[t[-3:]] = max(self.longest.get(t[-3:], 3), len(t))
+        self._number(begun)
+        self._rows()
 
     def gadget(self, u: int, v: int, w: int, time: int) -> None:
         if w in self.made or (w in (u, v)):
@@ -71,66 +80,88 @@ class Automaton:
             if part in self.made and self.made[part][2] >= time:
                 raise ValueError("a merge comes before those that make its parts")
         self.made[w] = (u, v, time)
-        self.cut[u * self.size + v] = time
-
-    def follows(self, a: int, b: int) -> bool:
-        """Whether arc b leaves the state after arc a."""
-        key = a * self.size + b
-        if (found := self.known.get(key)) is None:
-            if len(self.known) > 4 * CACHE:
-                self.known.clear()
-            found = self.known[key] = self._follows(a, b)
-        return found
-
-    def _follows(self, a: int, b: int) -> bool:
-        made, cut, never = self.made, self.cut, 1 << 60
-        rights, x, until = [], a, never  # the labels whose deltas the state after a has inherited, and until when
-        while True:
-            rights.append((x, until))
-            if x not in made:
-                break
-            _, x, until = made[x]
-        x, until = b, never  # the labels that stood at the start of arc b, and until when
+
+    def _number(self, begun: dict[int, list[int]]) -> None:
+        """Number the arcs: a label stands before those that begin with it, the latest of which come first."""
+        self.number: dict[int, int] = {}
+        self.after: dict[int, int] = {}  # the number after a label's and those of all that begin with it
+        stack = [(i, False) for i in self.labels if i not in self.made]
+        while stack:
+            i, done = stack.pop()
+            if done:
+                self.after[i] = len(self.number)
+            else:
+                self.number[i] = len(self.number)
+                stack.append((i, True))
+                stack += [(w, False) for w in begun.get(i, ())]
+
+    def _rows(self) -> None:
+        """Of each state the runs of arcs cut from it: where runs begin, and until when the arcs of a run were there (NEVER: still are)."""
+        cuts: dict[int, list[tuple[int, int, int]]] = {}
+        latest = {i: n + 1 for i, n in self.number.items()}  # the end of a label's run: itself and what has come to begin with it since the cut
+        for w, (u, v, time) in sorted(self.made.items(), key=lambda x: -x[1][2]):
+            latest[u] = max(latest[u], self.after[w])  # w begins with u; the labels made later have been seen before
+            cuts.setdefault(u, []).append((self.number[v], latest[v], time))
+        self.rows: dict[int, tuple[list[int], list[int]]] = {}
+        for u, runs in cuts.items():
+            at, until, inside = [0], [NEVER], []  # runs lie one in another or apart
+            for lo, hi, time in [*sorted(runs, key=lambda r: (r[0], -r[1])), (NEVER, NEVER, NEVER)]:
+                while inside and inside[-1][0] <= lo:
+                    at.append(inside.pop()[0])
+                    until.append(inside[-1][1] if inside else NEVER)
+                inside.append((hi, min(time, inside[-1][1]) if inside else time))
+                at.append(lo)
+                until.append(inside[-1][1])
+            self.rows[u] = at, until
+        self.link = {w: (v, time) for w, (_, v, time) in self.made.items()}
+
+    def next(self, state: int, arc: int) -> bool:
+        """Whether the arc leaves the state; it leads to the state of its own label."""
+        number, counts, rows, link = self.number[arc], NEVER, self.rows, self.link
         while True:
-            for r, r_until in rights:
-                time = cut.get(r * self.size + x)
-                # cut before either side had become part of a longer label; of overlapping equal merges the left one comes first
-                if time is not None and time < r_until and time <= until:
+            if state in rows:
+                at, until = rows[state]
+                if until[bisect_right(at, number) - 1] < counts:
                     return False
-            if x not in made:
+            if state not in link:
                 return True
-            x, _, until = made[x]
+            state, counts = link[state]
 
     def encode(self, word: str) -> list[int]:
-        """The labels of the one path that spells the word: table look-ups, longest arc first, going back where no arc fits."""
-        s = word + "\0"
-        n, arcs, longest, follows = len(s), self.arcs, self.longest, self.follows
-        path: list[int] = []
-        at, starts, dead, most = 0, [], set(), n
-        while at < n:
-            size, last = min(most, longest.get(s[at : at + 3], 2), n - at), path[-1] if path else -1
-            while size:
-                arc = arcs.get(s[at : at + size])
-                if arc is not None and at + size not in dead and (last < 0 or follows(last, arc)):
+        """The labels of the one path that spells the word: a state for each position, left to right, none taken back."""
+        s = word + self.end
+        n, arcs, longest, leaves = len(s), self.arcs, self.longest, self.next
+        if (whole := arcs.get(s)) is not None:
+            return [whole]
+        states, came = [-1] * (n + 1), [0] * (n + 1)
+        for to in range(1, n + 1):
+            if to == n - 1 and self.end:
+                continue  # no arc begins between the last character and the mark of the end
+            for at in range(to - min(longest.get(s[max(to - 3, 0) : to], 2), to), to):
+                # one arc at most that ends here goes on from the state where it begins
+                if (arc := arcs.get(s[at:to])) is not None and (not at or leaves(states[at], arc)):
+                    states[to], came[to] = arc, at
                     break
-                size -= 1
-            if size:
-                path.append(arc)
-                starts.append(at)
-                at, most = at + size, n
             else:
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                dead.add(at)
-                path.pop()
-                most = at - starts[-1] - 1
-                at = starts.pop()
-        return path
+                raise ValueError(f"no path spells {word!r}")
+        path, at = [], n
+        while at:
+            path.append(states[at])
+            at = came[at]
+        return path[::-1]
 
     def label(self, arc: int) -> str:
         return self.labels[arc]
 
 
+def split_pattern(spec: dict) -> str:
+    """The pattern of words of a file's pre-tokenizer."""
+    found = [p["pattern"]["Regex"] for p in spec.get("pretokenizers", [spec]) if p["type"] == "Split"]
+    if len(found) != 1:
+        raise ValueError(f"one split by a pattern is needed, the file has {len(found)}")
+    return found[0]
+
+
 class Codec:
     """Texts to ids and back with one vocabulary file."""
 
@@ -147,7 +178,7 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.find = regex.compile(SPLIT).findall
+        self.find = regex.compile(split_pattern(spec["pre_tokenizer"])).findall
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.symbols = byte_symbols()
         self.word_ids: dict[str, list[int]] = {}

@@ -77,6 +77,49 @@ def test_automaton_on_random_words():
         assert ids[starts[i] : starts[i + 1]].tolist() == c.library.encode(t, add_special_tokens=False).ids
 
 
+def test_transitions_are_those_of_merging():
+    def merged(word, merges):
+        parts = list(word)
+        for u, v in merges:
+            at, out = 0, []
+            while at < len(parts):
+                two = parts[at : at + 2] == [u, v]
+                out.append(u + v if two else parts[at])
+                at += 2 if two else 1
+            parts = out
+        return parts
+
+    rng, tried = np.random.default_rng(11), 0
+    for _ in range(12):
+        labels, merges = list("abc"), []
+        while len(merges) < 25:
+            u, v = (labels[i] for i in rng.integers(0, len(labels), 2))
+            if u + v not in labels and len(u + v) < 12:
+                merges.append((u, v))
+                labels.append(u + v)
+        # labels that merging their own letters gives otherwise can't be reached; the library has none of them
+        good = [t for t in labels if merged(t, merges) == [t]]
+        merges = [(u, v) for u, v in merges if u + v in good]
+        good = [t for t in labels if merged(t, merges) == [t]]
+        if any(u + v not in good for u, v in merges):
+            continue
+        tried += 1
+        vocab = {t: i for i, t in enumerate(good)}
+        made = bpe_automaton.Automaton(vocab, merges, "")
+        for a in good:
+            for b in good:
+                assert made.next(vocab[a], vocab[b]) == (merged(a + b, merges) == [a, b])
+        for _ in range(200):
+            word = "".join(rng.choice(list("abc"), rng.integers(0, 30)))
+            assert [made.label(i) for i in made.encode(word)] == merged(word, merges)
+            # at each position one arc goes on, so no step is taken back
+            states = [None] + [vocab[merged(word[:i], merges)[-1]] for i in range(1, len(word) + 1)]
+            for to in range(1, len(word) + 1):
+                on = [t for t in good if word[:to].endswith(t) and (len(t) == to or made.next(states[to - len(t)], vocab[t]))]
+                assert on == [made.label(states[to])]
+    assert tried >= 6
+
+
 def test_byte_ids_equal_the_library():
     e = byte_bpe.Encoder(queries.tokenizer("byte_bpe_50k.json"))
     texts = [t or "" for t in AWKWARD if t != LONG] + ["a  b", " \n x", "x\n\n y ", "'s a's", "<|endoftext|>"]
