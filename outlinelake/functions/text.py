@@ -50,13 +50,11 @@ def normalised_range(a: Column, b: Column) -> tuple[Column, Column, Column]:
     return F.least(a, b), F.greatest(a, b), F.abs(a - b) + 1
 
 
-def extract(chars: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc (and page, if chars have it), text of inclusive ranges (doc, page, first, last); no row where an index is missing. chars: doc, page, idx, ch."""
-    keys = _place(chars)
-    inside = chars.join(ranges, keys).where(F.col("idx").between(F.col("first"), F.col("last")))
-    got = inside.groupBy(*keys, "first", "last").agg(F.sort_array(F.collect_list(F.struct("idx", F.coalesce("ch", F.lit("")).alias("ch")))).alias("all"))
-    whole = got.where(F.size("all") == F.col("last") - F.col("first") + 1)
-    return whole.select(*keys, F.array_join(F.transform("all", lambda x: x["ch"]), "").alias("text"))
+def extract(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """doc (and page, if pages have it), text of inclusive ranges (doc, page, first, last); no row where an index is missing. pages: doc, page if there are pages, chars: a page's characters in order (null: none at that place)."""
+    inside = pages.join(ranges, _place(pages)).where((F.col("first") >= 0) & (F.col("last") < F.size("chars")))
+    part = F.slice("chars", F.col("first").cast("int") + 1, (F.col("last") - F.col("first") + 1).cast("int"))
+    return inside.select(*_place(pages), F.array_join(part, "").alias("text"))
 
 
 def line_breaks(chars: DataFrame) -> DataFrame:

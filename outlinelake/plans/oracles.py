@@ -87,7 +87,7 @@ _FOUND = """WITH hits AS (SELECT conv_id AS doc, turn + 1 AS page, unnest(regexp
     found AS (SELECT doc, page, match_no::BIGINT AS match_no, row_number() OVER (PARTITION BY doc ORDER BY page, match_no) - 1 AS idx FROM hits) """
 
 _CHARS = """WITH listed AS (SELECT doc_id AS doc, regexp_extract_all(coalesce(text, ''), '(?s).') AS l FROM documents),
-    chars AS (SELECT doc, unnest(l) AS ch, generate_subscripts(l, 1) - 1 AS idx FROM listed),
+    chars AS (SELECT doc, len(l) AS n, unnest(l) AS ch, generate_subscripts(l, 1) - 1 AS idx FROM listed),
     placed AS (SELECT *, (idx % 80) * 6.0::DOUBLE AS lft, -12.0::DOUBLE * (idx // 80) AS top FROM chars) """
 
 _LAID = """WITH m AS (SELECT page_id // 10 AS doc, page_id % 10 + 1 AS page, CASE WHEN page_id % 17 <> 0 THEN 1 + (page_id * 7 % 13) / 10.0::DOUBLE ELSE 1.414 END * 600.0::DOUBLE AS height FROM pages),
@@ -155,13 +155,13 @@ def oracle_sql() -> dict[str, str]:
         "page_search": _FOUND.format("the") + "SELECT * FROM found",
         "search_start": _FOUND.format("an") + "SELECT doc, coalesce(min(idx) FILTER (WHERE page >= doc % 5 + 1), 0) AS start FROM found GROUP BY doc",
         "search_cycle": _FOUND.format("an") + ", n AS (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM found) SELECT doc, idx, (idx + 1) % n AS next, (idx + n - 1) % n AS previous, CASE WHEN idx = 0 THEN 'primary' ELSE 'secondary' END AS class FROM n",
-        "range_extract": """SELECT doc_id AS doc, substring(text, (least(doc_id % 50, doc_id * 7 % 90) + 1)::INT, (abs(doc_id % 50 - doc_id * 7 % 90) + 1)::INT) AS text FROM documents
-            WHERE length(coalesce(text, '')) > greatest(doc_id % 50, doc_id * 7 % 90)""",
+        "range_extract": """WITH a AS (SELECT doc_id AS doc, text, doc_id * 7919 % length(text) AS a, doc_id * 104729 % length(text) AS b FROM documents WHERE length(text) > 0)
+            SELECT doc, substring(text, (least(a, b) + 1)::INT, (abs(a - b) + 1)::INT) AS text FROM a""",
         "line_breaks": _CHARS + """, b AS (SELECT doc, idx, ch, coalesce(abs(top - lag(top) OVER w) > 15 OR abs(lft - lag(lft) OVER w) > 60, false) AS breaks FROM placed WINDOW w AS (PARTITION BY doc ORDER BY idx)),
             t AS (SELECT doc, string_agg(CASE WHEN breaks THEN chr(10) ELSE '' END || ch, '' ORDER BY idx) AS text FROM b GROUP BY doc) SELECT doc, md5(text) AS text_md5, length(text) AS n_chars FROM t""",
         "char_quads": _CHARS + "SELECT doc, idx, lft AS x0, top AS y0, lft + 6 AS x2, top - 10 AS y2, 0.0::DOUBLE AS rotation FROM placed",
-        "selection_quads": _CHARS + "SELECT doc, idx, lft AS x0, top AS y0, lft + 6 AS x2, top - 10 AS y2, 0.0::DOUBLE AS rotation FROM placed WHERE idx < doc % 50 + 1",
-        "char_hit": _CHARS + """, p AS (SELECT doc_id AS doc, (doc_id * 13) % 500 + 0.25::DOUBLE AS x, -1.0::DOUBLE * ((doc_id * 5) % 60) - 0.5 AS y FROM documents),
+        "selection_quads": _CHARS + "SELECT doc, idx, lft AS x0, top AS y0, lft + 6 AS x2, top - 10 AS y2, 0.0::DOUBLE AS rotation FROM placed WHERE idx BETWEEN least(doc * 7919 % n, doc * 104729 % n) AND greatest(doc * 7919 % n, doc * 104729 % n)",
+        "char_hit": _CHARS + """, p AS (SELECT doc_id AS doc, (doc_id * 13) % 500 + 0.25::DOUBLE AS x, -1.0::DOUBLE * ((doc_id * 7919) % (12 * ((length(text) + 79) // 80))) - 0.5 AS y FROM documents WHERE length(text) > 0),
             d AS (SELECT doc, idx, greatest(lft - x, x - lft - 6, 0) AS dx, greatest(top - 10 - y, y - top, 0) AS dy FROM placed JOIN p USING (doc))
             SELECT doc, doc AS probe, arg_min(idx, (dx * dx + dy * dy, idx)) AS idx FROM d WHERE dx <= 6 AND dy <= 6 GROUP BY doc""",
         "normalize_uri": _URIS + "SELECT page_id, uri FROM n",

@@ -268,17 +268,26 @@ def search_cycle(spark, sf):
     return m.select("doc", "idx", after.alias("next"), before.alias("previous"), text.highlight(F.col("idx"), F.lit(0)).alias("class"))
 
 
+def _documents(spark, sf):
+    """doc, text and n, its number of characters, of documents that have any."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", F.char_length("text").alias("n")).where("n > 0")
+
+
+def _anchors():
+    """Two anchors of a selection anywhere in a document's n characters."""
+    return F.col("doc") * 7919 % F.col("n"), F.col("doc") * 104729 % F.col("n")
+
+
 def _chars(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?s)."), F.lit(0))).alias("idx", "ch"))
+    d = _documents(spark, sf).select("doc", "n", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("idx", "ch"))
     left, top = (F.col("idx") % 80) * 6.0, -12.0 * F.floor(F.col("idx") / 80)
-    return d.select("doc", F.col("idx").cast("long").alias("idx"), "ch", left.alias("left"), top.cast("double").alias("top"), (left + 6).alias("right"), (top - 10).cast("double").alias("bottom"), F.lit(0.0).alias("angle"))
+    return d.select("doc", "n", F.col("idx").cast("long").alias("idx"), "ch", left.alias("left"), top.cast("double").alias("top"), (left + 6).alias("right"), (top - 10).cast("double").alias("bottom"), F.lit(0.0).alias("angle"))
 
 
 def range_extract(spark, sf):
-    a, b = F.col("doc_id") % 50, (F.col("doc_id") * 7) % 90
-    first, last, _ = text.normalised_range(a, b)
-    ranges = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), first.alias("first"), last.alias("last"))
-    return text.extract(_chars(spark, sf), ranges)
+    first, last, _ = text.normalised_range(*_anchors())
+    docs = _documents(spark, sf)
+    return text.extract(docs.select("doc", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("chars")), docs.select("doc", first.alias("first"), last.alias("last")))
 
 
 def line_breaks(spark, sf):
@@ -304,11 +313,12 @@ def char_quads(spark, sf):
 
 
 def selection_quads(spark, sf):
-    return _corners(text.quads(_chars(spark, sf).where(F.col("idx") < F.col("doc") % 50 + 1)))
+    return _corners(text.quads(_chars(spark, sf).where(F.col("idx").between(*text.normalised_range(*_anchors())[:2]))))
 
 
 def char_hit(spark, sf):
-    points = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("probe"), ((F.col("doc_id") * 13) % 500 + 0.25).cast("double").alias("x"), (-1.0 * ((F.col("doc_id") * 5) % 60) - 0.5).cast("double").alias("y"))
+    height = 12 * F.ceil(F.col("n") / 80)
+    points = _documents(spark, sf).select("doc", F.col("doc").alias("probe"), ((F.col("doc") * 13) % 500 + 0.25).cast("double").alias("x"), (-1.0 * ((F.col("doc") * 7919) % height) - 0.5).cast("double").alias("y"))
     return text.hit_test(_chars(spark, sf), points)
 
 

@@ -34,3 +34,14 @@ def test_every_character_has_a_quad(spark, con):
     n, last = con.execute("SELECT sum(length(text)), max(length(text)) - 1 FROM documents").fetchone()
     q = queries.queries()["char_quads"](spark, SF)
     assert (q.count(), q.agg({"idx": "max"}).first()[0]) == (n, last) and last >= 50
+
+
+def test_ranges_and_breaks_by_page(spark):
+    from outlinelake.functions import text
+
+    pages = spark.createDataFrame([(1, 1, list("abcd")), (1, 2, ["x", None, "é"]), (2, 1, []), (3, 1, None)], "doc long, page long, chars array<string>")
+    ranges = spark.createDataFrame([(1, 1, 1, 3), (1, 2, 0, 2), (1, 1, 3, 4), (2, 1, 0, 0), (3, 1, 0, 0)], "doc long, page long, first long, last long")
+    assert sorted((r.doc, r.page, r.text) for r in text.extract(pages, ranges).collect()) == [(1, 1, "bcd"), (1, 2, "xé")]
+    boxes = [("a", 0.0, 0.0, -10.0), ("b", 6.0, 0.0, -10.0), (None, 100.0, 0.0, -10.0), ("c", None, None, None), ("d", 0.0, -40.0, -50.0), ("e", 0.0, -60.0, -60.5), ("f", 0.0, -61.0, -61.5)]
+    chars = spark.createDataFrame([(1, p, i, *b) for p in (1, 2) for i, b in enumerate(boxes)], "doc long, page long, idx long, ch string, left double, top double, bottom double")
+    assert sorted((r.doc, r.page, r.text) for r in text.broken_text(chars).collect()) == [(1, p, "ab\ncd\nef") for p in (1, 2)]
