@@ -7,11 +7,11 @@ and 35, if the similarity is no higher than that, fewer above), so of each class
 that no other class has come first and need no posting, and a class with fewer than `matches` shared values has no
 partner at all.
 
-A posting list isn't expanded into all pairs. First each list's smallest member (its hub) is compared with the other
-members: collisions are counted on the stored signatures, and texts are read only of pairs above the match threshold,
+A posting list isn't expanded into all pairs. First each list's hub, the member whose values most others share (of
+equals the smallest), is compared with the other members: collisions are counted on the stored signatures, and texts are read only of pairs above the match threshold,
 to be confirmed on full sets; a hub of many members is sent once for each CHUNK of them. So a group of copies costs a
 pair or a few a member. Lists whose members then are in several components are dealt into pairs of blocks of bounded
-size; there the postings of both blocks are merged, values that only one has being skipped, and the collisions of each
+size, but for pairs of blocks within one component; there the postings of both blocks are merged, values that only one has being skipped, and the collisions of each
 pair of different components counted; a pair with several lists in common counts in that of the smallest key. Texts
 follow only of members with a pair above the threshold; such pairs are confirmed where the blocks are, and only links
 that join components leave them.
@@ -267,6 +267,26 @@ def _spanning(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
+def _placed(member: DataFrame) -> DataFrame:
+    """key, lo, hi, block and all columns of `member` (key, cid, comp and others): each row once for each pair of blocks that it is compared in. A component with BLOCK members or more in a list has blocks of its own, which are not compared with one another, as their members are joined already; the members of the others share blocks. So a list of one large component and a few members outside it costs the members times the blocks outside, not its square."""
+    sizes = materialise(member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    owner = F.when(F.col("m") >= BLOCK, F.col("comp")).otherwise(F.lit(-1))
+    owned = sizes.groupBy(F.col("key").alias("k"), owner.alias("owner")).agg(F.ceil(F.sum("m") / F.lit(BLOCK)).alias("blocks"))
+    blocks = owned.select("k", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
+    named = F.struct(F.col("owner").alias("o"), F.xxhash64("owner", "i").alias("b"))
+    of_list = blocks.groupBy("k").agg(F.collect_list(named).alias("others"))  # one for BLOCK members of a list
+    own = owned.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("owner", "blocks"))).alias("widths"))
+    layout = materialise(of_list.join(own, "k"), "layout")
+    mine = F.coalesce(F.when(F.map_contains_key("widths", F.col("comp")), F.col("comp")), F.lit(-1))
+    rows = member.join(layout, F.col("key") == F.col("k")).withColumn("owner", mine)
+    rows = rows.withColumn("block", F.xxhash64("owner", F.pmod(F.xxhash64("cid"), F.element_at("widths", F.col("owner")))))
+    met = F.filter("others", lambda x: (x.o != F.col("owner")) | ((x.o == -1) & (F.col("owner") == -1)))
+    rows = rows.withColumn("other", F.explode(F.transform(met, lambda x: x.b)))
+    out = materialise(rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *(c for c in member.columns if c != "key")), "placed")
+    discard(sizes, layout)
+    return out
+
+
 def _rest(lists: DataFrame, comps: DataFrame, signs: DataFrame, texts_: DataFrame, percent: int, matches: int) -> DataFrame | None:
     """a, b: links that the hubs didn't show, from the lists whose members are in several components still; None: there are no such lists. Lists of the same members count once. A list is dealt into blocks, and each pair of blocks is compared in one place."""
     parts = scan_parts(texts_)
@@ -276,15 +296,13 @@ def _rest(lists: DataFrame, comps: DataFrame, signs: DataFrame, texts_: DataFram
     if open_lists.isEmpty():
         discard(now, open_lists)
         return None
-    member = now.join(open_lists, F.col("key") == F.col("open_key")).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
-    member = member.select("key", "cid", "comp", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"))
-    placed = member.select("key", "cid", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    placed = materialise(placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "comp", "cid"), "placed")
-    own = placed.select("cid", "key").distinct().groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most K of a class
-    signed = placed.join(own, "cid").join(signs, "cid").select("key", "lo", "hi", "block", "comp", "cid", "signature", "keys")
-    dealt = signed.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
+    member = materialise(now.join(open_lists, F.col("key") == F.col("open_key")).select("key", "cid", "comp"), "open-members")
+    own = member.groupBy(F.col("cid").alias("c")).agg(F.collect_list("key").alias("keys"))  # at most K of a class
+    known = materialise(own.join(signs, F.col("c") == F.col("cid")).select("c", "signature", "keys"), "known")
+    placed = _placed(member.join(known, F.col("cid") == F.col("c")).select("key", "cid", "comp", "signature", "keys"))
+    dealt = placed.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
     suspects = materialise(dealt.mapInArrow(partial(_suspects, matches), "key long, lo long, hi long, comp long, cid long, partners binary"), "suspects")
-    discard(now, open_lists, placed)
+    discard(now, open_lists, member, known, placed)
     told, folder = sent(texts_, suspects.withColumnRenamed("cid", "rid"), "suspect-files")
     dealt = told.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
     more = materialise(dealt.mapInArrow(partial(_spanning, percent), "a long, b long"), "more-links")
@@ -301,9 +319,12 @@ def links(classes: DataFrame, texts_: DataFrame, percent: int = PERCENT, matches
     discard(postings, several)
     # a class's postings, at most K, rarest first; values of its own stand before them all
     of_class = shared.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all")).where(F.size("all") >= matches)
-    prefix = of_class.select("cid", F.explode(F.expr(f"slice(all, 1, size(all) - {matches} + 1)")).alias("p")).select(F.col("p.key").alias("key"), "cid")
+    # the more others share a class's values, the likelier it is what they are copies of
+    of_class = of_class.withColumn("met", F.aggregate("all", F.lit(0).cast("long"), lambda total, x: total + x.n))
+    prefix = of_class.select("cid", "met", F.explode(F.expr(f"slice(all, 1, size(all) - {matches} + 1)")).alias("p")).select(F.col("p.key").alias("key"), "cid", "met")
     prefix = materialise(prefix, "prefix")
-    hubs = materialise(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("hub")).where("n > 1").select(F.col("key").alias("k"), "hub"), "hubs")
+    top = F.max(F.struct("met", (-F.col("cid")).alias("last"))).alias("top")
+    hubs = materialise(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n"), top).where("n > 1").select(F.col("key").alias("k"), (-F.col("top.last")).alias("hub")), "hubs")
     lists = materialise(prefix.join(hubs, F.col("key") == F.col("k")).select("key", "hub", "cid"), "lists")
     discard(shared, prefix, hubs)
     if lists.isEmpty():

@@ -418,6 +418,29 @@ def test_near_copies(spark, stored, none, real, tmp_path):
     assert sorted((r.kept, r.first) for r in odd if r.doc_id == 3) == [(True, False), (True, True)]
 
 
+def test_blocks_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng, rows = np.random.default_rng(6), []
+    for key, sizes in [(1, [40, 30, 9, 3, 1, 1]), (2, [60, 1]), (3, [2, 1, 1]), (-4, [1] * 25)]:
+        comps = [c for c, n in enumerate(sizes) for _ in range(n)]
+        rows += [(key, int(cid), comp) for cid, comp in zip(rng.choice(1000, len(comps), replace=False), comps, strict=True)]
+    placed = minhash._placed(spark.createDataFrame(rows, "key long, cid long, comp long")).collect()
+    groups = {}
+    for r in placed:
+        groups.setdefault((r.key, r.lo, r.hi), []).append(r)
+    met = Counter()
+    for (key, lo, hi), members in groups.items():
+        for a in members:
+            for b in members:
+                if a.cid < b.cid and {a.block, b.block} == {lo, hi}:
+                    met[key, a.cid, b.cid] += 1
+                    assert a.comp != b.comp or sum((k, c) == (key, a.comp) for k, _, c in rows) < 8
+    wanted = {(k, a, b) for k, a, c in rows for j, b, d in rows if k == j and a < b and c != d}
+    assert wanted <= set(met) and set(met.values()) == {1}
+    # a large component costs a row for each block outside it, not for each of its own
+    assert sum(r.key == 2 for r in placed) == 60 + 8 + 1
+
+
 def test_a_missing_side_file_is_an_error(spark, tmp_path):
     import shutil
 
