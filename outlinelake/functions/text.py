@@ -97,6 +97,16 @@ def link_target(kind: Column, uri: Column, action_page0: Column, dest_page0: Col
     return F.when(page.isNotNull(), "Page").when(to.isNotNull(), "Uri"), page, to
 
 
+def links_at(links: DataFrame, points: DataFrame) -> DataFrame:
+    """The link under each point: points (doc, page, probe, x, y) with the columns of the last link (doc, page, link_no, left, bottom, right, top, ...) of the page whose box holds the point, edges included and corners in any order; no row for a point that no link holds. Links without a corner hold nothing."""
+    own = [c for c in links.columns if c not in ("doc", "page")]
+    inside = F.col("x").between(F.least("left", "right"), F.greatest("left", "right")) & F.col("y").between(F.least("bottom", "top"), F.greatest("bottom", "top"))
+    whole = F.col("left").isNotNull() & F.col("right").isNotNull() & F.col("bottom").isNotNull() & F.col("top").isNotNull()
+    held = links.where(whole).join(points, ["doc", "page"]).where(inside)
+    last = held.groupBy("doc", "page", "probe").agg(F.max_by(F.struct(*own), F.col("link_no")).alias("link"))
+    return last.select("doc", "page", "probe", "link.*")
+
+
 def u32(text: Column) -> Column:
     """A trimmed unsigned 32-bit number, else null."""
     s = trimmed(text)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 #: Fixed values of the report.
 SUCCESS, FAILED, SKIPPED = "성공", "실패", "건너뜀"
 NO_ROWS, BACKUP_EXISTS, OPEN_FILE = "일치하는 '파일명' 행 없음", ".backup 파일이 이미 있음(이전 실행 흔적)", "현재 앱에 열려 있는 파일"
+LOG_TITLE, LOG_TIME, LOG_FOLDER, LOG_SHEET, LOG_RULE = "폴더 일괄 북마크 적용 로그", "실행 시각: ", "대상 폴더: ", "북마크 파일(읽은 순서): ", "----"
 RENAME_FAILED, WRITE_FAILED, VERIFY_FAILED = "백업 rename 실패", "북마크 쓰기 실패(원본 복원됨)", "저장 결과 검증 실패(원본 복원됨)"
 
 
@@ -80,6 +81,20 @@ def log_lines(log: DataFrame) -> DataFrame:
     return log.select("path", line.alias("line"))
 
 
+def log_file(log: DataFrame, sources: DataFrame, notes: DataFrame, folder: str, started: Column, title: str = LOG_TITLE) -> DataFrame:
+    """section, rank, name, line of a batch's whole log, in that order: title, time and folder, the sheets as read, notes, a line for each file in path order, statistics, with rules around the files. log: path, outcome, bookmark_count; sources: path, rank; notes: rank, key, note. Paths below the folder are shown relative to it. An empty batch has the heading, the rules and statistics of zeros."""
+    spark, root = log.sparkSession, F.lit(folder)
+    row = lambda section, rank, line, name=F.lit(""): [F.lit(section).alias("section"), rank.cast("long").alias("rank"), name.alias("name"), line.alias("line")]
+    head = [F.lit(title), F.concat(F.lit(LOG_TIME), F.date_format(started, "yyyy-MM-dd HH:mm:ss")), F.concat(F.lit(LOG_FOLDER), nfc(root))]
+    one = spark.range(1)
+    out = one.select(*row(0, F.lit(0), head[0])).unionAll(one.select(*row(0, F.lit(1), head[1]))).unionAll(one.select(*row(0, F.lit(2), head[2])))
+    out = out.unionAll(sources.select(*row(1, F.col("rank"), F.concat(F.lit(LOG_SHEET), relative(F.col("path"), root)))))
+    out = out.unionAll(notes.select(*row(2, F.col("rank"), F.col("note"), F.col("key"))))
+    shown = log_lines(log.withColumn("path", relative(F.col("path"), root)))
+    out = out.unionAll(one.select(*row(3, F.lit(0), F.lit(LOG_RULE)))).unionAll(shown.select(*row(4, F.lit(0), F.col("line"), F.col("path"))))
+    return out.unionAll(one.select(*row(5, F.lit(0), F.lit(LOG_RULE)))).unionAll(stats(log).select(*row(6, F.lit(0), F.col("line"))))
+
+
 def log_name(started: Column) -> Column:
     return F.concat(F.lit("bookmark-import-"), F.date_format(started, "yyyyMMdd-HHmmss"), F.lit(".log"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.batch import BACKUP_EXISTS, NO_ROWS, OPEN_FILE, RENAME_FAILED, VERIFY_FAILED, WRITE_FAILED
+from ..operators.batch import BACKUP_EXISTS, LOG_FOLDER, LOG_RULE, LOG_SHEET, LOG_TIME, LOG_TITLE, NO_ROWS, OPEN_FILE, RENAME_FAILED, VERIFY_FAILED, WRITE_FAILED
 
 _TREE = """
 base AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS ord, CAST(l_quantity AS BIGINT) % 4 AS depth, 'part ' || l_partkey AS title, l_suppkey AS page, l_partkey, l_suppkey, l_extendedprice,
@@ -151,6 +151,13 @@ def oracle_sql() -> dict[str, str]:
         "batch_outcome": _BATCH + "SELECT path, outcome, bookmark_count FROM log",
         "batch_stats": _BATCH + "SELECT *, '전체 ' || total || '개 중 ' || success || '개 성공, ' || failed || '개 실패, ' || skipped || '개 건너뜀' AS line FROM stats",
         "batch_log": _BATCH + f"SELECT path, '[' || CASE WHEN outcome = 'Success' THEN '성공' WHEN outcome LIKE 'Failed%' THEN '실패' ELSE '건너뜀' END || '] ' || path || ' — ' || {_DETAIL} AS line FROM log",
+        "batch_log_file": _BATCH + f""", lost AS (SELECT key, rank, winner, count(*) AS n FROM first WHERE rank > winner GROUP BY ALL)
+            SELECT 0 AS section, unnest([0, 1, 2]) AS rank, '' AS name, unnest(['{LOG_TITLE}', '{LOG_TIME}2026-01-02 03:04:05', '{LOG_FOLDER}/batch']) AS line
+            UNION ALL SELECT 1, rank, '', '{LOG_SHEET}' || path FROM src
+            UNION ALL SELECT 2, lost.rank, key, '[중복] ''' || s.path || '''의 ''' || key || ''' 행 ' || n || '개 건너뜀 — 먼저 읽은 ''' || w.path || '''의 행을 적용' FROM lost JOIN src s ON s.rank = lost.rank JOIN src w ON w.rank = lost.winner
+            UNION ALL SELECT unnest([3, 5]), 0, '', '{LOG_RULE}'
+            UNION ALL SELECT 4, 0, path, '[' || CASE WHEN outcome = 'Success' THEN '성공' WHEN outcome LIKE 'Failed%' THEN '실패' ELSE '건너뜀' END || '] ' || path || ' — ' || {_DETAIL} FROM log
+            UNION ALL SELECT 6, 0, '', '전체 ' || total || '개 중 ' || success || '개 성공, ' || failed || '개 실패, ' || skipped || '개 건너뜀' FROM stats""",
         "nfc_match": "SELECT c_custkey, nfc_normalize('cafe' || chr(769) || ' ' || chr(4370) || chr(4449) || chr(4523) || chr(4352) || chr(4467) || chr(4527) || ' ' || c_custkey % 10) = 'caf' || chr(233) || ' ' || chr(54620) || chr(44544) || ' ' || c_nationkey % 10 AS matched, false AS raw_matched FROM customer",
         "page_search": _FOUND.format("the") + "SELECT * FROM found",
         "search_start": _FOUND.format("an") + "SELECT doc, coalesce(min(idx) FILTER (WHERE page >= doc % 5 + 1), 0) AS start FROM found GROUP BY doc",
@@ -166,6 +173,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc, doc AS probe, arg_min(idx, (dx * dx + dy * dy, idx)) AS idx FROM d WHERE dx <= 6 AND dy <= 6 GROUP BY doc""",
         "normalize_uri": _URIS + "SELECT page_id, uri FROM n",
         "link_target": _URIS + "SELECT page_id, CASE WHEN page_id % 5 IN (0, 3) THEN 'Page' WHEN page_id % 5 = 1 THEN 'Uri' END AS kind, CASE page_id % 5 WHEN 0 THEN page_id % 90 + 1 WHEN 3 THEN page_id % 70 + 1 END AS page, CASE WHEN page_id % 5 = 1 THEN uri END AS uri FROM n",
+        "link_at_point": _URIS + """, l AS (SELECT page_id, uri, unnest([0, 1, 2, 3, 4]) AS link_no FROM n),
+            q AS (SELECT page_id, probe, (page_id * 13 + probe * 31) % 150 AS x, (page_id * 7 + probe * 17) % 80 AS y FROM (SELECT page_id, unnest([0, 1, 2]) AS probe FROM pages)),
+            hit AS (SELECT page_id, probe, max(link_no) AS link_no FROM l JOIN q USING (page_id) WHERE x BETWEEN page_id % 7 + 20 * link_no AND page_id % 7 + 20 * link_no + 30 AND y BETWEEN 10 * link_no AND 10 * link_no + 25 GROUP BY ALL)
+            SELECT page_id, probe, link_no, CASE (page_id + link_no) % 4 WHEN 0 THEN 'Page' WHEN 1 THEN 'Uri' WHEN 3 THEN 'Page' END AS kind,
+                CASE (page_id + link_no) % 4 WHEN 0 THEN page_id % 90 + link_no + 1 WHEN 3 THEN page_id % 70 + link_no + 1 END AS target, CASE WHEN (page_id + link_no) % 4 = 1 THEN uri END AS uri FROM hit JOIN l USING (page_id, link_no)""",
         "export_name": """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'bookmarks.xlsx' ELSE 'bookmark-' || regexp_replace(p_name, '[^a-z0-9]', '_', 'g') || '.v2.xlsx' END AS name,
             CASE WHEN p_size % 3 = 0 THEN p_size::BIGINT WHEN p_size % 3 = 2 AND p_size::BIGINT * 1000000000 <= 4294967295 THEN p_size::BIGINT * 1000000000 END AS page FROM part""",
         "page_layout": _LAID + "SELECT doc, page, round(height, 4) AS height, round(top, 4) AS top, round(bottom, 4) AS bottom FROM laid",

@@ -237,6 +237,13 @@ def batch_log(spark, sf):
     return batch.log_lines(_log(spark, sf))
 
 
+def batch_log_file(spark, sf):
+    below = lambda df: df.withColumn("path", F.concat(F.lit("/batch/"), "path"))
+    sources = _sources(spark, sf).select("rank", "path")
+    notes = batch.duplicate_notes(_sheet_rows(spark, sf), sources)
+    return batch.log_file(below(_log(spark, sf)), below(sources), notes, "/batch", F.lit("2026-01-02 03:04:05").cast("timestamp_ntz"))
+
+
 def nfc_match(spark, sf):
     c = table(spark, sf, "customer")
     raw = F.concat(F.lit("café 한글 "), F.col("c_custkey") % 10, F.lit(".pdf"))
@@ -340,6 +347,19 @@ def link_target(spark, sf):
     return _uris(spark, sf).select("page_id", what.alias("kind"), page.alias("page"), to.alias("uri"))
 
 
+def link_at_point(spark, sf):
+    k, p = F.col("link_no"), F.col("page_id")
+    links = _uris(spark, sf).withColumn("link_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    near, far = (p % 7 + 20 * k).cast("double"), (p % 7 + 20 * k + 30).cast("double")
+    flip = (p + k) % 2 == 0  # corners may be given either way
+    kind = F.when((p + k) % 4 == 0, "local").when((p + k) % 4 == 1, "uri").when((p + k) % 4 == 2, "launch")
+    what, page, to = text.link_target(kind, F.col("uri"), p % 90 + k, p % 70 + k)
+    links = links.select((p % 50).alias("doc"), p.alias("page"), "link_no", F.when(flip, near).otherwise(far).alias("left"), F.when(flip, far).otherwise(near).alias("right"), (10 * k).cast("double").alias("bottom"), (10 * k + 25).cast("double").alias("top"), what.alias("kind"), page.alias("target"), to.alias("uri"))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("probe")
+    points = table(spark, sf, "pages").select("page_id", at).select((p % 50).alias("doc"), p.alias("page"), "probe", ((p * 13 + F.col("probe") * 31) % 150).cast("double").alias("x"), ((p * 7 + F.col("probe") * 17) % 80).cast("double").alias("y"))
+    return text.links_at(links, points).select(F.col("page").alias("page_id"), "probe", "link_no", "kind", "target", "uri")
+
+
 def export_name(spark, sf):
     p = table(spark, sf, "part")
     path = F.when(F.col("p_partkey") % 9 == 0, F.lit(None)).otherwise(F.concat(F.lit("/docs/"), F.regexp_replace("p_name", "[^a-z0-9]", "_"), F.lit(".v2.pdf")))

@@ -190,10 +190,10 @@ def write_xlsx(rows: DataFrame, path: str) -> None:
             f.write(b"</sheetData></worksheet>")
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """A text file of (path, line) rows in path order."""
+def write_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """A text file of (path, line) rows in path order, or in another."""
     with open(path, "w", encoding="utf-8") as f:
-        for row in lines.orderBy("path").select("line").toLocalIterator():
+        for row in lines.orderBy(*(order or ("path",))).select("line").toLocalIterator():
             f.write(row[0] + "\n")
 
 

@@ -119,3 +119,26 @@ def test_undo_limit(spark):
     rows = [(1, i, "edit", i) for i in range(1, 31)] + [(1, 100 + i, "undo", 0) for i in range(25)] + [(1, 200, "redo", 0)]
     (r,) = session.undo_redo(spark.createDataFrame(rows, "session long, ts long, action string, version long")).collect()
     assert (r.current, r.undo, r.redo) == (11, 1, 19)
+
+
+def test_whole_log(spark, tmp_path):
+    log = spark.createDataFrame([("/b/x.pdf", "Success", 3), ("/b/d/café.pdf", "FailedWrite", 1), ("/else/y.pdf", "SkippedNoRows", None)], "path string, outcome string, bookmark_count long")
+    sources = spark.createDataFrame([("/b/s.xlsx", 1), ("/b/t.csv", 2)], "path string, rank long")
+    notes = spark.createDataFrame([(2, "x.pdf", "note")], "rank long, key string, note string")
+    started = F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")
+    lines = batch.log_file(log, sources, notes, "/b", started)
+    files.write_lines(lines, str(tmp_path / "log"), "section", "rank", "name")
+    got = (tmp_path / "log").read_text(encoding="utf-8").split("\n")
+    assert got[1:3] == ["실행 시각: 2026-01-02 03:04:05", "대상 폴더: /b"]
+    assert got[3:7] == ["북마크 파일(읽은 순서): s.xlsx", "북마크 파일(읽은 순서): t.csv", "note", "----"]
+    assert [x.split(" — ")[0] for x in got[7:10]] == ["[건너뜀] /else/y.pdf", "[실패] d/café.pdf", "[성공] x.pdf"]
+    assert got[10:] == ["----", "전체 3개 중 1개 성공, 1개 실패, 1개 건너뜀", ""]
+    empty = batch.log_file(log.limit(0), sources.limit(0), notes.limit(0), "/b", started)
+    assert [r.section for r in empty.orderBy("section", "rank").collect()] == [0, 0, 0, 3, 5, 6]
+
+
+def test_links_at_points(spark):
+    links = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 1, 15.0, 15.0, 5.0, 5.0), (1, 1, 2, None, 0.0, 99.0, 99.0), (1, 2, 0, 0.0, 0.0, 1.0, 1.0)], "doc long, page long, link_no long, left double, bottom double, right double, top double")
+    points = spark.createDataFrame([(1, 1, 0, 2.0, 2.0), (1, 1, 1, 7.0, 7.0), (1, 1, 2, 15.0, 15.0), (1, 1, 3, 20.0, 20.0), (1, 2, 4, 7.0, 7.0), (1, 1, 5, None, 1.0)], "doc long, page long, probe long, x double, y double")
+    assert {r.probe: r.link_no for r in text.links_at(links, points).collect()} == {0: 0, 1: 1, 2: 1}
+    assert text.links_at(links.limit(0), points).count() == text.links_at(links, points.limit(0)).count() == 0
