@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, exact_dedup, hamming, minhash, packing, pitman_yor, quality, suffix_dedup, token_files, warc
+from . import bpe_automaton, centroids, exact_dedup, hamming, minhash, packing, pitman_yor, quality, suffix_dedup, token_files, warc, wu_manber
 from .common import documents
 
 
@@ -63,12 +63,45 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+def op13_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wu_manber.digests(wu_manber.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+def _clusters(rounds: int) -> str:
+    """Rounds of assigning and moving, one after the other."""
+    sql = """WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        x AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, floor(1024 * unnest(e))::BIGINT AS x FROM kept),
+        c0 AS MATERIALIZED (SELECT k, i, x AS c FROM (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM kept) JOIN x USING (r) WHERE k < 8)"""
+    for n in range(rounds + 1):
+        sql += f""", a{n} AS MATERIALIZED (SELECT r, min_by(k, (d, k)) AS k, min(d) AS d FROM (SELECT r, k, sum((x - c) * (x - c)) AS d FROM x JOIN c{n} USING (i) GROUP BY r, k) GROUP BY r)"""
+        if n < rounds:
+            sql += f""", c{n + 1} AS MATERIALIZED (SELECT k, i, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c FROM c{n} LEFT JOIN (SELECT k, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN x USING (r) GROUP BY k, i) USING (k, i))"""
+    return sql + f""", h AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+        SELECT vec_id, k::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN kept USING (r) JOIN h USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_centroids": _clusters(10),
+        "op13_wu_manber": r"""
+            WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
+            b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM benchmark),
+            p AS (SELECT DISTINCT item_id, least(len(l), 10) AS m, array_to_string(list_slice(l, s, s + least(len(l), 10) - 1), ' ') AS pattern FROM (SELECT *, unnest(range(1, greatest(len(l) - 8, 2))) AS s FROM b WHERE len(l) > 0)),
+            g AS (SELECT doc_id, m, s, array_to_string(list_slice(l, s, s + m - 1), ' ') AS pattern FROM (SELECT doc_id, l, m, unnest(range(1, len(l) - m + 2)) AS s FROM w, (SELECT DISTINCT m FROM p))),
+            f AS (SELECT DISTINCT doc_id, item_id, m, s FROM g JOIN p USING (m, pattern)),
+            i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM f GROUP BY doc_id),
+            h AS (SELECT doc_id, count(DISTINCT t) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS t FROM f) GROUP BY doc_id)
+            SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+            FROM w LEFT JOIN i USING (doc_id) LEFT JOIN h USING (doc_id)""",
         "op4_warc": """
             WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
             f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original FROM p)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import partial
 
 import numpy as np
@@ -115,7 +116,52 @@ def having(docs: DataFrame, rids: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose number (see numbered()) is among `rids`. Rows stay where they are read; no columns, no rows."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
     kept = write(rids.select("rid"), bounded(docs), "kept")
-    return rows.mapInArrow(partial(_having, kept), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+    return rows.mapInArrow(partial(_having, kept), rows.select("row").schema).select("row.*")
+
+
+@tidied
+def _put_keyed(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by p: a file for each p."""
+    held: list[pa.RecordBatch] = []
+
+    def write() -> int:
+        t = pa.Table.from_batches(held)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(t)
+        p = t["p"][0].as_py()
+        put(folder, f"{p}.arrow", sink.getvalue())
+        held.clear()
+        return p
+
+    done = []
+    for b in batches:
+        p = b.column("p").to_numpy()
+        cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < z:
+                if held and held[-1].column("p")[0].as_py() != p[a]:
+                    done.append(write())
+                held.append(b.slice(a, z - a))
+    if held:
+        done.append(write())
+    yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["p"])
+
+
+def keyed_files(rows: DataFrame, order: list[str], label: str, parts: int) -> str:
+    """Write rows to one Arrow file for each value of p (not null), sorted; the folder. The rows of a p are held by one task."""
+    folder = scratch(rows.sparkSession, label)
+    dealt = rows.repartition(parts, "p").sortWithinPartitions("p", *order)
+    with few_shuffle_files(rows.sparkSession):
+        dealt.mapInArrow(partial(_put_keyed, folder), "p long").agg(F.count(F.lit(1))).first()
+    return folder
+
+
+def keyed_file(folder: str, p: int) -> pa.Table | None:
+    """The rows of keyed_files() with this p; None if there are none."""
+    with suppress(FileNotFoundError):
+        return pa.ipc.open_stream(get(f"{folder}/{p}.arrow")).read_all()
+    return None
 
 
 def quoted(name: str) -> str:
