@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, centroids, exact_dedup, hamming, minhash, packing, pitman_yor, quality, suffix_dedup, token_files, warc, wu_manber
+from . import bpe_automaton, centroids, exact_dedup, hamming, minhash, packing, pitman_yor, prefix_trie, quality, suffix_dedup, token_files, warc, wu_manber
 from .common import documents
 
 
@@ -63,6 +63,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, head = F.col("conv") - F.col("conv") % 5, F.crc32(F.col("conv").cast("string")) % 9
+    return prefix_trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), base, most=8, head=head)
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10)
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
@@ -91,6 +96,20 @@ def _clusters(rounds: int) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_prefix_trie": """
+            WITH c AS (SELECT conv_id AS c, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)),
+                    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+            h AS (SELECT c, xor(crc, 4294967295) % 9 AS h FROM c),
+            o AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+            n AS (SELECT h.c, list_concat(coalesce(list_slice(b.l, 1, h), []), list_slice(o.l, h + 1, len(o.l))) AS l FROM h JOIN o ON o.c = h.c LEFT JOIN o b ON b.c = h.c - h.c % 5),
+            p AS (SELECT c, len(l) AS length, d, list_slice(l, 1, d) AS k FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM n)),
+            t AS (SELECT k, d, min(c) AS c, count(*) AS n, CASE WHEN d > 0 THEN strlen(k[d].t) ELSE 0 END AS bytes, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE length = d) AS ends FROM p GROUP BY k, d),
+            u AS (SELECT *, list_slice(k, 1, d - 1) AS up FROM t),
+            kids AS (SELECT up AS k, d - 1 AS d, count(*) AS children FROM u WHERE d > 0 GROUP BY ALL),
+            s AS (SELECT u.*, coalesce(children, 0) AS children FROM u LEFT JOIN kids USING (k, d)),
+            b AS (SELECT list_slice(k, 1, a) AS k, a AS d, sum((n - 1) * bytes) AS saved, count(*) FILTER (WHERE children = 0) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS a FROM s) GROUP BY ALL)
+            SELECT s.c AS conv_id, s.d AS depth, q.c AS parent_conv_id, s.n AS n_convs, s.children AS n_children, b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(s.ends, '')) AS ends_sha256
+            FROM s JOIN b USING (k, d) LEFT JOIN t q ON q.k = s.up AND q.d = s.d - 1""",
         "op12_centroids": _clusters(10),
         "op13_wu_manber": r"""
             WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from outlinelake.llm import centroids, queries, wu_manber
+from outlinelake.llm import centroids, prefix_trie, wu_manber
 
 
 def brute_clusters(rows, k=8, rounds=10, dim=64):
@@ -121,3 +121,76 @@ def test_shift_table_skips():
     t.slot = lambda block: (looked.append(len(block[0])), slot(block))[1]
     t.ends(text)
     assert sum(looked) < len(text) / 7
+
+
+def brute_trie(rows):
+    own = {}
+    for c, turn, role, text, *_ in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, hashlib.sha256(f"{len(role or '')}:{role or ''}{text or ''}".encode()).digest(), role or "", text or ""))
+    own = {c: [t[3:] for t in sorted(ts)] for c, ts in own.items()}
+    made = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        made[c] = tuple(own.get(c - int(math.fmod(c, 5)), [])[:h] + ts[h:])
+    nodes = {}
+    for c in sorted(made):
+        for d in range(len(made[c]) + 1):
+            nodes.setdefault(made[c][:d], []).append(c)
+    kids = {k: sum(len(m) == len(k) + 1 and m[: len(k)] == k for m in nodes) for k in nodes}
+    out = []
+    for k, members in nodes.items():
+        below = [m for m in nodes if m[: len(k)] == k]
+        saved = sum((len(nodes[m]) - 1) * len(m[-1][1].encode()) for m in below if m)
+        ends = ",".join(str(c) for c in members if len(made[c]) == len(k))
+        out.append((members[0], len(k), nodes[k[:-1]][0] if k else None, len(members), kids[k], sum(not kids[m] for m in below), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def the_trie(df):
+    return prefix_trie.rebuilt_trie(df, F.col("conv") - F.col("conv") % 5, 8, F.crc32(F.col("conv").cast("string")) % 9)
+
+
+TURNS = "conv_id long, turn long, role string, text string, conv long, depth string, `a.b` int"
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_trie(spark, parts, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "IDS", 3)
+    rng = np.random.default_rng(parts)
+    rows = []
+    for c in range(-7, 60):
+        if c % 11:
+            for t in range(int(rng.integers(1, 12))):
+                rows.append((c, t if rng.random() < 0.9 else None, rng.choice(["user", "", None]), rng.choice(["a", "é" * 9, None, ""]) if t > 2 else "same", 1, "own", 1))
+    rows += [(c, t, "u", f"turn {t}", 1, "own", 1) for c in range(100, 140) for t in range(12)]  # copies
+    rows += [(200, t // 3, "u", "x" * 200_000 if t == 50 else "x", 1, "own", 1) for t in range(150)]  # long, with ties and repeats
+    rows += [(None, 1, "u", "no id", 1, "own", 1), (300, None, None, None, None, None, None)]
+    rows += [(400 + i, t, "u", f"{t}", 1, "own", 1) for i in range(12) for t in range(i + 1)]  # each goes on where the one before ends
+    got = the_trie(spark.createDataFrame(rows, TURNS).repartition(parts)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_trie(rows)
+    assert the_trie(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_trie_with_few_hot_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "HOT", 3)
+    rows = [(c, t, "u", "first" if t == 0 else f"{c // 4} {t}", 1, "own", 1) for c in range(40) for t in range(5)]
+    assert sorted(map(tuple, the_trie(spark.createDataFrame(rows, TURNS)).collect()), key=str) == brute_trie(rows)
+
+
+def test_running_sums_over_ranges(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that eight ranges stay
+        rng = np.random.default_rng(1)
+        rows = [(1, i, int(x)) for i, x in enumerate(rng.integers(-(1 << 62), 1 << 62, 3000))] + [(k, i, 1) for k in range(2, 40) for i in range(7)]
+        found, stored = prefix_trie.running(spark.createDataFrame(rows, "k long, i long, x long").repartition(3), "k", [F.desc("i")], ["x"], "test")
+        assert stored.select("part").distinct().count() > 4 and stored.where("k = 1").select("part").distinct().count() > 3
+        got, want = {(r.k, r.i): r.x for r in found.collect()}, {}
+        sums = {}
+        for k, i, x in sorted(rows, key=lambda r: -r[1]):
+            sums[k] = (sums.get(k, 0) + x + (1 << 63)) % (1 << 64) - (1 << 63)
+            want[k, i] = sums[k]
+        assert got == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
