@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import folders
 from ..operators.batch import BACKUP_EXISTS, LOG_FOLDER, LOG_RULE, LOG_SHEET, LOG_TIME, LOG_TITLE, NO_ROWS, OPEN_FILE, RENAME_FAILED, VERIFY_FAILED, WRITE_FAILED
 
 _TREE = """
@@ -105,7 +106,7 @@ _DETAIL = f"""CASE outcome WHEN 'Success' THEN '북마크 ' || bookmark_count ||
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return folders.oracle_sql() | {
         "effective_depth": _tree("SELECT doc, rn, eff, eff < depth AS clamped FROM leveled"),
         "ancestor_path": _tree("SELECT doc, rn, array_to_string(path, '/') AS path FROM tree"),
         "parent_of": _tree("SELECT doc, rn, parent FROM up"),
@@ -156,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 1, rank, '', '{LOG_SHEET}' || path FROM src
             UNION ALL SELECT 2, lost.rank, key, '[중복] ''' || s.path || '''의 ''' || key || ''' 행 ' || n || '개 건너뜀 — 먼저 읽은 ''' || w.path || '''의 행을 적용' FROM lost JOIN src s ON s.rank = lost.rank JOIN src w ON w.rank = lost.winner
             UNION ALL SELECT unnest([3, 5]), 0, '', '{LOG_RULE}'
-            UNION ALL SELECT 4, 0, path, '[' || CASE WHEN outcome = 'Success' THEN '성공' WHEN outcome LIKE 'Failed%' THEN '실패' ELSE '건너뜀' END || '] ' || path || ' — ' || {_DETAIL} FROM log
+            UNION ALL SELECT 4, 0, replace(path, '/', chr(1)), '[' || CASE WHEN outcome = 'Success' THEN '성공' WHEN outcome LIKE 'Failed%' THEN '실패' ELSE '건너뜀' END || '] ' || path || ' — ' || {_DETAIL} FROM log
             UNION ALL SELECT 6, 0, '', '전체 ' || total || '개 중 ' || success || '개 성공, ' || failed || '개 실패, ' || skipped || '개 건너뜀' FROM stats""",
         "nfc_match": "SELECT c_custkey, nfc_normalize('cafe' || chr(769) || ' ' || chr(4370) || chr(4449) || chr(4523) || chr(4352) || chr(4467) || chr(4527) || ' ' || c_custkey % 10) = 'caf' || chr(233) || ' ' || chr(54620) || chr(44544) || ' ' || c_nationkey % 10 AS matched, false AS raw_matched FROM customer",
         "page_search": _FOUND.format("the") + "SELECT * FROM found",

@@ -14,6 +14,7 @@ from ..functions import layout, text
 from ..operators import batch, tree
 from ..sources import files
 from ..streaming import session
+from . import folders
 
 LEVELS, WIDTH = 4, 600.0
 TIE = ("l_partkey", "l_suppkey", "l_extendedprice")
@@ -239,9 +240,9 @@ def batch_log(spark, sf):
 
 def batch_log_file(spark, sf):
     below = lambda df: df.withColumn("path", F.concat(F.lit("/batch/"), "path"))
-    sources = _sources(spark, sf).select("rank", "path")
-    notes = batch.duplicate_notes(_sheet_rows(spark, sf), sources)
-    return batch.log_file(below(_log(spark, sf)), below(sources), notes, "/batch", F.lit("2026-01-02 03:04:05").cast("timestamp_ntz"))
+    sources = below(_sources(spark, sf).select("rank", "path"))
+    notes = batch.duplicate_notes(_sheet_rows(spark, sf), sources, "/batch")
+    return batch.log_file(below(_log(spark, sf)), sources, notes, "/batch", F.lit("2026-01-02 03:04:05").cast("timestamp_ntz"))
 
 
 def nfc_match(spark, sf):
@@ -482,4 +483,4 @@ _HELPERS = {"table", "rows_of", "tree_of", "asked", "shown", "queries"}
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__}
-    return {k: f for k, f in own.items() if not k.startswith("_") and k not in _HELPERS}
+    return {k: f for k, f in own.items() if not k.startswith("_") and k not in _HELPERS} | folders.queries()

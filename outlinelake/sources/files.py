@@ -15,7 +15,8 @@ import re
 import shutil
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from decimal import Decimal
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -23,9 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.encodings import detect
+
 #: Fixed values of the interchange format.
 HEADERS = ["순서", "파일명", "계층", "북마크명", "페이지번호"]
 U32 = 4294967295
+MISSING_COLUMN, NOT_A_NUMBER = "필수 컬럼 '%s'을 찾을 수 없음", "%s 컬럼이 숫자가 아님"
+NO_SHEET = "필수 컬럼(파일명/계층/북마크명/페이지번호)을 갖춘 시트를 찾을 수 없음 (%d개 시트 검사)"
+UNREADABLE = "[경고] 북마크 파일 '%s' 읽기 실패 — 무시함: %s"
 ROWS = "src string, sheet int, src_row long, ord long, filename string, depth long, title string, page long, error string"
 COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 
@@ -42,15 +48,8 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decode(raw: bytes, encoding: str | None = None) -> str:
-    """Text by the encoding given, else a UTF-8 mark, else strict UTF-8, else cp949 with replacement."""
-    if encoding:
-        return raw.decode(encoding, "replace")
-    if raw.startswith(b"\xef\xbb\xbf"):
-        return raw[3:].decode("utf-8", "replace")
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return raw.decode("cp949", "replace")
+    """Text by the encoding given, else by detection (see encodings.detect())."""
+    return raw.decode(encoding, "replace") if encoding else detect(raw)[1]
 
 
 def number(text: str) -> int:
@@ -62,19 +61,25 @@ def number(text: str) -> int:
 
 
 def parse_csv(text: str) -> list[tuple]:
-    """(ord, filename, depth, title, page) of each record; columns are found by header."""
-    records = list(csv.reader(io.StringIO(text, newline=""), strict=True))
-    if not records:
-        raise ValueError("no header")
-    head = [h.strip().lstrip("﻿") for h in records[0]]
+    """(ord, filename, depth, title, page) of each record; columns are found by header. Quotes are taken as they come; records of another length and numbers that are none reject the file."""
+    csv.field_size_limit(1 << 30)
+    records = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+    head = [h.strip().lstrip("\ufeff") for h in records[0]] if records else []
     if missing := [h for h in HEADERS[1:] if h not in head]:
-        raise ValueError(f"missing column {missing[0]}")
+        raise ValueError(MISSING_COLUMN % missing[0])
     at = {h: head.index(h) for h in HEADERS if h in head}
+
+    def of(r: list[str], h: str) -> int:
+        try:
+            return number(r[at[h]])
+        except ValueError:
+            raise ValueError(NOT_A_NUMBER % h) from None
+
     out = []
-    for i, r in enumerate(x for x in records[1:] if x):
+    for i, r in enumerate(records[1:]):
         if len(r) != len(head):
-            raise ValueError(f"record {i + 1} has {len(r)} fields")
-        out.append((number(r[at[HEADERS[0]]]) if HEADERS[0] in at else i + 1, r[at[HEADERS[1]]], number(r[at[HEADERS[2]]]), r[at[HEADERS[3]]], number(r[at[HEADERS[4]]])))
+            raise ValueError(f"record {i + 1} has {len(r)} fields, not {len(head)}")
+        out.append((of(r, HEADERS[0]) if HEADERS[0] in at else i + 1, r[at[HEADERS[1]]], of(r, HEADERS[2]), r[at[HEADERS[3]]], of(r, HEADERS[4])))
     return out
 
 
@@ -83,7 +88,7 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def sheets(raw: bytes) -> list[list[list]]:
-    """The cells of every sheet of a workbook, in order; numbers as floats, others as strings, gaps as None."""
+    """The cells of every sheet of a workbook, in order, from the first row with a value to the last, blank rows between them included: numbers as floats, truth values as such, others as strings, gaps as None."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = set(z.namelist())
         shared = []
@@ -93,9 +98,11 @@ def sheets(raw: bytes) -> list[list[list]]:
         out = []
         for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", _NS):
             target = rels[s.get(_REL)]
-            tree, rows = ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")), []
+            tree, rows = ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")), {}
+            at = 0
             for row in tree.iterfind("m:sheetData/m:row", _NS):
                 cells: list = []
+                at = int(row.get("r", at + 1))
                 for c in row.iterfind("m:c", _NS):
                     letters = re.match(r"[A-Z]+", c.get("r", ""))
                     place = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters[0]))) - 1 if letters else len(cells)
@@ -104,48 +111,63 @@ def sheets(raw: bytes) -> list[list[list]]:
                     if kind == "inlineStr":
                         cells[place] = "".join(t.text or "" for t in c.iterfind(".//m:t", _NS))
                     elif value is not None and value.text is not None:
-                        cells[place] = shared[int(value.text)] if kind == "s" else float(value.text) if kind == "n" else value.text
-                rows.append(cells)
-            out.append(rows)
+                        cells[place] = shared[int(value.text)] if kind == "s" else float(value.text) if kind == "n" else value.text == "1" if kind == "b" else value.text
+                if any(x is not None for x in cells):
+                    rows[at] = cells
+            out.append([rows.get(k, []) for k in range(min(rows), max(rows) + 1)] if rows else [])
     return out
 
 
+_FLOAT = re.compile(r"[+-]?(inf(inity)?|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)", re.IGNORECASE)
+
+
 def cell_number(x, otherwise: int) -> int:
-    """A numeric cell cut to a whole number within 32 bits, else the default."""
-    if not isinstance(x, float):
+    """A number, a text that is one or a truth value, cut to a whole number within 32 bits; else the default."""
+    if isinstance(x, str):
+        x = float(x) if _FLOAT.fullmatch(x) else None
+    if x is None:
         return otherwise
+    x = float(x)
     return 0 if math.isnan(x) else max(0, min(U32, int(x) if math.isfinite(x) else U32 if x > 0 else 0))
 
 
+def cell_text(x) -> str:
+    """A cell as it is shown: no text for a gap, numbers without an exponent, whole ones without a point."""
+    if isinstance(x, bool):
+        return str(x).lower()
+    if isinstance(x, float) and math.isfinite(x):
+        return str(int(x)) if x == int(x) else format(Decimal(repr(x)), "f")
+    return "" if x is None else str(x)
+
+
 def parse_xlsx(raw: bytes) -> list[tuple]:
     """(sheet, ord, filename, depth, title, page) of all rows of all sheets that have the columns."""
-    out, valid = [], False
-    shown = lambda x: "" if x is None else (str(int(x)) if x == int(x) else str(x)) if isinstance(x, float) else str(x)
-    for k, rows in enumerate(sheets(raw)):
-        head = [shown(x).strip() for x in rows[0]] if rows else []
+    out, valid, every = [], False, sheets(raw)
+    for k, rows in enumerate(every):
+        head = [cell_text(x).strip() for x in rows[0]] if rows else []
         if any(h not in head for h in HEADERS[1:]):
             continue
         valid, at = True, {h: head.index(h) for h in HEADERS if h in head}
         for i, r in enumerate(rows[1:]):
             get = lambda h, r=r: r[at[h]] if h in at and at[h] < len(r) else None
-            out.append((k, cell_number(get(HEADERS[0]), i + 1), shown(get(HEADERS[1])), cell_number(get(HEADERS[2]), 0), shown(get(HEADERS[3])), cell_number(get(HEADERS[4]), 1)))
+            out.append((k, cell_number(get(HEADERS[0]), i + 1), cell_text(get(HEADERS[1])), cell_number(get(HEADERS[2]), 0), cell_text(get(HEADERS[3])), cell_number(get(HEADERS[4]), 1)))
     if not valid:
-        raise ValueError("no sheet with the columns")
+        raise ValueError(NO_SHEET % len(every))
     return out
 
 
+def parsed(name: str, raw: bytes, encoding: str | None = None) -> list[tuple]:
+    """A file's rows as COLUMNS; one row with the error of a file that can't be read."""
+    try:
+        rows = parse_xlsx(raw) if name.lower().endswith(".xlsx") else [(0, *r) for r in parse_csv(decode(raw, encoding))]
+        return [(name, r[0], i, *r[1:], None) for i, r in enumerate(rows)]
+    except Exception as e:  # noqa: BLE001  whatever is wrong with a file is told in its row
+        return [(name, None, None, None, None, None, None, None, (str(e) or type(e).__name__)[:300])]
+
+
 def _read(encoding: str | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        out = []
-        for path, raw in zip(b["path"], b["content"], strict=True):
-            try:
-                if path.lower().endswith(".xlsx"):
-                    rows = parse_xlsx(bytes(raw))
-                else:
-                    rows = [(0, *r) for r in parse_csv(decode(bytes(raw), encoding))]
-                out += [(path, r[0], i, *r[1:], None) for i, r in enumerate(rows)]
-            except Exception as e:  # noqa: BLE001  whatever is wrong with a file is told in its row
-                out.append((path, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+        out = [r for path, raw in zip(b["path"], b["content"], strict=True) for r in parsed(path, bytes(raw), encoding)]
         yield pd.DataFrame(out, columns=COLUMNS).astype({c: "Int64" for c in ("sheet", "src_row", "ord", "depth", "page")})
 
 
@@ -158,7 +180,7 @@ def read_sheets(spark: SparkSession, paths: list[str], encoding: str | None = No
 
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows, and a note for each file that couldn't be read."""
-    note = F.format_string("[경고] 북마크 파일 '%s' 읽기 실패 — 무시함: %s", "src", "error")
+    note = F.format_string(UNREADABLE, "src", "error")
     return rows.where("error is null").drop("error"), rows.where("error is not null").select("src", note.alias("note"))
 
 
@@ -167,27 +189,60 @@ def _in_order(rows: DataFrame) -> Iterator:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One file with a UTF-8 mark and a header; rows stream through the driver in order."""
+    """One file with a UTF-8 mark and a header; rows stream through the driver in order. For many documents, see sheets.write_files()."""
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
         w = csv.writer(f, lineterminator="\n")
         w.writerow(HEADERS)
         w.writerows(_in_order(rows))
 
 
+_PARTS = {
+    "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/_rels/workbook.xml.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+    "xl/workbook.xml": f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{_NS["m"]}" xmlns:r="{_REL[1:-3]}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+}
+
+
+def _cell(text: str) -> str:
+    clean = escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", text)).replace("\r", "&#13;")
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{clean}</t></is></c>'
+
+
+class Workbook:
+    """A workbook of one sheet that is written row by row to an open file: numbers as numbers, text inline."""
+
+    def __init__(self, f):
+        self.zip = zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED)
+        for name, part in _PARTS.items():
+            self.zip.writestr(zipfile.ZipInfo(name), part)
+        self.sheet = self.zip.open(zipfile.ZipInfo("xl/worksheets/sheet1.xml"), "w")
+        self.sheet.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_NS["m"]}"><sheetData><row>{"".join(map(_cell, HEADERS))}</row>'.encode())
+
+    def rows(self, rows: Iterable[tuple]) -> None:
+        number = lambda x: f"<c><v>{x}</v></c>"
+        self.sheet.write("".join(f"<row>{number(o)}{_cell(name or '')}{number(depth)}{_cell(title or '')}{number(page)}</row>" for o, name, depth, title, page in rows).encode())
+
+    def close(self) -> None:
+        self.sheet.write(b"</sheetData></worksheet>")
+        self.sheet.close()
+        self.zip.close()
+
+
+def csv_bytes(rows: Iterable[tuple], encoding: str = "utf-8", head: bool = False) -> bytes:
+    """Rows as CSV, behind the header if asked."""
+    f = io.StringIO(newline="")
+    w = csv.writer(f, lineterminator="\n")
+    w.writerows([HEADERS, *rows] if head else rows)
+    return f.getvalue().encode(encoding)
+
+
 def write_xlsx(rows: DataFrame, path: str) -> None:
-    """A workbook of one sheet; numbers as numbers, text inline."""
-    text = lambda s: f'<c t="inlineStr"><is><t xml:space="preserve">{escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", s))}</t></is></c>'
-    main = _NS["m"]
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{main}" xmlns:r="{_REL[1:-3]}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>')
-        with z.open("xl/worksheets/sheet1.xml", "w") as f:
-            f.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{main}"><sheetData><row>{"".join(map(text, HEADERS))}</row>'.encode())
-            for o, name, depth, title, page in _in_order(rows):
-                f.write(f"<row><c><v>{o}</v></c>{text(name)}<c><v>{depth}</v></c>{text(title)}<c><v>{page}</v></c></row>".encode())
-            f.write(b"</sheetData></worksheet>")
+    """A workbook of one sheet; rows stream through the driver in order. For many documents, see sheets.write_files()."""
+    with open(path, "wb") as f:
+        book = Workbook(f)
+        book.rows(_in_order(rows))
+        book.close()
 
 
 def write_lines(lines: DataFrame, path: str, *order: str) -> None:

@@ -42,7 +42,8 @@ def test_bad_files_are_notes(spark, tmp_path):
 
 
 def test_cells():
-    assert [files.cell_number(x, 9) for x in (3.9, -2.0, float("nan"), float("inf"), "4", None)] == [3, 0, 0, files.U32, 9, 9]
+    assert [files.cell_number(x, 9) for x in (3.9, -2.0, float("nan"), float("inf"), "4", "-1.5e1", "7.9", " 4", "4_0", "x", "", True, None)] == [3, 0, 0, files.U32, 4, 0, 7, 9, 9, 9, 9, 1, 9]
+    assert [files.cell_text(x) for x in (1.0, 1.5, 1e-7, 1e21, True, False, None, "x")] == ["1", "1.5", "0.0000001", "1" + "0" * 21, "true", "false", "", "x"]
 
 
 def test_scan(spark, tmp_path):
