@@ -69,10 +69,20 @@ def _views(views: DataFrame) -> list[str]:
     return [c for c in ("doc", "view") if c in views.columns]
 
 
-def page_at(laid: DataFrame, probes: DataFrame) -> DataFrame:
-    """doc, y, page at a height; null in gaps. probes: doc, y."""
-    hit = laid.join(probes, "doc").groupBy("doc", "y").agg(F.min(F.when((F.col("top") <= F.col("y")) & (F.col("y") <= F.col("bottom")), F.col("page"))).alias("page"))
-    return hit
+#: Height of the bins in which pages and probes meet.
+BIN = 4096.0
+
+
+def page_at(laid: DataFrame, probes: DataFrame, width: float) -> DataFrame:
+    """probes (doc, y, and x if they have it, and what else) with page, the first page there; null in gaps and beside the pages. Pages stand in all bins of the heights that they reach into and a probe looks at its own bin, so it is compared with the pages near it, however many the document has."""
+    slot = lambda y: F.floor(y / BIN).cast("long")
+    own = probes.columns
+    inside = F.lit(True) if "x" not in own else F.col("x").between(0, width)
+    p = probes.withColumn("_bin", slot(F.col("y"))).withColumn("_id", F.monotonically_increasing_id())
+    binned = laid.select(F.col("doc").alias("_doc"), F.col("page").alias("_page"), "top", "bottom", F.explode(F.sequence(slot(F.col("top")), slot(F.col("bottom")))).alias("_bin"))
+    at = (F.col("doc") == F.col("_doc")) & (p["_bin"] == binned["_bin"]) & (F.col("top") <= F.col("y")) & (F.col("y") <= F.col("bottom")) & inside
+    found = p.join(binned, at, "left")
+    return found.groupBy("_id", *own).agg(F.min("_page").alias("page")).drop("_id")
 
 
 def visible(laid: DataFrame, views: DataFrame, width: float) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: What counts as white space when a title or a number is trimmed: Unicode's White_Space.
@@ -50,11 +53,51 @@ def normalised_range(a: Column, b: Column) -> tuple[Column, Column, Column]:
     return F.least(a, b), F.greatest(a, b), F.abs(a - b) + 1
 
 
-def extract(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc (and page, if pages have it), text of inclusive ranges (doc, page, first, last); no row where an index is missing. pages: doc, page if there are pages, chars: a page's characters in order (null: none at that place)."""
-    inside = pages.join(ranges, _place(pages)).where((F.col("first") >= 0) & (F.col("last") < F.size("chars")))
-    part = F.slice("chars", F.col("first").cast("int") + 1, (F.col("last") - F.col("first") + 1).cast("int"))
-    return inside.select(*_place(pages), F.array_join(part, "").alias("text"))
+def breaks_of(left: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    """Before which of a run of characters a new line starts: where the distance from the one before it is more than 1.5 heights up or down or 6 aside (a height is 1 at least). Not before the first, nor next to one without bounds (nan)."""
+    out = np.zeros(len(left), bool)
+    if len(left) > 1:
+        size = np.maximum(np.abs(top - bottom), 1.0)[1:]
+        out[1:] = (np.abs(np.diff(top)) > size * 1.5) | (np.abs(np.diff(left)) > size * 6.0)
+    return out
+
+
+def _with_breaks(chars, boxes: dict, first: int = 0, last: int | None = None) -> str | None:
+    """The text of a page's characters from first to last, with line breaks; None if one of them isn't there."""
+    if chars is None:
+        return None
+    points = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), "<u4") if isinstance(chars, str) else None
+    n = len(chars) if points is None else len(points)
+    last = n - 1 if last is None else last
+    if first < 0 or last >= n:
+        return None
+    cut = slice(first, last + 1)
+    at = np.flatnonzero(breaks_of(*(np.asarray(boxes[c], float)[cut] for c in ("left", "top", "bottom"))))
+    if points is not None:
+        return np.insert(points[cut], at, 10).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    pieces = ["" if c is None else c for c in chars[cut]]
+    for i in at.tolist():
+        pieces[i] = "\n" + pieces[i]
+    return "".join(pieces)
+
+
+@F.pandas_udf(T.StringType())
+def broken(chars: pd.Series, boxes: pd.DataFrame) -> pd.Series:
+    """A page's text with the inferred line breaks. chars: a text whose code points are the characters, or an array of them (null: no text at that place); boxes: struct of the arrays left, top, bottom, of the same length (null: no bounds)."""
+    return pd.Series([_with_breaks(c, b) for c, b in zip(chars, boxes.to_dict("records"), strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def broken_range(chars: pd.Series, boxes: pd.DataFrame, first: pd.Series, last: pd.Series) -> pd.Series:
+    """What broken() gives of the characters from first to last alone; null where one of them isn't there."""
+    rows = zip(chars, boxes.to_dict("records"), first, last, strict=True)
+    return pd.Series([None if pd.isna(f) or pd.isna(z) else _with_breaks(c, b, int(f), int(z)) for c, b, f, z in rows], dtype=object)
+
+
+def extract(pages: DataFrame, ranges: DataFrame, chars: Column, boxes: Column) -> DataFrame:
+    """doc (and page, if pages have it), text of inclusive ranges (doc, page, first, last) with the line breaks inside each range; no row where an index is missing. chars, boxes: a page's characters and bounds (see broken()), made of the columns of pages; they are worked out behind the join, a page in one piece."""
+    inside = pages.join(ranges, _place(pages))
+    return inside.select(*_place(pages), broken_range(chars, boxes, F.col("first"), F.col("last")).alias("text")).where("text is not null")
 
 
 def line_breaks(chars: DataFrame) -> DataFrame:
@@ -77,12 +120,63 @@ def quads(chars: DataFrame) -> DataFrame:
     return chars.select("doc", "idx", F.array(corner("left", "top"), corner("right", "top"), corner("right", "bottom"), corner("left", "bottom")).alias("quad"), F.coalesce("angle", F.lit(0.0)).alias("rotation"))
 
 
-def hit_test(chars: DataFrame, points: DataFrame, tolerance: float = 6.0) -> DataFrame:
-    """doc, probe, idx of the character whose box, widened by the tolerance, is nearest to a point. points: doc, page if chars have it, probe, x, y."""
-    dx = F.greatest(F.col("left") - F.col("x"), F.col("x") - F.col("right"), F.lit(0.0))
-    dy = F.greatest(F.col("bottom") - F.col("y"), F.col("y") - F.col("top"), F.lit(0.0))
-    near = chars.join(points, _place(chars)).withColumn("dx", dx).withColumn("dy", dy).where((F.col("dx") <= tolerance) & (F.col("dy") <= tolerance))
-    return near.groupBy("doc", "probe").agg(F.min(F.struct((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d"), "idx")).alias("m")).select("doc", "probe", F.col("m.idx").alias("idx"))
+class Grid:
+    """A page's boxes by cells of `size`: each box is in all cells that it touches when widened by the tolerance, so a point looks at its own cell only. Boxes that touch more than 64 cells are kept apart and always looked at."""
+
+    def __init__(self, left, right, bottom, top, tolerance: float, size: float = 24.0):
+        self.box, self.tolerance, self.size = (left, right, bottom, top), tolerance, size
+        good = np.flatnonzero(~np.isnan(left + right + bottom + top))
+        cell = lambda x: np.floor(x / size).astype(np.int64)
+        x0, x1, y0, y1 = cell(left[good] - tolerance), cell(right[good] + tolerance), cell(bottom[good] - tolerance), cell(top[good] + tolerance)
+        wide, high = np.maximum(x1 - x0 + 1, 0), np.maximum(y1 - y0 + 1, 0)
+        large = wide.astype(float) * high > 64
+        self.large, n = good[large], np.where(large, 0, wide * high)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        w = np.repeat(np.maximum(wide, 1), n)
+        keys = self.key(np.repeat(x0, n) + k % w, np.repeat(y0, n) + k // w)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rows = keys[order], np.repeat(good, n)[order]
+
+    @staticmethod
+    def key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x << 32) ^ (y & 0xFFFFFFFF)
+
+    def nearest(self, x: float, y: float) -> int | None:
+        """The box nearest to a point (the first of equals), if one is within the tolerance in both directions."""
+        if not (np.isfinite(x) and np.isfinite(y)):
+            return None
+        at = self.key(np.int64(np.floor(x / self.size)), np.int64(np.floor(y / self.size)))
+        some = np.concatenate([self.rows[np.searchsorted(self.keys, at, "left") : np.searchsorted(self.keys, at, "right")], self.large])
+        left, right, bottom, top = (b[some] for b in self.box)
+        dx, dy = np.maximum(np.maximum(left - x, x - right), 0), np.maximum(np.maximum(bottom - y, y - top), 0)
+        near = (dx <= self.tolerance) & (dy <= self.tolerance)
+        if not near.any():
+            return None
+        d, some = (dx * dx + dy * dy)[near], some[near]
+        return int(some[np.lexsort([some, d])[0]])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("probe", T.LongType()), T.StructField("idx", T.LongType())])))
+def _hits(boxes: pd.DataFrame, points: pd.Series, tolerance: pd.Series) -> pd.Series:
+    out = []
+    for b, some, t in zip(boxes.to_dict("records"), points, tolerance, strict=True):
+        grid = Grid(*(np.asarray(b[c], float) for c in ("left", "right", "bottom", "top")), float(t))
+        found = [(p["probe"], grid.nearest(p["x"], p["y"])) for p in some if p["x"] is not None and p["y"] is not None]
+        out.append([{"probe": p, "idx": i} for p, i in found if i is not None])
+    return pd.Series(out, dtype=object)
+
+
+def hit_test(pages: DataFrame, points: DataFrame, boxes: Column, tolerance: float = 6.0, at_once: int = 1000) -> DataFrame:
+    """doc (and page, if pages have it), probe, idx of the character whose box, widened by the tolerance, is nearest to a point; no row for a point near none. points: doc, page if pages have it, probe, x, y; boxes: struct of the arrays left, right, bottom, top of a page's characters, made of the columns of pages.
+
+    Each page builds a grid of its boxes in one task and its points look at their own cells, so neither a row a character nor a pair of character and point is made. Points of a page come in groups of about `at_once`."""
+    place = _place(pages)
+    # most pages have few points; those of others are dealt to as many groups as they need
+    many = points.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / at_once).alias("groups"))
+    dealt = points.join(many, place).withColumn("part", F.pmod(F.xxhash64("probe", "x", "y"), "groups"))
+    some = dealt.groupBy(*place, "part").agg(F.collect_list(F.struct(F.col("probe").cast("long").alias("probe"), "x", "y")).alias("points"))
+    found = pages.join(some, place).select(*place, F.explode(_hits(boxes, F.col("points"), F.lit(tolerance))).alias("h"))
+    return found.select(*place, "h.probe", "h.idx")
 
 
 def normalize_uri(uri: Column) -> Column:
@@ -97,13 +191,27 @@ def link_target(kind: Column, uri: Column, action_page0: Column, dest_page0: Col
     return F.when(page.isNotNull(), "Page").when(to.isNotNull(), "Uri"), page, to
 
 
+def _level(size: Column) -> Column:
+    """The grid for boxes of a size: cells of 64 * 2 ** level, so a box touches four of them at most."""
+    return F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1.0)) / 64)), F.lit(0)).cast("long")
+
+
 def links_at(links: DataFrame, points: DataFrame) -> DataFrame:
-    """The link under each point: points (doc, page, probe, x, y) with the columns of the last link (doc, page, link_no, left, bottom, right, top, ...) of the page whose box holds the point, edges included and corners in any order; no row for a point that no link holds. Links without a corner hold nothing."""
+    """The link under each point: points (doc, page, probe, x, y) with the columns of the last link (doc, page, link_no, left, bottom, right, top, ...) of the page whose box holds the point, edges included and corners in any order; no row for a point that no link holds. Links without a corner hold nothing, nor do links or points at no finite place.
+
+    Links and points meet by the cells of grids, each link in the grid of its size, so a point is compared with the links near it. Columns of links may have any name."""
     own = [c for c in links.columns if c not in ("doc", "page")]
-    inside = F.col("x").between(F.least("left", "right"), F.greatest("left", "right")) & F.col("y").between(F.least("bottom", "top"), F.greatest("bottom", "top"))
-    whole = F.col("left").isNotNull() & F.col("right").isNotNull() & F.col("bottom").isNotNull() & F.col("top").isNotNull()
-    held = links.where(whole).join(points, ["doc", "page"]).where(inside)
-    last = held.groupBy("doc", "page", "probe").agg(F.max_by(F.struct(*own), F.col("link_no")).alias("link"))
+    fine = lambda c: F.coalesce(F.abs(c) < 1e15, F.lit(False))
+    box = {"_l": F.least("left", "right"), "_r": F.greatest("left", "right"), "_b": F.least("bottom", "top"), "_t": F.greatest("bottom", "top")}
+    placed = links.where(fine(F.col("left")) & fine(F.col("right")) & fine(F.col("bottom")) & fine(F.col("top"))).select("doc", "page", "link_no", *(c.cast("double").alias(k) for k, c in box.items()), F.struct(*(F.col(f"`{c}`") for c in own)).alias("_link"))
+    placed = placed.withColumn("_level", _level(F.greatest(F.col("_r") - F.col("_l"), F.col("_t") - F.col("_b"))))
+    cell = lambda x: F.floor(x / (64 * F.pow(F.lit(2.0), F.col("_level")))).cast("long")
+    placed = placed.withColumn("_x", F.explode(F.sequence(cell(F.col("_l")), cell(F.col("_r"))))).withColumn("_y", F.explode(F.sequence(cell(F.col("_b")), cell(F.col("_t")))))
+    levels = [r[0] for r in placed.select("_level").distinct().collect()]  # one for each power of two of a size
+    at = points.where(fine(F.col("x")) & fine(F.col("y"))).select("doc", "page", "probe", F.col("x").alias("_px"), F.col("y").alias("_py"))
+    at = at.withColumn("_level", F.explode(F.array(*(F.lit(v) for v in levels)).cast("array<bigint>"))).withColumn("_x", cell(F.col("_px"))).withColumn("_y", cell(F.col("_py")))
+    held = placed.join(at, ["doc", "page", "_level", "_x", "_y"]).where("_px between _l and _r and _py between _b and _t")
+    last = held.groupBy("doc", "page", "probe").agg(F.max_by("_link", "link_no").alias("link"))
     return last.select("doc", "page", "probe", "link.*")
 
 

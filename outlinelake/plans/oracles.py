@@ -163,8 +163,8 @@ def oracle_sql() -> dict[str, str]:
         "page_search": _FOUND.format("the") + "SELECT * FROM found",
         "search_start": _FOUND.format("an") + "SELECT doc, coalesce(min(idx) FILTER (WHERE page >= doc % 5 + 1), 0) AS start FROM found GROUP BY doc",
         "search_cycle": _FOUND.format("an") + ", n AS (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM found) SELECT doc, idx, (idx + 1) % n AS next, (idx + n - 1) % n AS previous, CASE WHEN idx = 0 THEN 'primary' ELSE 'secondary' END AS class FROM n",
-        "range_extract": """WITH a AS (SELECT doc_id AS doc, text, doc_id * 7919 % length(text) AS a, doc_id * 104729 % length(text) AS b FROM documents WHERE length(text) > 0)
-            SELECT doc, substring(text, (least(a, b) + 1)::INT, (abs(a - b) + 1)::INT) AS text FROM a""",
+        "range_extract": _CHARS + """, r AS (SELECT doc, n, idx, ch, least(doc * 7919 % n, doc * 104729 % n) AS a, greatest(doc * 7919 % n, doc * 104729 % n) AS b FROM chars)
+            SELECT doc, string_agg(CASE WHEN idx > a AND idx % 80 = 0 THEN chr(10) ELSE '' END || ch, '' ORDER BY idx) AS text FROM r WHERE idx BETWEEN a AND b GROUP BY doc""",
         "line_breaks": _CHARS + """, b AS (SELECT doc, idx, ch, coalesce(abs(top - lag(top) OVER w) > 15 OR abs(lft - lag(lft) OVER w) > 60, false) AS breaks FROM placed WINDOW w AS (PARTITION BY doc ORDER BY idx)),
             t AS (SELECT doc, string_agg(CASE WHEN breaks THEN chr(10) ELSE '' END || ch, '' ORDER BY idx) AS text FROM b GROUP BY doc) SELECT doc, md5(text) AS text_md5, length(text) AS n_chars FROM t""",
         "char_quads": _CHARS + "SELECT doc, idx, lft AS x0, top AS y0, lft + 6 AS x2, top - 10 AS y2, 0.0::DOUBLE AS rotation FROM placed",
@@ -182,7 +182,7 @@ def oracle_sql() -> dict[str, str]:
         "export_name": """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'bookmarks.xlsx' ELSE 'bookmark-' || regexp_replace(p_name, '[^a-z0-9]', '_', 'g') || '.v2.xlsx' END AS name,
             CASE WHEN p_size % 3 = 0 THEN p_size::BIGINT WHEN p_size % 3 = 2 AND p_size::BIGINT * 1000000000 <= 4294967295 THEN p_size::BIGINT * 1000000000 END AS page FROM part""",
         "page_layout": _LAID + "SELECT doc, page, round(height, 4) AS height, round(top, 4) AS top, round(bottom, 4) AS bottom FROM laid",
-        "page_at_y": _LAID + "SELECT doc, view_top + 3 AS y, min(page) FILTER (WHERE top <= view_top + 3 AND view_top + 3 <= bottom) AS page FROM laid JOIN views USING (doc) GROUP BY ALL",
+        "page_at_y": _LAID + "SELECT doc, doc * 37 % 700 - 20.0::DOUBLE AS x, view_top + 3 AS y, min(page) FILTER (WHERE top <= view_top + 3 AND view_top + 3 <= bottom AND doc * 37 % 700 - 20 BETWEEN 0 AND 600) AS page FROM laid JOIN views USING (doc) GROUP BY ALL",
         "visible_pages": _LAID + "SELECT * FROM seen",
         "views_tracked": _LAID + """, two AS (SELECT doc, 0 AS view, view_top, view_bottom FROM views UNION ALL SELECT doc, 1, view_top + 4000, view_bottom + 4000 FROM views),
             many AS (SELECT doc, view, coalesce(min(page) FILTER (WHERE bottom >= greatest(view_top - 600, 0) AND top <= view_bottom + 600), min(page)) AS first,

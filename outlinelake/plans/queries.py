@@ -7,8 +7,11 @@ import tempfile
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import layout, text
 from ..operators import batch, tree
@@ -286,6 +289,17 @@ def _anchors():
     return F.col("doc") * 7919 % F.col("n"), F.col("doc") * 104729 % F.col("n")
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("left", "right", "bottom", "top")]))
+def _boxes(text: pd.Series, columns: pd.Series) -> pd.DataFrame:
+    """Boxes of a text's characters, set in lines of so many columns."""
+    rows = []
+    for t, n in zip(text, columns, strict=True):
+        idx = np.arange(len(t or ""))
+        left, top = (idx % n) * 6.0, idx // n * -12.0
+        rows.append((left, left + 6, top - 10, top))
+    return pd.DataFrame(rows, columns=["left", "right", "bottom", "top"])
+
+
 def _chars(spark, sf):
     d = _documents(spark, sf).select("doc", "n", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("idx", "ch"))
     left, top = (F.col("idx") % 80) * 6.0, -12.0 * F.floor(F.col("idx") / 80)
@@ -295,20 +309,17 @@ def _chars(spark, sf):
 def range_extract(spark, sf):
     first, last, _ = text.normalised_range(*_anchors())
     docs = _documents(spark, sf)
-    return text.extract(docs.select("doc", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("chars")), docs.select("doc", first.alias("first"), last.alias("last")))
+    return text.extract(docs.select("doc", "text"), docs.select("doc", first.alias("first"), last.alias("last")), F.col("text"), _boxes(F.col("text"), F.lit(80)))
 
 
 def line_breaks(spark, sf):
-    t = text.broken_text(_chars(spark, sf))
+    t = _documents(spark, sf).select("doc", "n", text.broken(F.col("text"), _boxes(F.col("text"), F.lit(80))).alias("text"))
     return t.select("doc", F.md5("text").alias("text_md5"), F.char_length("text").cast("long").alias("n_chars"))
 
 
 def page_texts(spark, sf):
     """Characters of conversations' turns as pages: breaks start anew on each page."""
-    c = _pages(spark, sf).select("doc", "page", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("idx", "ch"))
-    left, top = (F.col("idx") % 20) * 6.0, -12.0 * F.floor(F.col("idx") / 20)
-    placed = c.select("doc", "page", F.col("idx").cast("long").alias("idx"), "ch", left.alias("left"), top.cast("double").alias("top"), (top - 10).cast("double").alias("bottom"))
-    return text.broken_text(placed)
+    return _pages(spark, sf).where("length(text) > 0").select("doc", "page", text.broken(F.col("text"), _boxes(F.col("text"), F.lit(20))).alias("text"))
 
 
 def _corners(q):
@@ -327,7 +338,7 @@ def selection_quads(spark, sf):
 def char_hit(spark, sf):
     height = 12 * F.ceil(F.col("n") / 80)
     points = _documents(spark, sf).select("doc", F.col("doc").alias("probe"), ((F.col("doc") * 13) % 500 + 0.25).cast("double").alias("x"), (-1.0 * ((F.col("doc") * 7919) % height) - 0.5).cast("double").alias("y"))
-    return text.hit_test(_chars(spark, sf), points)
+    return text.hit_test(_documents(spark, sf).select("doc", "text"), points, _boxes(F.col("text"), F.lit(80)))
 
 
 def _uris(spark, sf):
@@ -383,8 +394,8 @@ def page_layout(spark, sf):
 
 
 def page_at_y(spark, sf):
-    probes = _views(spark, sf).select("doc", (F.col("view_top") + 3.0).alias("y"))
-    return layout.page_at(_laid(spark, sf), probes)
+    probes = _views(spark, sf).select("doc", (F.col("doc") * 37 % 700 - 20.0).cast("double").alias("x"), (F.col("view_top") + 3.0).alias("y"))
+    return layout.page_at(_laid(spark, sf), probes, WIDTH)
 
 
 def visible_pages(spark, sf):
