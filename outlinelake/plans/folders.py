@@ -68,7 +68,7 @@ def _made(spark, sf) -> str:
     good = rows.where(kind < 5).select("file", F.when(kind == 2, "utf-8").when(kind == 3, "cp949").alias("encoding"), F.col("turn").alias("ord"), name.alias("filename"), (F.col("turn") % 3).alias("depth"), title.alias("title"), (F.col("turn") + 1).alias("page"))
     sheets.write_files(good, folder)
     bad = rows.where(kind.between(5, 7)).withColumn("bad", kind)
-    own = F.concat_ws(",", name, F.when(F.col("bad") == 5, F.lit("0")), F.lit("t"), F.when((F.col("bad") == 5) & (F.col("turn") == 1), F.lit("x")).otherwise(F.col("turn") + 1))
+    own = F.concat_ws(",", name, F.when(F.col("bad") == 5, F.lit("0")), F.lit("t"), F.when((F.col("bad") == 5) & (F.col("turn") == 1), F.lit("x")).otherwise((F.col("turn") + 1).cast("string")))
     head = bad.select("file", "bad").distinct().select("file", F.lit(-1).cast("long").alias("n"), F.when(F.col("bad") == 5, ",".join(HEADERS[1:])).otherwise(",".join([HEADERS[1], *HEADERS[3:]])).alias("line"))
     sheets.write_files(head.unionByName(bad.select("file", F.col("turn").alias("n"), own.alias("line"))), folder, "n", "line")
     return folder
