@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,23 +83,38 @@ def _with_breaks(chars, boxes: dict, first: int = 0, last: int | None = None) ->
     return "".join(pieces)
 
 
-@F.pandas_udf(T.StringType())
-def broken(chars: pd.Series, boxes: pd.DataFrame) -> pd.Series:
-    """A page's text with the inferred line breaks. chars: a text whose code points are the characters, or an array of them (null: no text at that place); boxes: struct of the arrays left, top, bottom, of the same length (null: no bounds)."""
-    return pd.Series([_with_breaks(c, b) for c, b in zip(chars, boxes.to_dict("records"), strict=True)], dtype=object)
+#: What a page's columns become before a kernel sees them: a function of a row (a dict) that gives chars or boxes as arrays.
+Layout = Callable[[dict], dict]
 
 
-@F.pandas_udf(T.StringType())
-def broken_range(chars: pd.Series, boxes: pd.DataFrame, first: pd.Series, last: pd.Series) -> pd.Series:
-    """What broken() gives of the characters from first to last alone; null where one of them isn't there."""
-    rows = zip(chars, boxes.to_dict("records"), first, last, strict=True)
-    return pd.Series([None if pd.isna(f) or pd.isna(z) else _with_breaks(c, b, int(f), int(z)) for c, b, f, z in rows], dtype=object)
+def _rows(page: pd.DataFrame, layout: Layout | None) -> Iterator[dict]:
+    for row in page.to_dict("records"):
+        yield row | layout(row) if layout else row
 
 
-def extract(pages: DataFrame, ranges: DataFrame, chars: Column, boxes: Column) -> DataFrame:
-    """doc (and page, if pages have it), text of inclusive ranges (doc, page, first, last) with the line breaks inside each range; no row where an index is missing. chars, boxes: a page's characters and bounds (see broken()), made of the columns of pages; they are worked out behind the join, a page in one piece."""
-    inside = pages.join(ranges, _place(pages))
-    return inside.select(*_place(pages), broken_range(chars, boxes, F.col("first"), F.col("last")).alias("text")).where("text is not null")
+def broken(page: Column, layout: Layout | None = None) -> Column:
+    """A page's text with the inferred line breaks, of its characters from first to last where the page has these (null where one of them isn't there). page: a struct, whose fields or what layout makes of them are chars (a text whose code points are the characters, or an array of them; null: no text at that place), the arrays left, top, bottom of the same length (null: no bounds), and first and last for a range. One kernel a page, without a row a character."""
+
+    @F.pandas_udf(T.StringType())
+    def kernel(pages: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in _rows(pages, layout):
+            first, last = r.get("first", 0), r.get("last")
+            if "first" in r and (pd.isna(first) or pd.isna(last)):
+                out.append(None)
+            else:
+                out.append(_with_breaks(r["chars"], r, int(first), None if last is None else int(last)))
+        return pd.Series(out, dtype=object)
+
+    return kernel(page)
+
+
+def extract(pages: DataFrame, ranges: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """doc (and page, if pages have it), text of inclusive ranges (doc, page, first, last) with the line breaks inside each range; no row where an index is missing. pages: what broken() needs of a page."""
+    place = _place(pages)
+    own = [c for c in pages.columns if c not in place]
+    inside = pages.join(ranges.select(*place, "first", "last"), place)
+    return inside.select(*place, broken(F.struct(*own, "first", "last"), layout).alias("text")).where("text is not null")
 
 
 def line_breaks(chars: DataFrame) -> DataFrame:
@@ -121,11 +138,11 @@ def quads(chars: DataFrame) -> DataFrame:
 
 
 class Grid:
-    """A page's boxes by cells of `size`: each box is in all cells that it touches when widened by the tolerance, so a point looks at its own cell only. Boxes that touch more than 64 cells are kept apart and always looked at."""
+    """A page's boxes by cells of `size`: each box is in all cells that it touches when widened by the tolerance, so a point looks at its own cell only. Boxes that touch more than 64 cells are kept apart and always looked at. within: the rectangle (left, right, bottom, top) that the points are in; boxes beyond it are left out."""
 
-    def __init__(self, left, right, bottom, top, tolerance: float, size: float = 24.0):
+    def __init__(self, left, right, bottom, top, tolerance: float, size: float = 24.0, within: tuple = (-np.inf, np.inf, -np.inf, np.inf)):
         self.box, self.tolerance, self.size = (left, right, bottom, top), tolerance, size
-        good = np.flatnonzero(~np.isnan(left + right + bottom + top))
+        good = np.flatnonzero((left <= within[1] + tolerance) & (right >= within[0] - tolerance) & (bottom <= within[3] + tolerance) & (top >= within[2] - tolerance))
         cell = lambda x: np.floor(x / size).astype(np.int64)
         x0, x1, y0, y1 = cell(left[good] - tolerance), cell(right[good] + tolerance), cell(bottom[good] - tolerance), cell(top[good] + tolerance)
         wide, high = np.maximum(x1 - x0 + 1, 0), np.maximum(y1 - y0 + 1, 0)
@@ -143,8 +160,6 @@ class Grid:
 
     def nearest(self, x: float, y: float) -> int | None:
         """The box nearest to a point (the first of equals), if one is within the tolerance in both directions."""
-        if not (np.isfinite(x) and np.isfinite(y)):
-            return None
         at = self.key(np.int64(np.floor(x / self.size)), np.int64(np.floor(y / self.size)))
         some = np.concatenate([self.rows[np.searchsorted(self.keys, at, "left") : np.searchsorted(self.keys, at, "right")], self.large])
         left, right, bottom, top = (b[some] for b in self.box)
@@ -156,26 +171,32 @@ class Grid:
         return int(some[np.lexsort([some, d])[0]])
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("probe", T.LongType()), T.StructField("idx", T.LongType())])))
-def _hits(boxes: pd.DataFrame, points: pd.Series, tolerance: pd.Series) -> pd.Series:
-    out = []
-    for b, some, t in zip(boxes.to_dict("records"), points, tolerance, strict=True):
-        grid = Grid(*(np.asarray(b[c], float) for c in ("left", "right", "bottom", "top")), float(t))
-        found = [(p["probe"], grid.nearest(p["x"], p["y"])) for p in some if p["x"] is not None and p["y"] is not None]
-        out.append([{"probe": p, "idx": i} for p, i in found if i is not None])
-    return pd.Series(out, dtype=object)
+_HITS = T.ArrayType(T.StructType([T.StructField("probe", T.LongType()), T.StructField("idx", T.LongType())]))
 
 
-def hit_test(pages: DataFrame, points: DataFrame, boxes: Column, tolerance: float = 6.0, at_once: int = 1000) -> DataFrame:
-    """doc (and page, if pages have it), probe, idx of the character whose box, widened by the tolerance, is nearest to a point; no row for a point near none. points: doc, page if pages have it, probe, x, y; boxes: struct of the arrays left, right, bottom, top of a page's characters, made of the columns of pages.
+def hit_test(pages: DataFrame, points: DataFrame, tolerance: float = 6.0, layout: Layout | None = None, at_once: int = 1000) -> DataFrame:
+    """doc (and page, if pages have it), probe, idx of the character whose box, widened by the tolerance, is nearest to a point; no row for a point near none. points: doc, page if pages have it, probe, x, y; pages: the arrays left, right, bottom, top of a page's characters, or what layout makes them of.
 
     Each page builds a grid of its boxes in one task and its points look at their own cells, so neither a row a character nor a pair of character and point is made. Points of a page come in groups of about `at_once`."""
     place = _place(pages)
+    own = [c for c in pages.columns if c not in place]
+
+    @F.pandas_udf(_HITS)
+    def kernel(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in _rows(rows, layout):
+            some = [p for p in r["points"] if p["x"] is not None and p["y"] is not None and math.isfinite(p["x"] + p["y"])]
+            x, y = [p["x"] for p in some] or [0.0], [p["y"] for p in some] or [0.0]
+            grid = Grid(*(np.asarray(r[c], float) for c in ("left", "right", "bottom", "top")), tolerance, within=(min(x), max(x), min(y), max(y)))
+            found = [(p["probe"], grid.nearest(p["x"], p["y"])) for p in some]
+            out.append([{"probe": p, "idx": i} for p, i in found if i is not None])
+        return pd.Series(out, dtype=object)
+
     # most pages have few points; those of others are dealt to as many groups as they need
     many = points.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / at_once).alias("groups"))
     dealt = points.join(many, place).withColumn("part", F.pmod(F.xxhash64("probe", "x", "y"), "groups"))
     some = dealt.groupBy(*place, "part").agg(F.collect_list(F.struct(F.col("probe").cast("long").alias("probe"), "x", "y")).alias("points"))
-    found = pages.join(some, place).select(*place, F.explode(_hits(boxes, F.col("points"), F.lit(tolerance))).alias("h"))
+    found = pages.join(some, place).select(*place, F.explode(kernel(F.struct(*own, "points"))).alias("h"))
     return found.select(*place, "h.probe", "h.idx")
 
 

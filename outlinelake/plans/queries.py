@@ -6,12 +6,11 @@ import os
 import tempfile
 import unicodedata
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import layout, text
 from ..operators import batch, tree
@@ -289,15 +288,11 @@ def _anchors():
     return F.col("doc") * 7919 % F.col("n"), F.col("doc") * 104729 % F.col("n")
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("left", "right", "bottom", "top")]))
-def _boxes(text: pd.Series, columns: pd.Series) -> pd.DataFrame:
-    """Boxes of a text's characters, set in lines of so many columns."""
-    rows = []
-    for t, n in zip(text, columns, strict=True):
-        idx = np.arange(len(t or ""))
-        left, top = (idx % n) * 6.0, idx // n * -12.0
-        rows.append((left, left + 6, top - 10, top))
-    return pd.DataFrame(rows, columns=["left", "right", "bottom", "top"])
+def _set(row: dict, columns: int = 80) -> dict:
+    """A text set in lines of so many columns: its characters and their boxes."""
+    idx = np.arange(len(row["text"]))
+    left, top = idx % columns * 6.0, idx // columns * -12.0
+    return {"chars": row["text"], "left": left, "right": left + 6, "bottom": top - 10, "top": top}
 
 
 def _chars(spark, sf):
@@ -309,17 +304,17 @@ def _chars(spark, sf):
 def range_extract(spark, sf):
     first, last, _ = text.normalised_range(*_anchors())
     docs = _documents(spark, sf)
-    return text.extract(docs.select("doc", "text"), docs.select("doc", first.alias("first"), last.alias("last")), F.col("text"), _boxes(F.col("text"), F.lit(80)))
+    return text.extract(docs.select("doc", "text"), docs.select("doc", first.alias("first"), last.alias("last")), _set)
 
 
 def line_breaks(spark, sf):
-    t = _documents(spark, sf).select("doc", "n", text.broken(F.col("text"), _boxes(F.col("text"), F.lit(80))).alias("text"))
+    t = _documents(spark, sf).select("doc", text.broken(F.struct("text"), _set).alias("text"))
     return t.select("doc", F.md5("text").alias("text_md5"), F.char_length("text").cast("long").alias("n_chars"))
 
 
 def page_texts(spark, sf):
     """Characters of conversations' turns as pages: breaks start anew on each page."""
-    return _pages(spark, sf).where("length(text) > 0").select("doc", "page", text.broken(F.col("text"), _boxes(F.col("text"), F.lit(20))).alias("text"))
+    return _pages(spark, sf).where("length(text) > 0").select("doc", "page", text.broken(F.struct("text"), partial(_set, columns=20)).alias("text"))
 
 
 def _corners(q):
@@ -338,7 +333,7 @@ def selection_quads(spark, sf):
 def char_hit(spark, sf):
     height = 12 * F.ceil(F.col("n") / 80)
     points = _documents(spark, sf).select("doc", F.col("doc").alias("probe"), ((F.col("doc") * 13) % 500 + 0.25).cast("double").alias("x"), (-1.0 * ((F.col("doc") * 7919) % height) - 0.5).cast("double").alias("y"))
-    return text.hit_test(_documents(spark, sf).select("doc", "text"), points, _boxes(F.col("text"), F.lit(80)))
+    return text.hit_test(_documents(spark, sf).select("doc", "text"), points, layout=_set)
 
 
 def _uris(spark, sf):

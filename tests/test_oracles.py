@@ -47,12 +47,12 @@ def test_ranges_and_breaks_by_page(spark):
     chars = ["a", "b", None, "c", "d", "e", "f"]
     left, top, bottom = [0.0, 6.0, 100.0, None, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, None, -40.0, -60.0, -61.0], [-10.0, -10.0, -10.0, None, -50.0, -60.5, -61.5]
     pages = spark.createDataFrame([(1, p, chars, left, left, bottom, top) for p in (1, 2)] + [(2, 1, [], [], [], [], []), (3, 1, None, None, None, None, None)], BOXES)
-    boxes = F.struct("left", "top", "bottom")
-    got = pages.select("doc", "page", text.broken(F.col("chars"), boxes).alias("text")).collect()
+    page = F.struct("chars", "left", "top", "bottom")
+    got = pages.select("doc", "page", text.broken(page).alias("text")).collect()
     assert sorted((r.doc, r.page, r.text) for r in got if r.doc < 3) == [(1, 1, "ab\ncd\nef"), (1, 2, "ab\ncd\nef"), (2, 1, "")] and [r.text for r in got if r.doc == 3] == [None]
     # a range breaks anew at its first character
     ranges = spark.createDataFrame([(1, 1, 1, 3), (1, 1, 2, 5), (1, 2, 5, 6), (1, 1, 3, 7), (1, 1, -1, 2), (1, 1, None, 2), (2, 1, 0, 0), (3, 1, 0, 0)], "doc long, page long, first long, last long")
-    assert sorted((r.doc, r.page, r.text) for r in text.extract(pages, ranges, F.col("chars"), boxes).collect()) == [(1, 1, "b\nc"), (1, 1, "cd\ne"), (1, 2, "ef")]
+    assert sorted((r.doc, r.page, r.text) for r in text.extract(pages, ranges).collect()) == [(1, 1, "b\nc"), (1, 1, "cd\ne"), (1, 2, "ef")]
     rows = [(1, p, i, c, x, t, b) for p in (1, 2) for i, (c, x, t, b) in enumerate(zip(chars, left, top, bottom))]
     by_row = text.broken_text(spark.createDataFrame(rows, "doc long, page long, idx long, ch string, left double, top double, bottom double"))
     assert sorted((r.doc, r.page, r.text) for r in by_row.collect()) == [(1, p, "ab\ncd\nef") for p in (1, 2)]
@@ -60,7 +60,6 @@ def test_ranges_and_breaks_by_page(spark):
 
 def test_hits_equal_those_of_all_pairs(spark):
     import numpy as np
-    from pyspark.sql import functions as F
 
     from outlinelake.functions import text
 
@@ -81,7 +80,7 @@ def test_hits_equal_those_of_all_pairs(spark):
             if near:
                 want[d, p] = min(near)[1]
     points += [(0, 1, 900, None, 1.0), (0, 1, 901, float("nan"), 1.0), (9, 1, 902, 0.0, 0.0)]
-    got = text.hit_test(spark.createDataFrame(pages, BOXES), spark.createDataFrame(points, "doc long, page long, probe long, x double, y double"), F.struct("left", "right", "bottom", "top"), at_once=7)
+    got = text.hit_test(spark.createDataFrame(pages, BOXES), spark.createDataFrame(points, "doc long, page long, probe long, x double, y double"), at_once=7)
     assert {(r.doc, r.probe): r.idx for r in got.collect()} == want
 
 
