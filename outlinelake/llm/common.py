@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 8 << 20
 
 
+#: The folders that scratch() has named, in order, for those who clear up after others.
+made: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir; a local temporary one only where that is unset and all runs on this machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -27,7 +31,8 @@ def scratch(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints/outlinelake"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    made.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 @contextmanager

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, flat, gathered, hashed, sliced, tallied, texts, tidied, words
+from .side_files import quoted
 
 BUCKETS, FACTORS, THRESHOLD = 1 << 15, 8, 0.3
 STATS = ["upper", "lower", "digits", "spaces", "marks", "symbols", "bars", "bangs", "line_ends", "distinct", "commonest", "word_length", "lone", "long_words", "log_words", "log_stored"]
@@ -191,13 +192,14 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _keep(model, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     machine = Machine(*model.value)
     for b in sliced(batches, limit=3 << 20):
-        text = pc.fill_null(b.column("text"), "")
-        stored = pc.fill_null(b.column("n_chars").cast(pa.int64()), 0).to_numpy(zero_copy_only=False).astype(float) if "n_chars" in b.schema.names else np.zeros(b.num_rows)
-        good = machine.score(*features(text, np.maximum(stored, 0))) >= least if b.num_rows else []
-        yield b.filter(pa.array(good, pa.bool_()))
+        stored = pc.fill_null(b.column("n_chars"), 0).to_numpy(zero_copy_only=False).astype(float)
+        good = machine.score(*features(b.column("text"), np.maximum(stored, 0))) >= least if b.num_rows else []
+        yield b.select(["row"]).filter(pa.array(good, pa.bool_()))
 
 
 def keep(docs: DataFrame, machine: Machine, least: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is `least` at least, with all their columns."""
+    """The rows of docs whose score is `least` at least, with all their columns, whatever their names."""
     model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v, machine.mean, machine.spread))  # about 1.2 MB
-    return bounded(docs).mapInArrow(partial(_keep, model, least), docs.schema)
+    n_chars = (F.col("n_chars") if "n_chars" in docs.columns else F.lit(0)).cast("long").alias("n_chars")
+    rows = bounded(docs).select(F.coalesce("text", F.lit("")).alias("text"), n_chars, F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
+    return rows.mapInArrow(partial(_keep, model, least), rows.select("row").schema).select("row.*")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, few_shuffle_files, scan_parts, scratch, tidied
@@ -148,10 +148,10 @@ def _put_keyed(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["p"])
 
 
-def keyed_files(rows: DataFrame, order: list[str], label: str, parts: int) -> str:
-    """Write rows to one Arrow file for each value of p (not null), sorted; the folder. The rows of a p are held by one task."""
+def keyed_files(rows: DataFrame, order: list[str], label: str, parts: int, task: Column | None = None) -> str:
+    """Write rows to one Arrow file for each value of p (not null), sorted; the folder. The rows of a p are held by one task, the one whose number `task` gives (below parts; p if it isn't named), so tasks have what they are meant to have and not what a hash of few numbers gives them."""
     folder = scratch(rows.sparkSession, label)
-    dealt = rows.repartition(parts, "p").sortWithinPartitions("p", *order)
+    dealt = rows.repartitionById(parts, (F.col("p") if task is None else task).cast("int")).sortWithinPartitions("p", *order)
     with few_shuffle_files(rows.sparkSession):
         dealt.mapInArrow(partial(_put_keyed, folder), "p long").agg(F.count(F.lit(1))).first()
     return folder

@@ -281,7 +281,6 @@ def _clean(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def clean(docs: DataFrame) -> DataFrame:
     """docs with the spans removed from text and n_chars as it then is; of a character that a span cuts, the rest goes too."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(quoted(c)) for c in docs.columns if c != "text")).alias("row"))
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(partial(_clean, find(docs)), f"text string, row {kind}")
+    out = rows.mapInArrow(partial(_clean, find(docs)), rows.select("text", "row").schema)
     now = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
     return out.select(*(now.get(c, F.col(f"row.{quoted(c)}")) for c in docs.columns))

@@ -159,6 +159,48 @@ def test_scores_do_not_depend_on_partitions(spark, stored):
     assert found[0] == found[1] == found[2]
 
 
+def test_scores_do_not_depend_on_the_session(spark, stored, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 150_000)  # several blocks a partition
+    before, found = spark.conf.get(name), []
+    try:
+        for made, read in (("20000", "20000"), ("20000", "9000000"), ("9000000", "20000")):
+            spark.conf.set(name, made)
+            scores = pitman_yor.score(stored, pitman_yor.held_out())
+            spark.conf.set(name, read)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+            found.append(sorted((r.doc_id or -1, r.n_tokens, r.score) for r in scores.collect()))
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == found[2]
+
+
+def test_blocks_do_not_depend_on_batches():
+    rng = np.random.default_rng(2)
+    texts = ["x" * int(n) for n in rng.choice([0, 0, 3, 10, 40, 90, 250], 400)]
+    whole = pa.record_batch({"text": texts})
+    of = lambda batches: [t["text"].to_pylist() for t in pitman_yor.steady(batches, 100)]
+    want = of([whole])
+    assert sum(want, []) == texts and all(len(b) == 1 or sum(map(len, b)) <= 100 for b in want)
+    for _ in range(20):
+        cuts = [0, *sorted(rng.integers(0, 401, 30).tolist()), 400]
+        assert of(whole.slice(a, z - a) for a, z in zip(cuts[:-1], cuts[1:])) == want
+
+
+def test_stages_keep_odd_columns(spark, stored, none):
+    import corpus_pipeline
+
+    odd = lambda df: df.withColumnRenamed("rid", "a.b").withColumnRenamed("digest", "row").withColumn("c`d", F.lit(1))
+    for docs in (odd(stored), odd(none)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns and out.count() <= docs.count(), name
+            rows = {tuple(r)[2:4] + tuple(r)[5:] for r in out.collect()}
+            assert rows <= {tuple(r)[2:4] + tuple(r)[5:] for r in docs.collect()}, name
+
+
 def test_contexts_of_the_language_model(spark, tmp_path):
     import inspect
 
