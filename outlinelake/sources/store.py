@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import suppress
+from urllib.parse import quote
 
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
@@ -21,7 +22,11 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def of(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """The file system of a URI and the path in it. Names in the path stand as they are, not escaped, whatever their characters."""
+    scheme, apart, rest = uri.partition("://")
+    if not apart or scheme == "file":
+        return pafs.LocalFileSystem(), (rest if apart else uri.removeprefix("file:"))
+    return pafs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@,')}")
 
 
 def read(uri: str) -> bytes:
