@@ -105,6 +105,13 @@ _DETAIL = f"""CASE outcome WHEN 'Success' THEN '북마크 ' || bookmark_count ||
     WHEN 'SkippedOpenFile' THEN '{OPEN_FILE}' WHEN 'FailedRename' THEN '{RENAME_FAILED}' WHEN 'FailedWrite' THEN '{WRITE_FAILED}' ELSE '{VERIFY_FAILED}' END"""
 
 
+def _fold(kind1: str, action1: str, kind2: str, action2: str, other: str, start: str, step: str, to: str) -> str:
+    """Events of each session folded one by one; a session's state after them all."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN '{kind1}' THEN '{action1}' WHEN '{kind2}' THEN '{action2}' ELSE '{other}' END AS action, {to} AS to_ FROM events),
+        s AS (SELECT DISTINCT session, 0::BIGINT AS k, {start} FROM e UNION ALL SELECT s.session, e.k, {step} FROM s JOIN e ON e.session = s.session AND e.k = s.k + 1),
+        last AS (SELECT * FROM s QUALIFY k = max(k) OVER (PARTITION BY session)) """
+
+
 def oracle_sql() -> dict[str, str]:
     return folders.oracle_sql() | {
         "effective_depth": _tree("SELECT doc, rn, eff, eff < depth AS clamped FROM leveled"),
@@ -197,6 +204,16 @@ def oracle_sql() -> dict[str, str]:
             greatest(round(panel * 1.25 * 2), 50)::BIGINT AS width, round(greatest(0.25, least(ratio * (1 + p_size * 10 * 0.001), 8.0)), 6) AS wheel,
             round(greatest(-greatest((panel - 700) / 2, 0), least(p_size * 10.0::DOUBLE, greatest((panel - 700) / 2, 0))), 6) + 0.0 AS pan FROM p""",
         "page_clamp": "SELECT o_orderkey, greatest(1, least(o_custkey % 40 - 5, greatest(o_orderkey % 25, 1))) AS page FROM orders",
+        "page_history": _fold("error", "back", "signup", "forward", "go", "1::BIGINT AS page, []::BIGINT[] AS back, []::BIGINT[] AS forward", """
+            CASE WHEN action = 'go' THEN to_ WHEN action = 'back' AND len(back) > 0 THEN back[-1] WHEN action = 'forward' AND len(forward) > 0 THEN forward[-1] ELSE page END,
+            CASE WHEN (action = 'go' AND to_ <> page) OR (action = 'forward' AND len(forward) > 0) THEN list_append(back, page) WHEN action = 'back' AND len(back) > 0 THEN back[:-2] ELSE back END,
+            CASE WHEN action = 'go' AND to_ <> page THEN [] WHEN action = 'back' AND len(back) > 0 THEN list_append(forward, page) WHEN action = 'forward' AND len(forward) > 0 THEN forward[:-2] ELSE forward END""",
+            "greatest(1, least(floor(value)::BIGINT + 1, 90))") + "SELECT session, page, array_to_string(back, ',') AS back, array_to_string(forward, ',') AS forward FROM last",
+        "undo_redo": _fold("error", "undo", "signup", "redo", "edit", "0::BIGINT AS now, []::BIGINT[] AS undo, []::BIGINT[] AS redo", """
+            CASE WHEN action = 'edit' THEN to_ WHEN action = 'undo' AND len(undo) > 0 THEN undo[-1] WHEN action = 'redo' AND len(redo) > 0 THEN redo[-1] ELSE now END,
+            CASE WHEN action = 'edit' THEN list_append(undo, now)[-20:] WHEN action = 'undo' AND len(undo) > 0 THEN undo[:-2] WHEN action = 'redo' AND len(redo) > 0 THEN list_append(undo, now) ELSE undo END,
+            CASE WHEN action = 'edit' THEN [] WHEN action = 'undo' AND len(undo) > 0 THEN list_append(redo, now)[-20:] WHEN action = 'redo' AND len(redo) > 0 THEN redo[:-2] ELSE redo END""",
+            "floor(value)::BIGINT + 1") + "SELECT session, now AS current, len(undo) AS undo, len(redo) AS redo FROM last",
         "recent_files": """WITH l AS (SELECT user_id AS session, 'doc' || (floor(value)::BIGINT + 1) % 20 AS path, max(ts) AS ts FROM events GROUP BY ALL),
             r AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY ts DESC, path) AS place, path FROM l) SELECT * FROM r WHERE place <= 10""",
         "crash_sessions": "SELECT user_id AS session, max(ts) AS saved_at FROM events GROUP BY user_id HAVING arg_max(event_type, ts) <> 'purchase'",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import layout, text
-from ..operators import batch, tree
+from ..operators import batch, edits, tree
 from ..sources import files
 from ..streaming import session
 from . import folders
@@ -431,7 +431,7 @@ def page_clamp(spark, sf):
 
 
 def _events(spark, sf):
-    return table(spark, sf, "events").select(F.col("user_id").alias("session"), "ts", "event_type", (F.floor("value") + 1).cast("long").alias("page"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("seq"), "event_type", (F.floor("value") + 1).cast("long").alias("page"))
 
 
 def recent_files(spark, sf):
@@ -444,12 +444,31 @@ def crash_sessions(spark, sf):
 
 def page_history(spark, sf):
     action = F.when(F.col("event_type") == "error", "back").when(F.col("event_type") == "signup", "forward").otherwise("go")
-    return session.page_history(_events(spark, sf).select("session", "ts", action.alias("action"), "page"))
+    return session.page_history(_events(spark, sf).select("session", "ts", "seq", action.alias("action"), "page", F.lit(90).alias("total")))
 
 
 def undo_redo(spark, sf):
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
-    return session.undo_redo(_events(spark, sf).select("session", "ts", action.alias("action"), F.col("page").alias("version")))
+    return session.undo_redo(_events(spark, sf).select("session", "ts", "seq", action.alias("action"), F.col("page").alias("version")))
+
+
+def _edited(spark, sf):
+    """Conversations as outlines of eight each, and their turns as edits of the next eight's outline."""
+    c = table(spark, sf, "conversations").select(F.floor(F.col("conv_id") / 8).alias("doc"), "conv_id", "turn", F.char_length(F.coalesce("text", F.lit(""))).alias("n"))
+    rows = c.select("doc", F.struct("conv_id", "turn").alias("ord"), (F.col("n") % 4).cast("long").alias("depth"), F.concat(F.lit("turn "), "n").alias("title"), (F.col("n") % 30 + 1).cast("long").alias("page"))
+    outline = tree.effective_depth(tree.numbered(rows))
+    k = (F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("n")) % 12
+    names = F.array(*map(F.lit, ["add", "select", "add", "delete", "before", "after", "inside", "rename", "page", "select", "undo", "redo"]))
+    log = c.select((F.col("doc") + 1).alias("doc"), (F.col("conv_id") % 8 * 1000 + F.col("turn")).alias("seq"), F.element_at(names, (k + 1).cast("int")).alias("action"), (F.col("n") % 40).alias("node"), (F.col("n") % 37).alias("target"), F.concat(F.lit(" renamed "), "n").alias("title"), (F.col("n") % 35).alias("page"))
+    return outline, log
+
+
+def edit_replay(spark, sf):
+    return edits.replay(*_edited(spark, sf))
+
+
+def edit_sessions(spark, sf):
+    return edits.sessions(*_edited(spark, sf))
 
 
 def _interchange(spark, sf):

@@ -13,12 +13,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.layout import page_clamp
+
 UNDO_LIMIT, RECENT = 20, 10
 _PAGES = "array<bigint>"
 
 
+def _times(events) -> list[str]:
+    """What events come by: their time, and among equal times their sequence number if they have one."""
+    return [c for c in ("ts", "seq") if c in list(events.columns)]
+
+
 def page_history(events: DataFrame) -> DataFrame:
-    """session, page, back, forward after all events (session, ts, action in go/back/forward, page)."""
+    """session, page, back, forward after all events (session, ts, action in go/back/forward, page). Events of one time come by seq, if they have it; with total, the number of pages, targets are clamped to 1..total."""
     start = F.struct(F.lit(1).cast("long").alias("page"), F.array().cast(_PAGES).alias("back"), F.array().cast(_PAGES).alias("forward"))
     state = lambda page, back, forward: F.struct(page.alias("page"), back.alias("back"), forward.alias("forward"))
 
@@ -34,7 +41,8 @@ def page_history(events: DataFrame) -> DataFrame:
             .otherwise(s)
         )
 
-    ordered = events.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ts", "action", F.col("page").cast("long").alias("page")))).alias("all"))
+    page = page_clamp(F.col("page"), F.col("total")) if "total" in events.columns else F.col("page")
+    ordered = events.groupBy("session").agg(F.sort_array(F.collect_list(F.struct(*_times(events), "action", page.cast("long").alias("page")))).alias("all"))
     done = ordered.select("session", F.aggregate("all", start, step).alias("s"))
     return done.select("session", F.col("s.page").alias("page"), F.array_join("s.back", ",").alias("back"), F.array_join("s.forward", ",").alias("forward"))
 
@@ -55,7 +63,7 @@ def undo_redo(events: DataFrame) -> DataFrame:
             .otherwise(s)
         )
 
-    ordered = events.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ts", "action", F.col("version").cast("long").alias("version")))).alias("all"))
+    ordered = events.groupBy("session").agg(F.sort_array(F.collect_list(F.struct(*_times(events), "action", F.col("version").cast("long").alias("version")))).alias("all"))
     done = ordered.select("session", F.aggregate("all", start, step).alias("s"))
     return done.select("session", F.col("s.now").alias("current"), F.size("s.undo").cast("long").alias("undo"), F.size("s.redo").cast("long").alias("redo"))
 
@@ -82,7 +90,8 @@ class _History(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         page, back, forward = self.state.get() if self.state.exists() else (1, [], [])
         back, forward = list(back), list(forward)
-        events = pd.concat(list(rows)).sort_values(["ts", "action", "page"])
+        events = pd.concat(list(rows))
+        events = events.sort_values([*_times(events), "action", "page"])
         for action, to in zip(events["action"], events["page"], strict=True):
             if action == "go" and to != page:
                 back, forward, page = [*back, page], [], int(to)
