@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.text import trimmed
 
@@ -93,6 +94,16 @@ def _renumber(rows: DataFrame) -> DataFrame:
     return rows.select("doc", (F.row_number().over(order) - 1).cast("long").alias("rn"), "eff", "title", "page")
 
 
+def _with_edits(tree: DataFrame, edits: DataFrame, *own: str) -> tuple[DataFrame, WindowSpec]:
+    """Rows and edits of each document side by side (is_edit tells which), the edits' columns `own` on all of them; and the document as a window. One pass over the tree: what an edit has to know of it are windows by doc."""
+    null = lambda kind: F.lit(None).cast(kind)
+    kinds = dict(tree.dtypes)
+    rows = tree.select("doc", "rn", "eff", "title", "page", "path", F.lit(False).alias("is_edit"), *(null("bigint").alias(f"_{c}") for c in own))
+    asked = edits.select("doc", null("bigint").alias("rn"), null("bigint").alias("eff"), *(F.col(c).cast(kinds[c]).alias(c) if c in edits.columns else null(kinds[c]).alias(c) for c in ("title", "page")), null(kinds["path"]).alias("path"), F.lit(True).alias("is_edit"), *(F.col(c).cast("bigint").alias(f"_{c}") for c in own))
+    w = Window.partitionBy("doc")
+    return rows.unionByName(asked).withColumns({c: F.max(f"_{c}").over(w) for c in own}).drop(*(f"_{c}" for c in own)), w
+
+
 def insert(tree: DataFrame, probes: DataFrame, by_page: bool) -> DataFrame:
     """Insert one node per document. probes: doc, at (rn of the parent; null: none given), title, page.
 
@@ -100,32 +111,23 @@ def insert(tree: DataFrame, probes: DataFrame, by_page: bool) -> DataFrame:
     first sibling of a later page; with no parent given it follows, as a sibling, the subtree of the last row in
     pre-order whose page isn't later, or comes among the roots if there is none.
     """
-    rows = tree.select("doc", "rn", "eff", "title", "page", "path")
-    p = probes.select("doc", "at", F.col("title").alias("new_title"), F.col("page").alias("new_page"))
-    j = rows.join(p, "doc")
-    known = F.max(F.when(F.col("rn") == F.col("at"), F.col("eff")))
-    inside = F.array_contains("path", F.col("at"))
-    later = F.col("page") > F.col("new_page")
-    first_ = F.min(F.when(later & (parent() == F.col("at")), F.col("rn")))
-    root_ = F.min(F.when(later & (F.col("eff") == 0), F.col("rn")))
-    anchor = F.max(F.when(~later, F.struct("rn", "eff")))
-    facts = j.groupBy("doc").agg(known.alias("p_eff"), F.max(F.when(inside, F.col("rn"))).alias("p_end"), first_.alias("child"), root_.alias("root"), anchor.alias("anchor"), F.max("rn").alias("end"))
-    spot = p.join(facts, "doc", "left")
-    anchor_end = j.join(facts.select("doc", F.col("anchor.rn").alias("a_rn")), "doc").where(F.array_contains("path", F.col("a_rn"))).groupBy("doc").agg(F.max("rn").alias("a_end"))
-    spot = spot.join(anchor_end, "doc", "left")
+    both, w = _with_edits(tree, probes, "at")
+    both = both.withColumn("new_page", F.max(F.when(F.col("is_edit"), F.col("page"))).over(w))
+    old, later = ~F.col("is_edit"), F.col("page") > F.col("new_page")
+    facts = {
+        "p_eff": F.max(F.when(F.col("rn") == F.col("at"), F.col("eff"))), "p_end": F.max(F.when(F.array_contains("path", F.col("at")), F.col("rn"))),
+        "child": F.min(F.when(old & later & (parent() == F.col("at")), F.col("rn"))), "root": F.min(F.when(old & later & (F.col("eff") == 0), F.col("rn"))),
+        "anchor": F.max(F.when(old & ~later, F.struct("rn", "eff"))), "end": F.max("rn"),
+    }
+    both = both.withColumns({k: f.over(w) for k, f in facts.items()})
+    both = both.withColumn("a_end", F.max(F.when(F.array_contains("path", F.col("anchor.rn")), F.col("rn"))).over(w))
     has_parent = F.col("p_eff").isNotNull()
-    last_root = [(F.lit(True), F.coalesce("end", F.lit(-1)), 1, F.lit(0))]
+    rules = [(has_parent, F.col("p_end"), F.lit(1), F.col("p_eff") + 1), (F.lit(True), F.coalesce("end", F.lit(-1)), F.lit(1), F.lit(0))]
     if by_page:
-        rules = [
-            (has_parent & F.col("child").isNotNull(), F.col("child"), -1, F.col("p_eff") + 1), (has_parent, F.col("p_end"), 1, F.col("p_eff") + 1),
-            (F.col("at").isNull() & F.col("anchor").isNotNull(), F.col("a_end"), 1, F.col("anchor.eff")), (F.col("root").isNotNull(), F.col("root"), -1, F.lit(0)),
-        ]
-    else:
-        rules = [(has_parent, F.col("p_end"), 1, F.col("p_eff") + 1)]
-    choose = lambda k: F.coalesce(*(F.when(r[0], r[k] if isinstance(r[k], Column) else F.lit(r[k])) for r in rules + last_root)).cast("long")
-    new = spot.select("doc", choose(1).alias("k1"), choose(2).alias("k2"), F.lit(-1).cast("long").alias("rn"), choose(3).alias("eff"), F.col("new_title").alias("title"), F.col("new_page").alias("page"))
-    old = rows.select("doc", F.col("rn").alias("k1"), F.lit(0).cast("long").alias("k2"), "rn", "eff", "title", "page")
-    return _renumber(old.unionByName(new))
+        anchored = F.col("at").isNull() & F.col("anchor").isNotNull()
+        rules = [(has_parent & F.col("child").isNotNull(), F.col("child"), F.lit(-1), F.col("p_eff") + 1), rules[0], (anchored, F.col("a_end"), F.lit(1), F.col("anchor.eff")), (F.col("root").isNotNull(), F.col("root"), F.lit(-1), F.lit(0)), rules[1]]
+    choose = lambda k, stays: F.coalesce(F.when(old, stays), *(F.when(r[0], r[k]) for r in rules)).cast("long")
+    return _renumber(both.select("doc", choose(1, F.col("rn")).alias("k1"), choose(2, F.lit(0)).alias("k2"), F.coalesce("rn", F.lit(-1)).cast("long").alias("rn"), choose(3, F.col("eff")).alias("eff"), "title", "page"))
 
 
 def remove(tree: DataFrame, victims: DataFrame) -> DataFrame:
@@ -147,13 +149,15 @@ def move(tree: DataFrame, moves: DataFrame, position: str) -> DataFrame:
     """Move one subtree per document Before, After or Inside (as last child of) a target; rejected moves change nothing."""
     if position not in ("Before", "After", "Inside"):
         raise ValueError(position)
-    good = check_moves(tree, moves).where("error is null").select("doc", "moving", "target", "m_eff", "t_eff")
-    j = tree.join(good, "doc", "left").withColumn("moved", F.coalesce(F.array_contains("path", F.col("moving")), F.lit(False)))
-    end = F.max(F.when(~F.col("moved") & F.array_contains("path", F.col("target")), F.col("rn"))).over(Window.partitionBy("doc"))
-    j = j.withColumn("end", end)
+    both, w = _with_edits(tree, moves, "moving", "target")
+    of = lambda rn, c: F.max(F.when(F.col("rn") == F.col(rn), F.col(c))).over(w)
+    both = both.withColumns({"m_eff": of("moving", "eff"), "t_eff": of("target", "eff"), "t_path": of("target", "path")})
+    good = F.coalesce((F.col("moving") != F.col("target")) & F.col("m_eff").isNotNull() & F.col("t_eff").isNotNull() & ~F.array_contains("t_path", F.col("moving")), F.lit(False))
+    both = both.withColumn("moved", good & F.coalesce(F.array_contains("path", F.col("moving")), F.lit(False)))
+    both = both.withColumn("end", F.max(F.when(~F.col("moved") & F.array_contains("path", F.col("target")), F.col("rn"))).over(w)).where("not is_edit")
     k1, k2 = (F.col("target"), -1) if position == "Before" else (F.col("end"), 1)
     delta = F.col("t_eff") + (1 if position == "Inside" else 0) - F.col("m_eff")
-    return _renumber(j.select("doc", F.when(F.col("moved"), k1).otherwise(F.col("rn")).alias("k1"), F.when(F.col("moved"), k2).otherwise(0).alias("k2"), "rn", (F.col("eff") + F.when(F.col("moved"), delta).otherwise(0)).alias("eff"), "title", "page"))
+    return _renumber(both.select("doc", F.when(F.col("moved"), k1).otherwise(F.col("rn")).alias("k1"), F.when(F.col("moved"), k2).otherwise(0).alias("k2"), "rn", (F.col("eff") + F.when(F.col("moved"), delta).otherwise(0)).alias("eff"), "title", "page"))
 
 
 def active(tree: DataFrame, probes: DataFrame) -> DataFrame:
