@@ -10,7 +10,7 @@ A row's decision depends on its digest alone, so rows meet decisions in a join o
 Spark may split; a group of copies of any size is counted before it is shuffled.
 
 Defined results: null counts as empty text; all texts of white space are equal to it. Ties in code points go to the
-smallest doc_id, null doc_ids last. Extra columns are ignored; an empty table gives no rows; repeated rows count.
+smallest doc_id, null doc_ids last. Texts of any length are hashed whole. Extra columns are ignored; an empty table gives no rows; repeated rows count.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ k-th verified distance is no larger. Shards' results are merged by distance and
 
 Defined results: null vectors have no code: they are in no result and, as queries, have none. Null elements count as
 0; elements after the first `bits` are ignored (width() is that of all) and missing ones count as 0. A query finds itself too. Ties go to the
-smallest id; fewer than k codes give fewer rows. Repeated rows are found as often as they are there.
+smallest id; fewer than k codes give fewer rows. Repeated rows are found as often as they are there. Null ids are left
+out. Extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from functools import lru_cache, partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scan_parts, scratch, spread, tidied
+from .common import discard, materialise, scan_parts, scratch, spread, tidied
 from .side_files import get, put
 
 SEGMENT, SHARD, BLOCK = 16, 1 << 16, 256
@@ -115,11 +116,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, bits: int = 64) -> D
     rows = materialise(rows, "codes")
     shards = max(1, -(-rows.count() // (SHARD // 2)))
     dealt = rows.select("id", "code", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
-    files = materialise(dealt.groupBy("shard").applyInPandas(partial(_shard, scratch(spark, "code-shards")), "shard long, uri string"), "code-index")
+    folder = scratch(spark, "code-shards")
+    files = materialise(dealt.groupBy("shard").applyInPandas(partial(_shard, folder), "shard long, uri string"), "code-index")
     asked = rows.where("asked").select(F.col("id").alias("query"), F.col("code").alias("query_code")).distinct()
     pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(files, "shard")
     blocks = max(1, -(-asked.count() // BLOCK))
     met = pairs.repartition(max(scan_parts(rows), shards * blocks), "shard", F.pmod(F.xxhash64("query"), F.lit(blocks))).sortWithinPartitions("uri", "query")
     found = met.select("uri", "query", "query_code").mapInArrow(partial(_search, k, bits), "query long, id long, distance long")
-    best = found.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
-    return best.select(F.col("query").alias("query_id"), F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.distance").alias("distance"))
+    # each task cuts its own rows to k a query before they are shuffled, so a query has k rows a task and not k a shard
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id")).cast("long")
+    best = found.select(F.col("query").alias("query_id"), rank.alias("rank"), F.col("id").alias("vec_id"), "distance").where(F.col("rank") <= k)
+    best = materialise(best, "nearest")
+    discard(rows, files, folder)
+    return best

@@ -6,7 +6,7 @@ its own, so no sequence crosses documents and none needs padding. The pieces are
 their ids; sequence_id numbers them densely, bucket after bucket.
 
 Defined results: null and empty texts have the end id only, one piece of length 1. Equal rows give equal pieces under
-sequence_ids of their own. Null doc_ids stay null. Extra columns are ignored; an empty table gives no pieces.
+sequence_ids of their own. Texts of any length are cut whole. Null doc_ids stay null. Extra columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ parameter), so the model's size and the driver's work are bounded. Scoring reads
 
 Defined results: null texts count as empty; an empty text has only its bias and statistics, so a finite score. Labels
 that are null are left out; of repeated labels of a document the largest counts. With no labels at all, or of one
-class only, the score is the share of ones, 0.5 without labels. Extra columns are ignored; empty tables give no rows.
+class only, the score is the share of ones, 0.5 without labels. Texts of any length are scored whole. Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ others are revisit records, which have the HTTP header but no payload.
 
 Defined results: null html counts as empty; null urls have an empty key and target. A null page_id is written as an
 empty field and read back as null; it is the original only where no other page has the payload. Repeated rows are
-records of their own, the first in input order being the original. Extra columns are ignored; an empty table gives no
-archives.
+records of their own, the first in input order being the original. Payloads of any length are written whole. Extra
+columns are ignored; an empty table gives no archives.
 """
 
 from __future__ import annotations
