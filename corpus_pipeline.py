@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlinelake.llm import exact_dedup, minhash, packing, quality, suffix_dedup
+from outlinelake.llm import common, exact_dedup, minhash, packing, quality, suffix_dedup
 from outlinelake.llm.common import discard, documents, materialise
 from outlinelake.llm.queries import tokenizer
 from outlinelake.llm.side_files import having
@@ -58,10 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents. A stage's documents go when the next one's are stored."""
+    """The stages applied to documents. A stage's documents, and whatever else it wrote, go when the next one's are stored."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, mark = docs, len(common.made)
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*common.made[mark:-1])  # the last is the stored result
         if k:
             discard(before)
     return docs
