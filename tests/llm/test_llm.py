@@ -529,6 +529,18 @@ def test_sql(spark, name):
     assert compare.differs(queries.queries()[name](spark, SF), queries.oracle_sql()[name], compare.connect(SF)) == ""
 
 
+def test_the_pipeline_leaves_its_result_only(spark):
+    import corpus_pipeline
+    from outlinelake.llm.common import scratch
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(scratch(spark, "x").rpartition("/")[0])
+    names = lambda: {f.base_name for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True))}
+    before = names()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert [n.rpartition("-")[0] for n in names() - before] == ["pipeline-packing"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
