@@ -17,14 +17,15 @@ import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
+from typing import TYPE_CHECKING
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encodings import detect
+if TYPE_CHECKING:
+    import pandas as pd
 
 #: Fixed values of the interchange format.
 HEADERS = ["순서", "파일명", "계층", "북마크명", "페이지번호"]
@@ -49,6 +50,8 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def decode(raw: bytes, encoding: str | None = None) -> str:
     """Text by the encoding given, else by detection (see encodings.detect())."""
+    from ..functions.encodings import detect  # not above: what plans sources and sinks on the driver needs no numpy or pandas
+
     return raw.decode(encoding, "replace") if encoding else detect(raw)[1]
 
 
@@ -166,6 +169,8 @@ def parsed(name: str, raw: bytes, encoding: str | None = None) -> list[tuple]:
 
 
 def _read(encoding: str | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pandas as pd
+
     for b in batches:
         out = [r for path, raw in zip(b["path"], b["content"], strict=True) for r in parsed(path, bytes(raw), encoding)]
         yield pd.DataFrame(out, columns=COLUMNS).astype({c: "Int64" for c in ("sheet", "src_row", "ord", "depth", "page")})

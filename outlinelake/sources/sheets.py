@@ -149,7 +149,7 @@ class SheetWriter(DataSourceArrowWriter):
         if len({name for _, name in moves}) != len(moves):
             self.abort(messages)
             raise ValueError("the rows of a file were in several tasks; see write_files()")
-        with ThreadPoolExecutor(16) as pool:
+        with ThreadPoolExecutor(4) as pool:
             list(pool.map(lambda x: store.move(x[0], f"{self.folder}/{x[1]}"), moves))
         store.delete(self.stage)
 
