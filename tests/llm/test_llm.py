@@ -329,6 +329,9 @@ def test_suffixes(spark, stored, none, real, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "t"))
     found = suffix_dedup.dedup(spark.read.parquet(str(tmp_path / "t"))).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
     assert [tuple(r)[1:] for r in found.orderBy("doc_id").collect()] == brute_repeats([t.encode() for t in texts])
+    for bits in (1, 6, 12):  # fingerprints that stand for many strings
+        found = suffix_dedup.dedup(spark.read.parquet(str(tmp_path / "t")), bits).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
+        assert [tuple(r)[1:] for r in found.orderBy("doc_id").collect()] == brute_repeats([t.encode() for t in texts])
     clean = suffix_dedup.clean(stored)
     assert clean.columns == stored.columns and clean.count() == stored.count() and suffix_dedup.clean(none).count() == 0
 
@@ -344,6 +347,20 @@ def test_entries_in_parts():
     assert windows(whole) == [(d, s) for d in range(5) for s in range(offsets[d + 1] - offsets[d] - 199)]
 
 
+def test_differing_windows():
+    rng = np.random.default_rng(8)
+    a, n = rng.integers(0, 256, 4000, dtype=np.uint8), np.array([50, 1, 7, 300, 40])
+    at = np.array([0, 50, 51, 1200, 2000])
+    b = np.concatenate([a[1000:], a[:1000]])
+    to = (at + 3000) % 4000
+    for changed in ([], [3000], [3255, 500], [int(x) for x in rng.integers(0, 4000, 9)]):
+        c = b.copy()
+        c[changed] ^= 1
+        differ, found = suffix_dedup._differing(a, at, c, to, n)
+        want = [[k for k in range(n[i]) if (a[at[i] + k : at[i] + k + 200] != c[to[i] + k : to[i] + k + 200]).any()] for i in range(5)]
+        assert {i: x.tolist() for i, x in found} == {i: x for i, x in enumerate(want) if x} and differ.tolist() == [bool(x) for x in want]
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(6)
     keys = [rng.integers(0, 4, 300) for _ in range(4)]
