@@ -12,6 +12,7 @@ from ..functions import encodings
 from ..operators import batch
 from ..sources import folder_batch, sheets, store
 from ..sources.files import HEADERS, MISSING_COLUMN, NOT_A_NUMBER, UNREADABLE
+from ..streaming import progress
 
 #: Letters of other scripts that stand for a to z, and the encodings that documents are put in, by doc_id % 6.
 SCRIPTS = {3: "가나다라마바사아자차카타파하고노도로모보소오조초코토", 4: "あいうえおかきくけこさしすせそたちつてとなにぬねのは", 5: "абцдефгхийклмнопярстувшьыз"}
@@ -86,8 +87,8 @@ def sheet_warnings(spark, sf):
     return read.select("src", F.format_string(UNREADABLE, "src", "error").alias("note"))
 
 
-def folder_log(spark, sf):
-    """The whole batch over a folder of sheets and documents: the lines of its log as read again from its file."""
+def _with_documents(spark, sf) -> str:
+    """The folder of _made() with documents, some of which are none, and some with backups."""
     folder = _made(spark, sf)
     c = _conversations(spark, sf).select("c").distinct().where("c % 4 <> 3")
     path = F.concat(F.lit("p"), F.col("c") % 3, F.lit("/"), F.lit(APART), F.col("c"), F.lit(".pdf"))
@@ -95,6 +96,12 @@ def folder_log(spark, sf):
     documents = c.select(path.alias("file"), line.alias("line"))
     backups = c.where("c % 9 = 0").select(F.concat(path, F.lit(".backup")).alias("file"), F.lit("old").alias("line"))
     sheets.write_files(documents.unionByName(backups), folder)
+    return folder
+
+
+def folder_log(spark, sf):
+    """The whole batch over a folder of sheets and documents: the lines of its log as read again from its file."""
+    folder = _with_documents(spark, sf)
     job = folder_batch.prepare(spark, folder)
     log = folder_batch.run(job, open_file=f"p1/{APART}1.pdf")
     name = folder_batch.write_log(job, log, F.lit(STARTED).cast("timestamp_ntz"))
@@ -102,8 +109,18 @@ def folder_log(spark, sf):
     return lines.select("n", F.when(F.col("n") == 3, batch.LOG_FOLDER).otherwise(F.col("line")).alias("line"))  # the folder has another name in each run
 
 
+def batch_progress(spark, sf):
+    """The same batch in steps: a line for each document, and the statistics after the last step."""
+    folder, state = _with_documents(spark, sf), store.scratch(spark, "progress")
+    progress.plan(folder_batch.prepare(spark, folder), state)
+    log = progress.run(spark, folder, state, open_file=f"p1/{APART}1.pdf")
+    lines = batch.log_lines(log.withColumn("path", batch.relative(F.col("path"), F.lit(""))))
+    last = progress.totals(log).groupBy().agg(*(F.max(c).alias(c) for c in ("total", "success", "failed", "skipped")))
+    return lines.unionAll(last.select(F.lit(""), F.format_string(batch.STATISTICS, "total", "success", "failed", "skipped")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (detected_texts, sheet_folder, sheet_warnings, folder_log)}
+    return {f.__name__: f for f in (detected_texts, sheet_folder, sheet_warnings, folder_log, batch_progress)}
 
 
 _SHEETS = f"""WITH conv AS (SELECT conv_id AS c, turn, coalesce(text, '') AS text, conv_id // 4 AS k FROM conversations),
@@ -113,6 +130,14 @@ _SHEETS = f"""WITH conv AS (SELECT conv_id AS c, turn, coalesce(text, '') AS tex
     warned AS (SELECT DISTINCT src, '{UNREADABLE.replace("%s", "").split("'")[0]}''' || src || ''' 읽기 실패 — 무시함: ' || CASE WHEN k % 8 = 5 THEN '{NOT_A_NUMBER % HEADERS[4]}' ELSE '{(MISSING_COLUMN % HEADERS[2]).replace("'", "''")}' END AS note FROM rows_ WHERE k % 8 >= 5)"""
 
 
+_LOG = _SHEETS + f""", src AS (SELECT src, row_number() OVER (ORDER BY NOT src LIKE '%.xlsx', string_split(src, '/')) AS rank FROM (SELECT DISTINCT src FROM rows_)),
+            first AS (SELECT key, rank, src, count(*) AS n, min(rank) OVER (PARTITION BY key) AS winner FROM good JOIN src USING (src) GROUP BY key, rank, src),
+            files AS (SELECT DISTINCT c, 'p' || c % 3 || '/{WORD}' || c || '.pdf' AS path, '{WORD}' || c || '.pdf' AS key FROM conv WHERE c % 4 <> 3),
+            log AS (SELECT path, n, CASE WHEN n IS NULL THEN '{batch.NO_ROWS.replace("'", "''")}' WHEN c = 1 THEN '{batch.OPEN_FILE}' WHEN c % 9 = 0 THEN '{batch.BACKUP_EXISTS}' WHEN c % 11 = 0 THEN '{batch.WRITE_FAILED}: not a document' ELSE '북마크 ' || n || '개 저장' END AS detail,
+                CASE WHEN n IS NULL OR c = 1 OR c % 9 = 0 THEN '{batch.SKIPPED}' WHEN c % 11 = 0 THEN '{batch.FAILED}' ELSE '{batch.SUCCESS}' END AS label FROM files LEFT JOIN (SELECT key, n FROM first WHERE rank = winner) USING (key))"""
+_STATISTICS = f"""'전체 ' || count(*) || '개 중 ' || count(*) FILTER (WHERE label = '{batch.SUCCESS}') || '개 성공, ' || count(*) FILTER (WHERE label = '{batch.FAILED}') || '개 실패, ' || count(*) FILTER (WHERE label = '{batch.SKIPPED}') || '개 건너뜀' FROM log"""
+
+
 def oracle_sql() -> dict[str, str]:
     cases = " ".join(f"WHEN {k} THEN translate(lower(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g')), '{LETTERS}', '{letters}')" for k, letters in SCRIPTS.items())
     return {
@@ -120,17 +145,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CASE WHEN k > 2 THEN CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN ['EUC-KR', 'Shift_JIS', 'windows-1251'][k - 2] ELSE 'UTF-8' END END AS encoding, md5(text) AS text_md5 FROM t""",
         "sheet_folder": _SHEETS + """ SELECT src, row_number() OVER (PARTITION BY src ORDER BY turn, CASE WHEN c % 2 = 1 AND k % 8 <> 3 THEN 0 ELSE 1 END, c::VARCHAR || '.pdf') - 1 AS src_row, turn AS ord, key AS filename, turn % 3 AS depth, title, turn + 1 AS page FROM good""",
         "sheet_warnings": _SHEETS + " SELECT * FROM warned",
-        "folder_log": _SHEETS + f""", src AS (SELECT src, row_number() OVER (ORDER BY NOT src LIKE '%.xlsx', string_split(src, '/')) AS rank FROM (SELECT DISTINCT src FROM rows_)),
-            first AS (SELECT key, rank, src, count(*) AS n, min(rank) OVER (PARTITION BY key) AS winner FROM good JOIN src USING (src) GROUP BY key, rank, src),
-            files AS (SELECT DISTINCT c, 'p' || c % 3 || '/{WORD}' || c || '.pdf' AS path, '{WORD}' || c || '.pdf' AS key FROM conv WHERE c % 4 <> 3),
-            log AS (SELECT path, n, CASE WHEN n IS NULL THEN '{batch.NO_ROWS.replace("'", "''")}' WHEN c = 1 THEN '{batch.OPEN_FILE}' WHEN c % 9 = 0 THEN '{batch.BACKUP_EXISTS}' WHEN c % 11 = 0 THEN '{batch.WRITE_FAILED}: not a document' ELSE '북마크 ' || n || '개 저장' END AS detail,
-                CASE WHEN n IS NULL OR c = 1 OR c % 9 = 0 THEN '{batch.SKIPPED}' WHEN c % 11 = 0 THEN '{batch.FAILED}' ELSE '{batch.SUCCESS}' END AS label FROM files LEFT JOIN (SELECT key, n FROM first WHERE rank = winner) USING (key)),
+        "folder_log": _LOG + f""",
             out AS (SELECT 0 AS s, unnest([0, 1, 2]) AS r, '' AS a, unnest(['{batch.LOG_TITLE}', '{batch.LOG_TIME}{STARTED}', '{batch.LOG_FOLDER}']) AS line
                 UNION ALL SELECT 1, rank, '', '{batch.LOG_SHEET}' || src FROM src
                 UNION ALL SELECT 2, rank, '', note FROM warned JOIN src USING (src)
                 UNION ALL SELECT 2, f.rank, f.key, '[중복] ''' || f.src || '''의 ''' || f.key || ''' 행 ' || f.n || '개 건너뜀 — 먼저 읽은 ''' || w.src || '''의 행을 적용' FROM first f JOIN src w ON w.rank = f.winner WHERE f.rank > f.winner
                 UNION ALL SELECT unnest([3, 5]), 0, '', '{batch.LOG_RULE}'
                 UNION ALL SELECT 4, 0, replace(path, '/', chr(1)), '[' || label || '] ' || path || ' — ' || detail FROM log
-                UNION ALL SELECT 6, 0, '', '전체 ' || count(*) || '개 중 ' || count(*) FILTER (WHERE label = '{batch.SUCCESS}') || '개 성공, ' || count(*) FILTER (WHERE label = '{batch.FAILED}') || '개 실패, ' || count(*) FILTER (WHERE label = '{batch.SKIPPED}') || '개 건너뜀' FROM log)
+                UNION ALL SELECT 6, 0, '', {_STATISTICS})
             SELECT row_number() OVER (ORDER BY s, r, a) AS n, line FROM out""",
+        "batch_progress": _LOG + f""" SELECT path, '[' || label || '] ' || path || ' — ' || detail AS line FROM log UNION ALL SELECT '', {_STATISTICS}""",
     }

@@ -126,11 +126,15 @@ def prepare(spark: SparkSession, folder: str) -> Job:
     return Job(folder, documents, sources, batch.first_source_wins(good).where("rank = winner").drop("winner"), warned.unionByName(lost))
 
 
+def outlines(job: Job) -> DataFrame:
+    """key, outline (OUTLINE, in the order of rows) of the winning rows."""
+    return job.rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", "rank", "sheet", "src_row", "depth", "title", "page"))).alias("outline"))
+
+
 def run(job: Job, open_file: str | None = None, apply: Callable = appended, verify: Callable = whole) -> DataFrame:
     """LOG of every document, once it is done. An outline is held whole by the task that writes its document."""
     spark, mark = job.documents.sparkSession, f".batch-{uuid.uuid4().hex}"
-    outlines = job.rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", "rank", "sheet", "src_row", "depth", "title", "page"))).alias("outline"))
-    work = job.documents.join(outlines, "key", "left").select("path", "outline")
+    work = job.documents.join(outlines(job), "key", "left").select("path", "outline")
     log = work.mapInPandas(partial(_process, job.folder, mark, open_file, apply, verify), LOG)
     kept = store.scratch(spark, "batch-log")
     log.write.parquet(kept)  # once, as doing it again would find its own backups

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from outlinelake.functions import encodings
 from outlinelake.operators import batch
 from outlinelake.sources import files, folder_batch, sheets, store
+from outlinelake.streaming import progress
 
 SHEET = "file string, encoding string, ord long, filename string, depth long, title string, page long"
 APART = unicodedata.normalize("NFD", "문서")
@@ -150,6 +151,29 @@ def test_the_whole_batch(spark, folder):
     assert again["a-b/문서2.pdf"] == "SkippedBackupExists" and again["a/문서2.pdf"] == "Success"
 
 
+def test_a_batch_in_steps_that_stops_before_a_commit(spark, folder, tmp_path, monkeypatch):
+    """The driver is lost after a step was done and before it was committed: the batch goes on, with a line for each document."""
+    state = f"file://{tmp_path}/state"
+    progress.plan(folder_batch.prepare(spark, folder), state, documents_per_file=1)
+    with monkeypatch.context() as m:
+        m.setattr(progress.store, "delete", lambda uri: None)  # the mark stays when the driver is lost
+        first = progress.run(spark, folder, state, files_per_step=2, open_file="a/문서2.pdf").collect()
+    commits = sorted((tmp_path / "state" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda x: int(x.name))
+    assert len(commits) == 3
+    for part in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        part.unlink(missing_ok=True)
+    progress.plan(folder_batch.prepare(spark, folder), state)  # what was planned stays, though documents have changed
+    log = progress.run(spark, folder, state, files_per_step=2, open_file="a/문서2.pdf")
+    assert sorted(map(tuple, log.collect()), key=str) == sorted(map(tuple, first), key=str)
+    assert {r.path: r.outcome for r in log.collect()} == {
+        "a/문서2.pdf": "SkippedOpenFile", "a-b/문서2.pdf": "Success", "bad.pdf": "FailedWrite", "none.pdf": "SkippedNoRows", f"z/{APART}1.pdf": "Success", "문서1.pdf": "SkippedBackupExists",
+    }
+    after = [tuple(r) for r in progress.totals(log).orderBy("step").collect()]
+    assert [r[:2] for r in after] == [(0, 2), (1, 4), (2, 6)] and after[-1] == (2, 6, 2, 1, 3)
+    assert store.read(f"{folder}/z/{APART}1.pdf.backup") == b"%PDF 1" and not [n for n, _ in store.below(folder) if n.startswith(".batch")]
+    assert progress.run(spark, folder, state).count() == 6  # done is done
+
+
 def test_what_forbids_a_batch(spark, tmp_path):
     with pytest.raises(ValueError, match="PDF"):
         folder_batch.prepare(spark, str(tmp_path))
