@@ -69,10 +69,11 @@ def undo_redo(events: DataFrame) -> DataFrame:
 
 
 def recent_files(opened: DataFrame) -> DataFrame:
-    """session, place, path of the last RECENT different paths (session, ts, path), newest first."""
-    last = opened.groupBy("session", "path").agg(F.max("ts").alias("ts"))
+    """session, place, path of the last RECENT different paths (session, ts, path), newest first. With found, a path that was missing when it was last asked for is none of them (of attempts at one time, one that found it counts; null counts as found)."""
+    found = F.coalesce("found", F.lit(True)) if "found" in opened.columns else F.lit(True)
+    last = opened.groupBy("session", "path").agg(F.max("ts").alias("ts"), F.max(F.struct("ts", found.alias("found"))).alias("last"))
     place = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("ts"), "path"))
-    return last.select("session", place.cast("long").alias("place"), "path").where(F.col("place") <= RECENT)
+    return last.where("last.found").select("session", place.cast("long").alias("place"), "path").where(F.col("place") <= RECENT)
 
 
 def crashed(snapshots: DataFrame) -> DataFrame:

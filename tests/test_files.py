@@ -143,3 +143,12 @@ def test_links_at_points(spark):
     points = spark.createDataFrame([(1, 1, 0, 2.0, 2.0), (1, 1, 1, 7.0, 7.0), (1, 1, 2, 15.0, 15.0), (1, 1, 3, 20.0, 20.0), (1, 2, 4, 7.0, 7.0), (1, 1, 5, None, 1.0)], "doc long, page long, probe long, x double, y double")
     assert {r.probe: r.link_no for r in text.links_at(links, points).collect()} == {0: 0, 1: 1, 2: 1}
     assert text.links_at(links.limit(0), points).count() == text.links_at(links, points.limit(0)).count() == 0
+
+
+def test_recent_files_that_are_missing(spark):
+    rows = [(1, 1, "a", True), (1, 2, "b", True), (1, 3, "a", False), (1, 4, "c", None), (1, 5, "d", False), (1, 6, "d", True), (1, 7, "e", True), (1, 7, "e", False), (2, 1, "a", False)]
+    opened = spark.createDataFrame(rows, "session long, ts long, path string, found boolean")
+    got = lambda df: [(r.session, r.place, r.path) for r in session.recent_files(df).orderBy("session", "place").collect()]
+    assert got(opened) == [(1, 1, "e"), (1, 2, "d"), (1, 3, "c"), (1, 4, "b")]
+    assert got(opened.drop("found")) == [(1, 1, "e"), (1, 2, "d"), (1, 3, "c"), (1, 4, "a"), (1, 5, "b"), (2, 1, "a")]
+    assert got(opened.where("session > 2")) == []
