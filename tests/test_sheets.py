@@ -121,6 +121,15 @@ def test_encodings():
     assert isinstance(text, str) and name
 
 
+def test_accents_are_not_cyrillic():
+    latin = "Of erlysh er thedtion esou atlyre isantiwhin esin thened erououon "
+    western = [latin + "on on èê, le", "Anaieux éé èçou éç.lisr", latin + "e.\nAu éèeau, uenle ç sur êvi éèêé, tre", latin + "üß " * 40 + "enst", latin + "una " + "íñ " * 60 + "y Ñarie ció"]
+    for t in western:
+        assert encodings.detect(t.encode("cp1252")) == ("windows-1252", t)
+    for t in (latin * 20 + "Иванов", "Привет, this is a long sentence in English", "USB-порт и Wi-Fi"):
+        assert encodings.detect(t.encode("cp1251")) == ("windows-1251", t)
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     base = f"file://{tmp_path}/f"
