@@ -1,20 +1,25 @@
 """Scoring with a hierarchical Pitman-Yor language model (operator 2).
 
-Dishes are words. Context restaurants, one for each class of the word before (CLASSES, by its last byte; a text's
-first word has a class of its own), share one parent restaurant over all words, whose base measure has no atoms: a new
-word takes the mass of a new table there. P(w | c) = (c_w - d t_w + (theta + d T) P(w)) / (C + theta), and likewise
-in the parent, whose customers are the contexts' tables.
-
-Seating is sampled by Gibbs sweeps. In a sweep every dish of every context restaurant leaves its tables and is seated
-again given all others: the number of tables among its first SMALL customers is drawn from its exact conditional
-(generalised Stirling numbers times the parent's factors); later customers sit down by the Chinese-restaurant
-predictive, in runs of a sixteenth of those seated. Restaurants' totals are those of the sweep before. After `burn`
-sweeps, predictive probabilities are averaged over `samples` further ones.
-
-The work is dealt by word, so a sweep needs no shuffle; a word travels once per block of texts, however
-frequent it is; a block's words get their probabilities in a file of the shared folder, where the block's scan finds
-them. docs must be a scan of stored files (see numbered()). Discounts are n1 / (n1 + 2 n2) of each restaurant; the random numbers depend on the
-word alone, so a task that runs again draws the same.
+Dishes are words. Each word before has a context restaurant of its own (a text's start is a word too). Their parents
+are restaurants of classes of the word before (CLASSES, by its last byte; the start is a class), and these share one
+restaurant over all words, whose base measure has no atoms: a new word takes the mass of a new table there.
+P(w | u) = (c_uw - d t_uw + (theta + d T_u) P(w | class of u)) / (C_u + theta), and likewise above, where the customers
+are the tables below.
+
+Seating is sampled by Gibbs sweeps. In a sweep every dish of every restaurant leaves its tables and is seated again
+given the others: the number of tables among its first SMALL customers is drawn from its exact conditional (generalised
+Stirling numbers times the parent's factors); later customers sit down by the Chinese-restaurant predictive, in runs of
+a sixteenth of those seated. Context restaurants are seated in ROUNDS groups, each given what those before have left;
+restaurants' totals are those of the sweep before. Predictive probabilities of a seating with its own totals are
+averaged over `samples` sweeps after `burn`.
+
+Pairs of words are counted by block and dealt by their second word, so a bucket has all contexts of its words. What a
+bucket lacks are the totals of contexts (C_u, T_u): before each sweep the sums of all buckets go to the one that adds up
+that context, and come back. A block's pairs get their probabilities in a file of the shared folder, in the order of the
+block's own sorted pairs. docs must be a scan of stored files (see numbered()). In this model words are 64-bit hashes
+(60 bits and the class where they are contexts); counts of the base are by the words themselves. Discounts are
+n1 / (n1 + 2 n2), one for all context restaurants, else of each restaurant; the random numbers depend on the words
+alone, so a task that runs again draws the same.
 
 Defined results: null and empty texts have the end token only. A null doc_id belongs to the training rows. Without
 training rows all words are unknown and base_score is 0. Repeated rows count each time; extra columns are ignored; an
@@ -24,8 +29,8 @@ empty table gives no rows. A text of any length is one row of one block and is s
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache, partial
 
 import numpy as np
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import bounded, discard, flat, give_back, hashed, materialise, mixed, scan_parts, tidied, words
 from .side_files import keyed_file, keyed_files
 
-BLOCK_BYTES, SMALL = 32 << 20, 48
+BLOCK_BYTES, SMALL, ROUNDS = 32 << 20, 48, 4
 GROUPS = [b".!?", b",;:", b"0123456789", b"e", b"n", b"st", b"rl", b"aiou", b"dgh", b"kmpxyzcbfjqvw"]
 CLASSES = len(GROUPS) + 2
 START, OTHER = len(GROUPS), len(GROUPS) + 1
@@ -56,19 +61,93 @@ def last_classes(dictionary: pa.Array) -> np.ndarray:
     return CLASS_OF[np.frombuffer(raw.buffers()[2], np.uint8)[offsets[1:] - 1]]
 
 
-def contexts(offsets: np.ndarray, codes: np.ndarray, classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts' tokens with an end after each: where each text starts, the codes, and the class of the word before."""
+START_HASH = (mixed(np.uint64([1])) & ~np.uint64(15) | np.uint64(START))[0]
+
+
+def contexts(offsets: np.ndarray, codes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' tokens with an end after each: where each text starts, the codes, and the word before (`end`, which is before no word, where a text starts)."""
     n = len(offsets) - 1
     tokens = np.insert(codes.astype(np.int32), offsets[1:], end)
     starts = offsets + np.arange(n + 1)
-    before = np.empty(len(tokens), np.int8)
-    before[1:] = np.append(classes, START).astype(np.int8)[tokens[:-1]]
-    before[starts[:-1]] = START
+    before = np.empty(len(tokens), np.int32)
+    before[1:] = tokens[:-1]
+    before[starts[:-1]] = end
     return starts, tokens, before
 
 
-COUNTS = ", ".join(f"c{k} long" for k in range(CLASSES))
-CODED = f"block long, word string, code int, {COUNTS}"
+class Pairs:
+    """Numbers of a block's pairs of words that are sorted by bucket, hash of the word and hash of the context."""
+
+    def __init__(self, dictionary: pa.Array, parts: int):
+        names = hashed(dictionary)
+        self.m, self.parts = len(names) + 1, parts
+        word = np.append(names, hashed(pa.array([""])))
+        context = np.append(names & ~np.uint64(15) | last_classes(dictionary).astype(np.uint64), START_HASH)
+        by_word, by_context = np.lexsort((word, dealt(word, parts))), np.argsort(context, kind="stable")
+        self.words, self.contexts = word[by_word], context[by_context]
+        self.word_rank, self.context_rank = np.empty(self.m, np.int64), np.empty(self.m, np.int64)
+        self.word_rank[by_word] = self.context_rank[by_context] = np.arange(self.m)
+
+    def of(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
+        out = self.word_rank[tokens]
+        out *= self.m
+        out += self.context_rank[before]
+        return out
+
+    def cuts(self, pairs: np.ndarray) -> np.ndarray:
+        """Where each bucket's pairs begin among sorted ones (and the end of all)."""
+        first = np.searchsorted(dealt(self.words, self.parts), np.arange(self.parts + 1))
+        return np.searchsorted(pairs, first * self.m)
+
+
+def dealt(names: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of each hash."""
+    return ((names >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as bytes by significance, compressed."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw[8:], n, codec="zstd", asbytes=True), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def gaps(x: np.ndarray, kind: str) -> bytes:
+    """Ascending numbers, packed."""
+    return packed(np.diff(x.astype(kind), prepend=np.zeros(1, kind)))
+
+
+def summed(raw: bytes, kind: str) -> np.ndarray:
+    """What gaps() has packed."""
+    return np.cumsum(unpacked(raw, kind), dtype=kind)
+
+
+def batched(rows: Iterator[dict], schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about `limit` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row.values() if isinstance(x, bytes))
+        if size > limit or len(held) > 1000:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+CODED = "block long, word string, code int, n long"
 
 
 def steady(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
@@ -86,35 +165,72 @@ def steady(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
                 size += int(ends[to - 1]) - base
                 at = to
             if at < b.num_rows:  # the next row doesn't fit
-                yield pa.Table.from_batches(held).combine_chunks()
+                whole, held, size = [pa.Table.from_batches(held).combine_chunks()], [], 0
+                yield whole.pop()  # only who takes it holds it
                 give_back()
-                held, size = [], 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        whole, held = [pa.Table.from_batches(held).combine_chunks()], []
+        yield whole.pop()
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Of each block of texts its number, rows, starts, tokens, classes before them, and words. A scan gives the same blocks whenever it is read, whatever the size of batches."""
+    """Of each block of texts its number, rows without the texts, starts, tokens, words before them, and dictionary. A scan gives the same blocks whenever it is read, whatever the size of batches."""
     for k, t in enumerate(steady(batches, BLOCK_BYTES)):
         offsets, codes, dictionary = words(flat(t["text"]))
-        yield (TaskContext.get().partitionId() << 24) | k, t, *contexts(offsets, codes, last_classes(dictionary), len(dictionary)), dictionary
+        t, found = t.drop_columns("text"), contexts(offsets, codes, len(dictionary))
+        del codes
+        yield (TaskContext.get().partitionId() << 24) | k, t, *found, dictionary
+
+
+def _learnt(t: pa.Table, starts: np.ndarray) -> np.ndarray:
+    """Of each token whether its text is a training row."""
+    return np.repeat(~t["held"].to_numpy(zero_copy_only=False), np.diff(starts))
 
 
 @tidied
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block its words with their training counts by context; the end token is the word ''."""
-    names = [f.split()[0] for f in CODED.split(", ")]
-    for block, t, starts, tokens, before, dictionary in blocks(batches):
+    """Of each block its words with their training counts; the end token is the word ''."""
+    for block, t, starts, tokens, _, dictionary in blocks(batches):
         m = len(dictionary) + 1
-        learnt = np.repeat(~t["held"].to_numpy(zero_copy_only=False), np.diff(starts))
-        counts = np.bincount(before[learnt].astype(np.int64) * m + tokens[learnt], minlength=CLASSES * m).reshape(CLASSES, m)
-        columns = [pa.array(np.full(m, block)), pa.concat_arrays([dictionary.cast(pa.string()), pa.array([""])]), pa.array(np.arange(m, dtype=np.int32)), *(pa.array(c) for c in counts)]
-        yield from pa.Table.from_arrays(columns, names).to_batches(max_chunksize=50_000)
+        counts = np.bincount(tokens[_learnt(t, starts)], minlength=m)
+        columns = [pa.array(np.full(m, block)), pa.concat_arrays([dictionary.cast(pa.string()), pa.array([""])]), pa.array(np.arange(m, dtype=np.int32)), pa.array(counts)]
+        yield from pa.Table.from_arrays(columns, ["block", "word", "code", "n"]).to_batches(max_chunksize=50_000)
+
+
+PAIRS = "to int, block long, words binary, runs binary, contexts binary, context binary, n binary"
+_PAIRS = pa.schema([("to", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("words", "runs", "contexts", "context", "n"))])
+
+
+def _counted(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for block, t, starts, tokens, before, dictionary in blocks(batches):
+        of = Pairs(dictionary, parts)
+        both = of.of(tokens, before)
+        both *= 2
+        both += _learnt(t, starts)
+        both.sort()
+        learnt = (both & 1).astype(np.uint32)
+        both >>= 1
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        pairs, n = both[first], np.add.reduceat(learnt, first).astype("<u4")
+        del both, learnt
+        word, context = pairs // of.m, pairs % of.m
+        cuts = of.cuts(pairs).tolist()
+        for to, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < z:
+                at = np.flatnonzero(np.append(True, word[a + 1 : z] != word[a : z - 1]))
+                own, back = np.unique(context[a:z], return_inverse=True)
+                yield {"to": to, "block": block, "words": gaps(of.words[word[a:z][at]], "<u8"), "runs": packed(np.diff(np.append(at, z - a)).astype("<u4")), "contexts": gaps(of.contexts[own], "<u8"), "context": packed(back.astype("<u4")), "n": packed(n[a:z])}
+
+
+@tidied
+def _pairs(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block its pairs with their training counts, a row for each bucket."""
+    yield from batched(_counted(parts, batches), _PAIRS)
 
 
 @dataclass
 class Restaurants:
-    """What all tasks share of a seating: of each context its discount, strength, customers, tables; of the parent the same."""
+    """What all tasks share of a seating: of each class its discount, strength, customers, tables; of the parent the same; discount and strength of context restaurants."""
 
     discount: np.ndarray
     strength: np.ndarray
@@ -123,6 +239,8 @@ class Restaurants:
     root_discount: float
     root_strength: float
     root_tables: int
+    word_discount: float = 0.5
+    word_strength: float = 1.0
 
     @property
     def root_customers(self) -> float:
@@ -132,14 +250,23 @@ class Restaurants:
         return (self.strength + self.discount * self.tables) / (self.customers + self.strength)
 
     def known(self, counts: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """P(w | context) of words with training counts and tables (words, CLASSES)."""
+        """P(w | class) of words with customers and tables (words, CLASSES)."""
         root = (tables.sum(axis=1) - self.root_discount) / (self.root_customers + self.root_strength)
         return (counts - self.discount * tables) / (self.customers + self.strength) + self.back_off() * root[:, None]
 
     def unknown(self) -> np.ndarray:
-        """P(new word | context)."""
+        """P(new word | class)."""
         return self.back_off() * (self.root_strength + self.root_discount * self.root_tables) / (self.root_customers + self.root_strength)
 
+    def of_class(self, counts: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """P(w | class) of words, those without customers too."""
+        return np.where(tables.sum(axis=1)[:, None] > 0, self.known(counts, tables), self.unknown())
+
+    def of_word(self, c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, above: np.ndarray) -> np.ndarray:
+        """P(w | word before) of pairs with c customers at t tables, given their contexts' totals and P(w | class)."""
+        d, theta = self.word_discount, self.word_strength
+        return (c - d * t + (theta + d * tables) * above) / (customers + theta)
+
 
 @lru_cache(maxsize=64)
 def stirling(d: float) -> np.ndarray:
@@ -191,74 +318,223 @@ def seat(c: np.ndarray, others: np.ndarray, j: int, r: Restaurants, draws: Draws
             t[some] = 1 + draw.argmax(axis=1)
     big = np.flatnonzero(c > SMALL)
     if len(big):
-        left, seated, mine = c[big] - SMALL, np.full(len(big), SMALL, np.int64), t[big].copy()
-        number = 1000
-        while (left > 0).any():
-            step = np.minimum(left, np.maximum(1, seated // 16))
-            new = math.exp(a - root) * np.maximum(others[big] + mine - d0, 1e-12)
-            p = np.clip(new / (seated - d * mine + new), 0, 1)
-            # a run of customers: the binomial's mean and spread, rounded at random; of one customer exactly its law
-            u, v, w = (draws.uniform(big, np.array([number + i])) for i in range(3))
-            spread_ = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v) * np.sqrt(step * p * (1 - p)) * (step > 1)
-            mine += np.clip(np.floor(step * p + spread_ + w), 0, step).astype(np.int64)
-            number += 3
-            seated += step
-            left -= step
-        t[big] = mine
+        t[big] = later(c[big], t[big], d, lambda mine: math.exp(a - root) * np.maximum(others[big] + mine - d0, 1e-12), draws, big)
     return t
 
 
-@tidied
-def _sweep(r: Restaurants, number: int, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words' counts and tables after one sweep, and sums of their probabilities if `keep`; a row without a word has the tables' sums."""
-    sums = np.zeros(CLASSES, np.int64)
-    for b in batches:
-        m = b.num_rows
-        if not m:
-            continue
-        c = np.frombuffer(b"".join(b.column("counts").to_pylist()), "<i8").reshape(m, CLASSES)
-        t = np.frombuffer(b"".join(b.column("tables").to_pylist()), "<i8").reshape(m, CLASSES).copy()
-        p = np.frombuffer(b"".join(b.column("p").to_pylist()), "<f4").reshape(m, CLASSES)
-        names = hashed(b.column("word"))
+def later(c: np.ndarray, t: np.ndarray, d: float, mass: Callable, draws: Draws, rows: np.ndarray) -> np.ndarray:
+    """Tables of dishes whose first SMALL customers of c have t, when the others have come. mass: of a new table, given the dishes' tables."""
+    left, seated, mine = c - SMALL, np.full(len(c), SMALL, np.int64), t.copy()
+    number = 1000
+    while (left > 0).any():
+        step = np.minimum(left, np.maximum(1, seated // 16))
+        new = mass(mine)
+        p = np.clip(new / (seated - d * mine + new), 0, 1)
+        # a run of customers: the binomial's mean and spread, rounded at random; of one customer exactly its law
+        u, v, w = (draws.uniform(rows, np.array([number + i])) for i in range(3))
+        spread_ = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v) * np.sqrt(step * p * (1 - p)) * (step > 1)
+        mine += np.clip(np.floor(step * p + spread_ + w), 0, step).astype(np.int64)
+        number += 3
+        seated += step
+        left -= step
+    return mine
+
+
+def seat_word(c: np.ndarray, tables: np.ndarray, others: np.ndarray, above: np.ndarray, mass: np.ndarray, k: np.ndarray, r: Restaurants, draws: Draws) -> np.ndarray:
+    """Tables of pairs with c >= 2 customers in their context restaurants, which have `tables`; in the class k of each its dish has `others` customers from other contexts at `above` tables, and a new table there has `mass`."""
+    t, d = np.ones(len(c), np.int64), r.word_discount
+    a, room = np.log(r.word_strength + d * tables), np.log(r.customers + r.strength)[k]
+    base = others + mass - r.discount[k] * np.maximum(np.minimum(above, others), 1)
+    first = np.minimum(c, SMALL)
+    order = np.argsort(first, kind="stable")
+    at = np.searchsorted(first[order], np.arange(2, SMALL + 2))
+    for n, lo, hi in zip(range(2, SMALL + 1), at[:-1].tolist(), at[1:].tolist(), strict=True):
+        i, s = np.arange(1, n + 1), stirling(round(d, 6))[n, 1 : n + 1]
+        for begin in range(lo, hi, 200_000 // n + 1):
+            some = order[begin : min(hi, begin + 200_000 // n + 1)]
+            # the first table's own factor is the same for any number of them
+            parent = np.cumsum(np.log(np.maximum(base[some][:, None] + np.append(0, i[:-1]), 1e-12)) * (i > 1), axis=1)
+            draw = s + i * (a - room)[some][:, None] + parent - np.log(-np.log(draws.uniform(some[:, None], i[None, :])))
+            t[some] = 1 + draw.argmax(axis=1)
+    big = np.flatnonzero(c > SMALL)
+    if len(big):
+        t[big] = later(c[big], t[big], d, lambda mine: np.exp(a - room)[big] * np.maximum(base[big] + mine, 1e-12), draws, big)
+    return t
+
+
+STATE = "p int, words binary, runs binary, contexts binary, context binary, c binary, t binary, tables binary, prob binary, blocks array<long>, at array<binary>, sums array<long>"
+_STATE = pa.schema([("p", pa.int32()), *((c, pa.binary()) for c in ("words", "runs", "contexts", "context", "c", "t", "tables", "prob")), ("blocks", pa.list_(pa.int64())), ("at", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
+
+
+class Bucket:
+    """The pairs of a bucket's words: their contexts, customers c and tables t; and of each word its tables in the classes."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.contexts = summed(row["contexts"], "<u8")
+        self.context = unpacked(row["context"], "<u4").astype(np.int64)
+        self.c, self.t = (unpacked(row[x], "<u4").astype(np.int64) for x in ("c", "t"))
+
+    def load(self) -> Bucket:
+        """What sums of contexts don't need."""
+        row = self.row
+        self.words = summed(row["words"], "<u8")
+        self.word = np.repeat(np.arange(len(self.words)), unpacked(row["runs"], "<u4"))
+        self.k = (self.contexts & np.uint64(15)).astype(np.int64)[self.context]
+        self.count()
+        self.tables = unpacked(row["tables"], "<u4").astype(np.int64).reshape(-1, CLASSES) if row["tables"] else np.minimum(self.counts, 1)
+        return self
+
+    def count(self) -> None:
+        """Customers of the classes are tables of the contexts."""
+        self.counts = np.bincount(self.word * CLASSES + self.k, self.t, len(self.words) * CLASSES).astype(np.int64).reshape(-1, CLASSES)
+
+    def sent(self, parts: int) -> Iterator[dict]:
+        """Of each context its customers and tables here, for the bucket that adds them up."""
+        n = len(self.contexts)
+        c, t = (np.bincount(self.context, x, n).astype("<u8") for x in (self.c, self.t))
+        to = dealt(self.contexts, parts)
+        for q in np.unique(to).tolist():
+            mine = to == q
+            yield {"to": q, "p": self.row["p"], "contexts": gaps(self.contexts[mine], "<u8"), "c": packed(c[mine]), "t": packed(t[mine])}
+
+    def received(self, answers: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each pair's context, in all buckets."""
+        order = np.argsort(dealt(self.contexts, parts), kind="stable")
+        out = []
+        for x in ("c", "t"):
+            total = np.empty(len(self.contexts))
+            total[order] = np.concatenate([unpacked(b, "<u8") for b in answers[x].to_pylist()])
+            out.append(total[self.context])
+        return out[0], out[1]
+
+    def probabilities(self, r: Restaurants, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return r.of_word(self.c, self.t, customers, tables, r.of_class(self.counts, self.tables)[self.word, self.k])
+
+    def seat(self, r: Restaurants, number: int, tables: np.ndarray) -> None:
+        """One sweep: context restaurants, then classes."""
+        root = r.root_customers + r.root_strength
+        several = np.flatnonzero(self.c > 1)
+        group = (self.contexts >> np.uint64(20)) % np.uint64(ROUNDS)
+        group = group.astype(np.int64)[self.context[several]]
+        for g in range(ROUNDS):
+            i = several[group == g]
+            w, k = self.word[i], self.k[i]
+            mass = (r.strength + r.discount * r.tables)[k] * np.maximum(self.tables.sum(axis=1) - r.root_discount, 0)[w] / root
+            draws = Draws(mixed(self.words[w] ^ mixed(self.contexts[self.context[i]])), number, CLASSES)
+            self.t[i] = seat_word(self.c[i], tables[i], self.counts[w, k] - self.t[i], self.tables[w, k], mass, k, r, draws)
+            self.count()
+            self.tables = np.maximum(np.minimum(self.tables, self.counts), np.minimum(self.counts, 1))
         for j in range(CLASSES):
-            others = t.sum(axis=1) - t[:, j]
-            t[:, j] = seat(c[:, j], others, j, r, Draws(names, number, j))
-        sums += t.sum(axis=0)
+            self.tables[:, j] = seat(self.counts[:, j], self.tables.sum(axis=1) - self.tables[:, j], j, r, Draws(self.words, number, j))
+
+    def stored(self, prob: np.ndarray | None = None) -> dict:
+        of_words = self.tables.sum(axis=1)
+        sums = [self.tables.sum(axis=0), self.counts.sum(axis=0), (self.counts == 1).sum(axis=0), (self.counts == 2).sum(axis=0), [(of_words == 1).sum(), (of_words == 2).sum(), (of_words > 0).sum(), (self.c == 1).sum(), (self.c == 2).sum()]]
+        more = {} if prob is None else {"prob": packed(prob.astype("<f4"))}
+        return self.row | {"t": packed(self.t.astype("<u4")), "tables": packed(self.tables.astype("<u4").ravel()), "sums": np.concatenate(sums).tolist()} | more
+
+
+@tidied
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket of all blocks' pairs of its words, one table for each dish that a restaurant serves."""
+    rows = sorted(rows_of(batches), key=lambda x: x["block"])
+    if not rows:
+        return
+    words, word = np.unique(np.concatenate([summed(x["words"], "<u8") for x in rows]), return_inverse=True)
+    own, context = np.unique(np.concatenate([summed(x["contexts"], "<u8") for x in rows]), return_inverse=True)
+    runs, pairs = np.concatenate([unpacked(x["runs"], "<u4") for x in rows]), np.repeat(word, 0)
+    pairs = np.repeat(word, runs) * len(own)
+    sizes, first, at = [], 0, 0
+    for x in rows:
+        mine = unpacked(x["context"], "<u4")
+        pairs[at : at + len(mine)] += context[first + mine.astype(np.int64)]
+        sizes.append(len(mine))
+        at, first = at + len(mine), first + int(mine.max()) + 1
+    both, back = np.unique(pairs, return_inverse=True)
+    n = np.bincount(back, np.concatenate([unpacked(x["n"], "<u4") for x in rows]))
+    ends = np.cumsum(sizes)
+    row = {"p": rows[0]["to"], "words": gaps(words, "<u8"), "runs": packed(np.bincount(both // len(own), minlength=len(words)).astype("<u4")), "contexts": gaps(own, "<u8"), "context": packed((both % len(own)).astype("<u4")), "c": packed(n.astype("<u4")), "t": packed(np.minimum(n, 1).astype("<u4")), "tables": b"", "prob": b"", "blocks": [x["block"] for x in rows], "at": [gaps(back[z - k : z], "<u4") for k, z in zip(sizes, ends.tolist(), strict=True)]}
+    del rows, pairs, both, back
+    yield pa.RecordBatch.from_pylist([Bucket(row).load().stored()], _STATE)
+
+
+SUMS = "to int, p int, contexts binary, c binary, t binary"
+_SUMS = pa.schema([("to", pa.int32()), ("p", pa.int32()), *((c, pa.binary()) for c in ("contexts", "c", "t"))])
+TOTALS = "p int, q int, c binary, t binary"
+_TOTALS = pa.schema([("p", pa.int32()), ("q", pa.int32()), ("c", pa.binary()), ("t", pa.binary())])
+
+
+@tidied
+def _sums(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batched((x for row in rows_of(batches) for x in Bucket(row).sent(parts)), _SUMS)
+
+
+@tidied
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts' customers and tables in all buckets, for each bucket that has sent some, in its order."""
+    rows = list(rows_of(batches))
+    if not rows:
+        return
+    names = [summed(x["contexts"], "<u8") for x in rows]
+    ends = np.cumsum([len(x) for x in names])
+    _, back = np.unique(np.concatenate(names), return_inverse=True)
+    c, t = (np.bincount(back, np.concatenate([unpacked(x[y], "<u8") for x in rows])).astype("<u8")[back] for y in ("c", "t"))
+    yield from batched(({"p": x["p"], "q": x["to"], "c": packed(c[z - len(k) : z]), "t": packed(t[z - len(k) : z])} for x, k, z in zip(rows, names, ends.tolist(), strict=True)), _TOTALS)
+
+
+@tidied
+def _sweep(r: Restaurants, number: int, keep: bool, folder: str, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets after one sweep; if `keep`, with the probabilities that they had before it added up."""
+    for row in rows_of(batches):
+        b = Bucket(row).load()
+        customers, tables = b.received(keyed_file(folder, row["p"]), parts)
+        prob = None
         if keep:
-            p = p + r.known(c, t).astype(np.float32)
-        binary = lambda x, kind: pa.array([row.tobytes() for row in x.astype(kind)], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("word"), b.column("total"), b.column("counts"), binary(t, "<i8"), binary(p, "<f4")], ["word", "total", "counts", "tables", "p"])
-    yield pa.RecordBatch.from_pydict({"word": [None], "total": [0], "counts": [b""], "tables": [sums.astype("<i8").tobytes()], "p": [b""]}, schema=pa.schema([("word", pa.string()), ("total", pa.int64()), ("counts", pa.binary()), ("tables", pa.binary()), ("p", pa.binary())]))
+            prob = b.probabilities(r, customers, tables)
+            prob += unpacked(row["prob"], "<f4") if row["prob"] else 0
+        b.seat(r, number, tables)
+        yield pa.RecordBatch.from_pylist([b.stored(prob)], _STATE)
+
 
+_ANSWERS = pa.schema([("p", pa.int64()), ("q", pa.int32()), ("logs", pa.binary())])
 
-STATE = "word string, total long, counts binary, tables binary, p binary"
+
+def _answered(r: Restaurants, samples: int, folder: str, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for row in rows_of(batches):
+        b = Bucket(row).load()
+        prob = b.probabilities(r, *b.received(keyed_file(folder, row["p"]), parts)) + (unpacked(row["prob"], "<f4") if row["prob"] else 0)
+        logs = np.log10(prob / samples).astype("<f4")
+        for block, at in zip(row["blocks"], row["at"], strict=True):
+            yield {"p": block, "q": row["p"], "logs": packed(logs[summed(at, "<u4")])}
 
 
 @tidied
-def _start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One table for each dish that a context restaurant serves."""
-    for b in batches:
-        if b.num_rows:
-            c = np.stack([b.column(f"c{k}").to_numpy() for k in range(CLASSES)], axis=1).astype("<i8")
-            rows = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(c.sum(axis=1)), rows(c), rows(np.minimum(c, 1)), rows(np.zeros(c.shape, "<f4"))], ["word", "total", "counts", "tables", "p"])
+def _answers(r: Restaurants, samples: int, folder: str, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Logarithms of the mean probabilities of each block's pairs, in its order."""
+    yield from batched(_answered(r, samples, folder, parts, batches), _ANSWERS)
 
 
 @tidied
-def _scores(folder: str, n: int, v: int, unknown: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scores of each block's texts with its words' counts and probabilities."""
+def _scores(folder: str, answers: str, parts: int, n: int, v: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of each block's texts with its words' counts and its pairs' probabilities."""
     for block, t, starts, tokens, before, dictionary in blocks(batches):
-        model, size = keyed_file(folder, block), len(dictionary) + 1
-        if model is None or len(model) != size:
+        model, found, size = keyed_file(folder, block), keyed_file(answers, block), len(dictionary) + 1
+        pairs = Pairs(dictionary, parts).of(tokens, before)
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        number = np.cumsum(np.append(False, pairs[1:] != pairs[:-1]), dtype=np.int32)
+        del pairs, before
+        logs = np.concatenate([unpacked(x, "<f4") for x in found["logs"].to_pylist()]) if found else np.zeros(0, "<f4")
+        if model is None or len(model) != size or len(logs) != number[-1] + 1:
             raise ValueError("the input isn't a scan that gives the same blocks again")
+        score = np.empty(len(tokens), np.float32)
+        score[order] = logs[number]
+        del order, number
         total = model["total"].fill_null(0).to_numpy()
-        logs = np.tile(np.log10(unknown), (size, 1)).astype(np.float32)
-        known = np.flatnonzero(model["prob"].is_valid().to_numpy())
-        if len(known):
-            logs[known] = np.log10(np.frombuffer(b"".join(model["prob"].drop_null().to_pylist()), "<f4").reshape(-1, CLASSES))
         base = np.log10(total + 1) - math.log10(n + v + 1)
         add = lambda x, s=starts: np.add.reduceat(x, s[:-1])  # noqa: E731  every text has its end token
-        columns = [flat(t["doc_id"]), flat(t["held"]), pa.array(np.diff(starts), pa.int64()), pa.array(add((total[tokens] > 0).astype(np.int64))), pa.array(add(base[tokens])), pa.array(add(logs[tokens, before].astype(float)))]
+        columns = [flat(t["doc_id"]), flat(t["held"]), pa.array(np.diff(starts), pa.int64()), pa.array(add((total[tokens] > 0).astype(np.int64))), pa.array(add(base[tokens])), pa.array(add(score.astype(float)))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
@@ -266,55 +542,55 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
 
+def _rate(one: int, two: int) -> float:
+    return float(np.clip(one / max(1.0, one + 2 * two), 0.05, 0.95))
+
+
+def _sums_of(state: DataFrame) -> np.ndarray:
+    n = 4 * CLASSES + 5
+    return np.array([x or 0 for x in state.agg(*(F.sum(F.col("sums")[k]) for k in range(n))).first()], float)
+
+
+def _exchanged(state: DataFrame, parts: int) -> str:
+    """A file for each bucket with its contexts' totals; the folder."""
+    sums = state.mapInArrow(partial(_sums, parts), SUMS)
+    return keyed_files(sums.repartitionById(parts, "to").mapInArrow(_totals, TOTALS), ["q"], "totals", parts)
+
+
 def score(docs: DataFrame, held: Column, burn: int = 2, samples: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text; learnt from rows where `held` is false."""
     rows = bounded(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
-    coded = materialise(rows.mapInArrow(_code, CODED), "coded")
-    columns = [f"c{k}" for k in range(CLASSES)]
-    counts = coded.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns)).where(" + ".join(columns) + " > 0")
-    counts = materialise(counts, "counts")
-    agg = [F.count(F.lit(1))]
-    for c in columns:
-        agg += [F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)]
-    every = sum((F.col(c) for c in columns), F.lit(0))
-    agg += [F.count_if(every == 1), F.count_if(every == 2)]
-    v, *of, r1, r2 = [x or 0 for x in counts.agg(*agg).first()]
-    per = np.array(of, float).reshape(CLASSES, 4)
-    rate = lambda one, two: float(np.clip(one / max(1.0, one + 2 * two), 0.05, 0.95))
-    r = Restaurants(np.array([rate(a, b) for a, b in per[:, 2:]]), np.full(CLASSES, 10.0), per[:, 0], per[:, 1], rate(r1, r2), 10.0, int(v))
-    n = int(per[:, 0].sum())
-    state = counts.mapInArrow(_start, STATE)
-    unknown = np.zeros(CLASSES)
-    stored = [counts]
+    parts = scan_parts(rows)
+    state = materialise(rows.mapInArrow(partial(_pairs, parts), PAIRS).repartitionById(parts, "to").mapInArrow(_gather, STATE), "seating")
+    of = _sums_of(state)
+    tables, customers, ones, twos = of[: 4 * CLASSES].reshape(4, CLASSES)
+    r1, r2, words_, p1, p2 = of[4 * CLASSES :]
+    r = Restaurants(np.array([_rate(a, b) for a, b in zip(ones, twos, strict=True)]), np.full(CLASSES, 10.0), customers, tables, _rate(r1, r2), 10.0, int(words_), _rate(p1, p2))
     for k in range(burn + samples):
-        out = materialise(state.mapInArrow(partial(_sweep, r, k, k >= burn), STATE), "seating")
-        r = Restaurants(**(r.__dict__ | {"tables": sum((np.frombuffer(x[0], "<i8") for x in out.where("word is null").select("tables").toLocalIterator()), np.zeros(CLASSES, np.int64)).astype(float)}))
-        unknown += r.unknown() * (k >= burn)
-        state = out.where("word is not null")
-        discard(stored.pop())
-        stored.append(out)
-    mean = partial(_mean, samples)
-    model = state.select("word", "total", "p").mapInArrow(mean, "m_word string, total long, p_mean binary")
-    model = materialise(model, "model")
-    discard(stored.pop())
-    vocab = coded.select(F.col("block").alias("p"), "word", "code").join(model, F.col("word") == F.col("m_word"), "left").select("p", "code", "total", F.col("p_mean").alias("prob"))
+        folder = _exchanged(state, parts)
+        # what a sweep finds are the seats of the one before it
+        out = materialise(state.mapInArrow(partial(_sweep, r, k, k > burn, folder, parts), STATE), "seating")
+        discard(state, folder)
+        state, of = out, _sums_of(out)
+        r = replace(r, tables=of[:CLASSES], customers=of[CLASSES : 2 * CLASSES])
+    folder = _exchanged(state, parts)
+    found = state.mapInArrow(partial(_answers, r, samples, folder, parts), "p long, q int, logs binary")
     # a task has the blocks of one input partition
-    folder = keyed_files(vocab, ["code"], "model-files", scan_parts(rows), F.shiftright("p", 24))
-    discard(coded, model)
-    scored = rows.mapInArrow(partial(_scores, folder, n, v, unknown / samples), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    answers = keyed_files(found, ["q"], "answers", parts, F.shiftright("p", 24))
+    discard(state, folder)
+    coded = materialise(rows.mapInArrow(_code, CODED), "coded")
+    counts = materialise(coded.groupBy("word").agg(F.sum("n").alias("total")).where("total > 0").withColumnRenamed("word", "m_word"), "counts")
+    v, n = (x or 0 for x in counts.agg(F.count(F.lit(1)), F.sum("total")).first())
+    vocab = coded.join(counts, F.col("word") == F.col("m_word"), "left").select(F.col("block").alias("p"), "code", "total")
+    folder = keyed_files(vocab, ["code"], "model-files", parts, F.shiftright("p", 24))
+    discard(coded, counts)
+    scored = rows.mapInArrow(partial(_scores, folder, answers, parts, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     # stored, as what is read later could be split otherwise
     result = materialise(scored.withColumn("train_tokens", F.lit(n).cast("long")), "scores")
-    discard(folder)
+    discard(folder, answers)
     return result
 
 
-def _mean(samples: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            p = np.frombuffer(b"".join(b.column("p").to_pylist()), "<f4").reshape(-1, CLASSES) / np.float32(samples)
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("total"), pa.array([x.tobytes() for x in p], pa.binary())], ["m_word", "total", "p_mean"])
-
-
 def perplexity(scores: DataFrame) -> DataFrame:
     """held_out, perplexity, base_perplexity over all tokens of each side."""
     of = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))

@@ -226,6 +226,51 @@ def test_probabilities_sum_to_one():
     assert np.allclose(r.known(c, t).sum(axis=0) + r.unknown(), 1)
 
 
+def test_words_before_have_contexts_of_their_own(spark, tmp_path):
+    # both words before have one last letter, so one class
+    rows = [(i, f"{'bat' if i % 2 else 'cat'} {'xy'[i % 2]}") for i in range(200)]
+    asked = [(1000, "bat y"), (1001, "bat x"), (1002, "cat x"), (1003, "cat y")]
+    spark.createDataFrame(rows + asked, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.read.parquet(str(tmp_path / "d")), F.col("doc_id") >= 1000).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001] + 1 and got[1002] > got[1003] + 1
+
+
+def test_probabilities_after_a_word_sum_to_one():
+    rng, n, m = np.random.default_rng(4), 60, 25
+    c = rng.poisson(0.6, (n, m)) + (rng.random((n, m)) < 0.01) * 3000
+    c[c.sum(axis=1) == 0, 0] = 1
+    c[:, 3] = 0  # a context without customers
+    words = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    before = np.sort(rng.integers(0, 1 << 59, m).astype(np.uint64) << np.uint64(4) | (np.arange(m) % pitman_yor.CLASSES).astype(np.uint64))
+    u4 = lambda x: pitman_yor.packed(np.ravel(x).astype("<u4"))
+    row = {"p": 0, "words": pitman_yor.gaps(words, "<u8"), "runs": u4(np.full(n, m)), "contexts": pitman_yor.gaps(before, "<u8"), "context": u4(np.tile(np.arange(m), n)), "c": u4(c), "t": u4(np.minimum(c, 1)), "tables": b"", "prob": b""}
+    b, seen = pitman_yor.Bucket(row).load(), c.sum(axis=1) > 0
+    for k in range(4):
+        (sent,) = pitman_yor.batched(b.sent(1), pitman_yor._SUMS)
+        customers, tables = b.received(pa.Table.from_batches(pitman_yor._totals(iter([sent]))), 1)
+        assert (customers.reshape(n, m) == c.sum(axis=0)).all() and (tables.reshape(n, m) == b.t.reshape(n, m).sum(axis=0)).all()
+        r = pitman_yor.Restaurants(np.full(pitman_yor.CLASSES, 0.5), np.full(pitman_yor.CLASSES, 10.0), b.counts.sum(axis=0).astype(float), b.tables.sum(axis=0).astype(float), 0.6, 10.0, int(seen.sum()), 0.7, 1.0)
+        p = b.probabilities(r, customers, tables).reshape(n, m)[seen].sum(axis=0)
+        new = (1.0 + 0.7 * tables[:m]) * r.unknown()[b.k[:m]] / (customers[:m] + 1.0)
+        assert np.allclose(p + new, 1)
+        b.seat(r, k, tables)
+        assert ((b.t <= b.c) & ((b.t > 0) == (b.c > 0))).all() and ((b.tables <= b.counts) & ((b.tables > 0) == (b.counts > 0))).all()
+    assert (b.t > 1).any() and (b.tables.sum() > (b.counts > 0).sum())
+
+
+def test_tables_of_a_word_follow_their_conditional():
+    """Of 3 customers in a context restaurant whose dish its class has from elsewhere, against the formula."""
+    n, d, theta, above, others, mass = 40_000, 0.5, 1.0, 2, 5, 0.25
+    k = pitman_yor.CLASSES
+    r = pitman_yor.Restaurants(np.full(k, 0.4), np.full(k, 10.0), np.full(k, 90.0), np.full(k, 30.0), 0.6, 10.0, 9, d, theta)
+    full = lambda x: np.full(n, x)
+    draws = pitman_yor.Draws(np.arange(n).astype(np.uint64), 0, k)
+    t = pitman_yor.seat_word(full(3), full(7.0), full(others), full(above), full(mass), full(0), r, draws)
+    new = [(others + i - 0.4 * above + mass) / 100 for i in range(3)]
+    weight = np.array([s * (theta + d * 7) ** i * np.prod(new[:i]) for i, s in ((1, 0.75), (2, 1.5), (3, 1))])
+    assert np.allclose(np.bincount(t, minlength=4)[1:] / n, weight / weight.sum(), atol=0.01)
+
+
 def test_stirling_numbers():
     s = np.exp(pitman_yor.stirling(0.5))
     assert np.allclose([s[1, 1], s[2, 1], s[2, 2], s[3, 1], s[3, 2], s[3, 3]], [1, 0.5, 1, 0.75, 1.5, 1])
