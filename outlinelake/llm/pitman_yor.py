@@ -13,10 +13,10 @@ a sixteenth of those seated. Context restaurants are seated in ROUNDS groups, ea
 restaurants' totals are those of the sweep before. Predictive probabilities of a seating with its own totals are
 averaged over `samples` sweeps after `burn`.
 
-Pairs of words are counted by block and dealt by their second word, so a bucket has all contexts of its words. What a
-bucket lacks are the totals of contexts (C_u, T_u): before each sweep the sums of all buckets go to the one that adds up
-that context, and come back. A block's pairs get their probabilities in a file of the shared folder, in the order of the
-block's own sorted pairs. docs must be a scan of stored files (see numbered()). In this model words are 64-bit hashes
+Pairs of words are counted by block and dealt by their second word, so a bucket has all contexts of its words. The words
+themselves travel along, and a bucket adds up their counts for the base. What it lacks are the totals of contexts (C_u,
+T_u): before each sweep the sums of all buckets go to the one that adds up that context, and come back. A block's pairs
+get their probabilities, and its words their counts, in a file of the shared folder, in the block's own order. docs must be a scan of stored files (see numbered()). In this model words are 64-bit hashes
 (60 bits and the class where they are contexts); counts of the base are by the words themselves. Discounts are
 n1 / (n1 + 2 n2), one for all context restaurants, else of each restaurant; the random numbers depend on the words
 alone, so a task that runs again draws the same.
@@ -29,7 +29,7 @@ empty table gives no rows. A text of any length is one row of one block and is s
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache, partial
 
@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, flat, give_back, hashed, materialise, mixed, scan_parts, tidied, words
+from .common import bounded, discard, flat, give_back, hashed, materialise, mixed, raw_bytes, scan_parts, tidied, words
 from .side_files import keyed_file, keyed_files
 
 BLOCK_BYTES, SMALL, ROUNDS = 32 << 20, 48, 4
@@ -79,11 +79,12 @@ class Pairs:
     """Numbers of a block's pairs of words that are sorted by bucket, hash of the word and hash of the context."""
 
     def __init__(self, dictionary: pa.Array, parts: int):
-        names = hashed(dictionary)
+        names, self.dictionary = hashed(dictionary), dictionary
         self.m, self.parts = len(names) + 1, parts
         word = np.append(names, hashed(pa.array([""])))
         context = np.append(names & ~np.uint64(15) | last_classes(dictionary).astype(np.uint64), START_HASH)
-        by_word, by_context = np.lexsort((word, dealt(word, parts))), np.argsort(context, kind="stable")
+        self.by_word = by_word = np.lexsort((word, dealt(word, parts)))
+        by_context = np.argsort(context, kind="stable")
         self.words, self.contexts = word[by_word], context[by_context]
         self.word_rank, self.context_rank = np.empty(self.m, np.int64), np.empty(self.m, np.int64)
         self.word_rank[by_word] = self.context_rank[by_context] = np.arange(self.m)
@@ -94,10 +95,14 @@ class Pairs:
         out += self.context_rank[before]
         return out
 
-    def cuts(self, pairs: np.ndarray) -> np.ndarray:
-        """Where each bucket's pairs begin among sorted ones (and the end of all)."""
-        first = np.searchsorted(dealt(self.words, self.parts), np.arange(self.parts + 1))
-        return np.searchsorted(pairs, first * self.m)
+    def cuts(self) -> np.ndarray:
+        """Where each bucket's words begin among sorted ones (and the end of all)."""
+        return np.searchsorted(dealt(self.words, self.parts), np.arange(self.parts + 1))
+
+    def letters(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the sorted words, and where each starts (and the end of all). The end token is the word ''."""
+        named = pa.concat_arrays([self.dictionary.cast(pa.large_binary()), pa.array([b""], pa.large_binary())])
+        return raw_bytes(named.take(pa.array(self.by_word)))
 
 
 def dealt(names: np.ndarray, parts: int) -> np.ndarray:
@@ -106,16 +111,23 @@ def dealt(names: np.ndarray, parts: int) -> np.ndarray:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Numbers as bytes by significance, compressed."""
-    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Numbers as bytes by significance, as many as the largest needs, compressed."""
+    x = np.ascontiguousarray(x).view(f"<u{x.itemsize}")
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    raw = np.empty((width, len(x)), np.uint8)
+    for k in range(width):
+        raw[k] = x.view(np.uint8)[k :: x.itemsize]
+    return len(x).to_bytes(8, "little") + bytes([width]) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(raw: bytes, kind: str) -> np.ndarray:
-    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
-    if not n:
-        return np.zeros(0, kind)
-    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw[8:], n, codec="zstd", asbytes=True), np.uint8).reshape(size, -1).T).view(kind).ravel()
+    n, width, size = int.from_bytes(raw[:8], "little"), raw[8], np.dtype(kind).itemsize
+    out = np.zeros(n, f"<u{size}")
+    if n and width:
+        planes = np.frombuffer(pa.decompress(memoryview(raw)[9:], width * n, codec="zstd"), np.uint8).reshape(width, n)
+        for k in range(width):
+            out.view(np.uint8)[k::size] = planes[k]
+    return out.view(kind)
 
 
 def gaps(x: np.ndarray, kind: str) -> bytes:
@@ -147,9 +159,6 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(k, 1).to_pylist()[0]
 
 
-CODED = "block long, word string, code int, n long"
-
-
 def steady(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
     """Rows in blocks of up to `limit` bytes of text (one row at least). Where a block ends depends on the rows alone, not on how they come in batches."""
     held, size = [], 0
@@ -187,18 +196,8 @@ def _learnt(t: pa.Table, starts: np.ndarray) -> np.ndarray:
     return np.repeat(~t["held"].to_numpy(zero_copy_only=False), np.diff(starts))
 
 
-@tidied
-def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block its words with their training counts; the end token is the word ''."""
-    for block, t, starts, tokens, _, dictionary in blocks(batches):
-        m = len(dictionary) + 1
-        counts = np.bincount(tokens[_learnt(t, starts)], minlength=m)
-        columns = [pa.array(np.full(m, block)), pa.concat_arrays([dictionary.cast(pa.string()), pa.array([""])]), pa.array(np.arange(m, dtype=np.int32)), pa.array(counts)]
-        yield from pa.Table.from_arrays(columns, ["block", "word", "code", "n"]).to_batches(max_chunksize=50_000)
-
-
-PAIRS = "to int, block long, words binary, runs binary, contexts binary, context binary, n binary"
-_PAIRS = pa.schema([("to", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("words", "runs", "contexts", "context", "n"))])
+PAIRS = "to int, block long, words binary, sizes binary, letters binary, runs binary, contexts binary, context binary, n binary"
+_PAIRS = pa.schema([("to", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("words", "sizes", "letters", "runs", "contexts", "context", "n"))])
 
 
 def _counted(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -214,17 +213,20 @@ def _counted(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pairs, n = both[first], np.add.reduceat(learnt, first).astype("<u4")
         del both, learnt
         word, context = pairs // of.m, pairs % of.m
-        cuts = of.cuts(pairs).tolist()
+        (letters, starts), firsts = of.letters(), of.cuts()
+        cuts = np.searchsorted(pairs, firsts * of.m).tolist()
         for to, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < z:
+                # every word of the dictionary is the second of a pair
                 at = np.flatnonzero(np.append(True, word[a + 1 : z] != word[a : z - 1]))
+                mine = starts[firsts[to] : firsts[to + 1] + 1]
                 own, back = np.unique(context[a:z], return_inverse=True)
-                yield {"to": to, "block": block, "words": gaps(of.words[word[a:z][at]], "<u8"), "runs": packed(np.diff(np.append(at, z - a)).astype("<u4")), "contexts": gaps(of.contexts[own], "<u8"), "context": packed(back.astype("<u4")), "n": packed(n[a:z])}
+                yield {"to": to, "block": block, "words": gaps(of.words[firsts[to] : firsts[to + 1]], "<u8"), "sizes": packed(np.diff(mine).astype("<u4")), "letters": packed(letters[mine[0] : mine[-1]]), "runs": packed(np.diff(np.append(at, z - a)).astype("<u4")), "contexts": gaps(of.contexts[own], "<u8"), "context": packed(back.astype("<u4")), "n": packed(n[a:z])}
 
 
 @tidied
 def _pairs(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block its pairs with their training counts, a row for each bucket."""
+    """Of each block its words, and its pairs with their training counts, a row for each bucket."""
     yield from batched(_counted(parts, batches), _PAIRS)
 
 
@@ -281,9 +283,6 @@ def stirling(d: float) -> np.ndarray:
     return s
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
 class Draws:
     """Random numbers by counter: each depends on its word's hash, the sweep, the context and how many were drawn before, so not on which rows share a batch or a partition."""
 
@@ -300,70 +299,72 @@ class Draws:
 
 def seat(c: np.ndarray, others: np.ndarray, j: int, r: Restaurants, draws: Draws) -> np.ndarray:
     """Tables of dishes with c customers in context j, given the dishes' customers in the parent from other contexts."""
-    t = np.minimum(c, 1)
-    d, a, root = float(r.discount[j]), math.log(r.strength[j] + r.discount[j] * r.tables[j]), math.log(r.root_customers + r.root_strength)
-    first = np.minimum(c, SMALL)
-    d0 = r.root_discount
-    for n in np.unique(first[first > 1]).tolist():
-        rows = np.flatnonzero(first == n)
-        k = np.arange(1, n + 1)
-        weight = stirling(round(d, 6))[n, 1 : n + 1] + k * (a - root)
-        for at in range(0, len(rows), 200_000 // n + 1):
-            some = rows[at : at + 200_000 // n + 1]
-            o = others[some]
-            # customers from others: the dish has its parent table; else the first of the tables opens it
-            base, back = np.unique(o, return_inverse=True)
-            parent = _lgamma((base - d0)[:, None] + k) - np.where(base > 0, _lgamma(np.maximum(base - d0, 1e-9)), 0)[:, None]
-            draw = weight + parent[back] - np.log(-np.log(draws.uniform(some[:, None], k[None, :])))
-            t[some] = 1 + draw.argmax(axis=1)
-    big = np.flatnonzero(c > SMALL)
-    if len(big):
-        t[big] = later(c[big], t[big], d, lambda mine: math.exp(a - root) * np.maximum(others[big] + mine - d0, 1e-12), draws, big)
+    t, d, some = np.minimum(c, 1), float(r.discount[j]), np.flatnonzero(c > 1)
+    new = (r.strength[j] + d * r.tables[j]) / (r.root_customers + r.root_strength)
+    # customers from others: the dish has its parent table; else the first of the tables opens it
+    t[some] = tables_of(c[some], d, np.full(len(some), new), others[some] - r.root_discount, draws, some)
     return t
 
 
-def later(c: np.ndarray, t: np.ndarray, d: float, mass: Callable, draws: Draws, rows: np.ndarray) -> np.ndarray:
-    """Tables of dishes whose first SMALL customers of c have t, when the others have come. mass: of a new table, given the dishes' tables."""
-    left, seated, mine = c - SMALL, np.full(len(c), SMALL, np.int64), t.copy()
-    number = 1000
-    while (left > 0).any():
-        step = np.minimum(left, np.maximum(1, seated // 16))
-        new = mass(mine)
-        p = np.clip(new / (seated - d * mine + new), 0, 1)
-        # a run of customers: the binomial's mean and spread, rounded at random; of one customer exactly its law
-        u, v, w = (draws.uniform(rows, np.array([number + i])) for i in range(3))
-        spread_ = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v) * np.sqrt(step * p * (1 - p)) * (step > 1)
-        mine += np.clip(np.floor(step * p + spread_ + w), 0, step).astype(np.int64)
-        number += 3
-        seated += step
-        left -= step
-    return mine
-
-
 def seat_word(c: np.ndarray, tables: np.ndarray, others: np.ndarray, above: np.ndarray, mass: np.ndarray, k: np.ndarray, r: Restaurants, draws: Draws) -> np.ndarray:
     """Tables of pairs with c >= 2 customers in their context restaurants, which have `tables`; in the class k of each its dish has `others` customers from other contexts at `above` tables, and a new table there has `mass`."""
-    t, d = np.ones(len(c), np.int64), r.word_discount
-    a, room = np.log(r.word_strength + d * tables), np.log(r.customers + r.strength)[k]
+    d = r.word_discount
     base = others + mass - r.discount[k] * np.maximum(np.minimum(above, others), 1)
-    first = np.minimum(c, SMALL)
-    order = np.argsort(first, kind="stable")
+    return tables_of(c, d, (r.word_strength + d * tables) / (r.customers + r.strength)[k], base, draws, np.arange(len(c)))
+
+
+def tables_of(c: np.ndarray, d: float, new: np.ndarray, base: np.ndarray, draws: Draws, rows: np.ndarray) -> np.ndarray:
+    """Tables of dishes with c >= 2 customers: a table beside i others of the dish has the factor new * (base + i), the first one's is the same for any number. rows: their numbers for draws."""
+    t, first = np.ones(len(c), np.int64), np.minimum(c, SMALL)
+    order, u = np.argsort(first, kind="stable"), draws.uniform(rows, np.zeros(1))
     at = np.searchsorted(first[order], np.arange(2, SMALL + 2))
     for n, lo, hi in zip(range(2, SMALL + 1), at[:-1].tolist(), at[1:].tolist(), strict=True):
-        i, s = np.arange(1, n + 1), stirling(round(d, 6))[n, 1 : n + 1]
+        i, more = np.arange(1, n), np.exp(np.diff(stirling(round(d, 6))[n, 1 : n + 1]))
         for begin in range(lo, hi, 200_000 // n + 1):
             some = order[begin : min(hi, begin + 200_000 // n + 1)]
-            # the first table's own factor is the same for any number of them
-            parent = np.cumsum(np.log(np.maximum(base[some][:, None] + np.append(0, i[:-1]), 1e-12)) * (i > 1), axis=1)
-            draw = s + i * (a - room)[some][:, None] + parent - np.log(-np.log(draws.uniform(some[:, None], i[None, :])))
-            t[some] = 1 + draw.argmax(axis=1)
+            odds = new[some][:, None] * np.maximum(base[some][:, None] + i, 1e-12) * more
+            t[some] = drawn(odds, u[some])
     big = np.flatnonzero(c > SMALL)
     if len(big):
-        t[big] = later(c[big], t[big], d, lambda mine: np.exp(a - room)[big] * np.maximum(base[big] + mine, 1e-12), draws, big)
+        t[big] = later(c[big], t[big], d, new[big], base[big], draws, rows[big])
     return t
 
 
-STATE = "p int, words binary, runs binary, contexts binary, context binary, c binary, t binary, tables binary, prob binary, blocks array<long>, at array<binary>, sums array<long>"
-_STATE = pa.schema([("p", pa.int32()), *((c, pa.binary()) for c in ("words", "runs", "contexts", "context", "c", "t", "tables", "prob")), ("blocks", pa.list_(pa.int64())), ("at", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
+def drawn(odds: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """A number from 1 for each row, by its place u in the cumulated weights; odds: of i + 1 over i, from i = 1."""
+    if odds.shape[1] < 16:
+        weight, one = np.cumprod(odds, axis=1), np.ones(len(odds))
+    else:  # products of many could overflow
+        logs = np.cumsum(np.log(odds), axis=1)
+        top = np.maximum(logs.max(axis=1), 0)
+        weight, one = np.exp(logs - top[:, None]), np.exp(-top)
+    ends = one[:, None] + np.cumsum(weight, axis=1)
+    return 1 + (one < u * ends[:, -1]) + (ends[:, :-1] < (u * ends[:, -1])[:, None]).sum(axis=1)
+
+
+def later(c: np.ndarray, t: np.ndarray, d: float, new: np.ndarray, base: np.ndarray, draws: Draws, rows: np.ndarray) -> np.ndarray:
+    """Tables of dishes whose first SMALL customers of c have t, when the others have come."""
+    out, on, left, mine = t.copy(), np.arange(len(c)), c - SMALL, t
+    seated, number = SMALL, 1000
+    while len(on):
+        step = np.minimum(left, max(1, seated // 16))
+        mass = new * np.maximum(base + mine, 1e-12)
+        p = np.clip(mass / (seated - d * mine + mass), 0, 1)
+        # a run of customers: the binomial's mean and spread, rounded at random; of one customer exactly its law
+        u, v, w = (draws.uniform(rows, np.array([number + i])) for i in range(3))
+        spread_ = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v) * np.sqrt(step * p * (1 - p)) * (step > 1)
+        mine = mine + np.clip(np.floor(step * p + spread_ + w), 0, step).astype(np.int64)
+        number += 3
+        seated += max(1, seated // 16)
+        left = left - step
+        if not left.all():  # some have all theirs
+            out[on[left == 0]] = mine[left == 0]
+            on, left, mine, new, base, rows = (x[left > 0] for x in (on, left, mine, new, base, rows))
+    return out
+
+
+STATE = "p int, words binary, runs binary, contexts binary, context binary, c binary, t binary, tables binary, prob binary, blocks array<long>, at array<binary>, totals array<binary>, sums array<long>"
+_STATE = pa.schema([("p", pa.int32()), *((c, pa.binary()) for c in ("words", "runs", "contexts", "context", "c", "t", "tables", "prob")), ("blocks", pa.list_(pa.int64())), ("at", pa.list_(pa.binary())), ("totals", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
 
 
 class Bucket:
@@ -372,22 +373,22 @@ class Bucket:
     def __init__(self, row: dict):
         self.row = row
         self.contexts = summed(row["contexts"], "<u8")
-        self.context = unpacked(row["context"], "<u4").astype(np.int64)
-        self.c, self.t = (unpacked(row[x], "<u4").astype(np.int64) for x in ("c", "t"))
+        self.context, self.c, self.t = (unpacked(row[x], "<u4") for x in ("context", "c", "t"))
 
     def load(self) -> Bucket:
         """What sums of contexts don't need."""
         row = self.row
         self.words = summed(row["words"], "<u8")
-        self.word = np.repeat(np.arange(len(self.words)), unpacked(row["runs"], "<u4"))
-        self.k = (self.contexts & np.uint64(15)).astype(np.int64)[self.context]
+        self.k = (self.contexts & np.uint64(15)).astype(np.int8)[self.context]
+        self.cell = np.repeat(np.arange(len(self.words)) * CLASSES, unpacked(row["runs"], "<u4"))
+        self.cell += self.k
         self.count()
         self.tables = unpacked(row["tables"], "<u4").astype(np.int64).reshape(-1, CLASSES) if row["tables"] else np.minimum(self.counts, 1)
         return self
 
     def count(self) -> None:
         """Customers of the classes are tables of the contexts."""
-        self.counts = np.bincount(self.word * CLASSES + self.k, self.t, len(self.words) * CLASSES).astype(np.int64).reshape(-1, CLASSES)
+        self.counts = np.bincount(self.cell, self.t, len(self.words) * CLASSES).astype(np.int64).reshape(-1, CLASSES)
 
     def sent(self, parts: int) -> Iterator[dict]:
         """Of each context its customers and tables here, for the bucket that adds them up."""
@@ -409,30 +410,52 @@ class Bucket:
         return out[0], out[1]
 
     def probabilities(self, r: Restaurants, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return r.of_word(self.c, self.t, customers, tables, r.of_class(self.counts, self.tables)[self.word, self.k])
+        return r.of_word(self.c, self.t, customers, tables, r.of_class(self.counts, self.tables).reshape(-1)[self.cell])
 
     def seat(self, r: Restaurants, number: int, tables: np.ndarray) -> None:
         """One sweep: context restaurants, then classes."""
-        root = r.root_customers + r.root_strength
+        share = (r.strength + r.discount * r.tables) / (r.root_customers + r.root_strength)
+        counts, under, of_words = self.counts.reshape(-1), self.tables.reshape(-1), self.tables.sum(axis=1)
         several = np.flatnonzero(self.c > 1)
         group = (self.contexts >> np.uint64(20)) % np.uint64(ROUNDS)
         group = group.astype(np.int64)[self.context[several]]
         for g in range(ROUNDS):
             i = several[group == g]
-            w, k = self.word[i], self.k[i]
-            mass = (r.strength + r.discount * r.tables)[k] * np.maximum(self.tables.sum(axis=1) - r.root_discount, 0)[w] / root
+            c, t, k, cell = self.c[i].astype(np.int64), self.t[i].astype(np.int64), self.k[i], self.cell[i]
+            w = cell // CLASSES
+            mass = share[k] * np.maximum(of_words[w] - r.root_discount, 0)
             draws = Draws(mixed(self.words[w] ^ mixed(self.contexts[self.context[i]])), number, CLASSES)
-            self.t[i] = seat_word(self.c[i], tables[i], self.counts[w, k] - self.t[i], self.tables[w, k], mass, k, r, draws)
-            self.count()
-            self.tables = np.maximum(np.minimum(self.tables, self.counts), np.minimum(self.counts, 1))
+            new = seat_word(c, tables[i], counts[cell] - t, under[cell], mass, k, r, draws)
+            self.t[i] = new
+            np.add.at(counts, cell, new - t)
+            cell = np.unique(cell[new != t])
+            fit = np.maximum(np.minimum(under[cell], counts[cell]), np.minimum(counts[cell], 1))
+            np.add.at(of_words, cell // CLASSES, fit - under[cell])
+            under[cell] = fit
+        customers, under = (np.ascontiguousarray(x.T) for x in (self.counts, self.tables))
         for j in range(CLASSES):
-            self.tables[:, j] = seat(self.counts[:, j], self.tables.sum(axis=1) - self.tables[:, j], j, r, Draws(self.words, number, j))
+            others = of_words - under[j]
+            under[j] = seat(customers[j], others, j, r, Draws(self.words, number, j))
+            of_words = others + under[j]
+        self.tables = np.ascontiguousarray(under.T)
 
     def stored(self, prob: np.ndarray | None = None) -> dict:
         of_words = self.tables.sum(axis=1)
         sums = [self.tables.sum(axis=0), self.counts.sum(axis=0), (self.counts == 1).sum(axis=0), (self.counts == 2).sum(axis=0), [(of_words == 1).sum(), (of_words == 2).sum(), (of_words > 0).sum(), (self.c == 1).sum(), (self.c == 2).sum()]]
-        more = {} if prob is None else {"prob": packed(prob.astype("<f4"))}
-        return self.row | {"t": packed(self.t.astype("<u4")), "tables": packed(self.tables.astype("<u4").ravel()), "sums": np.concatenate(sums).tolist()} | more
+        more = {} if prob is None else {"prob": packed(prob)}
+        return self.row | {"t": packed(self.t), "tables": packed(self.tables.astype("<u4").ravel()), "sums": np.concatenate(sums).tolist()} | more
+
+
+def _base(rows: list[dict], learnt: np.ndarray) -> tuple[int, int, list[bytes]]:
+    """Of blocks' words in a bucket and their training counts there: the sum, how many different words have any, and of each block its words' counts in all blocks. By the words themselves, not their hashes."""
+    sizes = [unpacked(x["sizes"], "<u4") for x in rows]
+    offsets = np.append(0, np.cumsum(np.concatenate(sizes), dtype=np.int64))
+    letters = np.concatenate([unpacked(x["letters"], "<u1") for x in rows])
+    names = pa.Array.from_buffers(pa.large_binary(), len(learnt), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    code = names.dictionary_encode().indices.to_numpy()
+    total = np.bincount(code, learnt).astype("<u8")
+    ends = np.cumsum([len(x) for x in sizes])
+    return int(total.sum()), int((total > 0).sum()), [packed(x) for x in np.split(total[code], ends[:-1])]
 
 
 @tidied
@@ -441,22 +464,26 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted(rows_of(batches), key=lambda x: x["block"])
     if not rows:
         return
+    runs, n = (np.concatenate([unpacked(x[c], "<u4") for x in rows]) for c in ("runs", "n"))
+    total, known, totals = _base(rows, np.add.reduceat(n, np.cumsum(runs, dtype=np.int64) - runs, dtype=np.int64))
     words, word = np.unique(np.concatenate([summed(x["words"], "<u8") for x in rows]), return_inverse=True)
     own, context = np.unique(np.concatenate([summed(x["contexts"], "<u8") for x in rows]), return_inverse=True)
-    runs, pairs = np.concatenate([unpacked(x["runs"], "<u4") for x in rows]), np.repeat(word, 0)
-    pairs = np.repeat(word, runs) * len(own)
+    pairs = np.repeat(word * len(own), runs)
     sizes, first, at = [], 0, 0
     for x in rows:
         mine = unpacked(x["context"], "<u4")
         pairs[at : at + len(mine)] += context[first + mine.astype(np.int64)]
         sizes.append(len(mine))
         at, first = at + len(mine), first + int(mine.max()) + 1
+    del word, context, runs
     both, back = np.unique(pairs, return_inverse=True)
-    n = np.bincount(back, np.concatenate([unpacked(x["n"], "<u4") for x in rows]))
-    ends = np.cumsum(sizes)
-    row = {"p": rows[0]["to"], "words": gaps(words, "<u8"), "runs": packed(np.bincount(both // len(own), minlength=len(words)).astype("<u4")), "contexts": gaps(own, "<u8"), "context": packed((both % len(own)).astype("<u4")), "c": packed(n.astype("<u4")), "t": packed(np.minimum(n, 1).astype("<u4")), "tables": b"", "prob": b"", "blocks": [x["block"] for x in rows], "at": [gaps(back[z - k : z], "<u4") for k, z in zip(sizes, ends.tolist(), strict=True)]}
-    del rows, pairs, both, back
-    yield pa.RecordBatch.from_pylist([Bucket(row).load().stored()], _STATE)
+    del pairs
+    n, ends = np.bincount(back, n).astype("<u4"), np.cumsum(sizes)
+    row = {"p": rows[0]["to"], "words": gaps(words, "<u8"), "runs": packed(np.bincount(both // len(own), minlength=len(words)).astype("<u4")), "contexts": gaps(own, "<u8"), "context": packed((both % len(own)).astype("<u4")), "c": packed(n), "t": packed(np.minimum(n, 1)), "tables": b"", "prob": b"", "blocks": [x["block"] for x in rows], "at": [gaps(back[z - k : z], "<u4") for k, z in zip(sizes, ends.tolist(), strict=True)], "totals": totals}
+    del rows, both, back, n
+    row = Bucket(row).load().stored()
+    row["sums"] += [known, total]
+    yield pa.RecordBatch.from_pylist([row], _STATE)
 
 
 SUMS = "to int, p int, contexts binary, c binary, t binary"
@@ -493,11 +520,14 @@ def _sweep(r: Restaurants, number: int, keep: bool, folder: str, parts: int, bat
         if keep:
             prob = b.probabilities(r, customers, tables)
             prob += unpacked(row["prob"], "<f4") if row["prob"] else 0
+            prob = prob.astype("<f4")
+        del customers
         b.seat(r, number, tables)
         yield pa.RecordBatch.from_pylist([b.stored(prob)], _STATE)
 
 
-_ANSWERS = pa.schema([("p", pa.int64()), ("q", pa.int32()), ("logs", pa.binary())])
+ANSWERS = "p long, q int, logs binary, totals binary"
+_ANSWERS = pa.schema([("p", pa.int64()), ("q", pa.int32()), ("logs", pa.binary()), ("totals", pa.binary())])
 
 
 def _answered(r: Restaurants, samples: int, folder: str, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -505,33 +535,33 @@ def _answered(r: Restaurants, samples: int, folder: str, parts: int, batches: It
         b = Bucket(row).load()
         prob = b.probabilities(r, *b.received(keyed_file(folder, row["p"]), parts)) + (unpacked(row["prob"], "<f4") if row["prob"] else 0)
         logs = np.log10(prob / samples).astype("<f4")
-        for block, at in zip(row["blocks"], row["at"], strict=True):
-            yield {"p": block, "q": row["p"], "logs": packed(logs[summed(at, "<u4")])}
+        for block, at, totals in zip(row["blocks"], row["at"], row["totals"], strict=True):
+            yield {"p": block, "q": row["p"], "logs": packed(logs[summed(at, "<u4")]), "totals": totals}
 
 
 @tidied
 def _answers(r: Restaurants, samples: int, folder: str, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Logarithms of the mean probabilities of each block's pairs, in its order."""
+    """Logarithms of the mean probabilities of each block's pairs and training counts of its words, in its order."""
     yield from batched(_answered(r, samples, folder, parts, batches), _ANSWERS)
 
 
 @tidied
-def _scores(folder: str, answers: str, parts: int, n: int, v: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scores(answers: str, parts: int, n: int, v: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Scores of each block's texts with its words' counts and its pairs' probabilities."""
     for block, t, starts, tokens, before, dictionary in blocks(batches):
-        model, found, size = keyed_file(folder, block), keyed_file(answers, block), len(dictionary) + 1
-        pairs = Pairs(dictionary, parts).of(tokens, before)
+        found, of = keyed_file(answers, block), Pairs(dictionary, parts)
+        pairs = of.of(tokens, before)
         order = np.argsort(pairs)
         pairs = pairs[order]
         number = np.cumsum(np.append(False, pairs[1:] != pairs[:-1]), dtype=np.int32)
         del pairs, before
-        logs = np.concatenate([unpacked(x, "<f4") for x in found["logs"].to_pylist()]) if found else np.zeros(0, "<f4")
-        if model is None or len(model) != size or len(logs) != number[-1] + 1:
+        logs, total = (np.concatenate([unpacked(x, kind) for x in found[c].to_pylist()]) if found else np.zeros(0) for c, kind in (("logs", "<f4"), ("totals", "<u8")))
+        if len(total) != of.m or len(logs) != number[-1] + 1:
             raise ValueError("the input isn't a scan that gives the same blocks again")
         score = np.empty(len(tokens), np.float32)
         score[order] = logs[number]
         del order, number
-        total = model["total"].fill_null(0).to_numpy()
+        total = total[of.word_rank]
         base = np.log10(total + 1) - math.log10(n + v + 1)
         add = lambda x, s=starts: np.add.reduceat(x, s[:-1])  # noqa: E731  every text has its end token
         columns = [flat(t["doc_id"]), flat(t["held"]), pa.array(np.diff(starts), pa.int64()), pa.array(add((total[tokens] > 0).astype(np.int64))), pa.array(add(base[tokens])), pa.array(add(score.astype(float)))]
@@ -546,8 +576,7 @@ def _rate(one: int, two: int) -> float:
     return float(np.clip(one / max(1.0, one + 2 * two), 0.05, 0.95))
 
 
-def _sums_of(state: DataFrame) -> np.ndarray:
-    n = 4 * CLASSES + 5
+def _sums_of(state: DataFrame, n: int = 4 * CLASSES + 5) -> np.ndarray:
     return np.array([x or 0 for x in state.agg(*(F.sum(F.col("sums")[k]) for k in range(n))).first()], float)
 
 
@@ -562,9 +591,9 @@ def score(docs: DataFrame, held: Column, burn: int = 2, samples: int = 2) -> Dat
     rows = bounded(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
     parts = scan_parts(rows)
     state = materialise(rows.mapInArrow(partial(_pairs, parts), PAIRS).repartitionById(parts, "to").mapInArrow(_gather, STATE), "seating")
-    of = _sums_of(state)
+    of = _sums_of(state, 4 * CLASSES + 7)
     tables, customers, ones, twos = of[: 4 * CLASSES].reshape(4, CLASSES)
-    r1, r2, words_, p1, p2 = of[4 * CLASSES :]
+    r1, r2, words_, p1, p2, v, n = of[4 * CLASSES :]
     r = Restaurants(np.array([_rate(a, b) for a, b in zip(ones, twos, strict=True)]), np.full(CLASSES, 10.0), customers, tables, _rate(r1, r2), 10.0, int(words_), _rate(p1, p2))
     for k in range(burn + samples):
         folder = _exchanged(state, parts)
@@ -574,20 +603,14 @@ def score(docs: DataFrame, held: Column, burn: int = 2, samples: int = 2) -> Dat
         state, of = out, _sums_of(out)
         r = replace(r, tables=of[:CLASSES], customers=of[CLASSES : 2 * CLASSES])
     folder = _exchanged(state, parts)
-    found = state.mapInArrow(partial(_answers, r, samples, folder, parts), "p long, q int, logs binary")
+    found = state.mapInArrow(partial(_answers, r, samples, folder, parts), ANSWERS)
     # a task has the blocks of one input partition
     answers = keyed_files(found, ["q"], "answers", parts, F.shiftright("p", 24))
     discard(state, folder)
-    coded = materialise(rows.mapInArrow(_code, CODED), "coded")
-    counts = materialise(coded.groupBy("word").agg(F.sum("n").alias("total")).where("total > 0").withColumnRenamed("word", "m_word"), "counts")
-    v, n = (x or 0 for x in counts.agg(F.count(F.lit(1)), F.sum("total")).first())
-    vocab = coded.join(counts, F.col("word") == F.col("m_word"), "left").select(F.col("block").alias("p"), "code", "total")
-    folder = keyed_files(vocab, ["code"], "model-files", parts, F.shiftright("p", 24))
-    discard(coded, counts)
-    scored = rows.mapInArrow(partial(_scores, folder, answers, parts, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = rows.mapInArrow(partial(_scores, answers, parts, int(n), int(v)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     # stored, as what is read later could be split otherwise
-    result = materialise(scored.withColumn("train_tokens", F.lit(n).cast("long")), "scores")
-    discard(folder, answers)
+    result = materialise(scored.withColumn("train_tokens", F.lit(int(n)).cast("long")), "scores")
+    discard(answers)
     return result
 
 

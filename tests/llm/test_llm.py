@@ -271,6 +271,67 @@ def test_tables_of_a_word_follow_their_conditional():
     assert np.allclose(np.bincount(t, minlength=4)[1:] / n, weight / weight.sum(), atol=0.01)
 
 
+def test_a_dish_is_seated_with_one_random_number_until_it_has_many_customers():
+    class Counted(pitman_yor.Draws):
+        drawn = 0
+
+        def uniform(self, rows, number):
+            out = super().uniform(rows, number)
+            Counted.drawn += out.size
+            return out
+
+    k, c = pitman_yor.CLASSES, np.append(np.full(2000, 30), [49, 5000])
+    n, full = len(c), lambda x: np.full(len(c), x)
+    r = pitman_yor.Restaurants(np.full(k, 0.4), np.full(k, 10.0), np.full(k, 90.0), np.full(k, 30.0), 0.6, 10.0, 9, 0.5, 1.0)
+    names = np.arange(n).astype(np.uint64)
+    t = pitman_yor.seat_word(c, full(7.0), full(5), full(2), full(0.25), full(0), r, Counted(names, 0, k))
+    # runs of the largest only: 3 numbers each, about ln(5000 / 48) / ln(17 / 16) of them
+    assert ((t >= 1) & (t <= c)).all() and Counted.drawn < n + 3 * 100
+    Counted.drawn = 0
+    t = pitman_yor.seat(c, full(5), 0, r, Counted(names, 0, 0))
+    assert ((t >= 1) & (t <= c)).all() and Counted.drawn < n + 3 * 100
+
+
+def test_tables_of_a_class_follow_their_conditional():
+    """Of few and of many customers, whose dish has others in the root or none, against sums over Stirling numbers."""
+    n, k = 40_000, pitman_yor.CLASSES
+    r = pitman_yor.Restaurants(np.full(k, 0.4), np.full(k, 10.0), np.full(k, 90.0), np.full(k, 30.0), 0.6, 10.0, 9)
+    a, root = math.log(10 + 0.4 * 30), math.log(r.root_customers + 10)
+    for c, others in ((2, 0), (3, 4), (17, 0), (40, 3)):
+        t = pitman_yor.seat(np.full(n, c), np.full(n, others), 0, r, pitman_yor.Draws(np.arange(n).astype(np.uint64), c, others))
+        logs = [pitman_yor.stirling(0.4)[c, i] + i * (a - root) + math.lgamma(others - 0.6 + i) for i in range(1, c + 1)]
+        weight = np.exp(np.array(logs) - max(logs))
+        assert np.allclose(np.bincount(t, minlength=c + 1)[1:] / n, weight / weight.sum(), atol=0.01), (c, others)
+
+
+def test_base_counts_are_by_words_when_hashes_collide(monkeypatch):
+    """A block's words travel with its pairs, so a bucket counts them without another reading of the texts."""
+    monkeypatch.setattr(pitman_yor, "hashed", lambda strings: np.full(len(strings), 7 << 40, np.uint64))
+    texts = [["b a a", "held a c"], ["a d", "", "é b"]]
+    held, rows = [[False, True], [False, False, False]], []
+    for p, (mine, out) in enumerate(zip(texts, held)):
+        monkeypatch.setattr(pitman_yor.TaskContext, "get", lambda p=p: type("Task", (), {"partitionId": lambda self: p})())
+        rows += pitman_yor._pairs(3, iter([pa.record_batch({"doc_id": list(range(len(mine))), "text": mine, "held": out})]))
+    (state,) = pitman_yor._gather(iter(rows))
+    (state,) = state.to_pylist()
+    learnt = Counter(w for mine, out in zip(texts, held) for t, h in zip(mine, out) if not h for w in [*t.split(), ""])
+    for totals, mine in zip(state["totals"], texts):
+        words = {w for t in mine for w in [*t.split(), ""]}
+        assert sorted(pitman_yor.unpacked(totals, "<u8").tolist()) == sorted(learnt[w] for w in words)
+    assert state["sums"][-2:] == [len(learnt), sum(learnt.values())]
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(5)
+    for kind, tops in (("<u4", (1, 2, 256, 257, 1 << 32)), ("<u8", (1, 1 << 40, (1 << 64) - 1))):
+        for n in (0, 1, 1000):
+            for top in tops:
+                x = rng.integers(0, top, n, dtype=np.uint64).astype(kind)
+                assert (pitman_yor.unpacked(pitman_yor.packed(x), kind) == x).all()
+    x = rng.normal(size=1000).astype("<f4")
+    assert (pitman_yor.unpacked(pitman_yor.packed(x), "<f4") == x).all()
+
+
 def test_stirling_numbers():
     s = np.exp(pitman_yor.stirling(0.5))
     assert np.allclose([s[1, 1], s[2, 1], s[2, 2], s[3, 1], s[3, 2], s[3, 3]], [1, 0.5, 1, 0.75, 1.5, 1])
